@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import licenses, simhash, toxicity
+from sparkwright.llm import decontaminate, licenses, mixing, repair, simhash, toxicity
 from sparkwright.llm.common import table
 
 
@@ -22,9 +22,24 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.token_file(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_ids": op2_token_ids,
+    "op3_decontamination": op3_decontamination,
     "op4_licenses": op4_licenses,
+    "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
 }
 ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}

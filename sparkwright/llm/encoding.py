@@ -1,10 +1,11 @@
 """Token ids of many texts by a public tokenizer of the tokenizers library, word by word.
 
 The vocabulary file's rules never join characters across white space, so a text's ids are those of
-its white-space-separated words in turn. Each process keeps the ids of the words it has met; new ones
-are encoded together. A word of letters followed by ASCII punctuation other than an apostrophe falls
-into two pieces there, and pieces repeat far more than words do. Any other word goes to the library
-as it is. Ids are the library's in either case.
+its white-space-separated words in turn. A word of Latin letters followed by ASCII punctuation other
+than an apostrophe falls into two pieces there, which its rules lower-case, map to byte symbols and
+hand to the merges; for such pieces that is done here, and the library's model merges. Any other word
+goes through the whole of the library. Each process keeps the pieces and words that it has met: both
+repeat, pieces more so. Ids are the library's in every case, which the tests hold against it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 import numpy as np
 
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+LATIN = "ɐ"  # the first character beyond the Latin letters whose case and form are simple
+CHUNK = 500
 
 
 def default_path() -> str:
@@ -20,69 +23,101 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_symbols() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
     """Of one vocabulary file; end_id, if given, closes each text. max_words bounds what is kept."""
 
-    def __init__(self, path: str, end_id: int | None = None, max_words: int = 250_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, end_id: int | None = None, max_words: int = 400_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         ends = [i for w, i in self.library.get_vocab(True).items() if w.endswith("</w>")]
         self.is_end = np.zeros(self.library.get_vocab_size(True), bool)
         self.is_end[ends] = True
+        self.symbols = {k: v for k, v in byte_symbols().items() if k != 32}
         self.end_id, self.max_words = end_id, max_words
-        self.pieces: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
+        self.word_pieces = np.zeros((1 << 14, 2), np.int32)
+        self.pieces: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         if self.end_id is not None:
-            self._add([b""], [[self.end_id]])
-
-    def _add(self, words: list[bytes], ids: list[list[int]]) -> None:
-        first, sizes = len(self.places), np.fromiter(map(len, ids), np.int64, len(ids))
-        n, total = first + len(words), int(sizes.sum())
+            self._add_pieces(["\0end"], np.array([self.end_id], np.int32), np.array([1]))
+            self.words[b""] = 0
+            self.word_pieces[0] = (1, 0)
+
+    def _add_pieces(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """ids of these pieces one after the other, and where each one's end."""
+        first = len(self.pieces)
+        n = first + len(names)
         while n > len(self.starts):
             self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-        while self.used + total > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.starts[first:n] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[first:n] = sizes
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.int32, total)
-        self.used += total
-        self.places.update(zip(words, range(first, n)))
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        ids = np.array(self.library.encode(" ".join(pieces), add_special_tokens=False).ids, np.int32)
+        self.sizes[first:n] = sizes = np.diff(ends, prepend=0)
+        self.starts[first:n] = self.used + ends - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.pieces.update(zip(names, range(first, n)))
+
+    def _encode_simple(self, pieces: list[str]) -> None:
+        mapped = " ".join(pieces).encode().decode("latin-1").translate(self.symbols).split(" ")
+        texts = [" ".join(mapped[at : at + CHUNK]) for at in range(0, len(mapped), CHUNK)]
+        ids = np.array([i for e in self.merges.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
         (cuts,) = np.nonzero(self.is_end[ids])
-        if len(cuts) == len(pieces) and len(ids) and cuts[-1] == len(ids) - 1:
-            flat, at = ids.tolist(), 0
-            for p, e in zip(pieces, (cuts + 1).tolist()):
-                self.pieces[p] = flat[at:e]
-                at = e
-        else:  # a letter that falls into several words when it is lower-cased
-            for p, e in zip(pieces, self.library.encode_batch(pieces, add_special_tokens=False)):
-                self.pieces[p] = e.ids
+        if len(cuts) != len(pieces):
+            raise ValueError("the vocabulary doesn't mark the ends of words")
+        self._add_pieces(pieces, ids, cuts + 1)
+
+    def _encode_whole(self, names: list[str], texts: list[str]) -> None:
+        found = [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        self._add_pieces(names, np.array([i for e in found for i in e], np.int32), ends)
 
     def _learn(self, words: list[bytes]) -> None:
-        cut: list[tuple | None] = []
+        pieces = self.pieces
+        cut: list[tuple[str, str]] = []
+        simple: dict[str, None] = {}
+        odd: dict[str, str] = {}
         for w in words:
             s = w.decode("utf-8", "replace")
             core = s.rstrip(PUNCTUATION)
             tail = s[len(core) :]
-            if core and not core.isalpha():
-                cut.append(None)
-            else:
-                cut.append((core.lower() if core.isascii() else core, tail))
-        new = {p for c in cut if c for p in c if p and p not in self.pieces}
-        if new:
-            self._encode_pieces(sorted(new))
-        whole = [w.decode("utf-8", "replace") for w, c in zip(words, cut) if c is None]
-        rest = iter(self.library.encode_batch(whole, add_special_tokens=False) if whole else ())
-        get = self.pieces.get
-        self._add(words, [next(rest).ids if c is None else get(c[0], []) + get(c[1], []) for c in cut])
+            if core:
+                low = core.lower()
+                if not core.isalpha() or not (low.isascii() or (low.isalpha() and max(low) < LATIN)):
+                    core, tail = "\0" + s, ""
+                    if core not in pieces:
+                        odd[core] = s
+                else:
+                    core = low
+                    if core not in pieces:
+                        simple[core] = None
+            if tail and tail not in pieces:
+                simple[tail] = None
+            cut.append((core, tail))
+        if simple:
+            self._encode_simple(list(simple))
+        if odd:
+            self._encode_whole(list(odd), list(odd.values()))
+        first = len(self.words)
+        n = first + len(words)
+        while n > len(self.word_pieces):
+            self.word_pieces = np.concatenate([self.word_pieces, np.zeros_like(self.word_pieces)])
+        self.word_pieces[first:n, 0] = [pieces[a] for a, _ in cut]
+        self.word_pieces[first:n, 1] = [pieces[b] for _, b in cut]
+        self.words.update(zip(words, range(first, n)))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has. Null counts as empty."""
@@ -94,19 +129,19 @@ class WordEncoder:
             if self.end_id is not None:
                 words.append(b"")
             counts[i] = len(words) - before
-        if len(self.places) > self.max_words:
+        if len(self.words) > self.max_words:
             self._forget()
-        if len(self.pieces) > self.max_words:
-            self.pieces.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.places))
+        new = list(set(words).difference(self.words))
+        new.sort()
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
-        which = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[which]
+        which = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
+        both = self.word_pieces[which].ravel()
+        sizes = self.sizes[both]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[which] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        ids = self.flat[np.repeat(self.starts[both] - (ends - sizes), sizes) + np.arange(total)]
+        bounds = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(counts)])]
         return ids, np.diff(bounds)
 
 
