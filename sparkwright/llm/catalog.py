@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import decontaminate, licenses, mixing, repair, simhash, toxicity
+from sparkwright.llm import decontaminate, htmltext, licenses, lm, mixing, neighbours, repair, simhash, toxicity, warc
 from sparkwright.llm.common import table
 
 
@@ -30,16 +30,36 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
     "op3_decontamination": op3_decontamination,
     "op4_licenses": op4_licenses,
+    "op5_warc": op5_warc,
+    "op6_neighbours": op6_neighbours,
     "op7_mixing": op7_mixing,
     "op8_simhash": op8_simhash,
+    "op9_html_text": op9_html_text,
+    "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql()}
+ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op5_warc": warc.ORACLE}
