@@ -5,8 +5,10 @@ probability r - floor(r). The choices are made by the cube method: a vector of p
 within the null-space of the balancing constraints, here the totals of words and of documents, and
 each step brings one probability to 0 or 1. With two constraints three undecided documents are
 enough for a step. Blocks of a source's documents fly on their own and leave two undecided documents
-at most; those of many blocks fly together in the next round, and so on until a source's last few
-land with the constraints dropped one after the other. Random numbers come from ids, so reruns agree.
+at most; those of many blocks fly together in the next round, and so on until one block is left. There a dozen
+documents of all sizes are held back, and they and the last two undecided ones are the landing
+problem: of all ways to decide them the best balanced one is taken. Random numbers come from ids, so
+reruns agree.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from sparkwright.llm.common import stored
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 BLOCK = 4096
+RESERVE = 12
 #: A larger table of sources is joined by shuffle.
 BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,51 +50,56 @@ def targets(sizes: list[int], weights: list[float], limit: float = LIMIT) -> lis
     return out
 
 
-def flight(p: np.ndarray, sizes: np.ndarray, draws: np.ndarray, landing: bool = False) -> np.ndarray:
+def flight(p: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Moves probabilities p until two documents at most are undecided, all totals of p and p * size kept.
 
-    With landing, those are decided too: one by the total of sizes alone if there are two, the last by
-    its probability. draws: random numbers from 0 to 1, one for each document.
+    draws: random numbers from 0 to 1, one for each document.
     """
     p = p.copy()
     waiting: list[int] = []
-
-    def step(own: list[int], u: list[float], draw: float) -> None:
-        up = min(((1 - p[i]) / v if v > 0 else p[i] / -v) for i, v in zip(own, u) if v)
-        down = min((p[i] / v if v > 0 else (1 - p[i]) / -v) for i, v in zip(own, u) if v)
-        move = up if draw * (up + down) < down else -down
-        for i, v in zip(own, u):
-            q = p[i] + move * v
-            p[i] = 0.0 if q < EDGE else 1.0 if q > 1 - EDGE else q
-
-    open_ = lambda i: 0.0 < p[i] < 1.0
     for k in range(len(p)):
         if p[k] < EDGE or p[k] > 1 - EDGE:
             p[k] = round(p[k])
             continue
         waiting.append(k)
-        while len(waiting) == 3:
-            a, b, c = (float(sizes[i]) for i in waiting)
-            u = [b - c, c - a, a - b]  # keeps the sum of p and the sum of p * size
-            top = max(map(abs, u))
-            u = [x / top for x in u] if top else [1.0, -1.0, 0.0]
-            step(waiting, u, float(draws[k]))
-            waiting = [i for i in waiting if open_(i)]
-    if landing and len(waiting) == 2:
-        i, j = waiting
-        a, b = float(sizes[i]), float(sizes[j])
-        step(waiting, [b / max(a, b), -a / max(a, b)] if a and b else [1.0, -1.0], float(draws[i]))
-        waiting = [i for i in waiting if open_(i)]
-    if landing:
-        for i in waiting:
-            p[i] = 1.0 if draws[i] < p[i] else 0.0
+        if len(waiting) < 3:
+            continue
+        a, b, c = (float(sizes[i]) for i in waiting)
+        u = [b - c, c - a, a - b]  # keeps the sum of p and the sum of p * size
+        top = max(map(abs, u))
+        u = [x / top for x in u] if top else [1.0, -1.0, 0.0]
+        up = min((1 - p[i]) / v if v > 0 else p[i] / -v for i, v in zip(waiting, u) if v)
+        down = min(p[i] / v if v > 0 else (1 - p[i]) / -v for i, v in zip(waiting, u) if v)
+        move = up if float(draws[k]) * (up + down) < down else -down
+        for i, v in zip(waiting, u):
+            q = p[i] + move * v
+            p[i] = 0.0 if q < EDGE else 1.0 if q > 1 - EDGE else q
+        waiting = [i for i in waiting if 0.0 < p[i] < 1.0]
     return p
 
 
+def land(p: np.ndarray, sizes: np.ndarray, draws: np.ndarray, reserve: int = RESERVE) -> np.ndarray:
+    """Decides all: a few documents of all sizes are held back from the flight; of all ways to decide them and
+    what the flight leaves, the one that keeps the totals of words and documents best is taken."""
+    (undecided,) = np.nonzero((p >= EDGE) & (p <= 1 - EDGE))
+    by_size = undecided[np.lexsort((draws[undecided], sizes[undecided]))]
+    held = by_size[np.unique(np.linspace(0, len(by_size) - 1, min(reserve, len(by_size))).round().astype(int))] if len(by_size) else by_size
+    flying = np.ones(len(p), bool)
+    flying[held] = False
+    p = p.copy()
+    p[flying] = flight(p[flying], sizes[flying], draws[flying])
+    (rest,) = np.nonzero((p >= EDGE) & (p <= 1 - EDGE))
+    ways = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1).astype(float)
+    off = ways - p[rest]
+    cost = np.abs(off @ sizes[rest]) / max(1.0, float(sizes.mean())) + 0.05 * np.abs(off.sum(1))
+    p[rest] = ways[int(cost.argmin())]
+    return p.round()
+
+
 def _fly(landing: bool):
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "doc_id", "h"], kind="stable", na_position="first")
-        return pdf.assign(p=flight(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), pdf["draw"].to_numpy(), landing))
+        return pdf.drop(columns="blk").assign(p=(land if landing else flight)(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), pdf["draw"].to_numpy()))
 
     return work
 

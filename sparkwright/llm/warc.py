@@ -256,7 +256,7 @@ def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: i
                 if out is None:
                     name = f"pages-{uuid.uuid4().hex}.warc.gz"
                     files.create_dir(path, recursive=True)
-                    out, written = files.open_output_stream(f"{path}/{name}"), 0
+                    out, written = files.open_output_stream(f"{path}/{name}", compression=None), 0
                 p, k = page[i].as_py(), keep[i].as_py()
                 data = member(page_record(p, url[i].as_py(), payload[i].as_py(), base64.b32encode(sha[i].as_py()).decode(), k, k is not None and p != k))
                 out.write(data)
