@@ -21,12 +21,14 @@ from pyspark.sql.window import Window
 
 from sparkwright.llm.common import stored
 
-TABLES = 24
-TURNS = 1
-PROBES = 6
+TABLES = 64
+TURNS = 2
+PROBES = 40
 SEED = 12345
+#: A query whose buckets hold fewer distinct vectors than this is searched exactly.
+FEWEST = 1000
 #: Queries that are sent to the executors at once.
-BLOCK = 8192
+BLOCK = 2048
 PAIRS = 1 << 16
 
 
@@ -64,7 +66,7 @@ class CrossPolytope:
         """(n, tables, probes): the codes of the nearest axes, the nearest first; of several turns, the one that costs least varies."""
         x = self._turned(vectors)
         rows = np.arange(len(x))
-        out = np.zeros((len(x), self.tables, probes), np.int64)
+        out = np.zeros((len(x), self.tables, probes), np.int32 if (2 * self.size) ** self.turns < 1 << 31 else np.int64)
         for t in range(self.tables):
             ranked, loss = [], []
             for k in range(t * self.turns, (t + 1) * self.turns):
@@ -105,7 +107,7 @@ def _best(q: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(q)) - first < k]
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, turns: int = TURNS, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, turns: int = TURNS, probes: int = PROBES, fewest: int = FEWEST, block: int = BLOCK) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> (query_id, rank, vec_id, score): for each row whose vec_id is divisible
     by `every` the k nearest rows found but itself, by Euclidean distance in double precision on the vectors
     as they are; ties to the smaller vec_id. All others are candidates, and if they are fewer than k, all are found.
@@ -113,7 +115,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABL
     Rows whose vector is null, empty or zero, holds null or non-finite components or has another length than
     most take no part, nor do null ids. Of rows with equal vectors each has its own rank. A row that repeats
     another's id is the same row; of several vectors for one id the first in order counts. An empty table
-    gives no row; other columns are ignored. A query whose buckets hold fewer than k is searched exactly.
+    gives no row; other columns are ignored. A query whose buckets hold fewer than `fewest` distinct vectors, or
+    fewer than k rows, is searched exactly: where vectors are few, the nearest may be far.
     """
     spark = vectors.sparkSession
     rows = valid(vectors).groupBy("id").agg(F.min("v").alias("v"))
@@ -138,7 +141,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABL
                 part = b.slice(at, 2048)
                 codes = lsh.codes(_matrix(part.column(0), dim))
                 offsets = np.arange(0, codes.size + 1, tables, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))], ["v", "ids", "codes"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(codes.ravel(), pa.int64()))], ["v", "ids", "codes"])
 
     index = stored(few.select("v", "ids").mapInArrow(code, "v array<double>, ids array<bigint>, codes array<bigint>"), "index")
     asked = rows.where(F.col("id") % every == 0)
@@ -148,23 +151,27 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABL
         own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().sort_by("id")
         ids, matrix = own["id"].to_numpy(), _matrix(own["v"].combine_chunks(), dim)
         found = stored(_block(index, ids, matrix, lsh, probes, k, dim, False), "found")
-        full = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id").toArrow()["query_id"].to_numpy()
-        short = ~np.isin(ids, full)
+        enough = found.groupBy("query_id").agg(F.sum("seen").alias("seen"), F.count("vec_id").alias("n")).where((F.col("seen") >= fewest) & (F.col("n") >= k))
+        short = ~np.isin(ids, enough.toArrow()["query_id"].to_numpy())
         if short.any():
             exact = _block(index, ids[short], matrix[short], lsh, probes, k, dim, True)
             keep = spark.createDataFrame([(int(x),) for x in ids[short]], "query_id bigint")
             found = found.join(F.broadcast(keep), "query_id", "left_anti").unionByName(exact)
-        out = out.unionByName(found)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        best = found.where("vec_id is not null").withColumn("rank", rank).where(F.col("rank") <= k)
+        out = out.unionByName(best.select("query_id", "rank", "vec_id", "score"))
     return out
 
 
 def _block(index: DataFrame, ids: np.ndarray, matrix: np.ndarray, lsh: CrossPolytope, probes: int, k: int, dim: int, exact: bool) -> DataFrame:
-    """The k best of the index for each query of a block: by buckets, or of all entries."""
+    """Of each task the k best of its part of the index for each query of a block, by buckets or of all entries: (query_id,
+    vec_id, score, seen), and a row without vec_id that tells how many entries were seen."""
     sent = index.sparkSession.sparkContext.broadcast((ids, matrix, None if exact else _buckets(lsh.probes(matrix, probes))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, buckets = sent.value
         q, d, v = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        seen = np.zeros(len(ids), np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
@@ -174,6 +181,7 @@ def _block(index: DataFrame, ids: np.ndarray, matrix: np.ndarray, lsh: CrossPoly
                 every = np.arange(len(own) * len(ids), dtype=np.int64) if buckets is None else _pairs(_matrix(part.column(2), lsh.tables), buckets, len(ids))
                 for cut in range(0, len(every), PAIRS):
                     row, query = np.divmod(every[cut : cut + PAIRS], len(ids))
+                    seen += np.bincount(query, minlength=len(ids))
                     gap = own[row] - matrix[query]
                     away = np.sqrt((gap * gap).sum(1))
                     n = sizes[row]
@@ -183,18 +191,18 @@ def _block(index: DataFrame, ids: np.ndarray, matrix: np.ndarray, lsh: CrossPoly
                     q, d, v = np.concatenate([q, query[other]]), np.concatenate([d, away[other]]), np.concatenate([v, name[other]])
                     best = _best(q, d, v, k)
                     q, d, v = q[best], d[best], v[best]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v), pa.array(d)], ["query_id", "vec_id", "score"])
+        n = len(q)
+        cols = [pa.array(np.concatenate([ids[q], ids])), pa.array([*v.tolist(), *[None] * len(ids)], pa.int64()), pa.array(np.concatenate([d, np.zeros(len(ids))])), pa.array(np.concatenate([np.zeros(n, np.int64), seen]))]
+        yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "score", "seen"])
 
-    found = index.select("v", "ids", "codes").mapInArrow(work, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return index.select("v", "ids", "codes").mapInArrow(work, "query_id bigint, vec_id bigint, score double, seen bigint")
 
 
 def _buckets(probes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each table the sorted codes that queries look into, and whose they are."""
     out = []
     for t in range(probes.shape[1]):
-        code, query = probes[:, t].ravel(), np.repeat(np.arange(len(probes)), probes.shape[2])
+        code, query = probes[:, t].ravel(), np.repeat(np.arange(len(probes), dtype=np.int32), probes.shape[2])
         order = np.argsort(code, kind="stable")
         out.append((code[order], query[order]))
     return out
