@@ -4,16 +4,19 @@ The vocabulary file's rules never join characters across white space, so a text'
 its white-space-separated words in turn. A word of Latin letters followed by ASCII punctuation other
 than an apostrophe falls into two pieces there, which its rules lower-case, map to byte symbols and
 hand to the merges; for such pieces that is done here, and the library's model merges. Any other word
-goes through the whole of the library. Each process keeps the pieces and words that it has met: both
-repeat, pieces more so. Ids are the library's in every case, which the tests hold against it.
+goes through the whole of the library. Words of a batch are told apart by Arrow; each process keeps
+the ids of the pieces that it has met. Ids are the library's in every case, which the tests hold
+against it.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-LATIN = "ɐ"  # the first character beyond the Latin letters whose case and form are simple
+LATIN = "\u0250"  # the first character beyond the Latin letters whose case and form are simple
 CHUNK = 500
 
 
@@ -30,10 +33,21 @@ def byte_symbols() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
+def _ends(words: pa.StringArray, sizes: np.ndarray) -> pa.StringArray:
+    """The last bytes of each word, as many as told."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32)[words.offset + 1 : words.offset + 1 + len(words)]
+    upto = np.cumsum(sizes)
+    at = np.repeat(ends - upto, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)
+    own = np.frombuffer(data, np.uint8)[at] if data is not None else np.zeros(0, np.uint8)
+    bounds = np.concatenate([[0], upto]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(bounds), pa.py_buffer(own))
+
+
 class WordEncoder:
-    """Of one vocabulary file; end_id, if given, closes each text. max_words bounds what is kept."""
+    """Of one vocabulary file; end_id, if given, closes each text. max_pieces bounds what is kept."""
 
-    def __init__(self, path: str, end_id: int | None = None, max_words: int = 400_000):
+    def __init__(self, path: str, end_id: int | None = None, max_pieces: int = 600_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -43,19 +57,15 @@ class WordEncoder:
         self.is_end = np.zeros(self.library.get_vocab_size(True), bool)
         self.is_end[ends] = True
         self.symbols = {k: v for k, v in byte_symbols().items() if k != 32}
-        self.end_id, self.max_words = end_id, max_words
+        self.end_id, self.max_pieces = end_id, max_pieces
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.word_pieces = np.zeros((1 << 14, 2), np.int32)
         self.pieces: dict[str, int] = {"": 0}
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         if self.end_id is not None:
             self._add_pieces(["\0end"], np.array([self.end_id], np.int32), np.array([1]))
-            self.words[b""] = 0
-            self.word_pieces[0] = (1, 0)
 
     def _add_pieces(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         """ids of these pieces one after the other, and where each one's end."""
@@ -72,7 +82,7 @@ class WordEncoder:
         self.pieces.update(zip(names, range(first, n)))
 
     def _encode_simple(self, pieces: list[str]) -> None:
-        mapped = " ".join(pieces).encode().decode("latin-1").translate(self.symbols).split(" ")
+        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols) for p in pieces]
         texts = [" ".join(mapped[at : at + CHUNK]) for at in range(0, len(mapped), CHUNK)]
         ids = np.array([i for e in self.merges.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
         (cuts,) = np.nonzero(self.is_end[ids])
@@ -85,58 +95,52 @@ class WordEncoder:
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         self._add_pieces(names, np.array([i for e in found for i in e], np.int32), ends)
 
-    def _learn(self, words: list[bytes]) -> None:
-        pieces = self.pieces
-        cut: list[tuple[str, str]] = []
-        simple: dict[str, None] = {}
-        odd: dict[str, str] = {}
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            core = s.rstrip(PUNCTUATION)
-            tail = s[len(core) :]
-            if core:
-                low = core.lower()
-                if not core.isalpha() or not (low.isascii() or (low.isalpha() and max(low) < LATIN)):
-                    core, tail = "\0" + s, ""
-                    if core not in pieces:
-                        odd[core] = s
-                else:
-                    core = low
-                    if core not in pieces:
-                        simple[core] = None
-            if tail and tail not in pieces:
-                simple[tail] = None
-            cut.append((core, tail))
-        if simple:
-            self._encode_simple(list(simple))
-        if odd:
-            self._encode_whole(list(odd), list(odd.values()))
-        first = len(self.words)
-        n = first + len(words)
-        while n > len(self.word_pieces):
-            self.word_pieces = np.concatenate([self.word_pieces, np.zeros_like(self.word_pieces)])
-        self.word_pieces[first:n, 0] = [pieces[a] for a, _ in cut]
-        self.word_pieces[first:n, 1] = [pieces[b] for _, b in cut]
-        self.words.update(zip(words, range(first, n)))
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, names: pa.Array, simple: bool) -> np.ndarray:
+        """Of pieces, which may repeat, their numbers; new ones are encoded."""
+        coded = names.dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if not simple:
+            own = ["\0" + w for w in own]
+        found = list(map(self.pieces.get, own))
+        if None in found:
+            at = [i for i, x in enumerate(found) if x is None]
+            new, first = [own[i] for i in at], len(self.pieces)
+            if simple:
+                self._encode_simple(new)
+            else:
+                self._encode_whole(new, [w[1:] for w in new])
+            for i, k in enumerate(at):
+                found[k] = first + i
+        return np.array(found, np.int32)[coded.indices.to_numpy()]
+
+    def _pieces_of(self, words: pa.Array) -> np.ndarray:
+        """(n, 2): the numbers of the pieces of distinct words; 0 for none."""
+        core = pc.utf8_rtrim(words, PUNCTUATION)
+        tail = _ends(words, pc.subtract(pc.binary_length(words), pc.binary_length(core)).to_numpy())
+        plain, dotted = pc.string_is_ascii(core), pc.match_substring(core, "\u0130")  # that letter's lower case has a mark
+        core = pc.if_else(plain, pc.ascii_lower(core), pc.utf8_lower(core))
+        simple = pc.or_(pc.equal(core, ""), pc.and_(pc.utf8_is_alpha(core), pc.or_(plain, pc.invert(pc.match_substring_regex(core, f"[^\0-{chr(ord(LATIN) - 1)}]")))))
+        simple = pc.and_not(simple, dotted).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(words), 2), np.int32)
+        out[simple, 0] = self._numbers(core.filter(pa.array(simple)), True)
+        out[simple, 1] = self._numbers(tail.filter(pa.array(simple)), True)
+        if not simple.all():
+            out[~simple, 0] = self._numbers(words.filter(pa.array(~simple)), False)
+        return out
+
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has. Null counts as empty."""
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            before = len(words)
-            words += (t or "").encode("utf-8", "replace").split()
-            if self.end_id is not None:
-                words.append(b"")
-            counts[i] = len(words) - before
-        if len(self.words) > self.max_words:
+        if len(self.pieces) > self.max_pieces:
             self._forget()
-        new = list(set(words).difference(self.words))
-        new.sort()
-        for at in range(0, len(new), 20_000):
-            self._learn(new[at : at + 20_000])
-        which = np.fromiter(map(self.words.__getitem__, words), np.int32, len(words))
-        both = self.word_pieces[which].ravel()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        counts = lists.value_lengths().to_numpy().astype(np.int64)
+        both = self._pieces_of(coded.dictionary)[coded.indices.to_numpy()]
+        if self.end_id is not None:
+            both = np.insert(both, np.cumsum(counts), (1, 0), 0)
+            counts = counts + 1
+        both = both.ravel()
         sizes = self.sizes[both]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -149,7 +153,7 @@ _KEPT: dict[tuple, WordEncoder] = {}
 
 
 def encoder(path: str, end_id: int | None = None) -> WordEncoder:
-    """This process's encoder of that file; further tasks find its words there."""
+    """This process's encoder of that file; further tasks find its pieces there."""
     if (path, end_id) not in _KEPT:
         _KEPT[path, end_id] = WordEncoder(path, end_id)
     return _KEPT[path, end_id]

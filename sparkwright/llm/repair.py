@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,65 +23,73 @@ from sparkwright.llm.common import new_folder
 
 BLOCK_IDS = 1 << 20
 SLOTS = 20
-MIX = np.uint64(0x9E3779B97F4A7C15)
+CHARS = 4 << 20  # of texts that are encoded together
+LIMIT = 1 << 16
 
 
-def _hash(key: np.ndarray) -> np.ndarray:
-    return ((key.view(np.uint64) * MIX) >> np.uint64(64 - SLOTS)).astype(np.int32)
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, terminals: int, min_count: int = 12, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids of documents of these sizes (none of 0), all below `terminals` -> rules (n, 2), symbols, symbols of each document.
+def compress(ids: np.ndarray, sizes: np.ndarray, min_count: int = 12, rounds: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids of documents of these sizes (none of 0) -> alphabet, rules (n, 2), symbols, symbols of each document.
 
-    Each round replaces all pairs that are at least a quarter as frequent as the most frequent one;
-    where two such pairs overlap, the left one wins. A round that saves under one symbol in 100 is the last.
+    Symbols below the alphabet's length are its ids, the next ones the rules' in turn; all fit in 16 bits.
+    Each round replaces all pairs at least an eighth as frequent as the most frequent one; where two such
+    pairs overlap, the left one wins. A round that saves under one symbol in 100 is the last.
     """
-    seq, last = ids.astype(np.int64), np.zeros(len(ids), bool)
+    (alphabet,) = np.nonzero(np.bincount(ids))
+    dense = np.zeros(int(alphabet[-1]) + 1, np.uint32)
+    dense[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    seq, last = dense[ids], np.zeros(len(ids), bool)
     last[np.cumsum(sizes) - 1] = True
     rules: list[np.ndarray] = []
-    top = terminals
+    top = len(alphabet)
     for _ in range(rounds):
-        if len(seq) < 2 * min_count:
+        if len(seq) < 2 * min_count or top >= LIMIT:
             break
-        key = seq[:-1] << 32 | seq[1:]
-        key[last[:-1]] = -1
-        slot = _hash(key)
-        many = (np.bincount(slot, minlength=1 << SLOTS) >= min_count)[slot]
-        pairs, counts = np.unique(key[many & (key >= 0)], return_counts=True)
-        if not len(counts) or counts.max() < min_count:
+        key = seq[:-1] << np.uint32(16) | seq[1:]
+        inner = ~last[:-1]
+        ordered = np.sort(key[inner])
+        (cuts,) = np.nonzero(ordered[1:] != ordered[:-1])
+        counts = np.diff(np.concatenate([[0], cuts + 1, [len(ordered)]]))
+        if counts.max() < min_count:
             break
-        chosen = pairs[counts >= max(min_count, counts.max() // 4)]
+        (often,) = np.nonzero(counts >= max(min_count, counts.max() // 8))
+        pairs = ordered[np.concatenate([[0], cuts + 1])[often]]
+        pairs = pairs[np.argsort(-counts[often], kind="stable")][: LIMIT - top]
         table = np.full(1 << SLOTS, -1, np.int32)
-        table[_hash(chosen)] = np.arange(len(chosen))
-        which = table[slot]
-        (at,) = np.nonzero((which >= 0) & (chosen[which] == key))
+        table[_slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]  # of two pairs in a slot the more frequent one
+        which = table[_slot(key)]
+        (at,) = np.nonzero((which >= 0) & inner)
+        at = at[pairs[which[at]] == key[at]]
         if not len(at):
             break
-        run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        uses = np.bincount(which[at], minlength=len(chosen))
-        worth = uses >= 4
+        place = np.arange(len(at), dtype=np.int32)
+        run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
+        at = at[(place - run) & 1 == 0]
+        worth = np.bincount(which[at], minlength=len(pairs)) >= 4
         at = at[worth[which[at]]]
         if len(at) < len(seq) // 100:
             break
-        number = np.cumsum(worth) - 1 + top
+        number = (np.cumsum(worth) - 1 + top).astype(np.uint32)
         seq[at] = number[which[at]]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
-        made = chosen[worth]
-        rules.append(np.stack([made >> 32, made & 0xFFFFFFFF], 1))
+        made = pairs[worth]
+        rules.append(np.stack([made >> np.uint32(16), made & np.uint32(0xFFFF)], 1))
         top += len(made)
-    every = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    every = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     ends = np.nonzero(last)[0] + 1
-    return every.astype(np.uint32), seq.astype(np.uint32), np.diff(ends, prepend=0)
+    return alphabet.astype(np.uint32), every.astype(np.uint16), seq.astype(np.uint16), np.diff(ends, prepend=0)
 
 
-def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
-    """How many ids each rule expands to. A rule refers to earlier ones only."""
+def rule_lengths(rules: np.ndarray, letters: int) -> np.ndarray:
+    """How many ids each rule expands to, with an alphabet of that many. A rule refers to earlier ones only."""
     out = np.zeros(len(rules), np.int64)
-    for i, (a, b) in enumerate((rules.astype(np.int64) - terminals).tolist()):
+    for i, (a, b) in enumerate((rules.astype(np.int64) - letters).tolist()):
         out[i] = (1 if a < 0 else out[a]) + (1 if b < 0 else out[b])
     return out
 
@@ -89,21 +98,21 @@ def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 class Block:
     """A grammar and the symbols of its documents."""
 
-    terminals: int
+    alphabet: np.ndarray
     rules: np.ndarray
     lengths: np.ndarray
     symbols: np.ndarray
     doc_symbols: np.ndarray
 
     def _length(self, symbols: np.ndarray) -> np.ndarray:
-        s = symbols.astype(np.int64) - self.terminals
+        s = symbols.astype(np.int64) - len(self.alphabet)
         return np.where(s < 0, 1, self.lengths[np.maximum(s, 0)]) if len(self.lengths) else np.ones(len(s), np.int64)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of these symbols: of each rule that occurs, the left half and then the right one, until none is left."""
         out = symbols.astype(np.int64)
         while len(self.rules):
-            rule = out - self.terminals
+            rule = out - len(self.alphabet)
             grown = rule >= 0
             if not grown.any():
                 break
@@ -112,17 +121,17 @@ class Block:
             wide[at] = np.where(grown, self.rules[np.maximum(rule, 0), 0], out)
             wide[at[grown] + 1] = self.rules[rule[grown], 1]
             out = wide
-        return out.astype(np.uint32)
+        return self.alphabet[out]
 
     def decode(self) -> np.ndarray:
         """All ids. Each symbol's ids are laid out once in a table, and then gathered."""
-        used, which = np.unique(self.symbols, return_inverse=True)
-        size = self._length(used)
-        flat = self.expand(used)
-        starts = np.cumsum(size) - size
-        sizes = size[which]
-        before = np.cumsum(sizes) - sizes
-        return flat[np.repeat(starts[which] - before, sizes) + np.arange(int(sizes.sum()))]
+        every = np.arange(len(self.alphabet) + len(self.rules))
+        size = self._length(every)
+        flat = self.expand(every)
+        starts = (np.cumsum(size) - size).astype(np.int32)
+        sizes = size[self.symbols]
+        before = np.cumsum(sizes, dtype=np.int32) - sizes.astype(np.int32)
+        return flat[np.repeat(starts[self.symbols] - before, sizes) + np.arange(int(sizes.sum()), dtype=np.int32)]
 
     def slice(self, document: int, start: int, stop: int) -> np.ndarray:
         """ids start .. stop of one document; only the symbols that hold them are expanded."""
@@ -137,23 +146,22 @@ class Block:
 
 
 BLOCKS = (
-    "shard int, block int, before bigint, n_tokens bigint, terminals int, doc_ids array<bigint>, doc_tokens array<bigint>, "
-    "doc_symbols array<bigint>, rules binary, lengths binary, symbols binary"
+    "shard int, block int, before bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
+    "doc_symbols array<bigint>, alphabet binary, rules binary, lengths binary, symbols binary"
 )
 
 
-def _block_row(shard: int, block: int, before: int, terminals: int, docs: list, ids: np.ndarray, sizes: np.ndarray) -> dict:
-    rules, symbols, per_doc = compress(ids, sizes, terminals)
-    return {
-        "shard": shard, "block": block, "before": before, "n_tokens": len(ids), "terminals": terminals, "doc_ids": docs, "doc_tokens": sizes.tolist(),
-        "doc_symbols": per_doc.tolist(), "rules": rules.tobytes(), "lengths": rule_lengths(rules, terminals).astype(np.uint32).tobytes(), "symbols": symbols.tobytes(),
-    }
+def _block_row(shard: int, block: int, before: int, docs: list, ids: np.ndarray, sizes: np.ndarray) -> dict:
+    alphabet, rules, symbols, per_doc = compress(ids, sizes)
+    lengths = rule_lengths(rules, len(alphabet))
+    kept = {"alphabet": alphabet.astype("<u4"), "rules": rules.astype("<u2"), "lengths": lengths.astype("<u4"), "symbols": symbols.astype("<u2")}
+    head = {"shard": shard, "block": block, "before": before, "n_tokens": len(ids), "doc_ids": docs, "doc_tokens": sizes.tolist(), "doc_symbols": per_doc.tolist()}
+    return head | {k: v.tobytes() for k, v in kept.items()}
 
 
 def read_block(row: dict) -> Block:
-    rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2).astype(np.int64)
-    lengths, symbols = (np.frombuffer(row[k], np.uint32) for k in ("lengths", "symbols"))
-    return Block(row["terminals"], rules, lengths.astype(np.int64), symbols, np.array(row["doc_symbols"], np.int64))
+    alphabet, rules, lengths, symbols = (np.frombuffer(row[k], t) for k, t in (("alphabet", "<u4"), ("rules", "<u2"), ("lengths", "<u4"), ("symbols", "<u2")))
+    return Block(alphabet, rules.reshape(-1, 2).astype(np.int64), lengths.astype(np.int64), symbols, np.array(row["doc_symbols"], np.int64))
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:
@@ -174,24 +182,23 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, blo
         from pyspark import TaskContext
 
         shard, own = TaskContext.get().partitionId(), encoding.encoder(tokenizer, end_id)
-        terminals = max(len(own.is_end), end_id + 1)
         block = before = held = 0
         names: list = []
         parts: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([_block_row(shard, block, before, terminals, names, np.concatenate(parts), np.concatenate(sizes))], schema)
+            return pa.RecordBatch.from_pylist([_block_row(shard, block, before, names, np.concatenate(parts), np.concatenate(sizes))], schema)
 
         for b in batches:
-            ids_of, texts = b.column(0).to_pylist(), b.column(1)
+            ids_of, texts, lengths = b.column(0).to_pylist(), b.column(1), pc.utf8_length(b.column(1)).to_pylist()
             at = 0
             while at < b.num_rows:
                 upto, chars = at, 0
-                while upto < b.num_rows and chars < 1 << 20:
-                    chars += len(texts[upto].as_py() or "")
+                while upto < b.num_rows and chars < CHARS:
+                    chars += lengths[upto] or 0
                     upto += 1
-                ids, n = own.encode([t.as_py() for t in texts[at:upto]])
+                ids, n = own.encode(texts.slice(at, upto - at))
                 names += ids_of[at:upto]
                 parts.append(ids)
                 sizes.append(n)
