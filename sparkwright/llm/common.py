@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,10 +54,3 @@ def local_path(uri: str) -> str | None:
 
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
-
-
-def env_threads() -> None:
-    """Python workers share cores with other tasks: one thread each."""
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):
-        os.environ.setdefault(name, "1")
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
