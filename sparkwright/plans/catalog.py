@@ -1,10 +1,447 @@
-"""Named queries over the supplied tables, each with the DuckDB statement of the same result."""
+"""Named queries over the supplied tables, each with the DuckDB statement of the same result.
+
+documents stand for chunks, benchmark for queries, embeddings for vectors, orders, customers, nations
+and regions for a dependency graph, events for changes and latency samples.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkwright.functions import text as T
+from sparkwright.operators import context, dense, fuse, graph, metrics, parse, sparse, summarize
+from sparkwright.plans import fixtures
+from sparkwright.sources import sinks, store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Retrieval
+
+
+def _okapi(spark: SparkSession, d: str, k: int) -> DataFrame:
+    docs = table(spark, d, "documents")
+    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
+    return sparse.okapi(sparse.terms(docs, "doc_id", F.col("text")), asked, docs.count(), k)
+
+
+_POSTINGS = f"""
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+tok AS (SELECT doc_id, {TOKENS.format("text")} AS ws FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(ws) AS l, unnest(ws) AS term FROM tok) GROUP BY doc_id, term),
+stats AS (SELECT count(*)::DOUBLE AS n, sum(len(ws)) / count(*)::DOUBLE AS avgdl FROM tok),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM post GROUP BY term)"""
+_OKAPI = (
+    _POSTINGS
+    + """,
+raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, stats),
+mean AS (SELECT avg(raw) AS mean FROM raw),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM raw, mean),
+okapi_scores AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / avgdl))), 6) AS score
+ FROM q JOIN idf USING (term) JOIN post USING (term), stats GROUP BY query_id, doc_id HAVING score > 0),
+okapi AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM okapi_scores)"""
+)
+
+
+@query(f"WITH {_OKAPI} SELECT * FROM okapi WHERE rank <= 10")
+def bm25_okapi_topk(spark, d):
+    return _okapi(spark, d, 10)
+
+
+@query(
+    f"""WITH {_POSTINGS},
+idf AS (SELECT term, CASE WHEN n - df <= df THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, stats),
+need AS (SELECT query_id, count(*) AS need FROM q GROUP BY query_id),
+s AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / avgdl))), 6) AS score, count(*) AS have
+ FROM q JOIN idf USING (term) JOIN post USING (term), stats GROUP BY query_id, doc_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s JOIN need USING (query_id) WHERE have = need)
+SELECT * FROM r WHERE rank <= 20"""
+)
+def keyword_all_terms_topk(spark, d):
+    docs = table(spark, d, "documents")
+    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
+    return sparse.all_terms(sparse.terms(docs, "doc_id", F.col("text")), asked, docs.count(), 20)
+
+
+@query()
+def keyword_stemmed_topk(spark, d):
+    docs = table(spark, d, "documents")
+    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"), stem=True)
+    return sparse.all_terms(sparse.terms(docs, "doc_id", F.col("text"), stem=True), asked, docs.count(), 20)
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_dot_product(a.v, b.v), 6) AS score FROM v a, v b WHERE a.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10"""
+)
+def dense_topk(spark, d):
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    return dense.inner_product_top_k(own.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), own, 10)
+
+
+def _overlap(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The share of a query's distinct terms that a document holds."""
+    post = sparse.terms(table(spark, d, "documents"), "doc_id", F.col("text"))
+    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
+    sizes = asked.groupBy("query_id").agg(F.count("*").alias("m"))
+    score = asked.join(post, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).join(F.broadcast(sizes), "query_id")
+    return sparse.top_k(score.select("query_id", "doc_id", F.round(F.col("c") / F.col("m"), 6).alias("score")), k).select("query_id", "rank", "doc_id", "score")
+
+
+_LISTS = (
+    _OKAPI
+    + """,
+size AS (SELECT query_id, count(*) AS m FROM q GROUP BY query_id),
+share AS (SELECT query_id, doc_id, round(count(*) / any_value(m)::DOUBLE, 6) AS score FROM q JOIN post USING (term) JOIN size USING (query_id) GROUP BY query_id, doc_id),
+shares AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM share)"""
+)
+_FUSED = """,
+f AS (SELECT query_id, doc_id, round(sum(part), 9) AS score FROM both_lists GROUP BY query_id, doc_id),
+g AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM f)
+SELECT * FROM g WHERE rank <= 20"""
+
+
+@query(f"WITH {_LISTS}, both_lists AS (SELECT query_id, doc_id, 1::DOUBLE / (60 + rank) AS part FROM okapi WHERE rank <= 40 UNION ALL SELECT query_id, doc_id, 1::DOUBLE / (60 + rank) FROM shares WHERE rank <= 40){_FUSED}")
+def rrf_unweighted(spark, d):
+    return fuse.rrf(_okapi(spark, d, 40), _overlap(spark, d, 40), 20)
+
+
+@query(f"WITH {_LISTS}, both_lists AS (SELECT query_id, doc_id, 0.3::DOUBLE / (60 + rank) AS part FROM shares WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 0.7::DOUBLE / (60 + rank) FROM okapi WHERE rank <= 50){_FUSED}")
+def rrf_weighted(spark, d):
+    return fuse.weighted_rrf(_overlap(spark, d, 50), _okapi(spark, d, 50), 20, alpha=0.3)
+
+
+@query(
+    f"""WITH {_LISTS}, c AS (SELECT query_id, doc_id, o.score AS original_score, coalesce(s.score, 0) AS score FROM okapi o LEFT JOIN share s USING (query_id, doc_id) WHERE rank <= 50),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score, original_score FROM c)
+SELECT * FROM r WHERE rank <= 10"""
+)
+def context_query(spark, d):
+    docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
+    first = _okapi(spark, d, 50).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
+    return context.rerank(first.join(asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id"), 10)
+
+
+# Text
+
+
+@query(f"SELECT doc_id, len(ws)::BIGINT AS n_tokens, len(list_distinct(ws))::BIGINT AS n_terms FROM (SELECT doc_id, {TOKENS.format('text')} AS ws FROM documents)")
+def tokenize_stats(spark, d):
+    own = table(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("ws"))
+    return own.select("doc_id", F.size("ws").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("ws")).cast("bigint").alias("n_terms"))
+
+
+@query(
+    """WITH l AS (SELECT doc_id, list_transform(CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ls FROM documents)
+SELECT doc_id, len(list_filter(ls, lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '//')))::BIGINT AS loc,
+ round(len(list_filter(ls, lambda x: starts_with(x, '#') OR starts_with(x, '//'))) / len(ls)::DOUBLE, 6) AS comment_ratio FROM l"""
+)
+def loc_comment_ratio(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.loc(F.col("text")).cast("bigint").alias("loc"), F.round(T.comment_ratio(F.col("text")), 6).alias("comment_ratio"))
+
+
+@query(fixtures.REFERENCES_SQL)
+def extract_references(spark, d):
+    code = spark.createDataFrame(fixtures.CODE, "name string, code string")
+    return code.select("name", F.explode(T.references(F.col("code"))).alias("reference"))
+
+
+@query(fixtures.COMPLETENESS_SQL)
+def completeness(spark, d):
+    chunks = spark.createDataFrame(fixtures.CHUNK_ROWS, "query_id bigint, chunk_id string, content string, symbol_name string")
+    deps = spark.createDataFrame(fixtures.DEPENDENCIES, "query_id bigint, node_id string")
+    out = context.completeness(chunks, deps)
+    return out.select("query_id", "symbol_resolution", "dependency_coverage", "overall", F.array_join("unresolved", ",").alias("unresolved"), F.array_join("missing", ",").alias("missing"), "is_complete")
+
+
+# Graph
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    o, c, n = (table(spark, d, x) for x in ("orders", "customer", "nation"))
+    name = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
+    one = lambda df, a, b, kind: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("type"), F.lit(1.0).alias("weight"))
+    return (
+        one(o, name("o", "o_orderkey"), name("c", "o_custkey"), "order").unionByName(one(c, name("c", "c_custkey"), name("n", "c_nationkey"), "customer"))
+        .unionByName(one(n, name("n", "n_nationkey"), name("r", "n_regionkey"), "nation"))
+    )
+
+
+_EDGES = """e AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'order' AS type FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'customer' FROM customer
+ UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'nation' FROM nation)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, w AS (SELECT src AS seed, src AS node_id, 0 AS depth FROM e WHERE type = 'order' UNION ALL SELECT seed, dst, depth + 1 FROM w JOIN e ON w.node_id = e.src WHERE depth < 2)
+SELECT DISTINCT seed, node_id FROM w WHERE depth > 0"""
+)
+def reach_depth_k(spark, d):
+    e = _edges(spark, d)
+    return graph.reach(e, e.where("type = 'order'").select(F.col("src").alias("seed")), 2)
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'r' || r_regionkey AS seed, 'r' || r_regionkey AS node_id, 0 AS depth FROM region UNION ALL SELECT seed, src, depth + 1 FROM w JOIN e ON w.node_id = e.dst WHERE depth < 3)
+SELECT DISTINCT seed, node_id FROM w WHERE depth > 0"""
+)
+def dependents_k(spark, d):
+    seeds = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("seed"))
+    return graph.reach(_edges(spark, d), seeds, 3, reverse=True)
+
+
+def _nodes(spark: SparkSession, d: str) -> DataFrame:
+    e = _edges(spark, d)
+    return e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct()
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'r' || r_regionkey AS node_id, 0 AS depth FROM region WHERE r_name < 'B' UNION ALL SELECT src, depth + 1 FROM w JOIN e ON w.node_id = e.dst WHERE depth < 3)
+SELECT DISTINCT node_id FROM w"""
+)
+def dirty_propagation(spark, d):
+    changed = table(spark, d, "region").where("r_name < 'B'").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node_id"))
+    return graph.mark_dirty(_nodes(spark, d), _edges(spark, d), changed)
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, w AS (SELECT src AS seed, src AS node_id FROM e WHERE type = 'customer' UNION SELECT seed, dst FROM w JOIN e ON w.node_id = e.src)
+SELECT seed, node_id FROM w"""
+)
+def closure_bfs(spark, d):
+    e = _edges(spark, d)
+    return graph.closure(e, e.where("type = 'customer'").select(F.col("src").alias("seed")))
+
+
+@query("SELECT a.c_custkey AS src, b.c_custkey AS dst FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey // 2 + 1 WHERE a.c_mktsegment = 'BUILDING' AND b.c_mktsegment = 'BUILDING'")
+def module_subgraph(spark, d):
+    c = table(spark, d, "customer")
+    own = c.select(F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("file"))
+    pairs = c.select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 2 + 1").alias("dst"))
+    return graph.subgraph(own, pairs, "file", "BUILDING")[1]
+
+
+@query(
+    f"""WITH {_EDGES}, n AS (SELECT 'n' || n_nationkey AS node_id, n_name FROM nation)
+SELECT node_id, n_name, coalesce((SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM e WHERE dst = node_id), '') AS parents, coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM e WHERE src = node_id), '') AS children FROM n"""
+)
+def node_context(spark, d):
+    own = table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node_id"), "n_name")
+    return graph.context(own, _edges(spark, d)).select("node_id", "n_name", F.array_join("parents", ",").alias("parents"), F.array_join("children", ",").alias("children"))
+
+
+def _rank_sql(rounds: int) -> str:
+    out = """WITH e AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY ALL),
+n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), size AS (SELECT count(*)::DOUBLE AS n FROM n), tot AS (SELECT src, sum(w) AS t FROM e GROUP BY src), r0 AS (SELECT id, 1 / n AS r FROM n, size)"""
+    for i in range(rounds):
+        out += f""",
+d{i} AS (SELECT coalesce(sum(r), 0) AS d FROM r{i} WHERE id NOT IN (SELECT src FROM tot)),
+s{i} AS (SELECT dst, sum(r * w / t) AS s FROM e JOIN tot USING (src) JOIN r{i} ON id = src GROUP BY dst),
+r{i + 1} AS (SELECT id, 0.85::DOUBLE * (coalesce(s, 0) + d / n) + 0.15::DOUBLE / n AS r FROM n LEFT JOIN s{i} ON id = dst, size, d{i})"""
+    return out + f" SELECT id AS node_id, round(r, 9) AS centrality FROM r{rounds}"
+
+
+@query(_rank_sql(10))
+def pagerank_fixed_rounds(spark, d):
+    e = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").cast("double").alias("weight"))
+    e = e.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), "weight")
+    nodes = e.select(F.col("src").alias("node_id")).union(e.select("dst"))
+    return graph.pagerank(nodes, e, rounds=10, fixed=True)
+
+
+@query(
+    """WITH defs AS (SELECT c_custkey AS id, c_nationkey AS file, 'n' || (c_custkey * 7 // 9) AS name FROM customer),
+refs AS (SELECT o_orderkey, (o_custkey % 25)::INT AS file, 'n' || (o_custkey * 7 // 9) AS source, 'n' || (o_orderkey % 1200) AS target FROM orders),
+l AS (SELECT file, name, max(id) AS id FROM defs GROUP BY ALL), g AS (SELECT name, min(id) AS id FROM defs GROUP BY name HAVING count(*) = 1)
+SELECT o_orderkey, coalesce(a.id, b.id) AS src, coalesce(x.id, y.id) AS dst FROM refs LEFT JOIN l a ON a.file = refs.file AND a.name = source LEFT JOIN g b ON b.name = source
+ LEFT JOIN l x ON x.file = refs.file AND x.name = target LEFT JOIN g y ON y.name = target"""
+)
+def name_resolution(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    defs = c.select(F.col("c_custkey").alias("node_id"), F.col("c_nationkey").alias("file"), F.expr("'n' || (c_custkey * 7 div 9)").alias("name"), F.col("c_custkey").alias("ordinal"))
+    refs = o.select("o_orderkey", F.expr("cast(o_custkey % 25 as int)").alias("file"), F.expr("'n' || (o_custkey * 7 div 9)").alias("source"), F.expr("'n' || (o_orderkey % 1200)").alias("target"))
+    return graph.resolve(refs, defs).select("o_orderkey", "src", "dst")
+
+
+@query("SELECT user_id AS src, event_id % 50 AS dst, arg_max(event_type, event_id) AS type, arg_max(value, event_id) AS weight FROM events WHERE user_id <> event_id % 50 GROUP BY ALL")
+def edge_dedup_last(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 50).alias("dst"), F.col("event_type").alias("type"), F.col("value").alias("weight"), "event_id")
+    return graph.last_edges(e, "event_id")
+
+
+# Digests, resumption, tables
+
+
+@query("SELECT sha256(text) AS fingerprint, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY ALL HAVING count(*) > 1")
+def fingerprint_dups(spark, d):
+    own = table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
+    return own.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+_CHANGED = "CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END"
+
+
+@query(f"SELECT doc_id::VARCHAR AS file_path, sha256({_CHANGED}) AS fingerprint FROM documents WHERE sha256({_CHANGED}) IS DISTINCT FROM sha256(text)")
+def fingerprint_skip(spark, d):
+    own = table(spark, d, "documents").withColumn("file_path", F.col("doc_id").cast("string"))
+    new = own.select("file_path", F.sha2(F.expr(_CHANGED), 256).alias("fingerprint"))
+    return store.changed_files(new, own.select("file_path", F.sha2("text", 256).alias("fingerprint")))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def checkpoint_resume(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query(
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, any_value(n) AS n, round(avg(value), 6) AS mean, max(value) FILTER (i = n // 2) AS p50, max(value) FILTER (i = least(floor(n * 0.95::DOUBLE), n - 1)) AS p95,
+ max(value) FILTER (i = least(floor(n * 0.99::DOUBLE), n - 1)) AS p99 FROM r GROUP BY event_type"""
+)
+def latency_percentiles(spark, d):
+    return metrics.latency(table(spark, d, "events"), "event_type", "value")
+
+
+@query("SELECT count(*) AS entries, sum(octet_length(encode(text)))::BIGINT AS total_bytes FROM documents")
+def cache_stats(spark, d):
+    return metrics.cache_stats(table(spark, d, "documents").select(F.octet_length("text").alias("file_size_bytes")))
+
+
+@query("SELECT source, (sum(length(text)) // 4)::BIGINT AS tokens, count(DISTINCT lang) AS files FROM documents GROUP BY source")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(context.token_estimate("text").alias("tokens"), F.countDistinct("lang").alias("files"))
+
+
+@query(
+    """SELECT doc_id, text, source FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN upper(source) ELSE text END AS text, source FROM documents WHERE doc_id % 11 <> 0)
+UNION ALL SELECT doc_id + 1000000000, 'new ' || lang, source FROM documents WHERE doc_id % 13 = 0"""
+)
+def incremental_update(spark, d):
+    """A table after replacing, adding and removing rows by key."""
+    old = table(spark, d, "documents").select("doc_id", "text", "source")
+    new = old.where("doc_id % 5 = 0").withColumn("text", F.upper("source")).unionByName(table(spark, d, "documents").where("doc_id % 13 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.concat(F.lit("new "), "lang").alias("text"), "source"))
+    gone = old.where("doc_id % 11 = 0").select("doc_id")
+    merged = old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+    return merged.join(gone, "doc_id", "left_anti")
+
+
+# Summaries
+
+
+@query("SELECT conv_id, turn, ((row_number() OVER (ORDER BY conv_id, turn) - 1) // 10)::BIGINT AS batch FROM conversations")
+def batch_assign(spark, d):
+    return summarize.batches(table(spark, d, "conversations").select("conv_id", "turn"), ["conv_id", "turn"], 10)
+
+
+@query(
+    """WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN '[u' || turn || '] ' || replace(text, '[', '(') ELSE replace(text, '[', '(') END AS t FROM conversations),
+s AS (SELECT *, last_value(nullif(regexp_extract(t, '\\[([^\\]]+)\\]', 1), '') IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS id, trim(regexp_replace(t, '\\[([^\\]]+)\\]', '', 'g'), ' ') AS b FROM l)
+SELECT conv_id, id, string_agg(b, ' ' ORDER BY turn) AS summary FROM s WHERE id IS NOT NULL AND b <> '' GROUP BY conv_id, id"""
+)
+def response_segment(spark, d):
+    c = table(spark, d, "conversations")
+    plain = F.replace(F.col("text"), F.lit("["), F.lit("("))
+    line = F.when(F.col("role") == "user", F.concat(F.lit("[u"), F.col("turn").cast("string"), F.lit("] "), plain)).otherwise(plain)
+    return summarize.segments(c.select("conv_id", "turn", line.alias("t")), "conv_id", "turn", "t")
+
+
+@query("SELECT conv_id, turn, 'Role ' || role || ' says: ' || text AS prompt, ((12 + length(role) + length(text)) // 4 + length(text) // 4)::BIGINT AS tokens FROM conversations")
+def prompt_render(spark, d):
+    c = table(spark, d, "conversations")
+    prompt = summarize.rendered("Role ${role} says: ${text}", role=F.col("role"), text=F.col("text"))
+    return c.select("conv_id", "turn", prompt.alias("prompt"), summarize.tokens_used(prompt, F.col("text")).alias("tokens"))
+
+
+_SUMMARY = "substr(text, 1, 12 + (doc_id % 90)::INT)"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, text, {_SUMMARY} AS s FROM documents), w AS (SELECT *, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) AS n FROM s)
+SELECT doc_id, CASE WHEN length(s) < 20 THEN 0.3 WHEN length(s) > length(text) THEN 0.4 WHEN trim(s, ' ' || chr(10)) = trim(text, ' ' || chr(10)) THEN 0.2 WHEN n < 5 THEN 0.4 ELSE least(0.9::DOUBLE, 0.5::DOUBLE + n / 100::DOUBLE) END::DOUBLE AS quality FROM w"""
+)
+def quality_score(spark, d):
+    own = table(spark, d, "documents").withColumn("s", F.expr("substr(text, 1, 12 + cast(doc_id % 90 as int))"))
+    return own.select("doc_id", summarize.quality(F.col("s"), F.col("text")).cast("double").alias("quality"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {_SUMMARY} AS s, substr(source, 1, 2) AS name FROM documents)
+SELECT doc_id, length(s) >= 50 AS valid, CASE WHEN length(s) < 50 THEN 0 WHEN NOT contains(s, name) THEN 0.5 ELSE 1 END::DOUBLE AS confidence FROM s"""
+)
+def validate_summary(spark, d):
+    own = table(spark, d, "documents").select("doc_id", F.expr("substr(text, 1, 12 + cast(doc_id % 90 as int))").alias("s"), F.expr("substr(source, 1, 2)").alias("name"))
+    return own.withColumn("v", summarize.validity(F.col("s"), F.col("name"))).select("doc_id", "v.valid", F.col("v.confidence").cast("double").alias("confidence"))
+
+
+@query("SELECT md5(text || ':' || lang || ':') AS cache_key, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY ALL")
+def memo_dedupe(spark, d):
+    own = table(spark, d, "documents").select("doc_id", T.cache_key(F.col("text"), F.col("lang"), F.lit(None).cast("string")).alias("cache_key"))
+    return own.groupBy("cache_key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@query(
+    """WITH b AS (SELECT source, doc_id, '#### ' || lang || ' `d' || doc_id || '`' || chr(10) || chr(10) || '- **Location**: Line ' || doc_id || chr(10) || '- **LOC**: ' || n_chars || chr(10) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'About ' || source ELSE 'No summary available.' END
+ || chr(10) || chr(10) || '---' || chr(10) AS body FROM documents)
+SELECT source AS file, '### File: `' || source || '`' || chr(10) || chr(10) || string_agg(body, chr(10) ORDER BY doc_id) AS section FROM b GROUP BY source"""
+)
+def markdown_rows(spark, d):
+    docs = table(spark, d, "documents")
+    ids = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    nodes = docs.select(ids.alias("node_id"), F.col("source").alias("file"), F.col("lang").alias("type"), ids.alias("name"), F.col("doc_id").alias("line"), F.lit(None).cast("int").alias("complexity"), F.col("n_chars").alias("loc"))
+    return sinks.report_rows(nodes, docs.where("doc_id % 3 = 0").select(ids.alias("node_id"), F.concat(F.lit("About "), "source").alias("summary")))
+
+
+# Parsing, of inline files
+
+
+def _files(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(fixtures.FILES, "file string, text string")
+
+
+@query(fixtures.NODES_SQL)
+def parse_nodes(spark, d):
+    return parse.nodes(_files(spark)).select("file", "type", "name", "line", "end_line", "complexity", "loc", F.col("error").isNotNull().alias("failed"))
+
+
+@query(fixtures.EDGES_SQL)
+def parse_edges(spark, d):
+    return parse.edges(_files(spark)).select("file", "source", "target", "type", "confidence")
+
+
+@query(fixtures.CHUNKS_SQL)
+def chunk_ast(spark, d):
+    return parse.chunks(_files(spark).where("file like '%.py'"), min_lines=3).select("chunk_id", "start_line", "end_line", "chunk_type", "symbol_name")
+
+
+@query(fixtures.PATTERN_SQL)
+def chunk_pattern(spark, d):
+    return parse.chunks(_files(spark).where("file like '%.py'"), use_ast=False).select("chunk_id", "start_line", "end_line", "chunk_type", "symbol_name")
+
+
+@query(fixtures.GRAPH_SQL)
+def build_graph(spark, d):
+    """Files to a resolved graph: (src, dst, type, weight)."""
+    files = _files(spark)
+    return graph.build(parse.nodes(files).where("error is null"), parse.edges(files))[1].withColumn("weight", F.col("weight").cast("double"))
