@@ -76,12 +76,12 @@ REFERENCES_SQL = values("name, reference", [
     *(("bases", x) for x in ("A", "C", "base", "metaclass=M")),
     *(("imports", x) for x in ("(b", "c)", "import", "path", "sep")),
 ])
-COMPLETENESS_SQL = values("query_id, symbol_resolution, dependency_coverage, overall, unresolved, missing, is_complete", [
+COMPLETENESS_SQL = "SELECT query_id::BIGINT AS query_id, * EXCLUDE (query_id) FROM (" + values("query_id, symbol_resolution, dependency_coverage, overall, unresolved, missing, is_complete", [
     (1, 1.0, 1.0, 1.0, "", "", True),
     (2, 0.0, 1.0, 0.3, "func1,func2", "", False),
     (3, 1.0, 1.0, 1.0, "", "", True),
     (4, 1 / 3, 1 / 3, round(0.7 / 3 + 0.1, 6), "three,two", "six,two", False),
-])
+]) + ")"
 NODES_SQL = values("file, type, name, line, end_line, complexity, loc, failed", [
     ("app.py", "function", "run", 4, 7, 3, 4, False), ("app.py", "function", "start", 15, 18, 2, 4, False),
     ("app.py", "class", "Base", 10, 11, 1, 2, False), ("app.py", "class", "App", 14, 18, 2, 5, False),
