@@ -2,8 +2,10 @@
 
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector for all thresholds, which ascend. The
 features of a text are the distinct lower-case words (runs of letters) and their first four
-letters, hashed; each counts once, as 1. Weights are fitted by accelerated proximal gradient with
-an L1 penalty, so most are zero and a text's score needs only a look-up for each distinct word.
+letters, hashed; each counts once, as 1. Weights are fitted by proximal gradient steps of a size of
+their own (AdaGrad): first with an L1 penalty above what chance gradients reach, which leaves few
+features, then for those alone nearly without one. A text's score needs only a look-up for each
+distinct word.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 18
+BITS = 22
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most.
 MAX_TRAIN_ROWS = 6000
+#: From this probability of a grade over 0 on a text is toxic: clean texts lie far below it.
+THRESHOLD = 0.2
 
 
 def hashed(word: str) -> tuple[int, ...]:
@@ -51,10 +55,10 @@ class OrdinalModel:
         return p @ np.arange(p.shape[1])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 4e-4, rounds: int = 300, min_rows: int = 3) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 0.35, rounds: int = 60, rate: float = 0.5, min_rows: int = 3) -> OrdinalModel:
     """Features of each row and its grade (0 .. n_grades - 1) -> the model. Deterministic.
 
-    Features of fewer than min_rows rows get no weight. Without rows, weights are zero and the
+    The penalty is l1 / sqrt(rows). Features of fewer than min_rows rows get no weight. Without rows, weights are zero and the
     thresholds are 0, 1, ...; a grade without rows keeps a small prior share.
     """
     n, size = len(rows), 1 << BITS
@@ -67,38 +71,36 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 4
     common = np.bincount(which, minlength=size) >= min_rows
     at, which = at[common[which]], which[common[which]]
     names, col = np.unique(which, return_inverse=True)
-    w = np.zeros(len(names))
-    # the curvature of a logistic loss is at most 1/4 of that of the squared features
-    lipschitz = max(1.0, 0.5 * np.bincount(at, minlength=n).max() / 8)
-    look, look_t, step_t, t = w.copy(), theta.copy(), 0.5, 1.0
+    w, past, past_t = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(theta))
     y = grades
 
-    def loss_and_gradient(v: np.ndarray, th: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        s = np.bincount(at, v[col], minlength=n)
-        edges = np.concatenate([[-np.inf], th, [np.inf]])
+    for k in range(8 * rounds):
+        if k == rounds:  # what is left is fitted anew
+            some = np.nonzero(w)[0]
+            keep = w[col] != 0
+            place = np.zeros(len(w), np.int64)
+            place[some] = np.arange(len(some))
+            at, col, names = at[keep], place[col[keep]], names[some]
+            w, past, past_t = w[some], np.zeros(len(some)), np.zeros(len(theta))
+        penalty = l1 / np.sqrt(n) * (1.0 if k < rounds else 0.001)
+        score = np.bincount(at, w[col], minlength=n)
+        edges = np.concatenate([[-np.inf], theta, [np.inf]])
         with np.errstate(over="ignore"):
-            hi, lo = 1 / (1 + np.exp(-(edges[y + 1] - s))), 1 / (1 + np.exp(-(edges[y] - s)))
+            hi, lo = 1 / (1 + np.exp(score - edges[y + 1])), 1 / (1 + np.exp(score - edges[y]))
         p = np.maximum(hi - lo, 1e-12)
         d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        by_row = (d_hi - d_lo) / n  # of the loss, by the score
-        g = np.bincount(col, by_row[at], minlength=len(v))
-        g_th = np.bincount(y, -d_hi / n, minlength=n_grades)[:-1] + np.bincount(y, d_lo / n, minlength=n_grades)[1:]
-        return float(-np.log(p).mean()), g, g_th
-
-    for _ in range(rounds):
-        loss, g, g_th = loss_and_gradient(look, look_t)
-        while True:
-            new = look - g / lipschitz
-            new = np.sign(new) * np.maximum(np.abs(new) - l1 / lipschitz, 0)
-            d = new - look
-            if loss_and_gradient(new, look_t)[0] <= loss + g @ d + lipschitz / 2 * (d @ d) + 1e-12 or lipschitz > 1e9:
-                break
-            lipschitz *= 2
-        new_t = np.maximum.accumulate(look_t - step_t * g_th)
-        new_t = new_t + np.arange(len(new_t)) * 1e-6
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        look = new + (t - 1) / after * (new - w)
-        w, theta, look_t, t = new, new_t, new_t, after
+        # of the mean loss -log(p): by the score, and by the edges above and below
+        g = np.bincount(col, ((d_hi - d_lo) / n)[at], minlength=len(w))
+        g_t = np.bincount(y, -d_hi / n, minlength=n_grades)[:-1] + np.bincount(y, d_lo / n, minlength=n_grades)[1:]
+        past += g * g
+        past_t += g_t * g_t
+        least = 0.01 if k < rounds else 1e-4
+        own_rate = rate if k < rounds else 4 * rate
+        step = own_rate / (np.sqrt(past) + least)
+        w = w - step * g
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
+        theta = theta - own_rate * g_t / (np.sqrt(past_t) + least)
+        theta = np.maximum.accumulate(theta) + np.arange(len(theta)) * 1e-6
     full = np.zeros(size)
     full[names] = w
     return OrdinalModel(full, theta)
@@ -173,7 +175,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.where("toxic is not null").select("doc_id", F.when(F.col("toxic") == 0, 0).when(poor, 2).otherwise(1).alias("grade"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, quality, toxic) -> one row for each input row:
     doc_id, severity (expected grade, 0 to 2), p_toxic, grade (the likeliest), toxic (p_toxic >= threshold).
 
@@ -186,7 +188,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_row
     return out.withColumn("toxic", (F.col("p_toxic") >= threshold) & F.lit(fitted))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """docs without the rows that toxicity() would call toxic; all columns are kept."""
     model = train(docs, grades_of(labels), 3, max_rows)
     if not np.any(model.weights):
