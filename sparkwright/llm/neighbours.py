@@ -64,6 +64,8 @@ class CrossPolytope:
 
     def probes(self, vectors: np.ndarray, probes: int) -> np.ndarray:
         """(n, tables, probes): the codes of the nearest axes, the nearest first; of several turns, the one that costs least varies."""
+        each = min(probes, 2 * self.size)  # axes of one turn
+        probes = min(probes, self.turns * (each - 1) + 1)
         x = self._turned(vectors)
         rows = np.arange(len(x))
         out = np.zeros((len(x), self.tables, probes), np.int32 if (2 * self.size) ** self.turns < 1 << 31 else np.int64)
@@ -72,18 +74,15 @@ class CrossPolytope:
             for k in range(t * self.turns, (t + 1) * self.turns):
                 y = self.turn(x, k)
                 both = np.concatenate([y, -y], 1)
-                near = np.argsort(-both, axis=1, kind="stable")[:, :probes]
+                near = np.argsort(-both, axis=1, kind="stable")[:, :each]
                 value = np.take_along_axis(both, near, 1)
                 ranked.append(near)
                 loss.append(value[:, :1] - value)
             own = sum(r[:, 0].astype(np.int64) * (2 * self.size) ** k for k, r in enumerate(ranked))
-            choices = [(loss[k][:, j], own + (ranked[k][:, j] - ranked[k][:, 0]).astype(np.int64) * (2 * self.size) ** k) for k in range(self.turns) for j in range(probes)]
-            cost = np.stack([c for c, _ in choices], 1)
-            code = np.stack([c for _, c in choices], 1)
-            best = np.argsort(cost, axis=1, kind="stable")
-            code = np.take_along_axis(code, best, 1)
-            if self.turns > 1:  # each turn lists the own code once
-                code = np.concatenate([code[:, :1], code[:, self.turns :]], 1)
+            # the own code, before any tie, then each turn's further axes
+            cost = np.concatenate([np.full((len(x), 1), -1.0), *(lo[:, 1:] for lo in loss)], 1)
+            code = np.concatenate([own[:, None], *(own[:, None] + (r[:, 1:] - r[:, :1]).astype(np.int64) * (2 * self.size) ** k for k, r in enumerate(ranked))], 1)
+            code = np.take_along_axis(code, np.argsort(cost, axis=1, kind="stable"), 1)
             out[rows, t] = code[:, :probes]
         return out
 
