@@ -130,13 +130,18 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and how many each has. Null counts as empty."""
+        return self.encode_words(texts)[:2]
+
+    def encode_words(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """As encode(), and the texts' words: the distinct ones, which stands at each place, and how many each text has."""
         if len(self.pieces) > self.max_pieces:
             self._forget()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         counts = lists.value_lengths().to_numpy().astype(np.int64)
-        both = self._pieces_of(coded.dictionary)[coded.indices.to_numpy()]
+        which, own = coded.indices.to_numpy(), counts
+        both = self._pieces_of(coded.dictionary)[which]
         if self.end_id is not None:
             both = np.insert(both, np.cumsum(counts), (1, 0), 0)
             counts = counts + 1
@@ -146,7 +151,7 @@ class WordEncoder:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[both] - (ends - sizes), sizes) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
+        return ids, np.diff(bounds), coded.dictionary, which, own
 
 
 _KEPT: dict[tuple, WordEncoder] = {}
