@@ -6,19 +6,10 @@ loop and cut their lineage with checkpoints in the cluster's checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: in spark.checkpoint.dir, or a temporary folder where that is unset."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="sparkwright-"))
-    return df.checkpoint()
+from sparkwright.functions.ordering import cut
 
 
 def node_id(file: Column, name: Column, line: Column) -> Column:

@@ -9,14 +9,16 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from sparkwright.functions.ordering import numbered
 
 
 def latency(samples: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, mean, p50, p95, p99): the values at index n // 2 and min(int(n * p), n - 1) of the sorted ones."""
     rows = samples.where(F.col(value).isNotNull()).select(group, F.col(value).alias("v"))
-    n = rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy(group).orderBy("v")) - 1).join(F.broadcast(n), group)
+    placed = numbered(rows, [group, "v"])
+    n = placed.groupBy(group).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.min("place").alias("first"))
+    ranked = placed.join(n, group).withColumn("i", F.col("place") - F.col("first"))
     at = lambda share: F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)
     pick = lambda index, name: F.max(F.when(F.col("i") == index, F.col("v"))).alias(name)
     return ranked.groupBy(group).agg(F.first("n").alias("n"), F.round(F.first("mean"), 6).alias("mean"), pick(F.expr("n div 2"), "p50"), pick(at(0.95), "p95"), pick(at(0.99), "p99"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkwright.functions import text as T
+from sparkwright.functions.ordering import numbered
 
 Generator = Callable[[str], str]
 
@@ -28,7 +29,7 @@ DEFAULT_PROMPTS = (
     ("function_doc", "Function Documentation", "abstractive", ["code"], "Write a docstring for this function.\n\nCode:\n${code}\n"),
 )
 DEFAULT_FOR_TYPE = {"abstractive": "code_abstractive", "extractive": "code_extractive", "hierarchical": "code_hierarchical"}
-PHASES = ("batch_start", "llm_call_start", "llm_call_success", "llm_call_error", "node_validated", "node_invalid", "batch_done", "checkpoint_saved")
+PHASES = ("batch_start", "llm_call_start", "llm_call_success", "llm_call_error", "node_validated", "node_invalid", "batch_done", "disabled")
 
 
 @dataclass
@@ -85,17 +86,8 @@ def rendered(template: str, **columns: Column) -> Column:
 
 
 def batches(rows: DataFrame, order: list[str], size: int = 10) -> DataFrame:
-    """rows with batch = their place in order, from 0, by size. The places come from a sort by range and the partitions' row counts, not from one task."""
-    spark = rows.sparkSession
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    counts = {r[0]: r[1] for r in ordered.groupBy("_p").count().collect()}
-    starts, so_far = [], 0
-    for p in sorted(counts):
-        starts.append((p, so_far))
-        so_far += counts[p]
-    offsets = spark.createDataFrame(starts, "_p int, _start bigint")
-    place = F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33) + F.col("_start")
-    return ordered.join(F.broadcast(offsets), "_p").withColumn("batch", F.floor(place / size)).drop("_p", "_m", "_start")
+    """rows with batch = their place in order, from 0, by size."""
+    return numbered(rows, order).withColumn("batch", F.floor(F.col("place") / size)).drop("place")
 
 
 def component(node_id: Column, kind: Column, name: Column, file: Column, source: Column, docstring: Column, parents: Column, children: Column) -> Column:
@@ -191,6 +183,24 @@ def summarize(nodes: DataFrame, generator: Generator = echo_generator, batch_siz
     return made.withColumn("v", F.when(F.col("summary").isNotNull(), v)).select("node_id", "batch", "summary", "v.valid", "v.confidence", "error")
 
 
+def progress(results: DataFrame, batch_size: int = 10) -> DataFrame:
+    """summarize()'s rows as an event log: (batch, phase, node_id, message), by batch in the order of PHASES."""
+    event = lambda df, phase, node, message: df.select("batch", F.lit(phase).alias("phase"), node.cast("string").alias("node_id"), message.cast("string").alias("message"))
+    none = F.lit(None)
+    by_batch = results.groupBy("batch").agg(F.count("node_id").alias("n"), F.max("error").alias("error"))
+    fine, broken = by_batch.where("error is null"), by_batch.where("error is not null")
+    told = F.concat(F.col("n").cast("string"), F.lit(f" of up to {batch_size} nodes"))
+    parts = [
+        event(by_batch, "batch_start", none, none), event(by_batch, "llm_call_start", none, none), event(fine, "llm_call_success", none, none),
+        event(broken, "llm_call_error", none, F.col("error")), event(results.where("valid"), "node_validated", F.col("node_id"), none),
+        event(results.where("not valid"), "node_invalid", F.col("node_id"), none), event(by_batch, "batch_done", none, told),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def memoised(items: DataFrame, generator: Generator = echo_generator, registry: PromptRegistry | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """items(item_id, content, summary_type, prompt_id) -> results, and the cache with what was new.
 

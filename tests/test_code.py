@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from sparkwright.operators import parse, summarize
+from sparkwright.operators import parse, requests, summarize
 from sparkwright.plans.engine import Engine
 from sparkwright.sources import files, sinks
 from sparkwright.sources.store import Store
@@ -91,6 +91,23 @@ def test_summaries_and_failures(spark):
     assert {(r.node_id, r.error) for r in summarize.summarize(nodes, broken).collect()} == {(None, "ConnectionError: gone")}
 
 
+def test_events_of_batches(spark):
+    rows = [("a", 0, "x", True, 1.0, None), ("b", 0, "x", False, 0.0, None), (None, 1, None, None, None, "gone")]
+    log = summarize.progress(spark.createDataFrame(rows, "node_id string, batch bigint, summary string, valid boolean, confidence double, error string")).collect()
+    assert {(r.batch, r.phase, r.node_id) for r in log} == {
+        (0, "batch_start", None), (0, "llm_call_start", None), (0, "llm_call_success", None), (0, "node_validated", "a"), (0, "node_invalid", "b"), (0, "batch_done", None),
+        (1, "batch_start", None), (1, "llm_call_start", None), (1, "llm_call_error", None), (1, "batch_done", None),
+    }
+    assert {r.phase for r in log} <= set(summarize.PHASES)
+
+
+def test_bad_requests():
+    assert requests.context_request("q")["dependency_depth"] == 2 and requests.update_request("modify", "a.py")["content"] is None
+    for bad in (lambda: requests.context_request(""), lambda: requests.context_request("q", dependency_depth=6), lambda: requests.summary_request("x", "odd"), lambda: requests.summary_request("x", temperature=2.1), lambda: requests.update_request("move", "f")):
+        with pytest.raises(ValueError):
+            bad()
+
+
 def test_memory(spark):
     items = spark.createDataFrame([(1, "same", "abstractive", None), (2, "same", "abstractive", None), (3, "other", "odd", None)], "item_id bigint, content string, summary_type string, prompt_id string")
     out, cache = summarize.memoised(items)
