@@ -54,3 +54,8 @@ def local_path(uri: str) -> str | None:
 
 def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Whole texts travel to Python in Arrow batches: fewer of them at once keep the memory of both sides small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.llm.common import batch_rows
+
 N = 4
 WINDOW = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -154,6 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, window: int
     kept; other columns are ignored; an empty benchmark gives no row.
     """
     spark = docs.sparkSession
+    batch_rows(spark, 1000)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0

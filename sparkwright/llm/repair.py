@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import new_folder
+from sparkwright.llm.common import batch_rows, new_folder
 
 BLOCK_IDS = 1 << 20
 SLOTS = 20
@@ -177,6 +177,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, blo
     from sparkwright.llm import encoding
 
     schema = to_arrow_schema(StructType.fromDDL(BLOCKS))
+    batch_rows(docs.sparkSession, 4000)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

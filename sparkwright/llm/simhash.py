@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import stored
+from sparkwright.llm.common import batch_rows, stored
 from sparkwright.llm.components import components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -123,6 +123,7 @@ def simhash(docs: DataFrame, width: int = 4) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
+    batch_rows(docs.sparkSession, 1000)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(prints, "doc_id bigint, fp bigint")
 
 

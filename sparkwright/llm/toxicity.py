@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.llm.common import batch_rows
+
 BITS = 22
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the classifier is fitted on, at most.
@@ -116,6 +118,7 @@ def extract(docs: DataFrame, *keep: str) -> DataFrame:
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, flat)], [*keep, "features"])
 
+    batch_rows(docs.sparkSession, 1000)
     own = docs.select(*keep, F.col("text").cast("string"))
     schema = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keep)
     return own.mapInArrow(work, f"{schema}, features array<int>")
@@ -139,6 +142,7 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int, max_rows: int = MAX
 def _scored(docs: DataFrame, model: OrdinalModel, keep: tuple) -> DataFrame:
     """docs(text, ...) -> the columns to keep as k0, k1, ..., severity (the expected grade), p_toxic (of a grade over 0), grade (the likeliest)."""
     spark = docs.sparkSession
+    batch_rows(spark, 1000)
     (some,) = np.nonzero(model.weights)
     sent = spark.sparkContext.broadcast((dict(zip(some.tolist(), model.weights[some].tolist())), model.thresholds))
     names = [f"k{i}" for i in range(len(keep))]
