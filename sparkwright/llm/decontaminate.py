@@ -1,11 +1,10 @@
-"""Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
-
-The items are the stated query set; the documents are scanned against them in place and never
-shuffled. Items go to the executors in blocks of bounded size. A first scan counts how often each
-n-gram of a block's items stands in the whole corpus. Of every few consecutive n-grams of an item the
-rarest becomes a seed: wherever a document shares n + window - 1 consecutive words with an item, it
-holds a seed of it, however common its n-grams are. A second scan aligns the item with the words
-around each seed that it meets.
+"""Benchmark passages in training documents: n-gram counts that no alignment can miss, then Smith-Waterman alignment.
+
+The items are the stated query set; the documents are scanned against them in place, once, and never
+shuffled. Items go to the executors in blocks of bounded size. An alignment that scores at least the
+threshold loses a bounded number of points, and each point can break a bounded number of an item's
+n-grams; so for each item the longest n is taken of which some n-grams are sure to stay whole, and
+wherever that many of them stand close enough together, the item is aligned with the words around.
 """
 
 from __future__ import annotations
@@ -21,11 +20,10 @@ from pyspark.sql import functions as F
 from sparkwright.llm.common import batch_rows
 
 N = 4
-WINDOW = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
-#: Characters of items that are sent to the executors at once.
-BLOCK_CHARS = 16_000_000
+#: Characters of items that are sent to the executors at once; what a task holds of a document grows with them.
+BLOCK_CHARS = 2_000_000
 _CLEAN = bytes(32 if chr(i) in '!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~' else i for i in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,12 +53,12 @@ class Items:
         some = [i for i, w in enumerate(own) if len(w)]
         return Items([ids[i] for i in some], [own[i] for i in some], numbers)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams' hashes, and of each place the number of its n-gram, its item and its position; shorter items' whole text counts."""
-        found = [(gram_hashes(w, min(n, len(w))), min(n, len(w))) for w in self.words]
-        every = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(found)), [len(h) for h, _ in found])
-        position = np.concatenate([np.arange(len(h)) for h, _ in found]) if found else np.zeros(0, np.int64)
+    def grams(self, ns: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of each item's n-grams, its own n of `ns`, and of each place the number of its n-gram, its item and its position."""
+        found = [gram_hashes(w, n) for w, n in zip(self.words, ns)]
+        every = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        item = np.repeat(np.arange(len(found)), [len(h) for h in found])
+        position = np.concatenate([np.arange(len(h)) for h in found]) if found else np.zeros(0, np.int64)
         hashes, which = np.unique(every, return_inverse=True)
         return hashes, which, item, position
 
@@ -76,19 +74,18 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def seeds_of(counts: np.ndarray, which: np.ndarray, item: np.ndarray, window: int) -> np.ndarray:
-    """Places to keep: of each `window` consecutive ones of an item the rarest n-gram, the first of equals; of fewer places, the rarest."""
-    keep = np.zeros(len(which), bool)
-    rarity = counts[which]
-    starts = np.searchsorted(item, np.unique(item))
-    for a, b in zip(starts, [*starts[1:], len(item)]):
-        own = rarity[a:b]
-        if len(own) <= window:
-            keep[a + int(own.argmin())] = True
-        else:
-            views = np.lib.stride_tricks.sliding_window_view(own, window)
-            keep[a + np.arange(len(views)) + views.argmin(1)] = True
-    return keep
+def least_grams(length: int, threshold: float, n: int) -> tuple[int, int, int]:
+    """Of an item of that many words: n, how many of its n-grams an alignment of at least the threshold leaves whole, and how many points it can lose.
+
+    An inserted word costs one point and breaks n - 1 n-grams; a changed or missing one costs three and breaks
+    n, one cut off at an end costs two and breaks one. Where even one word could lie between any two, n is 1.
+    """
+    points = max(0, min(MATCH * length - 1, int(np.floor(MATCH * length * (1 - threshold) + 1e-9))))
+    for k in range(min(n, length), 1, -1):
+        least = length - (k - 1) * (1 + points)
+        if least > 0:
+            return k, least, points
+    return 1, length - points // MATCH, points
 
 
 class Finder:
@@ -132,13 +129,20 @@ def numbered(text: str | None, numbers: dict) -> np.ndarray:
     return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
 
 
-def regions(at: np.ndarray, position: np.ndarray, length: int, n_words: int) -> list[tuple[int, int]]:
-    """Where the item may stand for seeds of these document and item positions; overlapping regions are one."""
-    slack = length // 4 + 4
-    a = np.sort(np.maximum(at - position - slack, 0))
+def dense(at: np.ndarray, of: np.ndarray, least: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Of places sorted by item and position: whether the item's `least` next ones, itself the first, begin within `reach` words."""
+    last = np.arange(len(at)) + least[of] - 1
+    fits = last < len(at)
+    last = np.minimum(last, len(at) - 1)
+    return fits & (of[last] == of) & (at[last] - at <= reach[of])
+
+
+def regions(at: np.ndarray, position: np.ndarray, length: int, slack: int, n_words: int) -> list[tuple[int, int]]:
+    """Where the item may stand for n-grams at these document and item positions; overlapping regions are one."""
+    a = np.sort(at - position - slack)
     out: list[tuple[int, int]] = []
     for s in a.tolist():
-        e = min(n_words, s + length + 2 * slack)
+        s, e = max(0, s), min(n_words, s + length + 2 * slack)
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
@@ -146,7 +150,7 @@ def regions(at: np.ndarray, position: np.ndarray, length: int, n_words: int) ->
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, window: int = WINDOW, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text) -> (doc_id, item_id, score, first_word, last_word):
     a row for each document row and item whose alignment scores at least the threshold.
 
@@ -166,36 +170,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, window: int
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
         found = Items.of(own["item_id"].to_pylist(), own["text"].to_pylist())
         if found.ids:
-            out = out.unionByName(_block(docs, found, n, window, threshold))
+            out = out.unionByName(_block(docs, found, n, threshold))
     return out
 
 
-def _block(docs: DataFrame, items: Items, n: int, window: int, threshold: float) -> DataFrame:
-    spark = docs.sparkSession
-    hashes, which, item, position = items.grams(n)
-    sizes = sorted({min(n, len(w)) for w in items.words})
-    first = spark.sparkContext.broadcast((items.numbers, hashes, sizes))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, hashes, sizes = first.value
-        known, finder, sums = _Known(numbers), Finder(hashes, sizes), np.zeros(len(hashes), np.int64)
-        for b in batches:
-            for t in b.column(0):
-                sums += np.bincount(finder.find(numbered(t.as_py(), known))[1], minlength=len(hashes))
-        (some,) = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["gram", "n"])
-
-    counts = np.zeros(len(hashes), np.int64)
-    for gram, total in docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n")).collect():
-        counts[gram] = total
-    keep = seeds_of(counts, which, item, window)
-    order = np.argsort(which[keep], kind="stable")
-    seeds, item, position = which[keep][order], item[keep][order], position[keep][order]
-    own, starts = np.unique(seeds, return_index=True)
-    second = spark.sparkContext.broadcast((items, hashes[own], sizes, np.append(starts, len(seeds)), item, position))
+def _block(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame:
+    own = [least_grams(len(w), threshold, n) for w in items.words]
+    ns, least, slack = (np.array(x) for x in zip(*own))
+    reach = np.array([len(w) for w in items.words]) + slack - ns
+    hashes, which, item, position = items.grams(ns.tolist())
+    order = np.argsort(which, kind="stable")
+    starts = np.append(np.searchsorted(which[order], np.arange(len(hashes))), len(order))
+    sent = docs.sparkSession.sparkContext.broadcast((items, hashes, np.unique(ns).tolist(), starts, item[order], position[order], least, reach, slack))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashes, sizes, starts, item, position = second.value
+        items, hashes, sizes, starts, item, position, least, reach, slack = sent.value
         known, finder = _Known(items.numbers), Finder(hashes, sizes)
         done: dict[tuple, tuple[int, int, int]] = {}
 
@@ -222,9 +211,12 @@ def _block(docs: DataFrame, items: Items, n: int, window: int, threshold: float)
                 many = starts[seed + 1] - starts[seed]
                 place = np.repeat(starts[seed] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
                 at, of, where = np.repeat(at, many), item[place], position[place]
+                order = np.lexsort((at, of))
+                order = order[dense(at[order], of[order], least, reach)]
+                at, of, where = at[order], of[order], where[order]
                 for i in np.unique(of).tolist():
                     mine, length = of == i, len(items.words[i])
-                    found = [(*best(i, words[a:e]), a) for a, e in regions(at[mine], where[mine], length, len(words))]
+                    found = [(*best(i, words[a:e]), a) for a, e in regions(at[mine], where[mine], length, int(slack[i]), len(words))]
                     score, start, end, a = max(found, key=lambda x: (x[0], -x[3]))
                     if score >= threshold * MATCH * length:
                         rows.append((doc_id, items.ids[i], score / (MATCH * length), a + start, a + end - 1))

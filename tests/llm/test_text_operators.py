@@ -217,6 +217,42 @@ def test_common_grams_still_seed(spark):
     assert got.count() == 50
 
 
+@pytest.mark.parametrize("length", [6, 12, 23, 40])
+def test_copies_edited_all_over(spark, length):
+    """Every 5th and every 6th word replaced, a word put in after every other one, the last word changed: all that reach the threshold by plain alignment are found."""
+    rng = np.random.default_rng(length)
+    item = [f"w{x}" for x in rng.permutation(1000)[:length]]
+    rows = [[w if (i + 1) % k else f"new{i}" for i, w in enumerate(item)] for k in (3, 4, 5, 6)]
+    rows += [[x for i, w in enumerate(item) for x in ([w, f"in{i}"] if i % 2 else [w])], item[:-1] + ["new"], [x for i, w in enumerate(item) for x in ([w, f"in{i}"] if i % 5 != 4 else [w])]]
+    numbers = {w: i + 1 for i, w in enumerate(item)}
+    number = lambda words: np.array([numbers.get(w, 0) for w in words])
+    want = {i: decontaminate.align(number(item), number(r))[0] / (2 * length) for i, r in enumerate(rows)}
+    assert min(want[2], want[3], want[4], want[5]) >= 0.6
+    docs = spark.createDataFrame([(i, " ".join(["before"] * 9 + r + ["after"] * 9)) for i, r in enumerate(rows)], "doc_id bigint, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert {r.doc_id: r.score for r in got.collect()} == {i: s for i, s in want.items() if s >= 0.6}
+
+
+def test_no_alignment_lacks_its_grams():
+    """Random texts of few words: whatever reaches the threshold has the n-grams that are asked for."""
+    rng = np.random.default_rng(5)
+    hits = 0
+    for _ in range(4000):
+        item = rng.permutation(40)[: rng.integers(1, 12)] + 1
+        text = [x for w in item for x in ([w] if rng.random() < 0.85 else [] if rng.random() < 0.5 else [0]) + [0] * int(rng.random() < 0.4)]
+        text = np.array(text, np.int64)
+        for threshold in (0.4, 0.6, 0.8, 1.0):
+            if not len(text) or decontaminate.align(item, text)[0] < threshold * 2 * len(item):
+                continue
+            n, least, points = decontaminate.least_grams(len(item), threshold, 4)
+            own = decontaminate.gram_hashes(item, n)
+            at = np.array([k for k, h in enumerate(decontaminate.gram_hashes(text, n)) if h in own], np.int64)
+            found = decontaminate.dense(at, np.zeros(len(at), np.int64), np.array([least]), np.array([len(item) + points - n]))
+            assert found.any()
+            hits += 1
+    assert hits > 1000
+
+
 # Language model
 
 
