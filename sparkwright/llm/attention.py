@@ -17,9 +17,9 @@ import numpy as np
 LENGTH = 32
 OVERLAP = 8
 DIM = 16
-HIDDEN = 16
-SINGLE = 56
-TAIL = 16
+HIDDEN = 32
+SINGLE = 96
+TAIL = 32
 INPUTS = 2048
 STATES = 512
 _MASK = np.tril(np.ones((LENGTH, LENGTH), np.float32))

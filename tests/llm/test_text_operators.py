@@ -298,6 +298,13 @@ def test_model_learns_order_and_is_a_distribution():
         assert sorted(seen) == list(range(n))
 
 
+def test_the_model_keeps_its_size():
+    from sparkwright.llm.attention import DIM, Model, Vocabulary
+
+    vocabulary = Vocabulary.of(np.arange(5000)[::-1])
+    assert vocabulary.n_classes == 128 and Model(vocabulary).w["A"].shape == (DIM, 32)
+
+
 def test_gradients_of_the_model():
     from sparkwright.llm.attention import LENGTH, Model, Vocabulary
 
