@@ -255,6 +255,18 @@ def test_pages_without_an_article(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+def test_runs_on_few_pages_of_a_large_host(spark):
+    """A notice on a few pages of a host is found whatever the groups' size; rows of one id or none are pages too."""
+    notice = "<div>This notice stands on few pages of it</div>"
+    page = lambda i: f"<body><div>Story number{i} of thing{i} at place{i} with end{i}</div>{notice if i % 13 == 0 else ''}</body>"
+    rows = [(i, "http://h.org/x", page(i)) for i in range(60)] + [(70, "http://other.org/", page(13)), (None, "http://h.org/n", page(1))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = sorted(map(str, htmltext.extract(pages, per_group=256).collect()))
+    assert sum("repeated_words=8" in r for r in want) == 7  # five notices, and two equal pages
+    for size in (100, 16, 5, 1):
+        assert sorted(map(str, htmltext.extract(pages, per_group=size).collect())) == want
+
+
 def test_passages_that_repeat_in_articles_stay(spark):
     rows = [(i, "http://h/", f"<article><h1>Title</h1><p>{PLAIN}</p><p>own{i}</p></article>") for i in range(5)]
     assert {r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} == {f"Title\n{PLAIN}\nown{i}" for i in range(5)}
