@@ -10,6 +10,7 @@ least `overlap` ids before it (or all there are).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -206,6 +207,43 @@ class Model:
         return out
 
 
+class Adam:
+    """Running means of a model's gradients and their squares; steps of a given rate."""
+
+    def __init__(self, model: Model):
+        self.model, self.step = model, 0
+        self.m = {k: np.zeros_like(v) for k, v in model.w.items()}
+        self.v = {k: np.zeros_like(v) for k, v in model.w.items()}
+
+    def take(self, inputs: np.ndarray, classes: np.ndarray, weight: np.ndarray, rate: float) -> None:
+        self.step += 1
+        _, g = self.model.gradients(inputs, classes, weight)
+        for k, x in g.items():
+            self.m[k] += 0.1 * (x - self.m[k])
+            self.v[k] += 0.01 * (x * x - self.v[k])
+            self.model.w[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-7)).astype(np.float32)
+
+
+def examples(vocabulary: Vocabulary, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, classes and weights of pieces of 2 to LENGTH + 1 ids."""
+    ids = np.zeros((len(texts), LENGTH + 1), np.int64)
+    for i, t in enumerate(texts):
+        t = t[: LENGTH + 1]
+        ids[i, : len(t)] = t
+    sizes = np.array([min(len(t), LENGTH + 1) for t in texts])
+    weight = (np.arange(LENGTH) < sizes[:, None] - 1).astype(np.float32)
+    return np.minimum(vocabulary.place[ids[:, :-1]], INPUTS - 1), vocabulary.classes[ids[:, 1:]], weight
+
+
+def go_on(model: Model, batches: Iterable[list[np.ndarray]], rate: float) -> int:
+    """Trains the model further, one step for each batch of pieces; returns how many pieces there were."""
+    adam, seen = Adam(model), 0
+    for pieces in batches:
+        adam.take(*examples(model.vocabulary, pieces), rate * min(1.0, (adam.step + 1) / 50))
+        seen += len(pieces)
+    return seen
+
+
 def train(vocabulary: Vocabulary, texts: list[np.ndarray], steps: int = 2500, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Model:
     """Fits a model to pieces of texts (LENGTH ids each, or fewer at an end) by Adam. Deterministic. Without pieces the classes are equally likely."""
     model = Model(vocabulary, seed)
@@ -213,19 +251,12 @@ def train(vocabulary: Vocabulary, texts: list[np.ndarray], steps: int = 2500, ba
     if not texts:
         model.w["C"][:] = 0
         return model
-    ids = np.zeros((len(texts), LENGTH + 1), np.int64)
-    for i, t in enumerate(texts):
-        t = t[: LENGTH + 1]
-        ids[i, : len(t)] = t
-    sizes = np.array([min(len(t), LENGTH + 1) for t in texts])
-    inputs, classes = np.minimum(vocabulary.place[ids[:, :-1]], INPUTS - 1), vocabulary.classes[ids[:, 1:]]
-    weight = (np.arange(LENGTH) < sizes[:, None] - 1).astype(np.float32)
+    inputs, classes, weight = examples(vocabulary, texts)
     share = np.bincount(classes[weight > 0], minlength=vocabulary.n_classes) + 0.5
     model.w["c"] = np.log(share / share.sum()).astype(np.float32)
     model.w["C"] *= 0.1
     rng = np.random.default_rng(seed)
-    m = {k: np.zeros_like(v) for k, v in model.w.items()}
-    v2 = {k: np.zeros_like(v) for k, v in model.w.items()}
+    adam = Adam(model)
     order = rng.permutation(len(texts))
     at = 0
     for step in range(1, steps + 1):
@@ -233,10 +264,5 @@ def train(vocabulary: Vocabulary, texts: list[np.ndarray], steps: int = 2500, ba
             order, at = rng.permutation(len(texts)), 0
         own = order[at : at + batch]
         at += batch
-        _, g = model.gradients(inputs[own], classes[own], weight[own])
-        lr = rate * min(1.0, step / 50) * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 1e-5
-        for k, x in g.items():
-            m[k] += 0.1 * (x - m[k])
-            v2[k] += 0.01 * (x * x - v2[k])
-            model.w[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        adam.take(inputs[own], classes[own], weight[own], rate * min(1.0, step / 50) * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 1e-5)
     return model

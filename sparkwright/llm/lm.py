@@ -3,8 +3,10 @@
 The training part is fixed by a hash of the id. Word counts are taken over all of it and grow with
 it. A text's frequent words, the FREQUENT ones with the largest counts or about so, are looked up in
 a table sent to the executors; all others meet their counts in a join. Subword ids are made once and written to the shared folder; their
-counts over the whole training part give the classes and the shares within them, and windows drawn
-from all of it, about TRAIN_IDS ids, fit the attention weights: a documented bound on the fitting.
+counts over the whole training part give the classes and the shares within them. The attention weights
+start from a fit to windows drawn from all of it, about TRAIN_IDS ids; then every window of the training
+part is learned from once, in rounds: each task goes on from the same weights over its own windows, and
+the weights' mean, by windows, begins the next round.
 """
 
 from __future__ import annotations
@@ -18,11 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.llm import encoding
-from sparkwright.llm.attention import INPUTS, LENGTH, STATES, Vocabulary, train
+from sparkwright.llm.attention import INPUTS, LENGTH, STATES, Model, Vocabulary, go_on, train
 from sparkwright.llm.common import ascii_lower, stored
 
 FREQUENT = 150_000
 TRAIN_IDS = 1_500_000
+#: Rates of the rounds over the whole training part; each round has a share of the texts.
+RATES = (0.003, 0.002, 0.001, 0.0003)
+BATCH = 64
+SCALE = 1 << 24  # weights are summed as whole numbers, so that their order doesn't matter
 CHARS = 4 << 20  # of texts that are encoded together
 END = "\n"  # no word holds white space, so this stands for the end token
 
@@ -145,7 +151,52 @@ def _pieces(first: DataFrame, end_id: int, total: int, most: int) -> list[np.nda
     return [np.frombuffer(x.as_py(), "<u2").astype(np.int64) for x in drawn["piece"]]
 
 
-def score_texts(docs: DataFrame, tokenizer: str | None = None, train_ids: int = TRAIN_IDS, steps: int = 2500) -> DataFrame:
+def _batches(batches: Iterator[pa.RecordBatch], end_id: int) -> Iterator[list[np.ndarray]]:
+    """All windows of the texts, BATCH of them at once."""
+    held: list[np.ndarray] = []
+    for b in batches:
+        for x in b.column(0):
+            ids = np.concatenate([[end_id], np.frombuffer(x.as_py(), "<u2"), [end_id]])
+            for s in range(0, len(ids) - 1, LENGTH):
+                held.append(ids[s : s + LENGTH + 1])
+                if len(held) == BATCH:
+                    yield held
+                    held = []
+    if held:
+        yield held
+
+
+def _refined(first: DataFrame, model: Model, end_id: int, rates: tuple[float, ...] = RATES) -> tuple[Model, int]:
+    """The model after every window of the training part, and how many windows there were."""
+    spark, names, seen = first.sparkSession, list(model.w), 0
+    texts = first.where("not held_out").select("ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(len(rates))).alias("round"))
+    for k, rate in enumerate(rates):
+        sent = spark.sparkContext.broadcast(model)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Model(sent.value.vocabulary)
+            own.w = {name: w.copy() for name, w in sent.value.w.items()}
+            n = go_on(own, _batches(batches, end_id), rate)
+            if n:
+                flat = np.concatenate([own.w[name].ravel() for name in names]).astype(float)
+                sums = np.append(np.rint(flat * SCALE).astype(np.int64) * n, n)  # the last cell counts windows
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], ["cell", "n"])
+
+        found = texts.where(F.col("round") == k).select("ids").mapInArrow(work, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        if not found.num_rows:
+            continue
+        sums = found.sort_by("cell")["n"].to_numpy()
+        seen += int(sums[-1])
+        flat, at = (sums[:-1] / sums[-1] / SCALE).astype(np.float32), 0
+        after = Model(model.vocabulary)
+        for name in names:
+            after.w[name] = flat[at : at + model.w[name].size].reshape(model.w[name].shape)
+            at += model.w[name].size
+        model = after
+    return model, seen
+
+
+def score_texts(docs: DataFrame, tokenizer: str | None = None, train_ids: int = TRAIN_IDS, steps: int = 2500, rates: tuple[float, ...] = RATES) -> DataFrame:
     """docs(doc_id, text, ...) -> one row for each input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score sums log10((c + 1) / (N + V + 1)) over the lower-case words between ASCII white space and one
@@ -172,7 +223,8 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, train_ids: int =
     # texts follow each other with an end between, so each text's first id comes after an end
     vocabulary.learn_pairs(_summed(first, STATES * INPUTS, end_id, lambda ids: pair(np.concatenate([[end_id], ids[:-1]]), ids)))
     pieces = _pieces(first, end_id, int(sums.sum()), train_ids)
-    sent = spark.sparkContext.broadcast(train(vocabulary, pieces, steps))
+    model, _ = _refined(first, train(vocabulary, pieces, steps), end_id, rates)
+    sent = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -324,6 +324,21 @@ def test_gradients_of_the_model():
         assert (values[0] - values[1]) / 2e-3 == pytest.approx(g[k][at], rel=0.05, abs=1e-4)
 
 
+def test_all_training_text_is_learned_from(spark):
+    """With almost nothing drawn for the start, the rounds over all texts still teach the order of words; every window counts once."""
+    from sparkwright.llm.attention import LENGTH, Vocabulary, train
+
+    docs = spark.createDataFrame([(i, " ".join(PLAIN.split()[i % 7 :] * 120)) for i in range(300)], "doc_id bigint, text string").coalesce(1)
+    total = lambda **more: lm.score_texts(docs, train_ids=64, steps=2, **more).where("held_out").agg(F.sum("score")).first()[0]
+    assert total() > total(rates=()) + 100
+    rng = np.random.default_rng(1)
+    sizes = [0, 1, 30, 31, 32, 63, 64, 500]
+    rows = [(i, i == 2, rng.integers(0, 90, n).astype("<u2").tobytes()) for i, n in enumerate(sizes)]
+    first = spark.createDataFrame(rows, "doc_id bigint, held_out boolean, ids binary")
+    _, seen = lm._refined(first, train(Vocabulary.of(np.arange(100)), []), 99)
+    assert seen == sum(-(-(n + 1) // LENGTH) for i, n in enumerate(sizes) if i != 2)
+
+
 def test_scores_of_no_rows(spark):
     assert lm.score_texts(empty(spark), steps=2).count() == 0
     only = awkward(spark).where(lm.held_out(F.col("doc_id")))
