@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: in spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """A reliable checkpoint: in spark.checkpoint.dir, or a temporary folder where that is unset on a local master."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="sparkwright-"))
     return df.checkpoint()
 
