@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Only where it is unset (tests, a single machine) a temporary one is made and set.
+    Only where it is unset on a local master (tests, a single machine) a temporary one is made and set; on a
+    cluster, whose nodes would each write to their own, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sparkwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,7 +38,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Deletes the folder of a table that stored() wrote and that nothing will read again; other tables are left alone."""
+    path = getattr(df, "stored_at", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        name = context._jvm.org.apache.hadoop.fs.Path(path)
+        name.getFileSystem(context._jsc.hadoopConfiguration()).delete(name, True)
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, which may hold dots and back-quotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Three columns k0, k1, k2 that are never null and equal for rows of equal id and text: such rows are decided together."""
+    own = F.col(doc_id).cast("bigint")
+    return [own.isNull().alias("k0"), F.coalesce(own, F.lit(0)).alias("k1"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("k2")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +83,12 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Whole texts travel to Python in Arrow batches: fewer of them at once keep the memory of both sides small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python in Arrow batches: a bound on their bytes keeps the memory of both sides small.
+
+    One value for all operators, so that none changes another's plan that has not run yet; a session that sets
+    the option itself keeps its own.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))

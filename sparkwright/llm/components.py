@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import stored
+from sparkwright.llm.common import discard, stored
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # a forest of stars: each u has one v, and no v has one itself
         deep = after.join(after.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         many = after.groupBy("u").count().where("count > 1").limit(1).count() if not deep else 1
+        discard(links)
         links = after
         if not many:
             break

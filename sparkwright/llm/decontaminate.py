@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import batch_rows
+from sparkwright.llm.common import bounded_batches, col, row_key
 
 N = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.6
 #: Characters of items that are sent to the executors at once; what a task holds of a document grows with them.
 BLOCK_CHARS = 2_000_000
+FOUND = "doc_id bigint, k0 boolean, k1 bigint, k2 bigint, item bigint, score double, first_word bigint, last_word bigint"
 _CLEAN = bytes(32 if chr(i) in '!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~' else i for i in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,16 +160,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: f
     side match nothing; items with equal texts or ids each count; repeated document rows repeat; null ids are
     kept; other columns are ignored; an empty benchmark gives no row.
     """
+    named = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.xxhash64(F.col("text").cast("string")).alias("item"))
+    found = scan(docs, benchmark, n, threshold, block_chars)
+    return found.join(named, "item").select("doc_id", "item_id", "score", "first_word", "last_word")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """As contaminated(), with the row's key k0, k1, k2 (see row_key()) and the XXH64 of the item's text: equal items
+    are aligned once, however often one is repeated, so a block's bound holds.
+    """
     spark = docs.sparkSession
-    batch_rows(spark, 1000)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    bounded_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars)
-    out = spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint")
+    out = spark.createDataFrame([], FOUND)
+    hashed = items.withColumn("item", F.xxhash64("text"))
     for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        found = Items.of(own["item_id"].to_pylist(), own["text"].to_pylist())
+        own = hashed.where(F.pmod("item", F.lit(blocks)) == k).toArrow().sort_by([("item", "ascending"), ("text", "ascending")])
+        found = Items.of(own["item"].to_pylist(), own["text"].to_pylist())
         if found.ids:
             out = out.unionByName(_block(docs, found, n, threshold))
     return out
@@ -203,7 +214,7 @@ def _block(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame
 
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1)):
+            for of_row, t in enumerate(b.column(4)):
                 words = numbered(t.as_py(), known)
                 at, seed = finder.find(words)
                 if not len(at):
@@ -219,15 +230,21 @@ def _block(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame
                     found = [(*best(i, words[a:e]), a) for a, e in regions(at[mine], where[mine], length, int(slack[i]), len(words))]
                     score, start, end, a = max(found, key=lambda x: (x[0], -x[3]))
                     if score >= threshold * MATCH * length:
-                        rows.append((doc_id, items.ids[i], score / (MATCH * length), a + start, a + end - 1))
+                        rows.append((of_row, items.ids[i], score / (MATCH * length), a + start, a + end - 1))
             cols = list(zip(*rows)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "score", "first_word", "last_word"])
+            of_row, *found = (pa.array(c, k) for c, k in zip(cols, kinds))
+            yield pa.RecordBatch.from_arrays([*(c.take(of_row) for c in b.columns[:4]), *found], ["doc_id", "k0", "k1", "k2", "item", "score", "first_word", "last_word"])
 
-    return docs.mapInArrow(find, "doc_id bigint, item_id bigint, score double, first_word bigint, last_word bigint")
+    return docs.mapInArrow(find, FOUND)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose id contaminated() names; all columns, and rows with a null id, are kept."""
-    found = contaminated(docs.where("doc_id is not null"), benchmark, threshold=threshold).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that contaminated() finds, each judged by its own text: rows that share an id are told
+    apart, null ids are no exception. All columns are kept.
+    """
+    found = scan(docs, benchmark, threshold=threshold).select("k0", "k1", "k2").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keys = docs.select(*(col(c).alias(n) for c, n in zip(docs.columns, names)), *(k.alias(f"_{n}") for k, n in zip(row_key(), ("k0", "k1", "k2"))))
+    kept = keys.join(found, (F.col("_k0") == F.col("k0")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_anti")
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import stored
+from sparkwright.llm.common import col, stored
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
@@ -157,7 +157,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, limit: float = LIMIT, block
     """docs as the mix takes them: each row as often as chosen, all columns kept."""
     plan = mix(docs, weights, limit, block).where("copies > 0").groupBy("doc_id", "h", "source").agg(F.first("copies").alias("copies"))
     names = [f"k{i}" for i in range(len(docs.columns))]
-    own = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names)), F.col("doc_id").cast("bigint").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"), F.col("source").cast("string").alias("_s"))
+    own = docs.select(*(col(c).alias(n) for c, n in zip(docs.columns, names)), F.col("doc_id").cast("bigint").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"), F.col("source").cast("string").alias("_s"))
     both = own.join(plan, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")) & F.col("_s").eqNullSafe(F.col("source")))
     repeated = both.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     return repeated.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

@@ -12,6 +12,13 @@ bits of the perfect binary Golay code. Four differing bits leave one of two case
 A vector's keys are hence its three segments and, for each two segments, the pairs of codewords in
 their lists; its address under each is the segment or the pair of its own codewords. Joining keys
 to addresses loses no pair within four bits, and every pair found is verified by its bit count.
+
+Keys of 21 to 24 bits would meet by chance where there are very many fingerprints. Beyond DEEP_FROM
+of them each key is lengthened by what the bits that are left allow, and still no pair is lost:
+
+* beside an equal segment the other two hold four errors or fewer. Either one of them holds one at
+  most, and its codewords join the key, or both hold two: of three parts of each, one part is equal;
+* beside two segments of one error each, the third holds one or two: one of its three parts is equal.
 """
 
 from __future__ import annotations
@@ -23,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import batch_rows, stored
+from sparkwright.llm.common import bounded_batches, col, row_key, stored
 from sparkwright.llm.components import components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-PAIRS = ((0, 1), (0, 2), (1, 2))
 GENERATOR = 0b101011100011  # of the (23, 12) Golay code
 MAX_BITS = 4
+#: From this many distinct fingerprints on, keys are longer; the links are the same.
+DEEP_FROM = 1 << 22
 
 
 def _remainder(word: np.ndarray) -> np.ndarray:
@@ -74,18 +82,47 @@ def codewords(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (segment[:, None] ^ table[s]) >> 11, count[s]
 
 
-def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of unsigned fingerprints: each one's keys with a mask of the real ones, and its six addresses. The kind is in the top bits."""
+def keys_of(prints: np.ndarray, deep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unsigned fingerprints: each one's keys with a mask of the real ones, and its addresses. The kind is in the top bits."""
     segments = [((prints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     coded = [codewords(s) for s in segments]
-    exact = [segments[i] | (i + 1) << 40 for i in range(3)]
-    address = exact + [coded[a][0][:, 0] << 12 | coded[b][0][:, 0] | (4 + k) << 40 for k, (a, b) in enumerate(PAIRS)]
-    wide = [((coded[a][0][:, :, None] << 12 | coded[b][0][:, None, :]) | (4 + k) << 40).reshape(len(prints), -1) for k, (a, b) in enumerate(PAIRS)]
-    six = np.arange(6)
-    real = [((six[None, :, None] < coded[a][1][:, None, None]) & (six[None, None, :] < coded[b][1][:, None, None])).reshape(len(prints), -1) for a, b in PAIRS]
-    every = np.concatenate([np.stack(exact, 1), *wide], 1)
-    mask = np.concatenate([np.ones((len(prints), 3), bool), *real], 1)
-    return every, mask, np.stack(address, 1)
+    lists = [c[0] for c in coded]
+    real = [np.arange(6)[None, :] < c[1][:, None] for c in coded]
+    parts = [np.stack([s & 127, s >> 7 & 127, s >> 14], 1) for s in segments]
+    sure = np.ones((len(prints), 1), bool)
+    keys: list[np.ndarray] = []
+    mask: list[np.ndarray] = []
+    address: list[np.ndarray] = []
+
+    def add(*fields: tuple[np.ndarray, np.ndarray, np.ndarray, int]) -> None:
+        """A kind of key of these fields: the values to ask for, which of them count, the values to be found at (one, or as many), and the bits."""
+        asked, counts, found = np.zeros((len(prints), 1), np.int64), sure, np.zeros((len(prints), 1), np.int64)
+        for values, some, own, bits in fields:
+            asked = (asked[:, :, None] << bits | values[:, None, :]).reshape(len(prints), -1)
+            counts = (counts[:, :, None] & some[:, None, :]).reshape(len(prints), -1)
+            found = (found[:, :, None] << bits | own[:, None, :]).reshape(len(prints), -1)
+        kind = len(keys) << 48
+        keys.append(asked | kind)
+        mask.append(counts)
+        address.append(found | kind)
+
+    exact = [(s[:, None], sure, s[:, None], 22) for s in segments]
+    near = [(lists[i], real[i], lists[i][:, :1], 12) for i in range(3)]
+    part = [[(p[:, [k]], sure, p[:, [k]], 8) for k in range(3)] for p in parts]
+    for i in range(3):
+        a, b = (j for j in range(3) if j != i)
+        if deep:
+            for j in (a, b):
+                add(exact[i], near[j])
+            for x in part[a]:
+                for y in part[b]:
+                    add(exact[i], x, y)
+            for x in part[i]:
+                add(near[a], near[b], x)
+        else:
+            add(exact[i])
+            add(near[a], near[b])
+    return np.concatenate(keys, 1), np.concatenate(mask, 1), np.concatenate(address, 1)
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -111,7 +148,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def simhash(docs: DataFrame, width: int = 4) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp bigint: the 64 bits as a signed number).
+    """docs(doc_id, text) -> (doc_id, k0, k1, k2, fp bigint: the 64 bits as a signed number); for k0 to k2 see row_key().
 
     Lower-cases A-Z, takes words between ASCII white space and their shingles of `width` words with
     repeats (fewer words: the whole sequence; none, or null: fingerprint 0); a bit is set where over
@@ -120,31 +157,32 @@ def simhash(docs: DataFrame, width: int = 4) -> DataFrame:
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(1)], "<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), width) for t in b.column(4)], "<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(fps)], ["doc_id", "k0", "k1", "k2", "fp"])
 
-    batch_rows(docs.sparkSession, 1000)
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(prints, "doc_id bigint, fp bigint")
+    bounded_batches(docs.sparkSession)
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *row_key(), F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(prints, "doc_id bigint, k0 boolean, k1 bigint, k2 bigint, fp bigint")
 
 
-def fuzzy_keys(prints: DataFrame) -> DataFrame:
+def fuzzy_keys(prints: DataFrame, deep: bool = False) -> DataFrame:
     """(fp) -> (fp, keys array<bigint>, addresses array<bigint>)."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
                 fps = part.column(0).to_numpy(zero_copy_only=False)
-                every, real, address = keys_of(fps.view("<u8"))
+                every, real, address = keys_of(fps.view("<u8"), deep)
                 offsets = np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(offsets, pa.array(every[real]))
-                six = pa.ListArray.from_arrays(np.arange(0, 6 * len(fps) + 1, 6, dtype=np.int32), pa.array(address.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), keys, six], ["fp", "keys", "addresses"])
+                own = pa.ListArray.from_arrays(np.arange(0, address.size + 1, address.shape[1], dtype=np.int32), pa.array(address.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), keys, own], ["fp", "keys", "addresses"])
 
     return prints.select("fp").mapInArrow(keyed, "fp bigint, keys array<bigint>, addresses array<bigint>")
 
 
-def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(prints: DataFrame, max_bits: int = MAX_BITS, deep_from: int = DEEP_FROM) -> DataFrame:
     """Distinct fingerprints (fp) -> edges (a, b) whose components are those of all pairs within
     max_bits (4 at most) bits. Not all pairs are returned: see below.
 
@@ -155,7 +193,7 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if not 0 <= max_bits <= MAX_BITS:
         raise ValueError("the keys lose no pair up to 4 bits only")
     near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= max_bits
-    keyed = stored(fuzzy_keys(prints), "keys")
+    keyed = stored(fuzzy_keys(prints, prints.count() >= deep_from), "keys")
     address = keyed.select("fp", F.explode("addresses").alias("key"))
     least = address.groupBy("key").agg(F.min("fp").alias("least"))
     star = address.join(least, "key").where((F.col("fp") != F.col("least")) & near("fp", "least")).select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
@@ -181,18 +219,28 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = MAX_BITS) -
     """
     marks = stored(simhash(docs, width), "simhash")
     kinds = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
-    edges = links(kinds, max_bits)
-    class_of = components(edges).withColumnRenamed("node", "fp")
-    joined = kinds.join(class_of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = _rooted(kinds, max_bits)
     named = joined.join(joined.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     out = marks.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _rooted(kinds: DataFrame, max_bits: int) -> DataFrame:
+    """kinds, a row for each distinct fp, with `root`, the smallest fingerprint of its component."""
+    class_of = components(links(kinds, max_bits)).withColumnRenamed("node", "fp")
+    return kinds.join(class_of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def keep_first(docs: DataFrame, width: int = 4, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs without its near-duplicates: of each component the rows of the smallest doc_id stay, one of
-    equal rows' ids only. Rows whose doc_id is null stay, as nothing orders them. All columns are kept.
+    """docs without its near-duplicates: of each component one row stays, that of the smallest doc_id (null after
+    all others), of equal ids that of the smallest XXH64 of the text, of rows equal in both any one. All columns are
+    kept. Which row stays is found on ids and hashes alone; the documents move once, to meet the answer.
     """
-    found = near_duplicates(docs, width, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    marks = stored(simhash(docs, width), "simhash")
+    order = F.min(F.struct("k0", "k1", "k2"))
+    kinds = stored(marks.groupBy("fp").agg(order.alias("first")), "kinds")
+    best = _rooted(kinds, max_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keys = docs.select(*(col(c).alias(n) for c, n in zip(docs.columns, names)), *(k.alias(f"_{n}") for k, n in zip(row_key(), ("k0", "k1", "k2"))))
+    kept = keys.join(best, (F.col("_k0") == F.col("k0")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi")
+    return kept.dropDuplicates(["_k0", "_k1", "_k2"]).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

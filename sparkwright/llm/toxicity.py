@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import batch_rows
+from sparkwright.llm.common import bounded_batches, col
 
 BITS = 22
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -118,7 +118,7 @@ def extract(docs: DataFrame, *keep: str) -> DataFrame:
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(offsets, flat)], [*keep, "features"])
 
-    batch_rows(docs.sparkSession, 1000)
+    bounded_batches(docs.sparkSession)
     own = docs.select(*keep, F.col("text").cast("string"))
     schema = ", ".join(f"`{k}` {own.schema[k].dataType.simpleString()}" for k in keep)
     return own.mapInArrow(work, f"{schema}, features array<int>")
@@ -142,7 +142,7 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int, max_rows: int = MAX
 def _scored(docs: DataFrame, model: OrdinalModel, keep: tuple) -> DataFrame:
     """docs(text, ...) -> the columns to keep as k0, k1, ..., severity (the expected grade), p_toxic (of a grade over 0), grade (the likeliest)."""
     spark = docs.sparkSession
-    batch_rows(spark, 1000)
+    bounded_batches(spark)
     (some,) = np.nonzero(model.weights)
     sent = spark.sparkContext.broadcast((dict(zip(some.tolist(), model.weights[some].tolist())), model.thresholds))
     names = [f"k{i}" for i in range(len(keep))]
@@ -168,7 +168,7 @@ def _scored(docs: DataFrame, model: OrdinalModel, keep: tuple) -> DataFrame:
             out = [pa.array(p @ np.arange(p.shape[1])), pa.array(1 - p[:, 0]), pa.array(p.argmax(1).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*names, "severity", "p_toxic", "grade"])
 
-    own = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, names)), F.col("text").cast("string").alias("_text"))
+    own = docs.select(*(col(k).alias(n) for k, n in zip(keep, names)), F.col("text").cast("string").alias("_text"))
     schema = "".join(f"{n} {own.schema[n].dataType.simpleString()}, " for n in names)
     return own.mapInArrow(work, schema + "severity double, p_toxic double, grade int")
 
