@@ -207,6 +207,8 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, train_ids: int =
     """
     spark = docs.sparkSession
     tokenizer = tokenizer or encoding.default_path()
+    if encoding.encoder(tokenizer).library.get_vocab_size(True) > 1 << 16:
+        raise ValueError("ids are kept in 16 bits; the vocabulary has more")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = stored(word_counts(docs.where(~held_out(F.col("doc_id")))), "word-counts")
     whole, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

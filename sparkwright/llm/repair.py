@@ -19,24 +19,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.llm.common import batch_rows, new_folder
+from sparkwright.llm.common import bounded_batches, new_folder
 
 BLOCK_IDS = 1 << 20
 SLOTS = 20
 CHARS = 4 << 20  # of texts that are encoded together
 LIMIT = 1 << 16
+#: A pair that occurs less often in a block isn't worth a rule.
+MIN_COUNT = 12
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
+    if key.dtype == np.uint64:
+        return (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)
     return (key * np.uint32(2654435761)) >> np.uint32(32 - SLOTS)
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, min_count: int = 12, rounds: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pair_counts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each occurs."""
+    ordered = np.sort(key)
+    starts = np.concatenate([[0], np.nonzero(ordered[1:] != ordered[:-1])[0] + 1])
+    return ordered[starts], np.diff(np.append(starts, len(ordered)))
+
+
+def compress(ids: np.ndarray, sizes: np.ndarray, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids of documents of these sizes (none of 0) -> alphabet, rules (n, 2), symbols, symbols of each document.
 
-    Symbols below the alphabet's length are its ids, the next ones the rules' in turn; all fit in 16 bits.
-    Each round replaces all pairs at least an eighth as frequent as the most frequent one; where two such
-    pairs overlap, the left one wins. A round that saves under one symbol in 100 is the last.
+    Symbols below the alphabet's length are its ids, the next ones the rules' in turn. Each round replaces all pairs
+    at least a thirty-second as frequent as the most frequent one; where two such pairs overlap, the left one wins,
+    and a pair that is left with under half of min_count waits, unless all are: then the most frequent one is replaced
+    alone. It ends when no pair of neighbours occurs min_count times. Symbols are 16 bits wide while they fit, then 32.
     """
     (alphabet,) = np.nonzero(np.bincount(ids))
     dense = np.zeros(int(alphabet[-1]) + 1, np.uint32)
@@ -45,45 +57,51 @@ def compress(ids: np.ndarray, sizes: np.ndarray, min_count: int = 12, rounds: in
     last[np.cumsum(sizes) - 1] = True
     rules: list[np.ndarray] = []
     top = len(alphabet)
-    for _ in range(rounds):
-        if len(seq) < 2 * min_count or top >= LIMIT:
-            break
-        key = seq[:-1] << np.uint32(16) | seq[1:]
+    while len(seq) > 1:
+        kind, shift, room = (np.uint32, 16, LIMIT - top) if top < LIMIT else (np.uint64, 32, len(seq))
+        key = seq[:-1].astype(kind) << kind(shift) | seq[1:].astype(kind)
         inner = ~last[:-1]
-        ordered = np.sort(key[inner])
-        (cuts,) = np.nonzero(ordered[1:] != ordered[:-1])
-        counts = np.diff(np.concatenate([[0], cuts + 1, [len(ordered)]]))
-        if counts.max() < min_count:
+        if not inner.any():
             break
-        (often,) = np.nonzero(counts >= max(min_count, counts.max() // 8))
-        pairs = ordered[np.concatenate([[0], cuts + 1])[often]]
-        pairs = pairs[np.argsort(-counts[often], kind="stable")][: LIMIT - top]
-        table = np.full(1 << SLOTS, -1, np.int32)
-        table[_slot(pairs)[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]  # of two pairs in a slot the more frequent one
-        which = table[_slot(key)]
-        (at,) = np.nonzero((which >= 0) & inner)
-        at = at[pairs[which[at]] == key[at]]
-        if not len(at):
-            break
-        place = np.arange(len(at), dtype=np.int32)
-        run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
-        at = at[(place - run) & 1 == 0]
-        worth = np.bincount(which[at], minlength=len(pairs)) >= 4
-        at = at[worth[which[at]]]
-        if len(at) < len(seq) // 100:
+        names, counts = _pair_counts(key[inner])
+        most = int(counts.max())
+        if most < min_count:
             break
+        (often,) = np.nonzero(counts >= max(min_count, most // 32))
+        pairs = names[often][np.argsort(-counts[often], kind="stable")][:room]
+        at, which = _places(key, inner, pairs)
+        worth = np.bincount(which, minlength=len(pairs)) >= max(2, min_count // 2)
+        if not worth.any():
+            pairs, worth = pairs[:1], np.ones(1, bool)
+            at, which = _places(key, inner, pairs)
+        own = worth[which]
+        at, which = at[own], which[own]
         number = (np.cumsum(worth) - 1 + top).astype(np.uint32)
-        seq[at] = number[which[at]]
+        seq[at] = number[which]
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, last = seq[keep], last[keep]
         made = pairs[worth]
-        rules.append(np.stack([made >> np.uint32(16), made & np.uint32(0xFFFF)], 1))
+        rules.append(np.stack([made >> kind(shift), made & kind((1 << shift) - 1)], 1).astype(np.uint32))
         top += len(made)
     every = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    width = np.uint16 if top <= LIMIT else np.uint32
     ends = np.nonzero(last)[0] + 1
-    return alphabet.astype(np.uint32), every.astype(np.uint16), seq.astype(np.uint16), np.diff(ends, prepend=0)
+    return alphabet.astype(np.uint32), every.astype(width), seq.astype(width), np.diff(ends, prepend=0)
+
+
+def _places(key: np.ndarray, inner: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a pair is replaced, and which of `pairs`; of two in one slot of the look-up table the rarer waits a round."""
+    table, slots = np.full(1 << SLOTS, -1, np.int32), _slot(pairs)
+    table[slots[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
+    which = table[_slot(key)]
+    (at,) = np.nonzero((which >= 0) & inner)
+    at = at[pairs[which[at]] == key[at]]
+    place = np.arange(len(at), dtype=np.int32)
+    run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
+    at = at[(place - run) & 1 == 0]
+    return at, which[at]
 
 
 def rule_lengths(rules: np.ndarray, letters: int) -> np.ndarray:
@@ -147,25 +165,27 @@ class Block:
 
 BLOCKS = (
     "shard int, block int, before bigint, n_tokens bigint, doc_ids array<bigint>, doc_tokens array<bigint>, "
-    "doc_symbols array<bigint>, alphabet binary, rules binary, lengths binary, symbols binary"
+    "doc_symbols array<bigint>, width int, alphabet binary, rules binary, lengths binary, symbols binary"
 )
 
 
 def _block_row(shard: int, block: int, before: int, docs: list, ids: np.ndarray, sizes: np.ndarray) -> dict:
     alphabet, rules, symbols, per_doc = compress(ids, sizes)
     lengths = rule_lengths(rules, len(alphabet))
-    kept = {"alphabet": alphabet.astype("<u4"), "rules": rules.astype("<u2"), "lengths": lengths.astype("<u4"), "symbols": symbols.astype("<u2")}
-    head = {"shard": shard, "block": block, "before": before, "n_tokens": len(ids), "doc_ids": docs, "doc_tokens": sizes.tolist(), "doc_symbols": per_doc.tolist()}
+    own = rules.dtype.newbyteorder("<")
+    kept = {"alphabet": alphabet.astype("<u4"), "rules": rules.astype(own), "lengths": lengths.astype("<u4"), "symbols": symbols.astype(own)}
+    head = {"shard": shard, "block": block, "before": before, "n_tokens": len(ids), "doc_ids": docs, "doc_tokens": sizes.tolist(), "doc_symbols": per_doc.tolist(), "width": own.itemsize}
     return head | {k: v.tobytes() for k, v in kept.items()}
 
 
 def read_block(row: dict) -> Block:
-    alphabet, rules, lengths, symbols = (np.frombuffer(row[k], t) for k, t in (("alphabet", "<u4"), ("rules", "<u2"), ("lengths", "<u4"), ("symbols", "<u2")))
+    own = f"<u{row['width']}"
+    alphabet, rules, lengths, symbols = (np.frombuffer(row[k], t) for k, t in (("alphabet", "<u4"), ("rules", own), ("lengths", "<u4"), ("symbols", own)))
     return Block(alphabet, rules.reshape(-1, 2).astype(np.int64), lengths.astype(np.int64), symbols, np.array(row["doc_symbols"], np.int64))
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, block_ids: int = BLOCK_IDS) -> None:
-    """Writes the ids of docs(doc_id, text) in ascending doc_id order (null first, equal ids by text) to `folder`.
+    """Writes the ids of docs(doc_id, text) in ascending doc_id order (null first, equal ids by a hash of the text, then by text) to `folder`.
 
     Sorted by range into shards; a shard's stream is cut into blocks of about block_ids ids, so a task
     holds one block's documents. The files are Parquet with a row for each block: Spark's committer
@@ -177,7 +197,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, blo
     from sparkwright.llm import encoding
 
     schema = to_arrow_schema(StructType.fromDDL(BLOCKS))
-    batch_rows(docs.sparkSession, 4000)
+    bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -212,7 +232,8 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, blo
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash deals the rows of one id, or of none, to many shards
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     ordered.mapInArrow(work, BLOCKS).write.option("compression", "zstd").parquet(folder)
 
 
