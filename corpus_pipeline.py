@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkwright.llm import decontaminate, mixing, repair, simhash, toxicity
-from sparkwright.llm.common import stored, table
+from sparkwright.llm.common import discard, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest id stays."""
+    """Of rows whose fingerprints are linked, one stays: that of the smallest id."""
     return simhash.keep_first(docs)
 
 
@@ -50,7 +50,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        after = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)  # the one before last: nothing reads it again
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
