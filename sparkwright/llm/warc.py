@@ -3,7 +3,8 @@
 Each record is a gzip member of its own whose extra field "sl" holds the lengths of the member,
 compressed and not. So a reader inflates a record's first bytes, parses the headers, and where the
 pushed predicates turn the record away it seeks to the next one without inflating the payload.
-Archives without that field, and uncompressed ones, are read as well.
+Archives without that field, and uncompressed ones, are read as well; one that ends inside a record
+is an error, as its records can't be told from a whole archive's.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
-from sparkwright.llm.common import new_folder
+from sparkwright.llm.common import discard, new_folder, stored
 
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 256 << 20
 HEAD = 2048
+#: More payloads with copies than this and they meet their rows by shuffle instead of being sent to each executor.
+BROADCAST_COPIES = 500_000
 SCHEMA = (
     "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes bigint, "
     "refers_to string, content_length bigint, headers map<string,string>, payload binary"
@@ -102,7 +105,10 @@ def _get(headers: dict[str, str], column: str) -> str | None:
 
 
 class WarcReader(DataSourceReader):
-    """A partition for each archive. Options: path (a folder or file URI), paths (a JSON list of URIs), payload (false: never inflate it)."""
+    """A partition for each archive. Options: path (a folder or file URI), paths (a JSON list of URIs), payload: true
+    (the default), false (never inflate it) or digest (inflate it, take payload_digest and payload_bytes from it and
+    hold the digest against the header's, but return no payload).
+    """
 
     def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
@@ -146,16 +152,23 @@ class WarcReader(DataSourceReader):
             return
         files, path = _files(partition.path)
         rows, held = [], 0
-        payload = self.options.get("payload", "true").lower() != "false"
+        mode = self.options.get("payload", "true").lower()
         with files.open_input_file(path) as f:
-            for headers, block in records(f, self.wanted, payload):
+            for headers, block in records(f, self.wanted, mode != "false"):
                 body = None if block is None else block.partition(b"\r\n\r\n")[2] if "application/http" in headers.get("Content-Type", "") else block
-                row = {c: _get(headers, c) for c in FIELDS} | {"headers": list(headers.items()), "payload": None if headers.get("WARC-Type") == "revisit" else body}
+                if headers.get("WARC-Type") == "revisit":
+                    body = None
+                row = {c: _get(headers, c) for c in FIELDS} | {"headers": list(headers.items()), "payload": body}
                 size = headers.get("X-Payload-Length")
-                row["payload_bytes"] = int(size) if size is not None else len(body) if body is not None else None
+                row["payload_bytes"] = len(body) if body is not None else int(size) if size is not None else None
                 row["content_length"] = int(headers.get("Content-Length", 0))
+                if mode == "digest" and body is not None:
+                    own = digest(body)
+                    if headers.get("WARC-Payload-Digest", "").startswith("sha1:") and row["payload_digest"].upper() != own:
+                        raise ValueError(f"{partition.path}: the payload of {row['record_id']} isn't that of its digest")
+                    row |= {"payload_digest": own, "payload": None}
                 rows.append(row)
-                held += row["content_length"]
+                held += row["content_length"] if mode == "true" else 0
                 if len(rows) >= 1000 or held > 8 << 20:
                     yield pa.RecordBatch.from_pylist(rows, _KIND)
                     rows, held = [], 0
@@ -164,7 +177,7 @@ class WarcReader(DataSourceReader):
 
 
 def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and block of each wanted record; the rest of others is skipped. f: a seekable file."""
+    """Headers and block of each wanted record; the rest of others is skipped. f: a seekable file. A cut one raises ValueError."""
     end, at = f.size(), 0
     while at < end:
         f.seek(at)
@@ -172,17 +185,26 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes |
         if start[:2] != b"\x1f\x8b":
             headers, head = _plain_head(f, at)
             length = int(headers.get("Content-Length", 0))
+            if at + head + length > end:
+                raise _cut(at)
             if wanted(headers):
                 f.seek(at + head)
                 yield headers, (f.read(length) if payload else None)
             at += head + length + 4
             continue
-        size = struct.unpack("<I", start[16:20])[0] if start[3] & 4 and start[12:14] == b"sl" else 0
+        size = struct.unpack("<I", start[16:20])[0] if len(start) >= 20 and start[3] & 4 and start[12:14] == b"sl" else 0
+        if at + size > end:
+            raise _cut(at)
         f.seek(at)
         z, data = zlib.decompressobj(31), b""
         while b"\r\n\r\n" not in data and not z.eof:
-            data += z.decompress(z.unconsumed_tail or f.read(HEAD if size else 1 << 16), 1 << 13)
-        head = data.index(b"\r\n\r\n")
+            more = z.unconsumed_tail or f.read(HEAD if size else 1 << 16)
+            if not more:
+                raise _cut(at)
+            data += z.decompress(more, 1 << 13)
+        head = data.find(b"\r\n\r\n")
+        if head < 0:
+            raise ValueError(f"no WARC record at byte {at}")
         headers = parse_head(data[:head])
         keep = wanted(headers)
         if size and not (keep and payload):
@@ -192,7 +214,7 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes |
             while not z.eof:
                 more = z.unconsumed_tail or f.read(max(HEAD, size) if size else 1 << 16)
                 if not more:
-                    break
+                    raise _cut(at)
                 parts.append(z.decompress(more, 1 << 20))
             at = f.tell() - len(z.unused_data)
             data = b"".join(parts)
@@ -200,6 +222,10 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict[str, str], bytes |
             yield headers, (data[head + 4 : head + 4 + int(headers.get("Content-Length", 0))] if payload else None)
 
 
+def _cut(at: int) -> ValueError:
+    return ValueError(f"the archive ends inside the record at byte {at}")
+
+
 def _plain_head(f, at: int) -> tuple[dict[str, str], int]:
     f.seek(at)
     data = b""
@@ -226,8 +252,10 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read_warc(spark: SparkSession, paths: list[str] | str, payload: bool = True) -> DataFrame:
-    """Archives of a folder or a list of files; filters on record type and headers are pushed to the reader."""
+def read_warc(spark: SparkSession, paths: list[str] | str, payload: bool | str = True) -> DataFrame:
+    """Archives of a folder or a list of files; filters on record type and headers are pushed to the reader (the
+    session's option for it is set for good, as the plan is made when the result is used). payload: see WarcReader.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     reader = spark.read.format("warc").option("payload", str(payload).lower())
@@ -237,15 +265,19 @@ def read_warc(spark: SparkSession, paths: list[str] | str, payload: bool = True)
 def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> list[str]:
     """Writes a record for each row of pages(page_id, url, html) and returns the archives' URIs.
 
-    Of equal payloads the largest page_id's is the response. Only digests and ids are grouped; payloads
-    move once, to meet the response's id, and a frequent payload's rows are split like any skewed join's.
-    A task writes files of its own names; the manifest holds those of the attempts that ended well, so
+    Of equal payloads the largest page_id's is the response. Only digests and ids are grouped: what stands
+    once is written where it is read, and the digests of payloads with copies are sent to the executors. If
+    they are more than BROADCAST_COPIES, payloads move once, to meet them, and a frequent payload's rows are
+    split like any skewed join's. A task writes files of its own names; the manifest holds those of the attempts that ended well, so
     what a lost executor left is never read.
     """
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("sha", F.unhex(F.sha1("payload")))
-    keep = own.groupBy("sha").agg(F.max("page_id").alias("keep"))
-    both = own.join(keep, "sha").select("page_id", "url", "payload", "sha", F.when(F.length("payload") >= min_bytes, F.col("keep")).alias("keep"))
+    copies = own.select("page_id", "sha").groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").select("sha", "keep")
+    copies = stored(copies, "copies")
+    few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    both = own.join(F.broadcast(copies) if few else copies, "sha", "left")
+    both = both.select("page_id", "url", "payload", "sha", F.when(F.length("payload") >= min_bytes, F.col("keep")).alias("keep"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, path = _files(folder)
@@ -271,6 +303,7 @@ def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: i
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["uri"])
 
     both.mapInArrow(work, "uri string").write.parquet(f"{folder}-manifest")
+    discard(copies)
     found = pages.sparkSession.read.schema("uri string").parquet(f"{folder}-manifest")
     return sorted(r.uri for r in found.collect())
 
@@ -281,28 +314,16 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     A null html counts as empty; a null url has no header. Rows of a null page_id are responses only if no
     row with an id has their payload; of equal largest page_ids all are responses. Further columns are
-    ignored, and an empty table gives no row. A response's digest and length are taken from its payload.
+    ignored, and an empty table gives no row. A response's digest and length are taken from the payload that
+    the archive holds, by the reader, which has its bytes.
     """
     spark = pages.sparkSession
     paths = write_pages(pages, new_folder(spark, "warc"), min_bytes)
     if not paths:
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-    read = read_warc(spark, paths).where(F.col("record_type").isin("response", "revisit"))
+    read = read_warc(spark, paths, "digest").where(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^urn:x-page:(-?[0-9]+)$', 1) as bigint)")
-    full = F.col("payload").isNotNull()
-    return read.select(
-        number("record_id").alias("page_id"),
-        F.when(full, F.length("payload").cast("bigint")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(full, _base32(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", number("refers_to").alias("refers_to"),
-    )
-
-
-def _base32(hexed):
-    """Upper-case base32 of 40 hexadecimal digits: 32 groups of five bits."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring(hexed, 10 * i + 1, 10), 16, 2), 40, "0") for i in range(4)))
-    letter = lambda i: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), F.conv(F.substring(bits, 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1))
-    return F.concat(*(letter(i) for i in range(32)))
+    return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
 ORACLE = """

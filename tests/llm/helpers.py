@@ -2,6 +2,8 @@
 
 import zlib
 
+from pyspark.sql import functions as F
+
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, component_id string, h string, rank int"
 LONG = " ".join(f"word{i % 997} the of" for i in range(8000))
 PLAIN = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the woods"
@@ -16,11 +18,11 @@ def documents():
 
 
 def awkward(spark):
-    return spark.createDataFrame(documents(), DOCS)
+    return spark.createDataFrame(documents(), DOCS).withColumn("text.x`y", F.lit("dotted"))
 
 
 def empty(spark):
-    return spark.createDataFrame([], DOCS)
+    return spark.createDataFrame([], DOCS).withColumn("text.x`y", F.lit("dotted"))
 
 
 def is_held_out(doc_id):

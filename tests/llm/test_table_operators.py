@@ -1,10 +1,13 @@
 import base64
+import collections
 import gzip
 import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkwright.llm import encoding, htmltext, mixing, neighbours, repair, warc
@@ -54,9 +57,29 @@ def test_grammar_round_trip_and_slices():
         assert (repair.Block(alphabet, rules.astype(np.int64), repair.rule_lengths(rules, len(alphabet)), symbols, per_doc).decode() == one).all()
 
 
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([rng.zipf(1.3, 60_000) % 3000, np.tile([7, 8, 9], 400), np.tile([1], 999)])
+    sizes = np.array([100, 20_000, len(ids) - 20_100])
+    _, rules, symbols, per_doc = repair.compress(ids, sizes)
+    last = np.zeros(len(symbols), bool)
+    last[np.cumsum(per_doc) - 1] = True
+    pairs = [(a, b) for a, b, end in zip(symbols.tolist(), symbols[1:].tolist(), last.tolist()) if not end]
+    assert len(rules) and max(collections.Counter(pairs).values()) < repair.MIN_COUNT
+
+
+def test_grammar_of_many_ids():
+    rng = np.random.default_rng(0)
+    ids = np.concatenate([rng.permutation(90_000), np.tile([5, 6, 70_007], 500), rng.permutation(90_000)])
+    row = repair._block_row(0, 0, 0, [1, 2], ids, np.array([1000, len(ids) - 1000]))
+    block = repair.read_block(row)
+    assert row["width"] == 4 and (block.decode() == ids).all() and (block.slice(1, 88_000, 91_000) == ids[89_000:92_000]).all()
+
+
 @pytest.mark.parametrize("block", [50, 1 << 20])
 def test_token_file(spark, library, block):
-    rows = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    h = lambda t: 42 if t is None else xxhash.xxh64_intdigest(t.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(t.encode(), 42) >> 63)
+    rows = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, h(r[1]), r[1] or ""))
     got = [tuple(r) for r in repair.token_file(awkward(spark), block_ids=block).orderBy("start").collect()]
     want, start = [], 0
     for r in rows:
@@ -167,6 +190,35 @@ def plain_search(ids, vectors, k):
     return out
 
 
+@pytest.mark.parametrize("wrap", [warc.member, gzip.compress, bytes])
+def test_cut_archives_are_errors(wrap):
+    made = [wrap(warc.page_record(i, "http://a/b", b"body " * 40, "D", 9, False)) for i in range(2)]
+    whole = b"".join(made)
+    assert len(list(warc.records(pa.BufferReader(whole), lambda h: True, True))) == 2
+    for at in [*range(1, len(made[0]) - 4, 7), *range(len(made[0]) + 1, len(whole) - 4, 5)]:
+        for payload in (True, False):
+            if wrap is gzip.compress and not payload:
+                continue
+            with pytest.raises(ValueError):
+                list(warc.records(pa.BufferReader(whole[:at]), lambda h: True, payload))
+
+
+def test_payloads_beyond_the_broadcast(spark, monkeypatch):
+    pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
+    want = sorted(map(str, warc.archive_pages(pages).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_COPIES", 0)
+    assert sorted(map(str, warc.archive_pages(pages).collect())) == want
+
+
+def test_a_changed_payload_is_an_error(spark, tmp_path):
+    data = warc.page_record(1, "http://a/b", b"body", warc.digest(b"other"), None, False)
+    (tmp_path / "x.warc").write_bytes(data)
+    assert warc.read_warc(spark, f"file://{tmp_path}").count() == 1
+    with pytest.raises(Exception, match="digest"):
+        warc.read_warc(spark, f"file://{tmp_path}", "digest").collect()
+
+
+
 @pytest.mark.parametrize("fewest", [0, 10**9])
 def test_neighbours(spark, fewest):
     rng = np.random.default_rng(1)

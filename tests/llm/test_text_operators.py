@@ -37,16 +37,17 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+@pytest.mark.parametrize("deep", [False, True])
 @pytest.mark.parametrize("bits", range(5))
-def test_keys_lose_no_pair_within_four_bits(bits):
+def test_keys_lose_no_pair_within_four_bits(bits, deep):
     rng = np.random.default_rng(bits)
     x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
     y = x.copy()
     for i in range(len(y)):
         for b in rng.choice(64, bits, replace=False):
             y[i] ^= np.uint64(1) << np.uint64(b)
-    keys, real, _ = simhash.keys_of(x)
-    _, _, address = simhash.keys_of(y)
+    keys, real, _ = simhash.keys_of(x, deep)
+    _, _, address = simhash.keys_of(y, deep)
     assert ((keys[:, :, None] == address[:, None, :]) & real[:, :, None]).any((1, 2)).all()
 
 
@@ -72,11 +73,36 @@ def test_near_duplicates_by_brute_force(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_one_of_each_group_stays(spark):
-    kept = simhash.keep_first(awkward(spark))
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == awkward(spark).columns
-    assert ids.count(None) == 2 and 5 not in ids and ids.count(4) == 1 and 0 in ids and 1 not in ids
+@pytest.mark.parametrize("deep_from", [0, 1 << 40])
+def test_links_by_brute_force(spark, deep_from):
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    prints = set(seeds.tolist())
+    for s in seeds.tolist():
+        for _ in range(6):
+            for b in rng.choice(64, rng.integers(1, 6), replace=False).tolist():
+                s ^= 1 << b
+            prints.add(s & ((1 << 63) - 1))
+    prints = sorted(prints)
+    edges = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    roots = plain_components(edges)
+    want = {prints[i]: prints[r] for i, r in roots.items()}
+    found = components(simhash.links(spark.createDataFrame([(x,) for x in prints], "fp bigint"), deep_from=deep_from))
+    assert {r.node: r.root for r in found.collect()} == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    docs = awkward(spark)
+    rows = [tuple(r) for r in docs.collect()]
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    roots = {i: i for i in range(len(rows))} | plain_components([(i, j) for i in range(len(rows)) for j in range(len(rows)) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    first = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42) ^ 1 << 63)
+        first[roots[i]] = min(first.get(roots[i], (key, r)), (key, r), key=lambda x: x[0])
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(str(r) for _, r in first.values())
 
 
 # Toxicity
@@ -194,7 +220,15 @@ def test_copies_whole_and_edited(spark):
         assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == 5
     one = next(r for r in got if r.doc_id == 100)
     assert (one.score, one.first_word, one.last_word) == (1.0, 200, 229)
-    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} - {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {100, 101, 103}
+    assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} - {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {100, 101, 103, None}
+    # rows that share an id, or have none, are judged each by its own text; names may hold dots
+    odd = docs.unionByName(spark.createDataFrame([(100, clean[5], 1.0), (None, clean[6], 1.0)], docs.schema)).withColumnRenamed("score", "item_id.x`y")
+    left = decontaminate.drop_contaminated(odd, bench)
+    assert left.columns == odd.columns and {(r[0], r[1]) for r in left.collect() if r[0] in (100, None)} == {(100, clean[5]), (None, clean[6])}
+    # repeated items each count
+    twice = decontaminate.contaminated(docs, bench.unionByName(bench.where("item_id = 0")).unionByName(bench.where("item_id = 3").selectExpr("cast(null as bigint) item_id", "text")))
+    assert sorted((r.doc_id, r.item_id) for r in twice.collect() if r.doc_id == 100) == [(100, 0)] * 2
+    assert [r.item_id for r in twice.collect() if r.doc_id == 103].count(None) == 2
     assert decontaminate.contaminated(empty(spark), bench).count() == 0 and decontaminate.contaminated(awkward(spark), bench.limit(0)).count() == 0
 
 
