@@ -2,11 +2,14 @@
 
 A vector is normalised, padded to a power of two and turned by three rounds of random signs and a
 fast Hadamard transform. Its hash is the signed axis that it then lies nearest to. A table joins the
-hashes of some turns into one code; a query looks into its own bucket and into those of the
-next-nearest axes. Equal vectors count as one while searching, so a frequent vector is one entry.
-
-The queries are a stated set and go to the executors in blocks of bounded size; every task searches
-the codes of its own part of the index, reranks what the buckets hold and keeps each query's k best.
+hashes of some turns into one code, the last one of some axes only, so that there are about as many
+codes as vectors at every size; a query looks into its own bucket and into those whose axes are next
+nearest in all, more of them the more vectors there are. Equal vectors count as one while searching,
+so a frequent vector is one entry.
+
+Codes of the index and codes that queries look into meet in one shuffle join; large buckets are
+split. Each vector is then sent, with the numbers of the queries that found it, to be compared
+exactly, by blocks of queries of bounded size, and each query's k best are kept, by task first.
 """
 
 from __future__ import annotations
@@ -19,26 +22,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwright.llm.common import stored
+from sparkwright.llm.common import discard, stored
 
-TABLES = 64
-TURNS = 2
-PROBES = 40
+TABLES = 32
+#: Buckets that a query looks into, by table: this times the root of the number of distinct vectors, but not below the least.
+PROBES, LEAST_PROBES = 0.45, 10
 SEED = 12345
-#: A query whose buckets hold fewer distinct vectors than this is searched exactly.
-FEWEST = 1000
-#: Queries that are sent to the executors at once.
-BLOCK = 2048
+#: Bytes of query vectors that are sent to the executors at once.
+BLOCK_BYTES = 64 << 20
+#: Entries of a bucket beyond which it is split.
+BUCKET = 4096
+#: More large buckets than this and they are joined by shuffle.
+BROADCAST_BUCKETS = 100_000
 PAIRS = 1 << 16
 
 
+def axes_of(n: int, size: int) -> list[int]:
+    """How many axes each turn of a table has, of `size` or fewer: the products of twice as many come near n from below."""
+    out, left = [], float(n)
+    while left >= 2:
+        out.append(min(size, 1 << int(np.log2(left / 2))))
+        left /= 2 * out[-1]
+    return out or [1]
+
+
 class CrossPolytope:
-    """tables codes for a vector, each of `turns` signed axes."""
+    """`tables` codes for a vector, each of as many signed axes as `axes` has turns."""
 
-    def __init__(self, dim: int, tables: int = TABLES, turns: int = TURNS, seed: int = SEED):
+    def __init__(self, dim: int, tables: int, axes: list[int], seed: int = SEED):
         self.dim, self.size = dim, 1 << max(1, int(np.ceil(np.log2(max(2, dim)))))
-        self.tables, self.turns = tables, turns
-        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables * turns, 3, self.size))
+        self.tables, self.axes = tables, axes
+        self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables * len(axes), 3, self.size))
+
+    @staticmethod
+    def size_of(dim: int) -> int:
+        return 1 << max(1, int(np.ceil(np.log2(max(2, dim)))))
 
     def turn(self, x: np.ndarray, k: int) -> np.ndarray:
         """Three rounds of signs and the fast Hadamard transform."""
@@ -59,32 +77,37 @@ class CrossPolytope:
         return x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
-        """(n, tables): the nearest signed axes, as one number for each table."""
-        return self.probes(vectors, 1)[:, :, 0]
+        """(n, tables): the nearest signed axes and the table, as one number."""
+        x = self._turned(vectors)
+        out = np.zeros((len(x), self.tables), np.int64)
+        for t in range(self.tables):
+            for k, axes in enumerate(self.axes):
+                y = self.turn(x, t * len(self.axes) + k)[:, :axes]
+                out[:, t] = out[:, t] * 2 * axes + np.concatenate([y, -y], 1).argmax(1)
+            out[:, t] = out[:, t] * self.tables + t
+        return out
 
     def probes(self, vectors: np.ndarray, probes: int) -> np.ndarray:
-        """(n, tables, probes): the codes of the nearest axes, the nearest first; of several turns, the one that costs least varies."""
-        each = min(probes, 2 * self.size)  # axes of one turn
-        probes = min(probes, self.turns * (each - 1) + 1)
-        x = self._turned(vectors)
-        rows = np.arange(len(x))
-        out = np.zeros((len(x), self.tables, probes), np.int32 if (2 * self.size) ** self.turns < 1 << 31 else np.int64)
+        """(n, tables, probes or as many as there are): the codes whose axes are nearest, by the sum of what each turn loses, the own one first."""
+        probes = min(probes, int(np.prod([2.0 * a for a in self.axes])))
+        x, out = self._turned(vectors), []
         for t in range(self.tables):
-            ranked, loss = [], []
-            for k in range(t * self.turns, (t + 1) * self.turns):
-                y = self.turn(x, k)
+            code, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+            for k, axes in enumerate(self.axes):
+                y = self.turn(x, t * len(self.axes) + k)[:, :axes]
                 both = np.concatenate([y, -y], 1)
-                near = np.argsort(-both, axis=1, kind="stable")[:, :each]
+                near = np.argsort(-both, axis=1, kind="stable")[:, :probes]
                 value = np.take_along_axis(both, near, 1)
-                ranked.append(near)
-                loss.append(value[:, :1] - value)
-            own = sum(r[:, 0].astype(np.int64) * (2 * self.size) ** k for k, r in enumerate(ranked))
-            # the own code, before any tie, then each turn's further axes
-            cost = np.concatenate([np.full((len(x), 1), -1.0), *(lo[:, 1:] for lo in loss)], 1)
-            code = np.concatenate([own[:, None], *(own[:, None] + (r[:, 1:] - r[:, :1]).astype(np.int64) * (2 * self.size) ** k for k, r in enumerate(ranked))], 1)
-            code = np.take_along_axis(code, np.argsort(cost, axis=1, kind="stable"), 1)
-            out[rows, t] = code[:, :probes]
-        return out
+                # of the i-th best code so far and the j-th best axis, (i + 1)(j + 1) pairs are as good or better
+                i, j = (a.ravel() for a in np.indices((code.shape[1], near.shape[1])))
+                some = (i + 1) * (j + 1) <= probes
+                i, j = i[some], j[some]
+                total = loss[:, i] + (value[:, :1] - value)[:, j]
+                best = np.argsort(total, axis=1, kind="stable")[:, :probes]
+                loss = np.take_along_axis(total, best, 1)
+                code = np.take_along_axis(code[:, i] * 2 * axes + near[:, j], best, 1)
+            out.append(code * self.tables + t)
+        return np.stack(out, 1)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -106,7 +129,7 @@ def _best(q: np.ndarray, d: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     return order[np.arange(len(q)) - first < k]
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, turns: int = TURNS, probes: int = PROBES, fewest: int = FEWEST, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABLES, probes: float = PROBES, exact: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> (query_id, rank, vec_id, score): for each row whose vec_id is divisible
     by `every` the k nearest rows found but itself, by Euclidean distance in double precision on the vectors
     as they are; ties to the smaller vec_id. All others are candidates, and if they are fewer than k, all are found.
@@ -114,8 +137,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABL
     Rows whose vector is null, empty or zero, holds null or non-finite components or has another length than
     most take no part, nor do null ids. Of rows with equal vectors each has its own rank. A row that repeats
     another's id is the same row; of several vectors for one id the first in order counts. An empty table
-    gives no row; other columns are ignored. A query whose buckets hold fewer than `fewest` distinct vectors, or
-    fewer than k rows, is searched exactly: where vectors are few, the nearest may be far.
+    gives no row; other columns are ignored. A query whose buckets hold fewer than k rows is compared with all
+    vectors, and so is every query with exact=True.
     """
     spark = vectors.sparkSession
     rows = valid(vectors).groupBy("id").agg(F.min("v").alias("v"))
@@ -132,87 +155,97 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = TABL
     few = rows.withColumn("h", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     few = few.withColumn("r", near(["h", "v", "salt"])).where(F.col("r") <= k + 1)
     few = few.groupBy("h", "v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-    lsh = CrossPolytope(dim, tables, turns)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                codes = lsh.codes(_matrix(part.column(0), dim))
-                offsets = np.arange(0, codes.size + 1, tables, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(codes.ravel(), pa.int64()))], ["v", "ids", "codes"])
-
-    index = stored(few.select("v", "ids").mapInArrow(code, "v array<double>, ids array<bigint>, codes array<bigint>"), "index")
-    asked = rows.where(F.col("id") % every == 0)
-    n_asked, out = asked.count(), none
-    blocks = -(-n_asked // block)
+    index = stored(few.select(F.get("ids", F.lit(0)).alias("entry"), "v", "ids"), "index")
+    n, asked = index.count(), rows.where(F.col("id") % every == 0)
+    n_asked = asked.count()
+    blocks = max(1, -(-n_asked * dim * 8 // block_bytes))
+    asked = asked.withColumn("blk", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    out = None
+    if not exact:
+        lsh = CrossPolytope(dim, tables, axes_of(n, CrossPolytope.size_of(dim)))
+        pairs = stored(_candidates(index, asked, lsh, max(LEAST_PROBES, int(np.ceil(probes * np.sqrt(n))))), "candidates")
+        for i in range(blocks):
+            own = index.join(pairs.where(F.col("blk") == i), "entry").select("v", "ids", "queries")
+            found = _nearest(own, asked.where(F.col("blk") == i), k, dim)
+            out = found if out is None else out.unionByName(found)
+        out = stored(out, "found")
+        discard(pairs)
+        enough = out.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        asked = stored(asked.join(enough, F.col("id") == F.col("query_id"), "left_anti"), "short")
+    short = asked.count()
+    blocks = -(-short * dim * 8 // block_bytes)
     for i in range(blocks):
-        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().sort_by("id")
-        ids, matrix = own["id"].to_numpy(), _matrix(own["v"].combine_chunks(), dim)
-        found = stored(_block(index, ids, matrix, lsh, probes, k, dim, False), "found")
-        enough = found.groupBy("query_id").agg(F.sum("seen").alias("seen"), F.count("vec_id").alias("n")).where((F.col("seen") >= fewest) & (F.col("n") >= k))
-        short = ~np.isin(ids, enough.toArrow()["query_id"].to_numpy())
-        if short.any():
-            exact = _block(index, ids[short], matrix[short], lsh, probes, k, dim, True)
-            keep = spark.createDataFrame([(int(x),) for x in ids[short]], "query_id bigint")
-            found = found.join(F.broadcast(keep), "query_id", "left_anti").unionByName(exact)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        best = found.where("vec_id is not null").withColumn("rank", rank).where(F.col("rank") <= k)
-        out = out.unionByName(best.select("query_id", "rank", "vec_id", "score"))
-    return out
-
-
-def _block(index: DataFrame, ids: np.ndarray, matrix: np.ndarray, lsh: CrossPolytope, probes: int, k: int, dim: int, exact: bool) -> DataFrame:
-    """Of each task the k best of its part of the index for each query of a block, by buckets or of all entries: (query_id,
-    vec_id, score, seen), and a row without vec_id that tells how many entries were seen."""
-    sent = index.sparkSession.sparkContext.broadcast((ids, matrix, None if exact else _buckets(lsh.probes(matrix, probes))))
+        whole = index.select("v", "ids", F.lit(None).cast("array<bigint>").alias("queries"))
+        found = _nearest(whole, asked.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == i), k, dim)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return none
+    # a short query's few finds are among those of its full comparison
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    best = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")) if short and not exact else out
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _candidates(index: DataFrame, asked: DataFrame, lsh: CrossPolytope, probes: int) -> DataFrame:
+    """(entry, blk, queries): of each entry the queries, by block, that look into one of its buckets."""
+
+    def keyed(of) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    found = of(_matrix(part.column(2), lsh.dim)).reshape(part.num_rows, -1)
+                    offsets = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["id", "blk", "codes"])
+
+        return work
+
+    schema = "id bigint, blk int, codes array<bigint>"
+    held = index.select("entry", F.lit(0).alias("blk"), "v").mapInArrow(keyed(lsh.codes), schema).select(F.col("id").alias("entry"), F.explode("codes").alias("code"))
+    held = stored(held, "codes")
+    looked = asked.select("id", "blk", "v").mapInArrow(keyed(lambda x: lsh.probes(x, probes)), schema).select(F.col("id").alias("query"), "blk", F.explode("codes").alias("code"))
+    large = held.groupBy("code").count().where(F.col("count") > BUCKET).select("code", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts"))
+    large = stored(large, "large-buckets")
+    sent = F.broadcast(large) if large.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS else large
+    part = F.pmod(F.xxhash64("entry"), F.coalesce("parts", F.lit(1))).cast("int")
+    held = held.join(sent, "code", "left").select("code", "entry", part.alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    looked = looked.join(sent, "code", "left").select("code", "query", "blk", every.alias("part"))
+    return looked.join(held, ["code", "part"]).groupBy("entry", "blk").agg(F.collect_set("query").alias("queries"))
+
+
+def _nearest(entries: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
+    """entries(v, ids, queries; null for all) and a block's queries (id, v) -> (query_id, vec_id, score), of each task the k best for each query."""
+    own = asked.select("id", "v").toArrow().sort_by("id")
+    if not own.num_rows:
+        return entries.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+    sent = entries.sparkSession.sparkContext.broadcast((own["id"].to_numpy(), _matrix(own["v"].combine_chunks(), dim)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, buckets = sent.value
+        ids, matrix = sent.value
         q, d, v = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        seen = np.zeros(len(ids), np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                own, names = _matrix(part.column(0), dim), part.column(1)
+                mine, names = _matrix(part.column(0), dim), part.column(1)
                 sizes, flat = names.value_lengths().to_numpy(), names.flatten().to_numpy()
                 starts = np.cumsum(sizes) - sizes
-                every = np.arange(len(own) * len(ids), dtype=np.int64) if buckets is None else _pairs(_matrix(part.column(2), lsh.tables), buckets, len(ids))
-                for cut in range(0, len(every), PAIRS):
-                    row, query = np.divmod(every[cut : cut + PAIRS], len(ids))
-                    seen += np.bincount(query, minlength=len(ids))
-                    gap = own[row] - matrix[query]
+                if part.column(2).null_count:
+                    row, query = (x.ravel() for x in np.indices((len(mine), len(ids))))
+                else:
+                    row = np.repeat(np.arange(len(mine)), part.column(2).value_lengths().to_numpy())
+                    query = np.searchsorted(ids, part.column(2).flatten().to_numpy())
+                for cut in range(0, len(row), PAIRS):
+                    r, f = row[cut : cut + PAIRS], query[cut : cut + PAIRS]
+                    gap = mine[r] - matrix[f]
                     away = np.sqrt((gap * gap).sum(1))
-                    n = sizes[row]
-                    place = np.repeat(starts[row] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    query, away, name = np.repeat(query, n), np.repeat(away, n), flat[place]
-                    other = name != ids[query]
-                    q, d, v = np.concatenate([q, query[other]]), np.concatenate([d, away[other]]), np.concatenate([v, name[other]])
+                    n = sizes[r]
+                    place = np.repeat(starts[r] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    f, away, name = np.repeat(f, n), np.repeat(away, n), flat[place]
+                    other = name != ids[f]
+                    q, d, v = np.concatenate([q, f[other]]), np.concatenate([d, away[other]]), np.concatenate([v, name[other]])
                     best = _best(q, d, v, k)
                     q, d, v = q[best], d[best], v[best]
-        n = len(q)
-        cols = [pa.array(np.concatenate([ids[q], ids])), pa.array([*v.tolist(), *[None] * len(ids)], pa.int64()), pa.array(np.concatenate([d, np.zeros(len(ids))])), pa.array(np.concatenate([np.zeros(n, np.int64), seen]))]
-        yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "score", "seen"])
-
-    return index.select("v", "ids", "codes").mapInArrow(work, "query_id bigint, vec_id bigint, score double, seen bigint")
-
-
-def _buckets(probes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each table the sorted codes that queries look into, and whose they are."""
-    out = []
-    for t in range(probes.shape[1]):
-        code, query = probes[:, t].ravel(), np.repeat(np.arange(len(probes), dtype=np.int32), probes.shape[2])
-        order = np.argsort(code, kind="stable")
-        out.append((code[order], query[order]))
-    return out
-
-
-def _pairs(codes: np.ndarray, buckets: list[tuple[np.ndarray, np.ndarray]], n_queries: int) -> np.ndarray:
-    """Distinct row * n_queries + query that share a bucket of some table."""
-    found = [np.zeros(0, np.int64)]
-    for t, (code, query) in enumerate(buckets):
-        a, b = np.searchsorted(code, codes[:, t], "left"), np.searchsorted(code, codes[:, t], "right")
-        n = b - a
-        place = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        found.append(np.repeat(np.arange(len(codes)), n) * n_queries + query[place])
-    return np.unique(np.concatenate(found))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(v), pa.array(d)], ["query_id", "vec_id", "score"])
+
+    return entries.mapInArrow(work, "query_id bigint, vec_id bigint, score double")

@@ -180,9 +180,9 @@ def test_reader_skips_and_pushes(spark, tmp_path, form):
 # Neighbours
 
 
-def plain_search(ids, vectors, k):
+def plain_search(ids, vectors, k, every=100):
     out = []
-    for i in np.nonzero(ids % 100 == 0)[0]:
+    for i in np.nonzero(ids % every == 0)[0]:
         d = np.sqrt(((vectors - vectors[i]) ** 2).sum(1))
         d[i] = np.inf
         order = np.lexsort((ids, d))[: min(k, len(ids) - 1)]
@@ -218,18 +218,36 @@ def test_a_changed_payload_is_an_error(spark, tmp_path):
         warc.read_warc(spark, f"file://{tmp_path}", "digest").collect()
 
 
+# Neighbours
+
 
-@pytest.mark.parametrize("fewest", [0, 10**9])
-def test_neighbours(spark, fewest):
+@pytest.mark.parametrize("exact", [False, True])
+def test_neighbours(spark, exact, monkeypatch):
+    monkeypatch.setattr(neighbours, "BUCKET", 64)  # some buckets are split
     rng = np.random.default_rng(1)
     centres = rng.standard_normal((40, 16))
     vectors = (centres[rng.integers(0, 40, 3000)] + 0.2 * rng.standard_normal((3000, 16))).astype(np.float32)
     vectors[500:900] = vectors[500]
     vectors[900:903] *= 50
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>, rank int")
-    got = {(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, fewest=fewest, block=7).collect()}
+    got = {(r.query_id, r["rank"], r.vec_id) for r in neighbours.search(df, exact=exact, block_bytes=1000).collect()}
     want = set(plain_search(np.arange(3000), vectors.astype(float), 10))
-    assert len(got) == 300 and len({(q, v) for q, _, v in got} & {(q, v) for q, _, v in want}) >= (300 if fewest else 270)
+    assert len(got) == 300 and len({(q, v) for q, _, v in got} & {(q, v) for q, _, v in want}) >= (300 if exact else 270)
+
+
+def test_recall_by_hashing_alone_and_falling_share(spark, monkeypatch):
+    """Random directions, whose nearest are far: recall stays above 0.9, the share that is compared falls."""
+    shares = []
+    monkeypatch.setattr(neighbours, "discard", lambda df: shares.append(df.selectExpr("sum(size(queries))").first()[0]))
+    rng = np.random.default_rng(2)
+    for n in (500, 2000, 12_000):
+        vectors = rng.standard_normal((n, 64))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+        got = {(r.query_id, r.vec_id) for r in neighbours.search(df, every=n // 50).collect()}
+        want = {(q, v) for q, _, v in plain_search(np.arange(n), vectors, 10, n // 50)}
+        assert len(got & want) >= 0.9 * len(want)
+        shares[-1] /= n * len({q for q, _ in want})
+    assert shares[0] > 1.2 * shares[1] > 2 * shares[2], shares
 
 
 def test_neighbours_of_awkward_rows(spark):
@@ -243,12 +261,28 @@ def test_neighbours_of_awkward_rows(spark):
 
 
 def test_rotation_keeps_lengths():
-    h = neighbours.CrossPolytope(10, 3, 2)
+    h = neighbours.CrossPolytope(10, 3, [16, 4])
     x = np.random.default_rng(0).standard_normal((5, 16))
     assert np.allclose(np.linalg.norm(h.turn(x, 0), axis=1), np.linalg.norm(x, axis=1))
     v = np.random.default_rng(1).standard_normal((50, 10))
     assert (h.probes(v, 6)[:, :, 0] == h.codes(v)).all() and (h.codes(v) == h.codes(v * 8)).all()
     assert all(len(set(p)) == 6 for row in h.probes(v, 6) for p in row)
+    assert h.probes(v, 10**6).shape == (50, 3, 32 * 8) and all(len(set(p)) == 256 for row in h.probes(v, 10**6) for p in row)
+
+
+def test_probes_in_order_of_what_they_lose():
+    h = neighbours.CrossPolytope(16, 1, [16, 8])
+    for v in np.random.default_rng(3).standard_normal((5, 16)):
+        turned = [h.turn(v[None] / np.linalg.norm(v), k)[0, :a] for k, a in enumerate(h.axes)]
+        both = [np.concatenate([y, -y]) for y in turned]
+        loss = {a * 16 + b: both[0].max() - both[0][a] + both[1].max() - both[1][b] for a in range(32) for b in range(16)}
+        assert h.probes(v[None], 40)[0, 0].tolist() == sorted(loss, key=loss.get)[:40]
+
+
+def test_axes_follow_the_number_of_vectors():
+    for n in (1, 2, 5, 500, 2000, 51_282, 10**6, 10**9):
+        buckets = np.prod([2.0 * a for a in neighbours.axes_of(n, 64)])
+        assert buckets <= max(2, n) and 4 * buckets > n
 
 
 # HTML
