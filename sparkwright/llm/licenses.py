@@ -1,11 +1,16 @@
 """License scans: phrases by word position, notices by an exact set-containment join.
 
-Only DataFrame operations run here. The join is the usual prefix-filtering one, for containment:
-the tokens of all notices are ordered by their number of occurrences in the whole corpus, rarest
-first. A block that holds at least a = ceil(t * |T|) of a notice's |T| distinct tokens must hold one
-of its first |T| - a + 1 tokens, so only blocks with such a token become candidates (prefix filter),
-only those with at least a tokens stay (length filter), and of the tokens from the shared one
-onwards enough must be left on both sides (positional filter). What remains is counted in full.
+Only DataFrame operations run here. One pass splits each text into words once; it keeps their number
+and which words of notices and phrases the text has. Only texts whose words suffice for one of them
+are read again. There the join is the usual prefix-filtering one, for containment: the tokens of all
+notices are ordered by the number of texts that have them in the whole corpus, rarest first. A block
+that holds at least a = ceil(t * |T|) of a notice's |T| distinct tokens must hold one of its first
+|T| - a + 1 tokens, so only blocks with such a token become candidates (prefix filter), only those
+with at least a tokens stay (length filter), and of the tokens from the shared one onwards enough
+must be left on both sides (positional filter). What remains is counted in full.
+
+Blocks are lines, and windows of up to WINDOW neighbouring lines, as notices are wrapped; a window of
+more than one line counts where it holds no more than SPREAD times the notice's distinct tokens.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkwright.llm.common import ascii_lower, stored
+from sparkwright.llm.common import ascii_lower, discard, row_key, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,6 +48,10 @@ NOTICES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 )
 
+#: Lines of a window at most, and how many times a notice's distinct tokens it holds at most.
+WINDOW, SPREAD = 4, 2
+#: More texts than this to be read again and they meet their rows by shuffle instead of being sent to each executor.
+BROADCAST_DOCS = 500_000
 #: More tokens than this and their tables are joined by shuffle instead of being sent to each executor.
 BROADCAST_TOKENS = 100_000
 
@@ -69,18 +78,37 @@ def _starts(words: Column, phrase: str) -> Column:
 
 
 def phrase_places(docs: DataFrame, phrases: tuple = PHRASES) -> DataFrame:
-    """docs with `low` -> adds n_words, places (one array of starts for each phrase)."""
+    """docs with `low` -> adds places (one array of starts for each phrase)."""
     none = F.array().cast("array<int>")
-    may = F.lit(False)
-    for p, _ in phrases:
-        one = F.lit(True)
-        for w in p.split():
-            one = one & F.contains(F.col("low"), F.lit(w))
-        may = may | one
     # bound to a lambda variable, so that the words are split once and not for each position
     places = F.transform(F.array(_words(F.col("low"))), lambda words: F.array(*(F.when(F.size(words) > 0, _starts(words, p)).otherwise(none) for p, _ in phrases)))
-    empty = F.array(*(none for _ in phrases))
-    return docs.withColumn("n_words", F.regexp_count("low", F.lit(WORD)).cast("bigint")).withColumn("places", F.when(may, F.get(places, F.lit(0))).otherwise(empty))
+    return docs.withColumn("places", F.get(places, F.lit(0)))
+
+
+def _literals(words: list[str]) -> Column:
+    return F.array(*(F.lit(w) for w in words)) if words else F.array().cast("array<string>")
+
+
+def first_pass(docs: DataFrame, phrases: tuple, notices: tuple, threshold: float) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, k0, k1, k2, n_words, present, may): the number of words, those of phrases and notices
+    among them, and whether they suffice for one of these.
+
+    All letters are lower-cased here, which is quick and never loses a word: it changes no word's bounds, and
+    whatever A-Z alone would give is among what it gives.
+    """
+    tokens = [notice_words(t) for _, t in notices]
+    vocabulary = sorted({w for p, _ in phrases for w in p.split()} | {w for t in tokens for w in t})
+    words = docs.select("doc_id", *row_key(), F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), GAP).alias("ws"))
+    # gaps at the ends leave an empty string there
+    count = F.size("ws") - (F.get("ws", F.lit(0)) == "").cast("int") - ((F.size("ws") > 1) & (F.element_at("ws", -1) == "")).cast("int")
+    rows = words.select("doc_id", "k0", "k1", "k2", count.cast("bigint").alias("n_words"), F.array_intersect("ws", _literals(vocabulary)).alias("present"))
+    may = F.lit(False)
+    for p, _ in phrases:
+        own = sorted(set(p.split()))
+        may = may | (F.size(F.array_intersect("present", _literals(own))) == len(own))
+    for own in tokens:
+        may = may | (F.size(F.array_intersect("present", _literals(own))) >= int(-(-(len(own) * threshold - 1e-9) // 1)))
+    return rows.withColumn("may", may)
 
 
 def notices_frame(spark: SparkSession, notices: tuple = NOTICES) -> DataFrame:
@@ -99,14 +127,14 @@ def _schema(text: str):
     return StructType.fromDDL(text)
 
 
-def contained(docs: DataFrame, notices: DataFrame, threshold: float) -> DataFrame:
-    """docs(doc_id, h, low) x notices(notice, label, token) -> (doc_id, h, block, notice, label, containment),
-    each pair of a block (line) and a notice whose share of its distinct tokens in the block is at least the threshold.
+def contained(docs: DataFrame, notices: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """docs(k0, k1, k2, low) x notices(notice, label, token) -> (k0, k1, k2, line, lines, notice, label, containment), each
+    pair of a block and a notice whose share of its distinct tokens in the block is at least the threshold.
+    counts(token, count): how frequent tokens are in the corpus; those that it lacks are the rarest.
     """
     vocabulary = notices.select("token").distinct()
     small = vocabulary.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
     sent = F.broadcast if small else (lambda df: df)
-    counts = docs.select(F.explode(F.split("low", GAP)).alias("token")).join(sent(vocabulary), "token").groupBy("token").count()
     order = vocabulary.join(counts, "token", "left").select("token", F.row_number().over(Window.orderBy(F.coalesce("count", F.lit(0)), "token")).alias("rank"))
     order = stored(order, "token-order")
     ranked = notices.join(order, "token").groupBy("notice", "label").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
@@ -115,20 +143,25 @@ def contained(docs: DataFrame, notices: DataFrame, threshold: float) -> DataFram
     prefix = stored(prefix, "prefix")
     first = prefix.join(order, "rank").select("token").distinct()
 
-    blocks = docs.select("doc_id", "h", F.posexplode(F.split("low", "\n")).alias("block", "line"))
-    tokens = blocks.select("doc_id", "h", "block", F.array_distinct(F.split("line", GAP)).alias("tokens"))
-    some = tokens.select("doc_id", "h", "block", "tokens", F.explode("tokens").alias("token")).join(sent(first), "token")
-    some = stored(some.select("doc_id", "h", "block", "tokens").dropDuplicates(["doc_id", "h", "block"]), "blocks")
-    sets = some.select("doc_id", "h", "block", F.explode("tokens").alias("token")).join(sent(order), "token")
-    sets = sets.groupBy("doc_id", "h", "block").agg(F.array_sort(F.collect_set("rank")).alias("held"))
+    key = ["k0", "k1", "k2", "line", "lines"]
+    by_line = docs.select("k0", "k1", "k2", F.transform(F.split("low", "\n"), lambda x: F.array_distinct(_words(x))).alias("by_line"))
+    begins = by_line.select("*", F.explode(F.sequence(F.lit(0), F.size("by_line") - 1)).alias("line"))
+    widths = F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size("by_line") - F.col("line")))
+    blocks = begins.select("*", F.explode(widths).alias("lines"))
+    tokens = blocks.select(*key, F.array_distinct(F.flatten(F.slice("by_line", F.col("line") + 1, F.col("lines")))).alias("tokens"))
+    tokens = tokens.withColumn("n", F.size("tokens"))
+    some = tokens.select(*key, "n", "tokens", F.explode("tokens").alias("token")).join(sent(first), "token").select(*key, "n", "tokens").dropDuplicates(key)
+    sets = some.select(*key, "n", F.explode("tokens").alias("token")).join(sent(order), "token")
+    sets = sets.groupBy(*key).agg(F.array_sort(F.collect_set("rank")).alias("held"), F.first("n").alias("n"))
 
     at = sets.select("*", F.posexplode("held").alias("j", "rank"))
     pairs = at.join(sent(prefix), "rank").where(
         (F.size("held") >= F.col("a")) & (F.least(F.col("m") - F.col("i"), F.size("held") - F.col("j")) + F.least("i", "j") >= F.col("a"))
-    )
-    pairs = pairs.dropDuplicates(["doc_id", "h", "block", "notice"])
+        & ((F.col("lines") == 1) | (F.col("n") <= SPREAD * F.col("m")))
+    )
+    pairs = pairs.dropDuplicates([*key, "notice"])
     shared = F.size(F.array_intersect("held", "ranks"))
-    return pairs.where(shared >= F.col("a")).select("doc_id", "h", "block", "notice", "label", (shared / F.col("m")).alias("containment"))
+    return pairs.where(shared >= F.col("a")).select(*key, "notice", "label", (shared / F.col("m")).alias("containment"))
 
 
 def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES, threshold: float = 0.8) -> DataFrame:
@@ -137,30 +170,35 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES, th
 
     A-Z are lower-cased; words are runs of ASCII letters and digits and of non-ASCII characters. n_base
     counts the places where a phrase's words stand consecutively, first_word and last_word are the
-    smallest and largest start (words from 0; null without one). Blocks are lines; labels are the
-    phrases' and those of notices contained to `threshold`, distinct, sorted, comma-joined ("" for none).
-    score is 1 with a phrase, else the largest containment found that meets the threshold, else 0.
+    smallest and largest start (words from 0; null without one). Blocks are lines and windows of neighbouring
+    lines; labels are the phrases' and those of notices contained to `threshold`, distinct, sorted, comma-joined
+    ("" for none). score is 1 with a phrase, else the largest containment found that meets the threshold, else 0.
     Null texts count as empty, null ids keep their rows, repeated rows each get theirs, other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), ascii_lower(F.col("text")).alias("low"))
-    found = contained(rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))), notices_frame(spark, notices), threshold)
-    found = found.groupBy("doc_id", "h").agg(F.max("containment").alias("best"), F.collect_set("label").alias("extra"))
-    found = found.withColumnRenamed("doc_id", "k")
-    base = phrase_places(rows, phrases)
+    rows = stored(first_pass(docs, phrases, notices, threshold), "license-words")
+    counts = rows.select(F.explode("present").alias("token")).groupBy("token").count()
+    again = stored(rows.where("may").select("k0", "k1", "k2").distinct(), "license-texts")
+    few = again.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    texts = docs.select(*row_key(), ascii_lower(F.col("text").cast("string")).alias("low"))
+    texts = texts.join(F.broadcast(again) if few else again, ["k0", "k1", "k2"]).dropDuplicates(["k0", "k1", "k2"])
+    found = contained(texts, notices_frame(spark, notices), counts, threshold)
+    found = found.groupBy("k0", "k1", "k2").agg(F.max("containment").alias("best"), F.collect_set("label").alias("extra"))
     every = F.flatten("places")
     labels = F.filter(F.transform(F.arrays_zip("places", F.array(*(F.lit(x) for _, x in phrases)).alias("label")), lambda z: F.when(F.size(z["places"]) > 0, z["label"])), lambda x: x.isNotNull())
-    base = base.select(
-        "doc_id", "h", "n_words", F.size(every).cast("bigint").alias("n_base"), F.array_min(every).cast("bigint").alias("first_word"),
+    base = phrase_places(texts, phrases).select(
+        "k0", "k1", "k2", F.size(every).cast("bigint").alias("n_base"), F.array_min(every).cast("bigint").alias("first_word"),
         F.array_max(every).cast("bigint").alias("last_word"), labels.alias("base"),
     )
-    out = base.join(found, (F.coalesce(base.doc_id.cast("bigint"), F.lit(-1)) == found.k) & (base.h == found.h), "left")
+    facts = stored(base.join(found, ["k0", "k1", "k2"], "left").where("n_base > 0 or best is not null"), "license-facts")
+    discard(again)
+    out = rows.join(facts, ["k0", "k1", "k2"], "left")
+    none = F.array().cast("array<string>")
     joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     return out.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base")).alias("base_labels"),
-        joined(F.concat("base", F.coalesce("extra", F.array().cast("array<string>")))).alias("labels"),
-        F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word", joined(F.coalesce("base", none)).alias("base_labels"),
+        joined(F.concat(F.coalesce("base", none), F.coalesce("extra", none))).alias("labels"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 
@@ -169,7 +207,7 @@ def _literal(text: str) -> str:
 
 
 def oracle_sql(phrases: tuple = PHRASES, notices: tuple = NOTICES, threshold: float = 0.8) -> str:
-    """The same result in DuckDB's SQL, by comparing every line that has a notice's tokens with every notice."""
+    """The same result in DuckDB's SQL, by comparing every block that has a notice's tokens with every notice."""
     values = ", ".join(f"({i}, {_literal(a)}, {_literal(w)})" for i, (a, t) in enumerate(notices) for w in notice_words(t))
     gap, word = GAP.replace("\\", "\\"), WORD
     wheres = []
@@ -185,10 +223,13 @@ hits AS ({" UNION ALL ".join(wheres)}),
 base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM hits GROUP BY rid),
 notices(notice, label, token) AS (VALUES {values}),
 sizes AS (SELECT notice, any_value(label) AS label, count(*) AS m FROM notices GROUP BY notice),
-lines AS (SELECT rid, block, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM (SELECT rid, unnest(string_split(low, chr(10))) AS line, generate_subscripts(string_split(low, chr(10)), 1) AS block FROM d)),
-tokens AS (SELECT rid, block, unnest(ws) AS token FROM lines),
-shared AS (SELECT rid, block, notice, count(*) AS n FROM tokens JOIN notices USING (token) GROUP BY ALL),
-kept AS (SELECT rid, label, n::DOUBLE / m AS c FROM shared JOIN sizes USING (notice) WHERE n >= ceil(m * {threshold} - 1e-9)),
+lines AS (SELECT rid, line, list_distinct(regexp_extract_all(t, '{word}')) AS ws FROM (SELECT rid, unnest(string_split(low, chr(10))) AS t, generate_subscripts(string_split(low, chr(10)), 1) AS line FROM d)),
+tokens AS (SELECT DISTINCT rid, line - k AS start, w AS lines, token FROM (SELECT rid, line, unnest(ws) AS token FROM lines), range({WINDOW}) AS a(k), range(1, {WINDOW} + 1) AS b(w) WHERE k < w AND line - k >= 1),
+windows AS (SELECT rid, line AS start, w AS lines FROM lines, range(1, {WINDOW} + 1) AS b(w) JOIN (SELECT rid AS r, max(line) AS many FROM lines GROUP BY 1) ON rid = r WHERE line + w - 1 <= many),
+held AS (SELECT rid, start, lines, count(*) AS size FROM tokens SEMI JOIN windows USING (rid, start, lines) GROUP BY ALL),
+shared AS (SELECT rid, start, lines, notice, count(*) AS n FROM tokens JOIN notices USING (token) GROUP BY ALL),
+kept AS (SELECT rid, label, n::DOUBLE / m AS c FROM shared JOIN held USING (rid, start, lines) JOIN sizes USING (notice)
+ WHERE n >= ceil(m * {threshold} - 1e-9) AND (lines = 1 OR size <= {SPREAD} * m)),
 extra AS (SELECT rid, max(c) AS best, list(DISTINCT label) AS extra FROM kept GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
