@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 #: What Python's splitlines() splits on.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
-WORD = r"(?U)\b\w+\b"
+WORD = r"(?U)\w+"
 
 # Names that count as no reference, and the three forms of a reference.
 STOP_NAMES = ("if", "for", "while", "with", "def", "class", "return", "print", "str", "int", "list", "dict", "set", "len", "range")
@@ -68,6 +68,12 @@ def cache_key(content: Column, kind: Column, prompt: Column) -> Column:
     return F.md5(F.concat_ws(":", content, kind, F.coalesce(prompt, F.lit(""))))
 
 
+def strip_name(content: Column, name: Column) -> Column:
+    """content without the first occurrence of the name and a space, wherever it stands."""
+    at = F.instr(content, F.concat(name, F.lit(" ")))
+    return F.when(at > 0, F.concat(F.substring(content, F.lit(1), at - 1), F.substring(content, at + F.length(name) + 1, F.length(content)))).otherwise(content)
+
+
 def words(text: Column) -> Column:
     """Pieces between white space."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")

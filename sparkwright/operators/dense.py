@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.functions.ordering import written
 from sparkwright.operators.sparse import top_k
 
 #: Queries that are sent to the executors at once.
@@ -61,6 +62,60 @@ def inner_product_top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, dig
     return out
 
 
+def cells_of(n: int) -> int:
+    """How many cells an inverted-file index of n vectors has."""
+    return max(1, min(int(4 * n**0.5), n // 39))
+
+
+def ivf_build(vectors: DataFrame, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+    """vectors(doc_id, vec) -> (doc_id, vec, cell) and the cells' centres, fitted on at most `sample` vectors, those of the smallest hashed ids.
+
+    Each vector's cell is that of the centre with the largest inner product. All vectors are indexed.
+    """
+    own = vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+    n = own.count()
+    if not n:
+        return own.withColumn("cell", F.lit(0)), np.zeros((0, 0))
+    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("vec").toArrow()["vec"].combine_chunks()
+    points = chosen.flatten().to_numpy(zero_copy_only=False).reshape(len(chosen), -1)
+    centres = points[np.random.default_rng(seed).choice(len(points), min(cells_of(n), len(points)), replace=False)]
+    for _ in range(rounds):
+        cell = (points @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, cell, points)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
+    sent = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            matrix = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((matrix @ sent.value.T).argmax(1).astype(np.int32))], ["doc_id", "vec", "cell"])
+
+    return written(own.mapInArrow(assign, "doc_id bigint, vec array<double>, cell int"), "ivf"), centres
+
+
+def ivf_top_k(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 50, nprobe: int = 64, digits: int = 6) -> DataFrame:
+    """queries(query_id, vec) and ivf_build()'s results -> (query_id, rank, doc_id, score): the k best of the nprobe cells
+    whose centres have the largest inner products. With nprobe cells or fewer that is the exact search, and done as such.
+    """
+    if len(centres) <= nprobe:
+        return inner_product_top_k(queries, index, k, digits)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            matrix = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            cells = np.argsort(-(matrix @ sent.value.T), axis=1, kind="stable")[:, :nprobe]
+            offsets = np.arange(0, cells.size + 1, nprobe, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(cells.ravel().astype(np.int32)))], ["query_id", "q", "cells"])
+
+    sent = index.sparkSession.sparkContext.broadcast(centres)
+    own = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec").cast("array<double>").alias("q"))
+    asked = own.mapInArrow(probe, "query_id bigint, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell"))
+    scored = asked.join(index, "cell").select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("vec")), digits).alias("score"))
+    return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
+
+
 def hashed_embedder(dim: int = 768):
     """A deterministic stand-in for a sentence encoder: a signed, hashed bag of words of length 1."""
 

@@ -57,8 +57,10 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, types: list[str] | Non
     step = edges.select(F.col(a).alias("at"), F.col(b).alias("to")).distinct()
     level = seeds.select("seed", F.col("seed").alias("at")).distinct()
     out = None
-    for _ in range(depth):
+    for i in range(depth):
         level = level.join(step, "at").select("seed", F.col("to").alias("at")).distinct()
+        if i < depth - 1:  # read twice: by the next step and by the result
+            level = cut(level)
         out = level if out is None else out.unionByName(level)
     if out is None:
         return seeds.select("seed", F.col("seed").alias("node_id")).limit(0)
@@ -137,7 +139,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
     share = cut(edges.join(out_weight, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     sources = out_weight.select(F.col("src").alias("node_id"), F.lit(1).alias("out"))
     ranks = cut(nodes.join(sources, "node_id", "left").select("node_id", F.col("out").isNull().alias("dangling"), F.lit(1.0 / n).alias("r")))
-    for i in range(rounds):
+    for _ in range(rounds):
         loose = ranks.where("dangling").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
         sums = share.join(ranks.select(F.col("node_id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("r") * F.col("share")).alias("s"))
         base = (1 - alpha) / n + alpha * loose / n
@@ -159,6 +161,24 @@ def critical(nodes: DataFrame, share: float = 0.9) -> DataFrame:
     return nodes.crossJoin(F.broadcast(limits)).withColumn("is_critical", (F.col("centrality") >= F.col("_c")) & (F.col("complexity") >= F.col("_x"))).drop("_c", "_x")
 
 
+def add_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """new(node_id, node_type, file_path, symbol_name, content, metadata) joins nodes with the digest of its content; a node
+    that was there is replaced, and clean again."""
+    own = new.dropDuplicates(["node_id"]).select("node_id", "node_type", "file_path", "symbol_name", F.sha2("content", 256).alias("fingerprint"), F.lit(False).alias("is_dirty"), "metadata")
+    return nodes.join(own.select("node_id"), "node_id", "left_anti").select(*own.columns).unionByName(own)
+
+
+def dirty_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.where("is_dirty")
+
+
+def details(nodes: DataFrame, edges: DataFrame, sources: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of the wanted(node_id) that are nodes: all columns, source (empty if sources(node_id, source) has none), parents and children."""
+    own = nodes.join(wanted.select("node_id").distinct(), "node_id", "left_semi").join(sources.select("node_id", "source"), "node_id", "left")
+    near = edges.join(own.select(F.col("node_id").alias("dst")), "dst", "left_semi").unionByName(edges.join(own.select(F.col("node_id").alias("src")), "src", "left_semi")).distinct()
+    return context(own.withColumn("source", F.coalesce("source", F.lit(""))), near)
+
+
 def empty_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     nodes = "node_id string, node_type string, file_path string, symbol_name string, fingerprint string, is_dirty boolean, metadata map<string,string>"
     return spark.createDataFrame([], nodes), spark.createDataFrame([], "src string, dst string, type string, weight double")

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 NODES = (
     "file string, ordinal int, type string, name string, line int, end_line int, source_code string, docstring string, signature string, complexity int, loc int, error string"
@@ -285,3 +286,14 @@ def chunks(files: DataFrame, use_ast: bool = True, min_lines: int = 5, docstring
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
     return files.select("file", "text").mapInPandas(work, CHUNKS)
+
+
+def complexity_by_file(nodes: DataFrame) -> DataFrame:
+    """nodes() rows -> (file, complexity, n_nodes): the sum over a file's nodes, inner ones too; 0 for a file in error."""
+    return nodes.groupBy("file").agg(F.coalesce(F.sum("complexity"), F.lit(0)).cast("bigint").alias("complexity"), F.count("name").alias("n_nodes"))
+
+
+def index_rows(chunks: DataFrame) -> DataFrame:
+    """chunks() rows as an index keeps them: (chunk_id, content, metadata struct of file, lines, type and name)."""
+    meta = F.struct("file_path", "start_line", "end_line", "chunk_type", "symbol_name")
+    return chunks.select("chunk_id", "content", meta.alias("metadata"))

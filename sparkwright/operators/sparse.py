@@ -1,6 +1,9 @@
 """Sparse retrieval: postings and two forms of BM25, each over batches of queries.
 
-Queries meet postings in an equi-join on the term, so only documents that share a term are scored.
+Queries meet postings in an equi-join on the term, so only documents that share a term are scored. The
+postings are read several times, so they should be a table (see postings()). Where the queries' terms are
+few they are sent to the postings, and so a frequent term's rows stay spread as they are; more of them
+meet the postings by shuffle, where the engine splits what is skewed.
 """
 
 from __future__ import annotations
@@ -10,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkwright.functions import text as T
+from sparkwright.functions.ordering import written
+
+#: More rows of query terms than this and they are joined by shuffle.
+BROADCAST_TERMS = 500_000
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", group: str = "query_id", tie: str = "doc_id") -> DataFrame:
@@ -19,14 +26,30 @@ def top_k(scored: DataFrame, k: int, score: str = "score", group: str = "query_i
 
 
 def terms(docs: DataFrame, doc_id: str, text: Column, stem: bool = False) -> DataFrame:
-    """(doc_id, term, tf, len): the postings, a row for each distinct term of a document."""
-    words = T.tokens(F.coalesce(text, F.lit("")))
+    """(doc_id, term, tf, len): the postings, a row for each distinct term of a document.
+
+    Texts are dealt by document, so its terms are counted where they are found, and so are its scores later.
+    """
+    own = docs.select(F.col(doc_id).alias("doc_id"), text.alias("text")).repartition("doc_id")
+    words = T.tokens(F.coalesce("text", F.lit("")))
     words = T.stems(words) if stem else words
-    own = docs.select(F.col(doc_id).alias("doc_id"), words.alias("words"))
+    own = own.select("doc_id", words.alias("words"))
     each = own.select("doc_id", F.size("words").cast("bigint").alias("len"), F.explode("words").alias("term"))
     return each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def postings(docs: DataFrame, doc_id: str, text: Column, stem: bool = False) -> DataFrame:
+    """terms() as a table in the shared folder: texts are split once, however many lists are made from them."""
+    return written(terms(docs, doc_id, text, stem), "postings")
+
+
+def meet(weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """weights(query_id, term, ...) joined with postings on the term."""
+    weights = written(weights, "query-terms")
+    few = weights.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return postings.join(F.broadcast(weights) if few else weights, "term")
+
+
 def corpus(postings: DataFrame, n_docs: int) -> DataFrame:
     """One row: n documents, of whom some may be empty, and their mean length."""
     sizes = postings.groupBy("doc_id").agg(F.first("len").alias("len"))
@@ -51,7 +74,7 @@ def okapi(postings: DataFrame, queries: DataFrame, n_docs: int, k: int = 50, k1:
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.join(queries.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
     idf = idf.select("term", "avgdl", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    hit = queries.join(idf, "term").join(postings, "term")
+    hit = meet(queries.join(idf, "term"), postings)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     score = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return top_k(score, k).select("query_id", "rank", "doc_id", "score")
@@ -67,7 +90,7 @@ def all_terms(postings: DataFrame, queries: DataFrame, n_docs: int, k: int = 20,
     idf = df.crossJoin(F.broadcast(corpus(postings, n_docs)))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = idf.select("term", "avgdl", F.when(raw <= 0, F.lit(1e-6)).otherwise(raw).alias("idf"))
-    hit = queries.join(idf, "term").join(postings, "term")
+    hit = meet(queries.join(idf, "term"), postings)
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     score = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("have")).join(need, "query_id")
     return top_k(score.where("have = need"), k).select("query_id", "rank", "doc_id", "score")

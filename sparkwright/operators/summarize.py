@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkwright.functions import text as T
-from sparkwright.functions.ordering import numbered
+from sparkwright.functions.ordering import numbered, written
 
 Generator = Callable[[str], str]
 
-# The prompts that are there from the start, their types and variables.
+# The ids, names, types and variables of the prompts that are there from the start; the texts are this engine's own.
 DEFAULT_PROMPTS = (
     ("code_abstractive", "Code Abstractive Summary", "abstractive", ["code", "context"], "Say in a few sentences what this code is for.\n\nContext: ${context}\n\nCode:\n${code}\n"),
     ("code_extractive", "Code Extractive Summary", "extractive", ["code"], "List the lines of this code that matter most.\n\nCode:\n${code}\n"),
@@ -157,6 +157,49 @@ def echo_generator(prompt: str) -> str:
     return "\n".join(f"[{i}] The {kind} {name} is defined by the line: {line.strip()} and is summarised by its text." for i, kind, name, line in parts)
 
 
+def pending(nodes: DataFrame, done: DataFrame) -> DataFrame:
+    """Nodes that the checkpoint `done` doesn't name."""
+    return nodes.join(done.select("node_id"), "node_id", "left_anti")
+
+
+def with_attributes(summaries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """summaries(node_id, summary) with the nodes' type, name and file, empty for unknown nodes."""
+    own = nodes.select("node_id", "type", "name", "file")
+    out = summaries.join(own, "node_id", "left")
+    return out.select("node_id", "summary", *(F.coalesce(c, F.lit("")).alias(c) for c in ("type", "name", "file")))
+
+
+def run(nodes: DataFrame, store, generator: Generator = echo_generator, batch_size: int = 10, cadence: int = 100, table: str = "summaries") -> DataFrame:
+    """Summaries of all nodes into a table of the store, by waves of `cadence` batches; returns the event log of progress().
+
+    Each wave's results are added to the table before the next one starts, so a run that ends early is taken up there.
+    A connection error (the generator raises ConnectionError) disables the run: later waves make no call, and each of
+    their batches has an event `disabled`. Other errors cost their own batch only.
+    """
+    known = store.read(table)
+    todo = nodes if known is None else pending(nodes, known)
+    n, events = todo.count(), None
+    placed = written(numbered(todo, ["node_id"]), "todo")
+    for first in range(0, -(-n // batch_size), cadence):
+        low, high = first * batch_size, (first + cadence) * batch_size
+        wave = placed.where((F.col("place") >= low) & (F.col("place") < high)).drop("place")
+        made = written(summarize(wave, generator, batch_size), "wave")
+        store.upsert(table, made.where("node_id is not null").select("node_id", "summary", "valid", "confidence"), ["node_id"])
+        disabled = not made.where("error like 'Connection%'").isEmpty()
+        own = progress(made, batch_size).withColumn("batch", F.col("batch") + F.lit(first))
+        events = own if events is None else events.unionByName(own)
+        if disabled and first + cadence < -(-n // batch_size):
+            rest = nodes.sparkSession.range(first + cadence, -(-n // batch_size)).select(F.col("id").alias("batch"), F.lit("disabled").alias("phase"), F.lit(None).cast("string").alias("node_id"), F.lit("connection error").alias("message"))
+            return events.unionByName(rest)
+    return events if events is not None else nodes.sparkSession.createDataFrame([], "batch bigint, phase string, node_id string, message string")
+
+
+def batch_totals(results: DataFrame) -> DataFrame:
+    """memoised()'s rows, with latency_ms if there is one -> one row: items, tokens and latency in total."""
+    latency = F.coalesce(F.sum("latency_ms"), F.lit(0.0)) if "latency_ms" in results.columns else F.lit(0.0)
+    return results.agg(F.count("*").alias("items"), F.coalesce(F.sum("tokens_used"), F.lit(0)).cast("bigint").alias("tokens"), latency.cast("double").alias("latency_ms"))
+
+
 def summarize(nodes: DataFrame, generator: Generator = echo_generator, batch_size: int = 10, done: DataFrame | None = None) -> DataFrame:
     """nodes(node_id, type, name, file, source_code, docstring, parents, children) -> (node_id, batch, summary, valid, confidence, error).
 
@@ -164,7 +207,7 @@ def summarize(nodes: DataFrame, generator: Generator = echo_generator, batch_siz
     row but one of the batch's error with a null node_id.
     """
     if done is not None:
-        nodes = nodes.join(done.select("node_id"), "node_id", "left_anti")
+        nodes = pending(nodes, done)
     text = component(*(F.col(c) for c in ("node_id", "type", "name", "file", "source_code", "docstring", "parents", "children")))
     rows = batches(nodes.select("node_id", "name", text.alias("part")), ["node_id"], batch_size)
 

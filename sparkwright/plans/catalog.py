@@ -10,11 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkwright.functions import text as T
-from sparkwright.operators import context, dense, fuse, graph, metrics, parse, sparse, summarize
-from sparkwright.plans import fixtures
+from sparkwright.functions.ordering import new_folder, written
+from sparkwright.operators import backends, context, dense, fuse, graph, metrics, parse, sparse, summarize
+from sparkwright.plans import engine, fixtures
+from sparkwright.sources import files as sources
 from sparkwright.sources import sinks, store
+from sparkwright.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,10 +44,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 # Retrieval
 
 
-def _okapi(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _lists(spark: SparkSession, d: str, stem: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """Postings of the documents, the queries' terms, and how many documents there are."""
     docs = table(spark, d, "documents")
-    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
-    return sparse.okapi(sparse.terms(docs, "doc_id", F.col("text")), asked, docs.count(), k)
+    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"), stem)
+    return sparse.postings(docs, "doc_id", F.col("text"), stem), asked, docs.count()
 
 
 _POSTINGS = f"""
@@ -66,7 +71,7 @@ okapi AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sco
 
 @query(f"WITH {_OKAPI} SELECT * FROM okapi WHERE rank <= 10")
 def bm25_okapi_topk(spark, d):
-    return _okapi(spark, d, 10)
+    return sparse.okapi(*_lists(spark, d), 10)
 
 
 @query(
@@ -79,16 +84,12 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT * FROM r WHERE rank <= 20"""
 )
 def keyword_all_terms_topk(spark, d):
-    docs = table(spark, d, "documents")
-    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
-    return sparse.all_terms(sparse.terms(docs, "doc_id", F.col("text")), asked, docs.count(), 20)
+    return sparse.all_terms(*_lists(spark, d), 20)
 
 
 @query()
 def keyword_stemmed_topk(spark, d):
-    docs = table(spark, d, "documents")
-    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"), stem=True)
-    return sparse.all_terms(sparse.terms(docs, "doc_id", F.col("text"), stem=True), asked, docs.count(), 20)
+    return sparse.all_terms(*_lists(spark, d, stem=True), 20)
 
 
 @query(
@@ -102,12 +103,10 @@ def dense_topk(spark, d):
     return dense.inner_product_top_k(own.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), own, 10)
 
 
-def _overlap(spark: SparkSession, d: str, k: int) -> DataFrame:
+def _overlap(post: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The share of a query's distinct terms that a document holds."""
-    post = sparse.terms(table(spark, d, "documents"), "doc_id", F.col("text"))
-    asked = sparse.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("m"))
-    score = asked.join(post, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).join(F.broadcast(sizes), "query_id")
+    score = sparse.meet(asked, post).groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).join(F.broadcast(sizes), "query_id")
     return sparse.top_k(score.select("query_id", "doc_id", F.round(F.col("c") / F.col("m"), 6).alias("score")), k).select("query_id", "rank", "doc_id", "score")
 
 
@@ -126,12 +125,14 @@ SELECT * FROM g WHERE rank <= 20"""
 
 @query(f"WITH {_LISTS}, both_lists AS (SELECT query_id, doc_id, 1::DOUBLE / (60 + rank) AS part FROM okapi WHERE rank <= 40 UNION ALL SELECT query_id, doc_id, 1::DOUBLE / (60 + rank) FROM shares WHERE rank <= 40){_FUSED}")
 def rrf_unweighted(spark, d):
-    return fuse.rrf(_okapi(spark, d, 40), _overlap(spark, d, 40), 20)
+    post, asked, n = _lists(spark, d)
+    return fuse.rrf(sparse.okapi(post, asked, n, 40), _overlap(post, asked, 40), 20)
 
 
 @query(f"WITH {_LISTS}, both_lists AS (SELECT query_id, doc_id, 0.3::DOUBLE / (60 + rank) AS part FROM shares WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, 0.7::DOUBLE / (60 + rank) FROM okapi WHERE rank <= 50){_FUSED}")
 def rrf_weighted(spark, d):
-    return fuse.weighted_rrf(_overlap(spark, d, 50), _okapi(spark, d, 50), 20, alpha=0.3)
+    post, asked, n = _lists(spark, d)
+    return fuse.weighted_rrf(_overlap(post, asked, 50), sparse.okapi(post, asked, n, 50), 20, alpha=0.3)
 
 
 @query(
@@ -141,7 +142,7 @@ SELECT * FROM r WHERE rank <= 10"""
 )
 def context_query(spark, d):
     docs, asked = table(spark, d, "documents"), table(spark, d, "benchmark")
-    first = _okapi(spark, d, 50).join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
+    first = written(sparse.okapi(*_lists(spark, d), 50), "candidates").join(docs.select("doc_id", F.col("text").alias("content")), "doc_id")
     return context.rerank(first.join(asked.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id"), 10)
 
 
@@ -312,7 +313,8 @@ def fingerprint_skip(spark, d):
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def checkpoint_resume(spark, d):
-    return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    nodes, done = table(spark, d, "documents").withColumnRenamed("doc_id", "node_id"), table(spark, d, "labels").withColumnRenamed("doc_id", "node_id")
+    return summarize.pending(nodes, done).select(F.col("node_id").alias("doc_id"), "source")
 
 
 @query(
@@ -339,12 +341,13 @@ def token_estimate(spark, d):
 UNION ALL SELECT doc_id + 1000000000, 'new ' || lang, source FROM documents WHERE doc_id % 13 = 0"""
 )
 def incremental_update(spark, d):
-    """A table after replacing, adding and removing rows by key."""
-    old = table(spark, d, "documents").select("doc_id", "text", "source")
+    """A table of the store after replacing, adding and removing rows by key."""
+    tables = store.Store(spark, new_folder(spark, "store"))
+    old = tables.write("docs", table(spark, d, "documents").select("doc_id", "text", "source"))
     new = old.where("doc_id % 5 = 0").withColumn("text", F.upper("source")).unionByName(table(spark, d, "documents").where("doc_id % 13 = 0").select((F.col("doc_id") + 1000000000).alias("doc_id"), F.concat(F.lit("new "), "lang").alias("text"), "source"))
     gone = old.where("doc_id % 11 = 0").select("doc_id")
-    merged = old.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
-    return merged.join(gone, "doc_id", "left_anti")
+    tables.upsert("docs", new, ["doc_id"])
+    return tables.delete("docs", gone, ["doc_id"])
 
 
 # Summaries
@@ -445,3 +448,363 @@ def build_graph(spark, d):
     """Files to a resolved graph: (src, dst, type, weight)."""
     files = _files(spark)
     return graph.build(parse.nodes(files).where("error is null"), parse.edges(files))[1].withColumn("weight", F.col("weight").cast("double"))
+
+
+@query(fixtures.COMPLEXITY_SQL)
+def file_complexity(spark, d):
+    """Of each parsed file the sum of its nodes' complexity."""
+    return parse.complexity_by_file(parse.nodes(_files(spark)))
+
+
+@query(fixtures.NODE_TEXT_SQL)
+def node_texts(spark, d):
+    """Sources, docstrings and signatures of parsed nodes."""
+    own = parse.nodes(_files(spark)).where("file = 'util.py'")
+    return own.select("name", "source_code", "docstring", "signature")
+
+
+@query(fixtures.CHUNK_PARTS_SQL)
+def chunk_parts(spark, d):
+    """What chunks call, inherit and import, their docstrings and digests."""
+    own = parse.chunks(_files(spark).where("file like '%.py'"), min_lines=1)
+    return own.select("chunk_id", *(F.array_join(c, ",").alias(c) for c in ("imports", "calls", "inherits")), "docstring", "complexity", (F.col("fingerprint") == F.sha2("content", 256)).alias("digested"))
+
+
+@query(fixtures.ROWS_SQL)
+def index_rows(spark, d):
+    """Chunks as rows of an index, with their metadata."""
+    own = parse.index_rows(parse.chunks(_files(spark).where("file like '%.py'"), min_lines=3))
+    return own.select("chunk_id", F.length("content").alias("chars"), F.concat_ws("|", "metadata.file_path", "metadata.chunk_type", "metadata.symbol_name", F.col("metadata.start_line").cast("string"), F.col("metadata.end_line").cast("string")).alias("metadata"))
+
+
+# Retrieval over inline chunks, and the engine
+
+
+def _engine(spark: SparkSession) -> engine.Engine:
+    own = engine.Engine(spark, new_folder(spark, "engine"), embedder=dense.hashed_embedder(64), min_chunk_lines=1)
+    own.index(_files(spark))
+    return own
+
+
+@query(fixtures.ENGINE_SQL)
+def engine_update(spark, d):
+    """Chunks after a file changed, one was deleted and one was indexed again as it is."""
+    own = _engine(spark)
+    own.index(spark.createDataFrame([("util.py", fixtures.UTIL.replace("helper", "helped")), ("app.py", fixtures.APP)], "file string, text string"))
+    own.delete(spark.createDataFrame([("app.py",)], "file_path string"))
+    return own.store.read("chunks").select("chunk_id", "symbol_name")
+
+
+@query(fixtures.STATS_SQL)
+def engine_stats(spark, d):
+    return _engine(spark).stats().select("files", "bytes", "chunks", "vectors", "nodes", "dirty", "edges")
+
+
+@query(fixtures.STREAM_SQL)
+def change_events(spark, d):
+    """Changes applied as a micro-batch: of each file the last one counts."""
+    own = engine.Engine(spark, new_folder(spark, "engine"), embedder=dense.hashed_embedder(64), min_chunk_lines=1)
+    rows = [("app.py", "create", fixtures.APP, 1), ("util.py", "create", fixtures.APP, 2), ("util.py", "modify", fixtures.UTIL, 3), ("app.py", "delete", None, 4)]
+    incremental.apply_changes(own, spark.createDataFrame(rows, incremental.CHANGES))
+    incremental.apply_changes(own, spark.createDataFrame(rows, incremental.CHANGES))
+    return own.store.read("chunks").select("chunk_id", "symbol_name")
+
+
+_INLINE = "documents AS (SELECT chunk_id AS doc_id, content AS text FROM chunk), benchmark AS (SELECT query_id AS item_id, text FROM asked)"
+
+
+@query(f"WITH {fixtures.CONTENT_SQL}, {_INLINE}, {_OKAPI} SELECT * FROM okapi WHERE rank <= 5")
+def engine_keyword_search(spark, d):
+    asked = spark.createDataFrame(fixtures.ASKED, "query_id bigint, text string")
+    return _engine(spark).search(asked, 5, mode="keyword")
+
+
+@query(f"WITH {fixtures.SEMANTIC_SQL} SELECT query_id, chunk_id AS doc_id FROM asked, chunk WHERE text = content")
+def engine_semantic_search(spark, d):
+    """A query with a chunk's own words finds that chunk first."""
+    asked = spark.createDataFrame(fixtures.CONTENTS_ASKED, "query_id bigint, text string")
+    found = _engine(spark).search(asked, 3, mode="semantic")
+    return found.where("rank = 1").select("query_id", "doc_id")
+
+
+@query(fixtures.ANSWER_SQL)
+def engine_answer(spark, d):
+    """The context request: completeness of the answer to each query."""
+    asked = spark.createDataFrame(fixtures.ANSWER_ASKED, "query_id bigint, text string")
+    found = _engine(spark).answer(asked, dependency_depth=2)
+    return found["completeness"].select("query_id", "symbol_resolution", "dependency_coverage", F.array_join("unresolved", ",").alias("unresolved"))
+
+
+@query(ORACLES["dense_topk"])
+def ivf_topk(spark, d):
+    """Inverted-file search; with as many cells probed as there are, it is the exact one."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    index, centres = dense.ivf_build(own)
+    return dense.ivf_top_k(own.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), index, centres, 10, nprobe=max(64, len(centres)))
+
+
+# Results
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS shown, printf('%.2f', n_chars / 7.0::DOUBLE) AS shown_score FROM documents")
+def result_snippets(spark, d):
+    own = table(spark, d, "documents").select("doc_id", F.col("text").alias("summary"), (F.col("n_chars") / 7).alias("score"))
+    return context.snippets(own).select("doc_id", "shown", "shown_score")
+
+
+@query(
+    """WITH r AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, doc_id, text FROM documents), s AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS chars FROM r)
+SELECT query_id, rank, doc_id, (chars // 4)::BIGINT AS tokens_so_far FROM s WHERE chars // 4 <= 4096"""
+)
+def results_within_budget(spark, d):
+    own = table(spark, d, "documents").select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("content"))
+    by = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).cast("bigint")
+    return context.within_budget(own.withColumn("rank", by), 4096).select("query_id", "rank", "doc_id", "tokens_so_far")
+
+
+@query(
+    """WITH u AS (SELECT DISTINCT source AS query_id, lang AS name FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN lang END AS symbol_name FROM documents)
+SELECT DISTINCT query_id, 'd' || doc_id AS chunk_id FROM u JOIN n ON n.symbol_name = u.name UNION SELECT DISTINCT source, 'missing-' || source FROM documents"""
+)
+def completeness_suggestions(spark, d):
+    docs = table(spark, d, "documents")
+    scored = docs.groupBy(F.col("source").alias("query_id")).agg(F.array_sort(F.collect_set("lang")).alias("unresolved")).withColumn("missing", F.array(F.concat(F.lit("missing-"), "query_id")))
+    nodes = docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node_id"), F.when(F.col("doc_id") % 50 == 0, F.col("lang")).alias("symbol_name"))
+    return context.suggestions(scored, nodes)
+
+
+@query("SELECT doc_id, CASE WHEN contains(text, lang || ' ') THEN substr(text, 1, instr(text, lang || ' ') - 1) || substr(text, instr(text, lang || ' ') + length(lang) + 1) ELSE text END AS content FROM documents")
+def strip_first_name(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.strip_name(F.col("text"), F.col("lang")).alias("content"))
+
+
+@query(
+    """SELECT doc_id, len(list_filter(list_distinct(regexp_extract_all(replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), ' ', '('), '\\b([a-zA-Z_]\\w*)\\s*\\(', 1)),
+ lambda x: x NOT IN ('if','for','while','with','def','class','return','print','str','int','list','dict','set','len','range')))::INT AS n_calls FROM documents"""
+)
+def document_references(spark, d):
+    """References in every document: without other characters than ASCII, and a space made a parenthesis, words are calls."""
+    code = F.replace(F.regexp_replace("text", r"[^\x00-\x7F]", ""), F.lit(" "), F.lit("("))
+    return table(spark, d, "documents").select("doc_id", F.size(T.references(code)).alias("n_calls"))
+
+
+@query(
+    """WITH refs AS (SELECT DISTINCT source AS query_id, 'f' || (doc_id % 40) AS name FROM documents), defs AS (SELECT DISTINCT source AS query_id, 'f' || (doc_id % 30) AS name FROM documents WHERE doc_id % 3 > 0),
+j AS (SELECT query_id, refs.name, defs.name AS known FROM refs LEFT JOIN defs USING (query_id, name))
+SELECT query_id, count(known) / count(*)::DOUBLE AS symbol_resolution, round(0.7::DOUBLE * (count(known) / count(*)::DOUBLE) + 0.3::DOUBLE, 6) AS overall, coalesce(string_agg(name, ',' ORDER BY name) FILTER (known IS NULL), '') AS unresolved FROM j GROUP BY query_id"""
+)
+def document_completeness(spark, d):
+    """Every document as a chunk that calls one name and may define another."""
+    docs = table(spark, d, "documents")
+    name = lambda n: F.concat(F.lit("f"), (F.col("doc_id") % n).cast("string"))
+    chunks = docs.select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.concat(name(40), F.lit("(x)")).alias("content"), F.when(F.col("doc_id") % 3 > 0, name(30)).otherwise("").alias("symbol_name"))
+    return context.completeness(chunks).select("query_id", "symbol_resolution", "overall", F.array_join("unresolved", ",").alias("unresolved"))
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT o_orderpriority AS query_id, 'o' || o_orderkey AS doc_id FROM orders WHERE o_orderkey % 50 = 0),
+w AS (SELECT query_id, doc_id AS node_id, 0 AS depth FROM s UNION SELECT query_id, dst, depth + 1 FROM w JOIN e ON w.node_id = e.src WHERE depth < 2)
+SELECT DISTINCT query_id, node_id FROM w WHERE depth > 0"""
+)
+def expand_results(spark, d):
+    """What the results of each query depend on within two steps."""
+    own = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderpriority").alias("query_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("doc_id"))
+    return context.expand(own, _edges(spark, d), 2)
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'o' || o_orderkey AS seed, 'o' || o_orderkey AS node_id, 0 AS depth FROM orders WHERE o_orderkey % 20 = 0 UNION ALL SELECT seed, dst, depth + 1 FROM w JOIN e ON w.node_id = e.src WHERE depth < 3 AND e.type IN ('order', 'nation'))
+SELECT DISTINCT seed, node_id FROM w WHERE depth > 0"""
+)
+def typed_reach(spark, d):
+    """Only edges of some types are walked, so what lies beyond others is not reached."""
+    seeds = table(spark, d, "orders").where("o_orderkey % 20 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("seed"))
+    return graph.reach(_edges(spark, d), seeds, 3, types=["order", "nation"])
+
+
+def _node_rows(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    key = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    return c.select(key.alias("node_id"), F.col("c_mktsegment").alias("node_type"), F.col("c_nationkey").cast("string").alias("file_path"), F.col("c_name").alias("symbol_name"), F.sha2("c_name", 256).alias("fingerprint"), (F.col("c_custkey") % 3 == 0).alias("is_dirty"), F.lit(None).cast("map<string,string>").alias("metadata"))
+
+
+@query("SELECT 'c' || c_custkey AS node_id, CASE WHEN c_custkey % 5 = 0 THEN sha256(c_name || '!') ELSE sha256(c_name) END AS fingerprint, c_custkey % 5 <> 0 AND c_custkey % 3 = 0 AS is_dirty FROM customer UNION ALL SELECT 'new', sha256('x'), false")
+def add_graph_nodes(spark, d):
+    own = _node_rows(spark, d)
+    new = own.where("cast(substr(node_id, 2) as int) % 5 = 0").withColumn("content", F.concat("symbol_name", F.lit("!"))).select("node_id", "node_type", "file_path", "symbol_name", "content", "metadata")
+    one = spark.createDataFrame([("new", "f", "p", "s", "x", None)], new.schema)
+    return graph.add_nodes(own, new.unionByName(one)).select("node_id", "fingerprint", "is_dirty")
+
+
+@query("SELECT 'c' || c_custkey AS node_id FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1")
+def dirty_list(spark, d):
+    """The dirty nodes, after the even ones were marked clean."""
+    own = _node_rows(spark, d)
+    return graph.dirty_nodes(graph.set_dirty(own, own.where("cast(substr(node_id, 2) as int) % 2 = 0"), False)).select("node_id")
+
+
+@query(
+    f"""WITH {_EDGES} SELECT 'c' || c_custkey AS node_id, c_name AS symbol_name, CASE WHEN c_custkey % 2 = 0 THEN 'source of ' || c_name ELSE '' END AS source, coalesce((SELECT count(DISTINCT src) FROM e WHERE dst = 'c' || c_custkey), 0)::INT AS n_parents, 'n' || c_nationkey AS children
+FROM customer WHERE c_custkey % 10 = 0"""
+)
+def node_details(spark, d):
+    own = _node_rows(spark, d)
+    sources = own.where("cast(substr(node_id, 2) as int) % 2 = 0").select("node_id", F.concat(F.lit("source of "), "symbol_name").alias("source"))
+    wanted = own.where("cast(substr(node_id, 2) as int) % 10 = 0").select("node_id").union(spark.createDataFrame([("unknown",)], "node_id string"))
+    return graph.details(own, _edges(spark, d), sources, wanted).select("node_id", "symbol_name", "source", F.size("parents").alias("n_parents"), F.array_join("children", ",").alias("children"))
+
+
+@query(
+    """WITH n AS (SELECT p_partkey AS node_id, p_retailprice AS centrality, p_size AS complexity FROM part), l AS (SELECT quantile_disc(centrality, 0.9) AS c, quantile_disc(complexity, 0.9) AS x FROM n)
+SELECT node_id, centrality >= c AND complexity >= x AS is_critical FROM n, l"""
+)
+def critical_nodes(spark, d):
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.col("p_retailprice").alias("centrality"), F.col("p_size").alias("complexity"))
+    return graph.critical(own).select("node_id", "is_critical")
+
+
+@query("SELECT coalesce(r.doc_id, l.doc_id) AS doc_id, coalesce(r.source, l.source) AS source FROM documents l FULL JOIN (SELECT doc_id + 1 AS doc_id, 'right' AS source FROM documents WHERE doc_id % 4 = 0) r ON l.doc_id = r.doc_id")
+def merge_right_wins(spark, d):
+    """Two mappings by key; the right one's values win."""
+    old = table(spark, d, "documents").select("doc_id", "source")
+    new = old.where("doc_id % 4 = 0").select((F.col("doc_id") + 1).alias("doc_id"), F.lit("right").alias("source"))
+    return store.merged(old, new, "doc_id")
+
+
+# Cache tables
+
+
+@query("SELECT sha256(text) AS fingerprint, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS files FROM documents GROUP BY text HAVING count(*) > 1")
+def duplicate_files(spark, d):
+    own = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), T.fingerprint(F.col("text")).alias("fingerprint"))
+    return store.copies(own).withColumn("files", F.array_join("files", ","))
+
+
+@query("SELECT doc_id::VARCHAR AS file_path, lang AS symbol FROM documents UNION ALL SELECT doc_id::VARCHAR, source FROM documents")
+def cached_symbols(spark, d):
+    own = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.to_json(F.array("lang", "source")).alias("symbols"))
+    return store.all_symbols(own)
+
+
+@query("SELECT doc_id::VARCHAR AS file_path, sha256(text) AS fingerprint FROM documents WHERE doc_id::VARCHAR = '17'")
+def cache_lookup(spark, d):
+    own = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), T.fingerprint(F.col("text")).alias("fingerprint"))
+    return store.by_path(own, "17")
+
+
+@query("SELECT 'docs' AS name, count(*) AS n FROM documents UNION ALL SELECT 'cleared', 0")
+def store_clear(spark, d):
+    """A table that was cleared is gone; another one isn't."""
+    tables = store.Store(spark, new_folder(spark, "store"))
+    docs = table(spark, d, "documents").select("doc_id")
+    tables.write("docs", docs)
+    tables.write("cleared", docs)
+    tables.clear("cleared")
+    count = lambda name: tables.read(name).count() if tables.exists(name) else 0
+    return spark.createDataFrame([(name, count(name)) for name in ("docs", "cleared")], "name string, n bigint")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, source || '/' || CASE doc_id % 4 WHEN 0 THEN 'venv/' WHEN 1 THEN 'lib/venv/' ELSE '' END || 'f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.TSX' WHEN 2 THEN '.js' ELSE '.md' END AS file FROM documents)
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 2 THEN 'typescript' END AS language, doc_id % 4 = 0 AND doc_id % 7 <> 0 OR doc_id % 4 = 1 AND doc_id % 7 <> 0 AS ignored, doc_id % 5 = 0 AND doc_id % 4 > 1 AS listed FROM p"""
+)
+def path_rules(spark, d):
+    """Languages, ignore rules (a later one takes back an earlier one's matches) and lists by suffix, over a path for each document."""
+    docs = table(spark, d, "documents")
+    part = F.when(F.col("doc_id") % 4 == 0, "venv/").when(F.col("doc_id") % 4 == 1, "lib/venv/").otherwise("")
+    end = F.when(F.col("doc_id") % 5 == 0, ".py").when(F.col("doc_id") % 5 == 1, ".TSX").when(F.col("doc_id") % 5 == 2, ".js").otherwise(".md")
+    own = docs.select("doc_id", F.concat("source", F.lit("/"), part, F.lit("f"), F.col("doc_id").cast("string"), end).alias("file"))
+    keep = F.when(F.col("doc_id") % 7 == 0, F.concat(F.col("file"), F.lit(".keep"))).otherwise(F.col("file"))
+    listed = sources.by_extension(own, (".py",), ("**/venv/**",)).select("doc_id", F.lit(True).alias("listed"))
+    ruled = own.select("doc_id", sources.language_of(F.col("file")).alias("language"), sources.ignored(keep, ["# comment", "**/venv/*", "!*.keep"]).alias("ignored"))
+    return ruled.join(listed, "doc_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+
+
+# Generation
+
+
+@query(
+    """SELECT doc_id AS item_id, replace(template, 'e', 'E') AS summary, ((length(template) // 4) + (length(template) // 4))::BIGINT AS tokens_used, false AS cached FROM (SELECT doc_id, 'Write a docstring for this function.' || chr(10) || chr(10) || 'Code:' || chr(10) || coalesce(text, '') || chr(10) AS template FROM documents)"""
+)
+def memoised_summaries(spark, d):
+    """Each content once, through a generator that answers with the prompt, changed, then to every item that has it."""
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("content"), F.lit("abstractive").alias("summary_type"), F.lit("function_doc").alias("prompt_id"))
+    return summarize.memoised(items, fixtures.shout)[0].select("item_id", "summary", "tokens_used", "cached")
+
+
+@query("SELECT doc_id AS item_id, doc_id % 2 = 0 AS cached FROM documents")
+def memoised_again(spark, d):
+    """What an earlier run generated is found in its cache."""
+    docs = table(spark, d, "documents")
+    items = docs.select(F.col("doc_id").alias("item_id"), F.col("doc_id").cast("string").alias("content"), F.lit("abstractive").alias("summary_type"), F.lit(None).cast("string").alias("prompt_id"))
+    cache = summarize.memoised(items.where("item_id % 2 = 0"), fixtures.shout)[1]
+    return summarize.memoised(items, fixtures.shout, cache=cache)[0].select("item_id", "cached")
+
+
+@query("SELECT count(*) AS items, sum(2 * (length(t) // 4))::BIGINT AS tokens, 0::DOUBLE AS latency_ms FROM (SELECT 'Write a docstring for this function.' || chr(10) || chr(10) || 'Code:' || chr(10) || doc_id || chr(10) AS t FROM documents)")
+def batch_totals(spark, d):
+    docs = table(spark, d, "documents")
+    items = docs.select(F.col("doc_id").alias("item_id"), F.col("doc_id").cast("string").alias("content"), F.lit("abstractive").alias("summary_type"), F.lit("function_doc").alias("prompt_id"))
+    return summarize.batch_totals(summarize.memoised(items, fixtures.shout)[0])
+
+
+def _summary_nodes(spark: SparkSession, d: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    key = F.concat(F.lit("n"), F.lpad(F.col("c_custkey").cast("string"), 6, "0"))
+    return table(spark, d, "customer").select(key.alias("node_id"), F.lit("function").alias("type"), F.col("c_name").alias("name"), F.lit("f.py").alias("file"), F.col("c_name").alias("source_code"), F.lit(None).cast("string").alias("docstring"), none.alias("parents"), none.alias("children"))
+
+
+@query("SELECT 'n' || lpad(c_custkey::VARCHAR, 6, '0') AS node_id, ((row_number() OVER (ORDER BY c_custkey) - 1) // 10)::BIGINT AS batch, 'The function ' || c_name || ' is defined by the line: ' || c_name || ' and is summarised by its text.' AS summary, true AS valid, 1::DOUBLE AS confidence FROM customer")
+def summarize_batches(spark, d):
+    """Prompts, calls, answers and their checks, by batches of ten."""
+    return summarize.summarize(_summary_nodes(spark, d)).select("node_id", "batch", "summary", "valid", "confidence")
+
+
+@query("WITH b AS (SELECT DISTINCT ((row_number() OVER (ORDER BY c_custkey) - 1) // 10)::BIGINT AS batch FROM customer) SELECT phase, count(*) AS n FROM (SELECT unnest(['batch_start', 'llm_call_start', 'llm_call_success', 'batch_done']) AS phase FROM b UNION ALL SELECT 'node_validated' FROM customer) GROUP BY phase")
+def summary_events(spark, d):
+    """A run by waves of fifty batches into a table, as a log of events by phase."""
+    return summarize.run(_summary_nodes(spark, d), store.Store(spark, new_folder(spark, "store")), cadence=50).groupBy("phase").agg(F.count("*").alias("n"))
+
+
+@query("WITH b AS (SELECT DISTINCT ((row_number() OVER (ORDER BY c_custkey) - 1) // 10)::BIGINT AS batch FROM customer) SELECT CASE WHEN batch < 2 THEN 'llm_call_error' ELSE 'disabled' END AS phase, count(*) AS n FROM b GROUP BY 1")
+def disabled_run(spark, d):
+    """A connection error in the first wave of two batches disables the others."""
+    events = summarize.run(_summary_nodes(spark, d), store.Store(spark, new_folder(spark, "store")), fixtures.unreachable, cadence=2)
+    return events.where("phase in ('llm_call_error', 'disabled')").groupBy("phase").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l.doc_id AS node_id, 'quality ' || quality AS summary, coalesce(d.lang, '') AS type, coalesce(d.source, '') AS name FROM labels l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 2 = 0) d USING (doc_id)")
+def summary_attributes(spark, d):
+    nodes = table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("node_id"), F.col("lang").alias("type"), F.col("source").alias("name"), F.lit("f").alias("file"))
+    own = table(spark, d, "labels").select(F.col("doc_id").alias("node_id"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("summary"))
+    return summarize.with_attributes(own, nodes).select("node_id", "summary", "type", "name")
+
+
+@query(fixtures.PROMPTS_SQL)
+def prompt_registry(spark, d):
+    """The prompts of a type after one was added and one deleted."""
+    own = summarize.PromptRegistry()
+    own.register(summarize.Prompt("mine", "Mine", "${x}", "abstractive", variables=["x"]))
+    own.delete("function_doc")
+    return own.frame(spark).where("summary_type = 'abstractive'").select("id", "name", F.array_join("variables", ",").alias("variables"))
+
+
+@query("SELECT role AS kind, CASE role WHEN 'user' THEN 'code_extractive' ELSE 'code_abstractive' END AS prompt FROM (SELECT DISTINCT role FROM conversations)")
+def default_prompts(spark, d):
+    kinds = table(spark, d, "conversations").select(F.col("role").alias("kind")).distinct()
+    return kinds.select("kind", summarize.default_prompt(F.when(F.col("kind") == "user", "extractive").otherwise(F.col("kind"))).alias("prompt"))
+
+
+@query("SELECT 'healthy' AS status, 1 AS n_healthy UNION ALL SELECT 'unhealthy', 0")
+def backend_health(spark, d):
+    """Of named backends any healthy one is enough."""
+    broken = backends.create_backend("chat", model="m", transport=fixtures.unreachable)
+    each = [backends.Backends("echo", {"echo": backends.create_backend("echo"), "chat": broken}).health(), backends.Backends("chat", {"chat": broken}).health()]
+    return spark.createDataFrame([(h["status"], h["n_healthy"]) for h in each], "status string, n_healthy int")
+
+
+@query("SELECT count(DISTINCT node)::BIGINT AS nodes, (SELECT count(*) FROM orders)::BIGINT AS edges FROM (SELECT 'o' || o_orderkey AS node FROM orders UNION SELECT 'c' || o_custkey FROM orders)")
+def report_counts(spark, d):
+    """What the report's overview counts."""
+    e = _edges(spark, d).where("type = 'order'")
+    return sinks.overview(e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct(), e)

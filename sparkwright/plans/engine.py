@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.operators import context, dense, fuse, graph, parse, sparse
+from sparkwright.functions.ordering import numbered, written
+from sparkwright.operators import context, dense, fuse, graph, parse, requests, sparse
 from sparkwright.sources.store import Store, changed_files
 
 
@@ -63,23 +64,55 @@ class Engine:
         self._replace(files, self.store.read("chunks").limit(0))
         self.store.delete("cache", files, ["file_path"])
 
-    def search(self, queries: DataFrame, k: int = 20, alpha: float = 0.5) -> DataFrame:
-        """queries(query_id bigint, text) -> (query_id, rank, doc_id, score) by weighted fusion; nothing before the first index()."""
+    def search(self, queries: DataFrame, k: int = 20, alpha: float = 0.5, mode: str = "hybrid") -> DataFrame:
+        """queries(query_id bigint, text) -> (query_id, rank, doc_id, score); nothing before the first index().
+
+        mode: keyword (any term, BM25), semantic (inner product), anything else weighted fusion of both.
+        """
         chunks = self.store.read("chunks")
         if chunks is None:
             return self.spark.createDataFrame([], "query_id bigint, rank bigint, doc_id string, score double")
-        numbered = self.store.read("vectors").select("doc_id", "vec", F.xxhash64("doc_id").alias("n"))
+        if mode == "keyword":
+            return self._keyword(queries, chunks, k)
+        if mode == "semantic":
+            return self._semantic(queries, k)
+        return fuse.weighted_rrf(self._semantic(queries), self._keyword(queries, chunks), k, alpha)
+
+    def _keyword(self, queries: DataFrame, chunks: DataFrame, k: int = 50) -> DataFrame:
+        return sparse.okapi(self.store.read("postings"), sparse.query_terms(queries, "query_id", F.col("text")), chunks.count(), k)
+
+    def _semantic(self, queries: DataFrame, k: int = 50) -> DataFrame:
+        vectors = written(numbered(self.store.read("vectors").select("doc_id", "vec"), ["doc_id"]), "numbered-vectors")
         asked = queries.select("query_id", self.embed(F.col("text")).alias("vec"))
-        near = dense.inner_product_top_k(asked, numbered.select(F.col("n").alias("doc_id"), "vec"))
-        near = near.withColumnRenamed("doc_id", "n").join(numbered.select("n", "doc_id"), "n").drop("n")
-        found = sparse.okapi(self.store.read("postings"), sparse.query_terms(queries, "query_id", F.col("text")), chunks.count())
-        return fuse.weighted_rrf(near, found, k, alpha)
+        near = dense.inner_product_top_k(asked, vectors.select(F.col("place").alias("doc_id"), "vec"), k)
+        return near.withColumnRenamed("doc_id", "place").join(vectors.select("place", "doc_id"), "place").select("query_id", "rank", "doc_id", "score")
 
     def query(self, queries: DataFrame, k: int = 10, candidates: int = 50, depth: int = 3) -> dict[str, DataFrame]:
         """Search, rerank, expand, score: results, dependencies and completeness of each query."""
         chunks = self.store.read("chunks").select(F.col("chunk_id").alias("doc_id"), "content", "symbol_name")
         first = self.search(queries, candidates).join(chunks.select("doc_id", "content"), "doc_id").join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-        best = context.rerank(first, k, self.scorer)
-        more = context.expand(best.select("query_id", "doc_id"), self.store.read("edges"), depth)
+        best = written(context.rerank(first, k, self.scorer), "best")
+        more = written(context.expand(best.select("query_id", "doc_id"), self.store.read("edges"), depth), "dependencies")
         whole = best.join(chunks, "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "content", "symbol_name")
         return {"results": best, "dependencies": more, "completeness": context.completeness(whole, more)}
+
+    def answer(self, queries: DataFrame, max_tokens: int = 4096, min_completeness: float = 0.9, dependency_depth: int = 2) -> dict[str, DataFrame]:
+        """The context request: five results for each step of depth, those that fit max_tokens with their contents, the completeness
+        by min_completeness, and what could be added. ValueError for arguments out of their limits."""
+        requests.context_request("batch", max_tokens, min_completeness, dependency_depth)
+        found = self.query(queries, 5 * dependency_depth, depth=dependency_depth)
+        chunks = self.store.read("chunks").select(F.col("chunk_id").alias("doc_id"), "content", "symbol_name")
+        whole = found["results"].join(chunks, "doc_id", "left").withColumn("content", F.coalesce("content", F.lit("")))
+        scored = context.completeness(whole.select("query_id", F.col("doc_id").alias("chunk_id"), "content", "symbol_name"), found["dependencies"], min_completeness)
+        nodes = self.store.read("nodes").select("node_id", "symbol_name")
+        return {"results": context.within_budget(whole, max_tokens), "dependencies": found["dependencies"], "completeness": scored, "suggestions": context.suggestions(scored, nodes)}
+
+    def stats(self) -> DataFrame:
+        """One row: files, bytes, chunks, distinct terms, vectors, nodes, dirty nodes and edges; 0 for what was never written."""
+        count = lambda name, value: self.store.read(name).agg(value).first()[0] or 0 if self.store.exists(name) else 0
+        every = F.count("*")
+        row = (
+            count("cache", every), count("cache", F.sum("file_size_bytes")), count("chunks", every), count("postings", F.countDistinct("term")),
+            count("vectors", every), count("nodes", every), count("nodes", F.sum(F.col("is_dirty").cast("int"))), count("edges", every),
+        )
+        return self.spark.createDataFrame([row], "files bigint, bytes bigint, chunks bigint, terms bigint, vectors bigint, nodes bigint, dirty bigint, edges bigint")

@@ -106,3 +106,45 @@ GRAPH_SQL = values("src, dst, type, weight", [
     ("app.py:run:4", "util.py:helper:2", "call", 1.0), ("app.py:start:15", "app.py:run:4", "call", 1.0), ("app.py:App:14", "app.py:Base:10", "inheritance", 0.9),
     ("util.py:helper:2", "util.py:check:6", "call", 1.0), ("web.ts:open:3", "web.ts:load:7", "call", 1.0),
 ])
+
+
+def _rows(text: str, a: int, b: int) -> str:
+    return "\n".join(text.split("\n")[a - 1 : b])
+
+
+def shout(prompt: str) -> str:
+    """A generator whose answer is the prompt with louder e's."""
+    return prompt.replace("e", "E")
+
+
+def unreachable(*_):
+    raise ConnectionError("no server")
+
+
+RUN, CHECK, HELPER = _rows(APP, 4, 7), _rows(UTIL, 6, 8), _rows(UTIL, 2, 4)
+CONTENTS = [
+    ("app.py:imports:1", _rows(APP, 1, 2)), ("app.py:run:4", RUN), ("app.py:Base:10", _rows(APP, 10, 11)), ("app.py:App:14", _rows(APP, 14, 18)),
+    ("util.py:helper:2", HELPER), ("util.py:check:6", CHECK),
+]
+ASKED = [(1, "helper check x"), (2, "App base class"), (3, "unknown words"), (4, "return self, return")]
+CONTENTS_ASKED = [(1, RUN), (2, CHECK)]
+ANSWER_ASKED = [(1, "helper check")]
+COMPLEXITY_SQL = "SELECT file, complexity::BIGINT AS complexity, n_nodes::BIGINT AS n_nodes FROM (" + values("file, complexity, n_nodes", [("app.py", 8, 4), ("util.py", 3, 2), ("web.ts", 5, 3), ("bad.py", 0, 0)]) + ")"
+NODE_TEXT_SQL = values("name, source_code, docstring, signature", [("helper", HELPER, "Doc.", "def helper(x)"), ("check", CHECK, None, "def check(x)")])
+CHUNK_PARTS_SQL = values("chunk_id, imports, calls, inherits, docstring, complexity, digested", [
+    ("app.py:imports:1", "import os,from util import helper", "", "", None, 1, True), ("app.py:run:4", "", "os.path.exists,helper", "", None, 3, True),
+    ("app.py:Base:10", "", "", "", None, 1, True), ("app.py:App:14", "", "", "Base", None, 2, True),
+    ("util.py:helper:2", "", "check", "", '"""Doc."""', 1, True), ("util.py:check:6", "", "", "", None, 2, True),
+])
+ROWS_SQL = values("chunk_id, chars, metadata", [
+    ("app.py:imports:1", len(CONTENTS[0][1]), "app.py|import|imports|1|2"), ("app.py:run:4", len(RUN), "app.py|function|run|4|7"),
+    ("app.py:Base:10", len(CONTENTS[2][1]), "app.py|class|Base|10|11"), ("app.py:App:14", len(CONTENTS[3][1]), "app.py|class|App|14|18"),
+])
+ENGINE_SQL = values("chunk_id, symbol_name", [("util.py:helped:2", "helped"), ("util.py:check:6", "check")])
+STREAM_SQL = values("chunk_id, symbol_name", [("util.py:helper:2", "helper"), ("util.py:check:6", "check")])
+_STATS = dict(files=5, bytes=sum(len(t.encode()) for _, t in FILES), chunks=6, vectors=6, nodes=6, dirty=0, edges=3)
+STATS_SQL = "SELECT " + ", ".join(f"{n}::BIGINT AS {k}" for k, n in _STATS.items())
+CONTENT_SQL = f"chunk AS ({values('chunk_id, content', CONTENTS)}), asked AS (SELECT query_id::BIGINT AS query_id, text FROM ({values('query_id, text', ASKED)}))"
+SEMANTIC_SQL = f"chunk AS ({values('chunk_id, content', CONTENTS)}), asked AS (SELECT query_id::BIGINT AS query_id, text FROM ({values('query_id, text', CONTENTS_ASKED)}))"
+ANSWER_SQL = "SELECT query_id::BIGINT AS query_id, * EXCLUDE (query_id) FROM (" + values("query_id, symbol_resolution, dependency_coverage, unresolved", [(1, 5 / 7, 1.0, "exists,start")]) + ")"
+PROMPTS_SQL = values("id, name, variables", [("code_abstractive", "Code Abstractive Summary", "code,context"), ("mine", "Mine", "x")])

@@ -123,6 +123,28 @@ def scan(spark: SparkSession, root: str, config: Config | None = None, ignore_li
     return out.where(wanted).where(~ignored(F.col("file"), lines)).select("path", "file", "language", "length", "content")
 
 
+def unreadable(spark: SparkSession, root: str) -> DataFrame:
+    """(path, error): files of the tree that can be listed but not read; scans of such a tree should set
+    spark.sql.files.ignoreCorruptFiles and ignoreMissingFiles, or those files end them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+    found = reader.load(root)
+    read = found.where(F.length("content") >= 0).select("path")
+    return found.select("path").join(read, "path", "left_anti").withColumn("error", F.lit("unreadable"))
+
+
+def by_extension(files: DataFrame, extensions: tuple[str, ...] = (".py",), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """files(file, ...) whose path ends in one of the extensions and matches none of the patterns. A pattern is held against
+    the last parts of the path, as many as it has, below a root of any name; in it * and ** stand for anything within one part.
+    """
+    wanted, dropped = F.lit(False), F.lit(False)
+    for e in extensions:
+        wanted = wanted | F.col("file").endswith(e)
+    for p in exclude:
+        parts = "/".join("".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in re.sub(r"\*+", "*", x)) for x in p.strip("/").split("/"))
+        dropped = dropped | F.concat(F.lit("/"), "file").rlike(f"(^|/){parts}$")
+    return files.where(wanted & ~dropped)
+
+
 def texts(files: DataFrame) -> DataFrame:
     """files(..., content) with text; null where the bytes are no UTF-8."""
     return files.withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))

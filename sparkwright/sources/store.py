@@ -91,6 +91,11 @@ def all_symbols(cache: DataFrame) -> DataFrame:
     return cache.select("file_path", F.explode(F.from_json("symbols", "array<string>")).alias("symbol"))
 
 
+def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Two tables of one schema as mappings by key: the new one's rows win."""
+    return old.join(new.select(key), key, "left_anti").select(*new.columns).unionByName(new)
+
+
 def changed_files(new: DataFrame, stored: DataFrame) -> DataFrame:
     """new(file_path, fingerprint, ...) whose fingerprint is not the stored one."""
     old = stored.select("file_path", F.col("fingerprint").alias("_old"))
