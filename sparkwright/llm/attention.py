@@ -120,9 +120,10 @@ class Model:
         np.exp(e, out=e)
         e *= _MASK
         h = np.matmul(e, v)
-        h = h[:, :, :DIM] / h[:, :, DIM:]
+        total = h[:, :, DIM:]
+        h = h[:, :, :DIM] / total
         y = x + (h.reshape(-1, DIM) @ w["O"]).reshape(n, LENGTH, DIM)
-        return {"x": x, "qkv": qkv, "e": e, "v": v, "h": h, "y": y}
+        return {"x": x, "qkv": qkv, "e": e, "v": v, "h": h, "y": y, "total": total}
 
     def head(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of hidden rows (m, DIM): the logits of classes without their bias, and what leads to them."""
@@ -131,40 +132,53 @@ class Model:
         y = y + z @ w["B"]
         return y @ w["C"], z, y
 
-    def gradients(self, inputs: np.ndarray, classes: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the positions that count, and its gradient by each weight."""
+    def gradients(self, inputs: np.ndarray, classes: np.ndarray, weight: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over the positions that count (0 if not asked for), and its gradient by each weight."""
         w, n = self.w, len(inputs)
         s = self.body(inputs)
-        logits, z, y2 = self.head(s["y"].reshape(-1, DIM))
-        logits = logits + w["c"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        rows, target, count = np.arange(len(p)), classes.ravel(), weight.ravel() / max(1.0, float(weight.sum()))
-        loss = float(((np.log(total[:, 0]) - logits[rows, target]) * count).sum())
-        p /= total
-        p[rows, target] -= 1
-        p *= count[:, None].astype(np.float32)
-        g = {"C": y2.T @ p, "c": p.sum(0)}
+        y = s["y"].reshape(-1, DIM)
+        p, z, y2 = self.head(y)
+        p += w["c"]
+        if p.max(initial=0) > 80:  # as in body()
+            p -= p.max(1, keepdims=True)
+        rows, target, count = np.arange(len(p)), classes.ravel(), (weight.ravel() / max(1.0, float(weight.sum()))).astype(np.float32)
+        hit = p[rows, target].copy() if with_loss else None
+        np.exp(p, out=p)
+        total = p @ np.ones(p.shape[1], np.float32)
+        loss = float(((np.log(total) - hit) * count).sum()) if with_loss else 0.0
+        p *= (count / total)[:, None]
+        p[rows, target] -= count
+        each = np.ones(len(p), np.float32)
+        g = {"C": y2.T @ p, "c": each @ p}
         dy2 = p @ w["C"].T
         g["B"] = z.T @ dy2
-        dz = (dy2 @ w["B"].T) * (z > 0)
-        y = s["y"].reshape(-1, DIM)
-        g["A"], g["a"] = y.T @ dz, dz.sum(0)
+        dz = dy2 @ w["B"].T
+        dz *= z > 0
+        g["A"], g["a"] = y.T @ dz, each @ dz
         dy = dy2 + dz @ w["A"].T
         g["O"] = s["h"].reshape(-1, DIM).T @ dy
         dh = (dy @ w["O"].T).reshape(n, LENGTH, DIM)
-        e, v = s["e"], s["v"][:, :, :DIM]
-        a = e / e.sum(2, keepdims=True)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = a * (da - (a * da).sum(2, keepdims=True)) * np.float32(DIM**-0.5)
+        a, v = s["e"], s["v"][:, :, :DIM]
+        a /= s["total"]
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        # the attention-weighted mean of these is the product with the head's own output
+        ds -= (dh * s["h"]).sum(2, keepdims=True)
+        ds *= a
+        ds *= np.float32(DIM**-0.5)
         q, k = s["qkv"][:, :, :DIM], s["qkv"][:, :, DIM : 2 * DIM]
-        dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)], 2).reshape(-1, 3 * DIM)
+        dqkv = np.empty((n, LENGTH, 3 * DIM), np.float32)
+        np.matmul(ds, k, out=dqkv[:, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, DIM : 2 * DIM])
+        np.matmul(a.transpose(0, 2, 1), dh, out=dqkv[:, :, 2 * DIM :])
+        dqkv = dqkv.reshape(-1, 3 * DIM)
         g["Q"] = s["x"].reshape(-1, DIM).T @ dqkv
         dx = dy + dqkv @ w["Q"].T
         g["P"] = dx.reshape(n, LENGTH, DIM).sum(0)
         g["E"] = np.zeros_like(w["E"])
-        np.add.at(g["E"], inputs.ravel(), dx)
+        order = np.argsort(inputs, axis=None, kind="stable")
+        ids = inputs.ravel()[order]
+        starts = np.concatenate([[0], np.nonzero(ids[1:] != ids[:-1])[0] + 1])
+        g["E"][ids[starts]] = np.add.reduceat(dx[order], starts)
         return loss, g
 
     def log10(self, texts: list[np.ndarray], start: int, batch: int = 128) -> np.ndarray:
@@ -217,11 +231,12 @@ class Adam:
 
     def take(self, inputs: np.ndarray, classes: np.ndarray, weight: np.ndarray, rate: float) -> None:
         self.step += 1
-        _, g = self.model.gradients(inputs, classes, weight)
+        _, g = self.model.gradients(inputs, classes, weight, False)
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.model.w[k] -= (rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-7)).astype(np.float32)
+            m, v = self.m[k], self.v[k]
+            m += np.float32(0.1) * (x - m)
+            v += np.float32(0.01) * (x * x - v)
+            self.model.w[k] -= np.float32(rate / (1 - 0.9**self.step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.step))) + np.float32(1e-7))
 
 
 def examples(vocabulary: Vocabulary, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
