@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sparkwright.llm import encoding
 from sparkwright.llm.attention import INPUTS, LENGTH, STATES, Model, Vocabulary, go_on, train
-from sparkwright.llm.common import ascii_lower, stored
+from sparkwright.llm.common import ascii_lower, bounded_batches, stored
 
 FREQUENT = 150_000
 TRAIN_IDS = 1_500_000
@@ -209,6 +209,7 @@ def score_texts(docs: DataFrame, tokenizer: str | None = None, train_ids: int =
     tokenizer = tokenizer or encoding.default_path()
     if encoding.encoder(tokenizer).library.get_vocab_size(True) > 1 << 16:
         raise ValueError("ids are kept in 16 bits; the vocabulary has more")
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = stored(word_counts(docs.where(~held_out(F.col("doc_id")))), "word-counts")
     whole, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
