@@ -23,7 +23,9 @@ SINGLE = 96
 TAIL = 32
 INPUTS = 2048
 STATES = 512
+ROWS = 512  # that pass the last layers together, so that what lies between them stays in the processor's cache
 _MASK = np.tril(np.ones((LENGTH, LENGTH), np.float32))
+_ONES = np.ones(max(LENGTH, ROWS), np.float32)
 
 
 @dataclass
@@ -107,136 +109,173 @@ class Model:
         }
 
     def body(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
-        """Up to the last hidden layer: inputs (n, LENGTH)."""
+        """Up to the last hidden layer: inputs (n, LENGTH). h is the head's output, inverse that of the sum of its weights e."""
         w, n = self.w, len(inputs)
-        x = w["E"][inputs] + w["P"]
-        qkv = (x.reshape(-1, DIM) @ w["Q"]).reshape(n, LENGTH, 3 * DIM)
-        q, k = qkv[:, :, :DIM] * np.float32(DIM**-0.5), np.ascontiguousarray(qkv[:, :, DIM : 2 * DIM].transpose(0, 2, 1))
-        v = np.ones((n, LENGTH, DIM + 1), np.float32)  # the column of ones sums the weights
-        v[:, :, :DIM] = qkv[:, :, 2 * DIM :]
-        e = np.matmul(q, k)
+        x = w["E"][inputs]
+        x += w["P"]
+        scaled = w["Q"].copy()
+        scaled[:, :DIM] *= np.float32(DIM**-0.5)
+        qkv = (x.reshape(-1, DIM) @ scaled).reshape(n, LENGTH, 3 * DIM)
+        across = np.empty((n, 2 * DIM + 1, LENGTH), np.float32)  # keys, values and ones, each a row over the window
+        across[:, : 2 * DIM] = qkv[:, :, DIM:].transpose(0, 2, 1)
+        across[:, 2 * DIM] = 1
+        e = np.matmul(qkv[:, :, :DIM], across[:, :DIM])
         if e.max(initial=0) > 80:  # near the limit of single precision; only weights gone astray lead there
             e -= e.max(2, keepdims=True)
         np.exp(e, out=e)
         e *= _MASK
-        h = np.matmul(e, v)
-        total = h[:, :, DIM:]
-        h = h[:, :, :DIM] / total
-        y = x + (h.reshape(-1, DIM) @ w["O"]).reshape(n, LENGTH, DIM)
-        return {"x": x, "qkv": qkv, "e": e, "v": v, "h": h, "y": y, "total": total}
+        inverse = 1 / (e.reshape(-1, LENGTH) @ _ONES[:LENGTH])[:, None]
+        h = np.matmul(e, qkv[:, :, 2 * DIM :]).reshape(-1, DIM)
+        h *= inverse
+        y = h @ w["O"]
+        y += x.reshape(-1, DIM)
+        return {"x": x.reshape(-1, DIM), "scaled": scaled, "qkv": qkv, "across": across, "e": e, "h": h, "y": y, "inverse": inverse}
 
     def head(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of hidden rows (m, DIM): the logits of classes without their bias, and what leads to them."""
         w = self.w
-        z = np.maximum(y @ w["A"] + w["a"], 0)
-        y = y + z @ w["B"]
-        return y @ w["C"], z, y
+        z = y @ w["A"]
+        z += w["a"]
+        np.maximum(z, 0, out=z)
+        y2 = z @ w["B"]
+        y2 += y
+        p = y2 @ w["C"]
+        if p.max(initial=0) > 60:  # as in body(); a row may be shifted
+            p -= p.max(1, keepdims=True)
+        return p, z, y2
 
     def gradients(self, inputs: np.ndarray, classes: np.ndarray, weight: np.ndarray, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the positions that count (0 if not asked for), and its gradient by each weight."""
+        """Mean loss over the positions that count (0 if not asked for), and its gradient by each weight.
+
+        The classes' bias weighs sums and products of the exponents instead of the exponents themselves, and
+        so do the rows' sums: only one pass over them is made beside the exponents' own.
+        """
         w, n = self.w, len(inputs)
         s = self.body(inputs)
-        y = s["y"].reshape(-1, DIM)
-        p, z, y2 = self.head(y)
-        p += w["c"]
-        if p.max(initial=0) > 80:  # as in body()
-            p -= p.max(1, keepdims=True)
-        rows, target, count = np.arange(len(p)), classes.ravel(), (weight.ravel() / max(1.0, float(weight.sum()))).astype(np.float32)
-        hit = p[rows, target].copy() if with_loss else None
-        np.exp(p, out=p)
-        total = p @ np.ones(p.shape[1], np.float32)
-        loss = float(((np.log(total) - hit) * count).sum()) if with_loss else 0.0
-        p *= (count / total)[:, None]
-        p[rows, target] -= count
-        each = np.ones(len(p), np.float32)
-        g = {"C": y2.T @ p, "c": each @ p}
-        dy2 = p @ w["C"].T
-        g["B"] = z.T @ dy2
-        dz = dy2 @ w["B"].T
-        dz *= z > 0
-        g["A"], g["a"] = y.T @ dz, each @ dz
-        dy = dy2 + dz @ w["A"].T
-        g["O"] = s["h"].reshape(-1, DIM).T @ dy
-        dh = (dy @ w["O"].T).reshape(n, LENGTH, DIM)
-        a, v = s["e"], s["v"][:, :, :DIM]
-        a /= s["total"]
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
-        # the attention-weighted mean of these is the product with the head's own output
-        ds -= (dh * s["h"]).sum(2, keepdims=True)
-        ds *= a
-        ds *= np.float32(DIM**-0.5)
-        q, k = s["qkv"][:, :, :DIM], s["qkv"][:, :, DIM : 2 * DIM]
+        y = s["y"]
+        target, count = classes.ravel(), (weight.ravel() / max(1.0, float(weight.sum()))).astype(np.float32)
+        bias = w["c"] - w["c"].max()
+        share = np.exp(bias)
+        weighted = np.ascontiguousarray((w["C"] * share).T)
+        dy, out = np.empty_like(y), np.zeros((DIM + 1, len(share)), np.float32)
+        g = {"B": np.zeros_like(w["B"]), "A": np.zeros_like(w["A"]), "a": np.zeros_like(w["a"])}
+        loss = 0.0
+        for at in range(0, len(y), ROWS):
+            own, t, c = y[at : at + ROWS], target[at : at + ROWS], count[at : at + ROWS]
+            p, z, y2 = self.head(own)
+            rows = np.arange(len(p))
+            hit = p[rows, t] + bias[t] if with_loss else None
+            np.exp(p, out=p)
+            total = p @ share
+            if with_loss:
+                loss += float(((np.log(total) - hit) * c).sum())
+            p[rows, t] -= total / share[t]
+            c = (c / total)[:, None]
+            out += np.concatenate([y2 * c, c], 1).T @ p
+            d = p @ weighted
+            d *= c
+            g["B"] += z.T @ d
+            dz = d @ w["B"].T
+            dz *= z > 0
+            g["A"] += own.T @ dz
+            g["a"] += _ONES[: len(dz)] @ dz
+            d += dz @ w["A"].T
+            dy[at : at + ROWS] = d
+        out *= share
+        g["C"], g["c"] = out[:DIM], out[DIM]
+        g["O"] = s["h"].T @ dy
+        # what each place passes back, over the sum of its weights; the last column takes off its mean by these weights
+        dh = np.empty((len(y), DIM + 1), np.float32)
+        np.multiply(dy @ w["O"].T, s["inverse"], out=dh[:, :DIM])
+        np.negative(np.einsum("ij,ij->i", dh[:, :DIM], s["h"]), out=dh[:, DIM])
+        dh = dh.reshape(n, LENGTH, DIM + 1)
+        e, qkv = s["e"], s["qkv"]
+        ds = np.matmul(dh, s["across"][:, DIM:])
+        ds *= e
         dqkv = np.empty((n, LENGTH, 3 * DIM), np.float32)
-        np.matmul(ds, k, out=dqkv[:, :, :DIM])
-        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, DIM : 2 * DIM])
-        np.matmul(a.transpose(0, 2, 1), dh, out=dqkv[:, :, 2 * DIM :])
+        np.matmul(ds, qkv[:, :, DIM : 2 * DIM], out=dqkv[:, :, :DIM])
+        np.matmul(ds.transpose(0, 2, 1), qkv[:, :, :DIM], out=dqkv[:, :, DIM : 2 * DIM])
+        np.matmul(e.transpose(0, 2, 1), dh[:, :, :DIM], out=dqkv[:, :, 2 * DIM :])
         dqkv = dqkv.reshape(-1, 3 * DIM)
-        g["Q"] = s["x"].reshape(-1, DIM).T @ dqkv
-        dx = dy + dqkv @ w["Q"].T
-        g["P"] = dx.reshape(n, LENGTH, DIM).sum(0)
-        g["E"] = np.zeros_like(w["E"])
-        order = np.argsort(inputs, axis=None, kind="stable")
+        g["Q"] = s["x"].T @ dqkv
+        g["Q"][:, :DIM] *= np.float32(DIM**-0.5)
+        dy += dqkv @ s["scaled"].T
+        g["P"] = dy.reshape(n, LENGTH, DIM).sum(0)
+        order = np.argsort(inputs.astype(np.uint16), axis=None, kind="stable")  # numpy sorts 16 bits by radix
         ids = inputs.ravel()[order]
         starts = np.concatenate([[0], np.nonzero(ids[1:] != ids[:-1])[0] + 1])
-        g["E"][ids[starts]] = np.add.reduceat(dx[order], starts)
+        g["E"] = np.zeros_like(w["E"])
+        g["E"][ids[starts]] = np.add.reduceat(dy[order], starts)
         return loss, g
 
-    def log10(self, texts: list[np.ndarray], start: int, batch: int = 128) -> np.ndarray:
+    def log10(self, texts: list[np.ndarray], start: int, batch: int = 64) -> np.ndarray:
         """log10 probability of each text's ids. Windows of all texts go through in batches."""
-        out = np.zeros(len(texts))
-        if not sum(map(len, texts)):
-            return out
-        sizes = np.array([len(t) for t in texts])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if not sizes.sum():
+            return np.zeros(len(texts))
         ids = np.concatenate(texts)
         offset = np.cumsum(sizes) - sizes
         before = np.empty_like(ids)
         before[1:] = ids[:-1]
         before[offset[sizes > 0]] = start
-        inputs = np.minimum(self.vocabulary.place[before], INPUTS - 1)
+        inputs = np.minimum(self.vocabulary.place, INPUTS - 1)[before]
+        classes = self.vocabulary.classes[ids]
         cuts = [windows(n) for n in sizes.tolist() if n]
-        many = np.array([len(s) for s, _ in cuts])
-        own = np.repeat(np.nonzero(sizes)[0], many)
+        own = np.repeat(np.nonzero(sizes)[0], [len(s) for s, _ in cuts])
         starts = np.concatenate([s for s, _ in cuts])
-        first = np.concatenate([f for _, f in cuts])
+        first = np.concatenate([f for _, f in cuts])[:, None]
+        left = (sizes[own] - starts)[:, None]
+        starts = (starts + offset[own])[:, None]
         place = np.arange(LENGTH)
         bias = self.w["c"] - self.w["c"].max()
-        weight = np.exp(bias)
-        for at in range(0, len(own), batch):
-            o, s = own[at : at + batch], starts[at : at + batch]
-            inside = s[:, None] + place
-            flat = offset[o][:, None] + np.minimum(inside, sizes[o][:, None] - 1)
-            y = self.body(inputs[flat])["y"]
-            scored = (place >= first[at : at + batch][:, None]) & (inside < sizes[o][:, None])
-            target = ids[flat[scored]]
-            logits, _, _ = self.head(y[scored])
-            classes = self.vocabulary.classes[target]
-            if logits.max(initial=0) > 80:
-                logits -= logits.max(1, keepdims=True)
-            hit = logits[np.arange(len(logits)), classes] + bias[classes]
-            np.exp(logits, out=logits)
-            # the bias weighs the sum, so no pass over the logits adds it
-            total = logits @ weight
-            each = (hit - np.log(total)) / np.log(10) + self.vocabulary.within(before[flat[scored]], target)
-            out += np.bincount(np.repeat(o, scored.sum(1)), each, minlength=len(texts))
-        return out
+        share = np.exp(bias)
+        each, at = np.empty(len(ids)), 0
+        for k in range(0, len(own), batch):
+            f, rest = first[k : k + batch], left[k : k + batch]
+            y = self.body(inputs[starts[k : k + batch] + np.minimum(place, rest - 1)])["y"]
+            # windows score the ids in their order, each one once
+            y = y[((place >= f) & (place < rest)).ravel()]
+            for r in range(0, len(y), ROWS):
+                p, _, _ = self.head(y[r : r + ROWS])
+                t = classes[at : at + len(p)]
+                hit = p[np.arange(len(p)), t] + bias[t]
+                np.exp(p, out=p)
+                each[at : at + len(p)] = hit - np.log(p @ share)
+                at += len(p)
+        each /= np.log(10)
+        each += self.vocabulary.within(before, ids)
+        return np.bincount(np.repeat(np.arange(len(texts)), sizes), each, minlength=len(texts))
 
 
 class Adam:
-    """Running means of a model's gradients and their squares; steps of a given rate."""
+    """Running means of a model's gradients and their squares; steps of a given rate. All weights lie in one vector, of which the model's are parts."""
 
     def __init__(self, model: Model):
-        self.model, self.step = model, 0
-        self.m = {k: np.zeros_like(v) for k, v in model.w.items()}
-        self.v = {k: np.zeros_like(v) for k, v in model.w.items()}
+        self.model, self.step, at = model, 0, 0
+        self.flat = np.concatenate([x.ravel() for x in model.w.values()])
+        for k, x in list(model.w.items()):
+            model.w[k] = self.flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.m, self.v, self.g, self.t = (np.zeros_like(self.flat) for _ in range(4))
 
     def take(self, inputs: np.ndarray, classes: np.ndarray, weight: np.ndarray, rate: float) -> None:
         self.step += 1
-        _, g = self.model.gradients(inputs, classes, weight, False)
-        for k, x in g.items():
-            m, v = self.m[k], self.v[k]
-            m += np.float32(0.1) * (x - m)
-            v += np.float32(0.01) * (x * x - v)
-            self.model.w[k] -= np.float32(rate / (1 - 0.9**self.step)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**self.step))) + np.float32(1e-7))
+        _, found = self.model.gradients(inputs, classes, weight, False)
+        m, v, g, t = self.m, self.v, self.g, self.t
+        np.concatenate([found[k].ravel() for k in self.model.w], out=g)
+        np.multiply(g, g, out=t)
+        g -= m
+        g *= np.float32(0.1)
+        m += g
+        t -= v
+        t *= np.float32(0.01)
+        v += t
+        np.multiply(v, np.float32(1 / (1 - 0.99**self.step)), out=t)
+        np.sqrt(t, out=t)
+        t += np.float32(1e-7)
+        np.divide(m, t, out=t)
+        t *= np.float32(rate / (1 - 0.9**self.step))
+        self.flat -= t
 
 
 def examples(vocabulary: Vocabulary, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
