@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkwright.llm import decontaminate, htmltext, licenses, lm, mixing, neighbours, repair, simhash, toxicity, warc
+from sparkwright.llm import decontaminate, htmltext, licenses, lm, merkle, minhash, mixing, neighbours, repair, simhash, toxicity, warc
 from sparkwright.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_ids": op2_token_ids,
@@ -61,5 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_text": op9_html_text,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_merkle": op11_merkle,
+    "op12_minhash": op12_minhash,
 }
-ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op5_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle_sql(), "op5_warc": warc.ORACLE, "op11_merkle": merkle.ORACLE, "op12_minhash": minhash.ORACLE}
