@@ -11,17 +11,22 @@ found by counting collisions, in three steps that never merge the long lists:
 * count: the collisions of each pair found are counted over all of both signatures, long lists by looking up.
 
 Pairs above the threshold are confirmed on the full sets. Documents of one set are one entry throughout. A large
-group of near copies would still meet in all pairs: so each list first sends its members to the one whose
-values are the most frequent (among copies with edits of their own, that is what they were copied from), each
-document is confirmed against its best centre, and what these links join is a class. The join then looks only
-at lists in which several classes meet, and at pairs of different classes; long lists are dealt in blocks.
+group of near copies would still meet in all pairs, so rounds come first that are linear in the lists: each list
+compares its members with one of them, its centre, and each class (what links have joined so far, at first a document) confirms
+the one pair that agrees most. The first centres are those whose values are the most frequent (among copies with
+edits of their own, that is what they were copied from), later ones are drawn from outside a list's largest class.
+When a round finds nothing, or after ROUNDS, the join looks at the lists in which classes still meet, and at all
+their pairs of different classes; long lists are dealt in blocks. There a pair must also pass a bound of its full sets:
+each set has BITS parities of its shingles by hash, and sets differ in at least as many shingles as their parities do.
+Copies whose edits have little in common pass the counts of a signature, but not this. Rounds and bits save work
+and change no result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from math import comb
 
 import numpy as np
@@ -40,6 +45,10 @@ MISS = 1e-7
 SEED = 42
 #: Members of a list that one task pairs with the whole list.
 LIST_BLOCK = 1024
+#: Linear rounds at most before the join of lists.
+ROUNDS = 2
+#: Parities of a set, a multiple of 64.
+BITS = 1024
 _MARKS = "doc_id bigint, k0 boolean, k1 bigint, k2 bigint, n bigint, digest binary, signature array<bigint>"
 
 
@@ -55,18 +64,24 @@ def least_matches(coordinates: int, percent: int, miss: float = MISS) -> int:
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct XXH64 of the text's word shingles, A-Z in lower case; fewer words: of the whole sequence; none: empty."""
+    """Sorted distinct 64-bit hashes of the text's word shingles, A-Z in lower case; fewer words: of the whole sequence; none: empty.
+
+    A shingle's hash mixes its words' XXH64 in their order, and their number.
+    """
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    joined, h = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([h(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64))
+    own = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    width = min(width, len(words))
+    h = np.full(len(words) - width + 1, width, np.uint64)
+    for k in range(width):
+        h = (h ^ own[k : len(h) + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
 
 
 @cache
@@ -86,6 +101,12 @@ def signature(hashes: np.ndarray, n: int = COORDINATES) -> np.ndarray:
     return (least >> bits | np.arange(n, dtype=np.uint64) << (np.uint64(64) - bits)).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits, as whole numbers of 64: how many of the set's hashes fall to a bit, modulo 2."""
+    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def marks(docs: DataFrame, width: int = WIDTH, n: int = COORDINATES) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, k0, k1, k2: see row_key(), n, digest, signature), of the set of the text's shingles; the last two null where it is empty."""
 
@@ -104,18 +125,19 @@ def marks(docs: DataFrame, width: int = WIDTH, n: int = COORDINATES) -> DataFram
 
 
 def full_sets(docs: DataFrame, entries: DataFrame, width: int = WIDTH) -> DataFrame:
-    """entries(id, k0, k1, k2) -> (id, hashes array<bigint>) of their texts."""
+    """entries(id, k0, k1, k2) -> (id, hashes array<bigint>, bits array<bigint>: see parities()) of their texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = pa.array([shingles(t.as_py(), width).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), sets], ["id", "hashes"])
+                sets = [shingles(t.as_py(), width) for t in part.column(1)]
+                kinds = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], kinds), pa.array([parities(s) for s in sets], kinds)], ["id", "hashes", "bits"])
 
     own = docs.select(*row_key(), F.col("text").cast("string").alias("text"))
     found = own.join(entries.select("id", "k0", "k1", "k2"), ["k0", "k1", "k2"]).select("id", "text")
-    return found.mapInArrow(work, "id bigint, hashes array<bigint>").dropDuplicates(["id"])
+    return found.mapInArrow(work, "id bigint, hashes array<bigint>, bits array<bigint>").dropDuplicates(["id"])
 
 
 def _similar(n: str, m: str, both: str, percent: int):
@@ -127,12 +149,18 @@ def _near_in_size(n: str, m: str, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _near_in_bits(n: str, m: str, a: str, b: str, percent: int):
+    """Sets that differ in more shingles can't be that similar."""
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(m))
+
+
 def counted(pairs: DataFrame, entries: DataFrame, least: int, percent: int) -> DataFrame:
-    """pairs(a, b) of entries(id, n, shared array) whose collisions reach the threshold: (a, b, n, m, matches)."""
+    """pairs(a, b) of entries(id, n, shared array) (and more columns) whose collisions reach the threshold, with n, m and matches."""
     left = entries.select(F.col("id").alias("a"), "n", F.col("shared").alias("sa"))
     right = entries.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("shared").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").where(_near_in_size("n", "m", percent))
-    return both.withColumn("matches", F.size(F.array_intersect("sa", "sb"))).where(F.col("matches") >= least).select("a", "b", "n", "m", "matches")
+    return both.withColumn("matches", F.size(F.array_intersect("sa", "sb"))).where(F.col("matches") >= least).drop("sa", "sb")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,34 +180,59 @@ def shared_values(kinds: DataFrame, least: int) -> DataFrame:
     return own.select("id", F.col("own.value").alias("shared"), F.aggregate("own", F.lit(0).cast("bigint"), lambda s, x: s + x["df"]).alias("frequency"))
 
 
-def links(docs: DataFrame, kinds: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, list_block: int = LIST_BLOCK) -> DataFrame:
+def links(docs: DataFrame, kinds: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, list_block: int = LIST_BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """docs and their distinct sets, kinds(id, k0, k1, k2, n, signature) -> edges (a, b) whose components are those of all similar pairs."""
     least = least_matches(coordinates, percent)
     entries = stored(shared_values(kinds, least).join(kinds.select("id", "k0", "k1", "k2", "n"), "id"), "shared")
     sets = stored(full_sets(docs, entries, width), "sets")
     prefix = stored(entries.select("id", "n", "frequency", F.explode(F.slice("shared", F.lit(1), F.size("shared") - least + 1)).alias("value")), "prefix")
 
-    centre = prefix.groupBy("value").agg(F.max(F.struct("frequency", F.negate("id").alias("id"))).alias("c"), F.count("*").alias("many")).where("many > 1").select("value", F.negate("c.id").alias("b"))
-    sent = prefix.join(centre, "value").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    best = counted(sent, entries, least, percent).groupBy("a").agg(F.max(F.struct("matches", F.negate("b").alias("b"), "n", "m")).alias("c"))
-    star = stored(confirmed(stored(best.select("a", F.negate("c.b").alias("b"), "c.n", "c.m"), "best"), sets, percent), "star")
-
-    class_of = components(star).select(F.col("node").alias("id"), F.col("root").alias("class"))
-    posted = stored(prefix.select("id", "n", "value").join(class_of, "id", "left").withColumn("class", F.coalesce("class", "id")), "posted")
+    class_of, edges, tried = None, None, None
+    for k in range(rounds):
+        posted = _by_class(prefix, class_of)
+        best = stored(_best_of_centres(posted, entries, tried, k, least, percent), "best")
+        new = stored(confirmed(best, sets, percent), "confirmed")
+        if new.isEmpty():
+            break
+        edges = new if edges is None else edges.unionByName(new)
+        tried = best.select("a", "b") if tried is None else tried.unionByName(best.select("a", "b"))
+        class_of = stored(components(edges).select(F.col("node").alias("id"), F.col("root").alias("class")), "classes")
+
+    posted = stored(_by_class(prefix, class_of), "posted")
     mixed = posted.groupBy("value").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("many")).where("low <> high")
     mixed = mixed.select("value", F.ceil(F.col("many") / list_block).cast("int").alias("blocks"))
-    dealt = posted.join(mixed, "value")
-    left = dealt.select("value", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), "n", F.col("class").alias("ca"))
-    right = dealt.select("value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("class").alias("cb"))
-    across = left.join(right, ["value", "block"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_in_size("n", "m", percent))
+    dealt = posted.join(mixed, "value").join(sets.select("id", "bits"), "id")
+    left = dealt.select("value", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), "n", F.col("class").alias("ca"), F.col("bits").alias("ba"))
+    right = dealt.select("value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("class").alias("cb"), F.col("bits").alias("bb"))
+    across = left.join(right, ["value", "block"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_in_size("n", "m", percent) & _near_in_bits("n", "m", "ba", "bb", percent))
     found = stored(counted(stored(across.select("a", "b").distinct(), "across"), entries, least, percent), "found")
     bridge = confirmed(found, sets, percent)
-    out = stored(star.unionByName(bridge), "similar")
+    out = stored(bridge if edges is None else edges.unionByName(bridge), "similar")
     for table in (sets, entries, prefix, posted, found):
         discard(table)
     return out
 
 
+def _by_class(prefix: DataFrame, class_of: DataFrame | None) -> DataFrame:
+    if class_of is None:
+        return prefix.withColumn("class", F.col("id"))
+    return prefix.join(class_of, "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+
+def _best_of_centres(posted: DataFrame, entries: DataFrame, tried: DataFrame | None, k: int, least: int, percent: int) -> DataFrame:
+    """Of each class the pair (a, b, n, m) that agrees most, among those of its members a with the centres b of their lists in this round."""
+    rank = F.struct("frequency", "id", "class") if k == 0 else F.struct(F.xxhash64("id", F.lit(k)).alias("frequency"), "id", "class")
+    by_class = posted.groupBy("value", "class").agg(F.count("*").alias("many"), F.max(rank).alias("top"))
+    largest = by_class.groupBy("value").agg(F.max(F.struct("many", "class")).alias("big"), F.count("*").alias("classes")).where("classes > 1").select("value", F.col("big.class").alias("big"))
+    outside = F.lit(True) if k == 0 else F.col("class") != F.col("big")
+    centre = by_class.join(largest, "value").where(outside).groupBy("value").agg(F.max("top").alias("c")).select("value", F.col("c.id").alias("b"), F.col("c.class").alias("cb"))
+    sent = posted.join(centre, "value").where(F.col("class") != F.col("cb")).select(F.col("id").alias("a"), "class", "b").distinct()
+    if tried is not None:
+        sent = sent.join(tried, ["a", "b"], "left_anti")
+    best = counted(sent, entries, least, percent).groupBy("class").agg(F.max(F.struct("matches", "a", "b", "n", "m")).alias("c"))
+    return best.select("c.a", "c.b", "c.n", "c.m")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, list_block: int = LIST_BLOCK) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_shingles, component_id, kept), one row for each input row.
 
@@ -207,11 +260,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
 
 ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w),
 n AS (SELECT doc_id, len(sh) AS n FROM s),
-e AS (SELECT doc_id, unnest(sh) AS g FROM s),
-pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS MATERIALIZED (SELECT doc_id, unnest(sh) AS g FROM s),
+pairs AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
 comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT n.doc_id, n.n AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN comp ON n.doc_id = comp.a"""
