@@ -12,11 +12,11 @@ found by counting collisions, in three steps that never merge the long lists:
 
 Pairs above the threshold are confirmed on the full sets. Documents of one set are one entry throughout. A large
 group of near copies would still meet in all pairs, so rounds come first that are linear in the lists: each list
-compares its members with one of them, its centre, and each class (what links have joined so far, at first a document) confirms
-the one pair that agrees most. The first centres are those whose values are the most frequent (among copies with
+compares its members with one of them, its centre, and of each two classes (what links have joined so far, at first a document) the
+one pair that agrees most is confirmed. The first centres are those whose values are the most frequent (among copies with
 edits of their own, that is what they were copied from), later ones are drawn from outside a list's largest class.
 When a round finds nothing, or after ROUNDS, the join looks at the lists in which classes still meet, and at all
-their pairs of different classes; long lists are dealt in blocks. There a pair must also pass a bound of its full sets:
+their pairs of different classes; long lists are dealt in blocks. A pair must also pass a bound of its full sets:
 each set has BITS parities of its shingles by hash, and sets differ in at least as many shingles as their parities do.
 Copies whose edits have little in common pass the counts of a signature, but not this. Rounds and bits save work
 and change no result.
@@ -46,7 +46,7 @@ SEED = 42
 #: Members of a list that one task pairs with the whole list.
 LIST_BLOCK = 1024
 #: Linear rounds at most before the join of lists.
-ROUNDS = 2
+ROUNDS = 3
 #: Parities of a set, a multiple of 64.
 BITS = 1024
 _MARKS = "doc_id bigint, k0 boolean, k1 bigint, k2 bigint, n bigint, digest binary, signature array<bigint>"
@@ -157,10 +157,10 @@ def _near_in_bits(n: str, m: str, a: str, b: str, percent: int):
 
 def counted(pairs: DataFrame, entries: DataFrame, least: int, percent: int) -> DataFrame:
     """pairs(a, b) of entries(id, n, shared array) (and more columns) whose collisions reach the threshold, with n, m and matches."""
-    left = entries.select(F.col("id").alias("a"), "n", F.col("shared").alias("sa"))
-    right = entries.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("shared").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").where(_near_in_size("n", "m", percent))
-    return both.withColumn("matches", F.size(F.array_intersect("sa", "sb"))).where(F.col("matches") >= least).drop("sa", "sb")
+    left = entries.select(F.col("id").alias("a"), "n", F.col("bits").alias("ba"), F.col("shared").alias("sa"))
+    right = entries.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("bb"), F.col("shared").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").where(_near_in_size("n", "m", percent) & _near_in_bits("n", "m", "ba", "bb", percent))
+    return both.withColumn("matches", F.size(F.array_intersect("sa", "sb"))).where(F.col("matches") >= least).drop("ba", "bb", "sa", "sb")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -183,8 +183,10 @@ def shared_values(kinds: DataFrame, least: int) -> DataFrame:
 def links(docs: DataFrame, kinds: DataFrame, width: int = WIDTH, percent: int = PERCENT, coordinates: int = COORDINATES, list_block: int = LIST_BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """docs and their distinct sets, kinds(id, k0, k1, k2, n, signature) -> edges (a, b) whose components are those of all similar pairs."""
     least = least_matches(coordinates, percent)
-    entries = stored(shared_values(kinds, least).join(kinds.select("id", "k0", "k1", "k2", "n"), "id"), "shared")
-    sets = stored(full_sets(docs, entries, width), "sets")
+    live = stored(shared_values(kinds, least).join(kinds.select("id", "k0", "k1", "k2", "n"), "id"), "live")
+    sets = stored(full_sets(docs, live, width), "sets")
+    entries = stored(live.select("id", "n", "shared", "frequency").join(sets.select("id", "bits"), "id"), "shared")
+    discard(live)
     prefix = stored(entries.select("id", "n", "frequency", F.explode(F.slice("shared", F.lit(1), F.size("shared") - least + 1)).alias("value")), "prefix")
 
     class_of, edges, tried = None, None, None
@@ -201,7 +203,7 @@ def links(docs: DataFrame, kinds: DataFrame, width: int = WIDTH, percent: int =
     posted = stored(_by_class(prefix, class_of), "posted")
     mixed = posted.groupBy("value").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("many")).where("low <> high")
     mixed = mixed.select("value", F.ceil(F.col("many") / list_block).cast("int").alias("blocks"))
-    dealt = posted.join(mixed, "value").join(sets.select("id", "bits"), "id")
+    dealt = posted.join(mixed, "value").join(entries.select("id", "bits"), "id")
     left = dealt.select("value", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("a"), "n", F.col("class").alias("ca"), F.col("bits").alias("ba"))
     right = dealt.select("value", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("class").alias("cb"), F.col("bits").alias("bb"))
     across = left.join(right, ["value", "block"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near_in_size("n", "m", percent) & _near_in_bits("n", "m", "ba", "bb", percent))
@@ -220,16 +222,16 @@ def _by_class(prefix: DataFrame, class_of: DataFrame | None) -> DataFrame:
 
 
 def _best_of_centres(posted: DataFrame, entries: DataFrame, tried: DataFrame | None, k: int, least: int, percent: int) -> DataFrame:
-    """Of each class the pair (a, b, n, m) that agrees most, among those of its members a with the centres b of their lists in this round."""
+    """Of each two classes the pair (a, b, n, m) that agrees most, among those of members a with the centres b of their lists in this round."""
     rank = F.struct("frequency", "id", "class") if k == 0 else F.struct(F.xxhash64("id", F.lit(k)).alias("frequency"), "id", "class")
     by_class = posted.groupBy("value", "class").agg(F.count("*").alias("many"), F.max(rank).alias("top"))
     largest = by_class.groupBy("value").agg(F.max(F.struct("many", "class")).alias("big"), F.count("*").alias("classes")).where("classes > 1").select("value", F.col("big.class").alias("big"))
     outside = F.lit(True) if k == 0 else F.col("class") != F.col("big")
     centre = by_class.join(largest, "value").where(outside).groupBy("value").agg(F.max("top").alias("c")).select("value", F.col("c.id").alias("b"), F.col("c.class").alias("cb"))
-    sent = posted.join(centre, "value").where(F.col("class") != F.col("cb")).select(F.col("id").alias("a"), "class", "b").distinct()
+    sent = posted.join(centre, "value").where(F.col("class") != F.col("cb")).select(F.col("id").alias("a"), "class", "b", "cb").distinct()
     if tried is not None:
         sent = sent.join(tried, ["a", "b"], "left_anti")
-    best = counted(sent, entries, least, percent).groupBy("class").agg(F.max(F.struct("matches", "a", "b", "n", "m")).alias("c"))
+    best = counted(sent, entries, least, percent).groupBy("class", "cb").agg(F.max(F.struct("matches", "a", "b", "n", "m")).alias("c"))
     return best.select("c.a", "c.b", "c.n", "c.m")
 
 
