@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,3 +58,23 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     offsets = spark.createDataFrame(starts, "_p int, _start bigint")
     place = F.col("_m") - F.shiftleft(F.col("_p").cast("bigint"), 33) + F.col("_start")
     return ordered.join(F.broadcast(offsets), "_p").withColumn("place", place).drop("_p", "_m", "_start")
+
+
+def running_sums(rows: DataFrame, by: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
+    """rows with `name`: the sum of `value` over those of the same group (null is a group too) that come earlier in the order; 0 for the first.
+
+    Sorted by range over group and order, so a large group lies in many partitions. Sums inside a partition are a
+    window over that partition's part of the group; what lies before the part is a sum over the parts' totals, a row
+    for each group and partition. Rows that are equal in group and order come in any order, but the same on each reading.
+    """
+    keys = [*by, *order]
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    ordered = cut(ordered)
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    totals = ordered.groupBy(*by, "_p").agg(F.sum(value).cast("bigint").alias("_sum"))
+    starts = totals.withColumn("_start", F.coalesce(F.sum("_sum").over(earlier(Window.partitionBy(*by).orderBy("_p"))), zero))
+    starts = starts.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(by)), F.col("_p").alias("_q"), "_start")
+    inside = ordered.withColumn("_in", F.coalesce(F.sum(value).over(earlier(Window.partitionBy(*by, "_p").orderBy("_m"))), zero))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)), F.col("_p") == F.col("_q"))
+    return inside.join(starts, same).select(*rows.columns, (F.col("_in") + F.col("_start")).alias(name))

@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sparkwright.functions.ordering import written
 from sparkwright.operators.sparse import top_k
@@ -34,11 +35,13 @@ def inner_product_top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, dig
     """queries(query_id, vec), vectors(doc_id, vec) -> (query_id, rank, doc_id, score): exact, ties by id.
 
     The queries are a stated set and travel in blocks of bounded size; each task keeps the k best of its
-    part of the vectors for each query, and the parts' rows are merged.
+    part of the vectors for each query, and the parts' rows are merged. doc_id is a whole number or a string.
     """
     spark = vectors.sparkSession
     n = queries.count()
-    out = spark.createDataFrame([], "query_id bigint, rank bigint, doc_id bigint, score double")
+    named = isinstance(vectors.schema["doc_id"].dataType, StringType)
+    kind, arrow = ("string", pa.string()) if named else ("bigint", pa.int64())
+    out = spark.createDataFrame([], f"query_id bigint, rank bigint, doc_id {kind}, score double")
     blocks = -(-n // block)
     for i in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas().sort_values("query_id")
@@ -46,18 +49,19 @@ def inner_product_top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, dig
 
         def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
-            score, name = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            score, name = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), str if named else np.int64)
             for b in batches:
                 doc = b.column(0).to_numpy(zero_copy_only=False)
+                doc = doc.astype(str) if named else doc
                 vec = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(doc), -1)
                 for at in range(0, len(doc), 2048):
                     near = np.round(matrix @ vec[at : at + 2048].T, digits)
                     score, name = np.concatenate([score, near], 1), np.concatenate([name, np.broadcast_to(doc[at : at + 2048], near.shape)], 1)
                     best = np.lexsort((name, -score), axis=1)[:, :k]
                     score, name = np.take_along_axis(score, best, 1), np.take_along_axis(name, best, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])), pa.array(name.ravel()), pa.array(score.ravel())], ["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])), pa.array(name.ravel(), arrow), pa.array(score.ravel())], ["query_id", "doc_id", "score"])
 
-        found = vectors.select(F.col("doc_id").cast("bigint"), F.col("vec").cast("array<double>")).mapInArrow(work, "query_id bigint, doc_id bigint, score double")
+        found = vectors.select(F.col("doc_id").cast(kind), F.col("vec").cast("array<double>")).mapInArrow(work, f"query_id bigint, doc_id {kind}, score double")
         out = out.unionByName(top_k(found, k).select("query_id", "rank", "doc_id", "score"))
     return out
 
@@ -85,6 +89,11 @@ def ivf_build(vectors: DataFrame, sample: int = 20_000, rounds: int = 10, seed:
         np.add.at(sums, cell, points)
         size = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
+    return written(_assigned(own, centres), "ivf"), centres
+
+
+def _assigned(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(doc_id, vec) with the cell whose centre has the largest inner product."""
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,14 +101,35 @@ def ivf_build(vectors: DataFrame, sample: int = 20_000, rounds: int = 10, seed:
             matrix = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array((matrix @ sent.value.T).argmax(1).astype(np.int32))], ["doc_id", "vec", "cell"])
 
-    return written(own.mapInArrow(assign, "doc_id bigint, vec array<double>, cell int"), "ivf"), centres
+    return vectors.mapInArrow(assign, "doc_id bigint, vec array<double>, cell int")
+
+
+def ivf_save(index: DataFrame, centres: np.ndarray, path: str) -> None:
+    """ivf_build()'s results as a folder: `cells`, partitioned by cell, and `centres`. What stood there is replaced."""
+    index.repartition("cell").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("cell").parquet(f"{path}/cells")
+    rows = list(enumerate(centres.tolist()))
+    index.sparkSession.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def ivf_open(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """What ivf_save() wrote: the vectors with their cells, and the centres, of which there are cells_of(n)."""
+    centres = spark.read.schema("cell int, centre array<double>").parquet(f"{path}/centres").orderBy("cell").toPandas()["centre"].tolist()
+    return spark.read.schema("doc_id bigint, vec array<double>, cell int").parquet(f"{path}/cells"), np.array(centres).reshape(len(centres), -1)
+
+
+def ivf_add(vectors: DataFrame, path: str) -> None:
+    """New vectors(doc_id, vec) into the cells of a kept index, whose centres stay."""
+    _, centres = ivf_open(vectors.sparkSession, path)
+    own = vectors.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("vec").cast("array<double>").alias("vec"))
+    _assigned(own, centres).repartition("cell").write.mode("append").partitionBy("cell").parquet(f"{path}/cells")
 
 
 def ivf_top_k(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 50, nprobe: int = 64, digits: int = 6) -> DataFrame:
     """queries(query_id, vec) and ivf_build()'s results -> (query_id, rank, doc_id, score): the k best of the nprobe cells
-    whose centres have the largest inner products. With nprobe cells or fewer that is the exact search, and done as such.
+    whose centres have the largest inner products, of all cells if there are no more.
     """
-    if len(centres) <= nprobe:
+    nprobe = min(nprobe, len(centres))
+    if not nprobe:
         return inner_product_top_k(queries, index, k, digits)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 
 from sparkwright.functions import text as T
 from sparkwright.functions.ordering import new_folder, written
-from sparkwright.operators import backends, context, dense, fuse, graph, metrics, parse, sparse, summarize
+from sparkwright.operators import backends, blockmax, context, dense, fuse, graph, hnsw, lsa, metrics, packing, parse, sparse, summarize
 from sparkwright.plans import engine, fixtures
 from sparkwright.sources import files as sources
 from sparkwright.sources import sinks, store
-from sparkwright.streaming import incremental
+from sparkwright.streaming import incremental, redgreen
+from sparkwright.streaming.paths import pattern
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,40 @@ def bm25_okapi_topk(spark, d):
     return sparse.okapi(*_lists(spark, d), 10)
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, list_distinct({TOKENS.format("text")}) AS ws FROM documents),
+v AS (SELECT term FROM (SELECT doc_id, unnest(ws) AS term FROM t) GROUP BY term ORDER BY count(*) DESC, term LIMIT 2000),
+known AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(ws) AS term FROM t) JOIN v USING (term))
+SELECT doc_id, known.doc_id IS NOT NULL AS embedded, 16 AS dimensions FROM t LEFT JOIN known USING (doc_id)"""
+)
+def fitted_embedder(spark, d):
+    """An embedder fitted to all documents, kept and opened again: documents with a term that it knows have vectors of length 1, others zeros."""
+    docs = table(spark, d, "documents")
+    path = new_folder(spark, "embedder")
+    lsa.save(lsa.fit(docs, dim=16, vocabulary=2000), path)
+    vec = lsa.embed(lsa.load(spark, path), docs)
+    return vec.select("doc_id", (F.abs(dense.dot(F.col("vec"), F.col("vec")) - 1) < 1e-9).alias("embedded"), F.size("vec").alias("dimensions"))
+
+
+def _blockmax(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    post, asked, _ = _lists(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    return blockmax.search(blockmax.build(post, docs, new_folder(spark, "blockmax"), ["lang"], span=2), asked, 10)
+
+
+@query(ORACLES["bm25_okapi_topk"])
+def bm25_blockmax_topk(spark, d):
+    """The same ranking from kept postings in blocks, without scoring ranges of documents that can't reach the ten best."""
+    return _blockmax(spark, d)[0]
+
+
+@query(f"WITH {_POSTINGS} SELECT count(DISTINCT query_id) AS queries, sum(df)::BIGINT AS postings, true AS half FROM q JOIN df USING (term)")
+def bm25_blockmax_share(spark, d):
+    """How many postings the queries' terms have, and whether pruning left half of them or more unread."""
+    read = _blockmax(spark, d)[1]
+    return read.agg(F.count("*").alias("queries"), F.sum("postings").alias("postings"), (2 * F.sum("read") <= F.sum("postings")).alias("half"))
+
+
 @query(
     f"""WITH {_POSTINGS},
 idf AS (SELECT term, CASE WHEN n - df <= df THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, stats),
@@ -227,6 +262,22 @@ def dirty_propagation(spark, d):
     return graph.mark_dirty(_nodes(spark, d), _edges(spark, d), changed)
 
 
+@query(
+    f"""WITH RECURSIVE {_EDGES}, red AS (SELECT DISTINCT 'c' || user_id AS node_id FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) WHERE was <> event_type),
+w AS (SELECT node_id, 0 AS depth FROM red WHERE node_id IN (SELECT src FROM e) UNION ALL SELECT src, depth + 1 FROM w JOIN e ON w.node_id = e.dst WHERE depth < 3)
+SELECT DISTINCT node_id FROM w"""
+)
+def dirty_stream(spark, d):
+    """All events as a stream of changes, each event's type its user's content: the nodes whose flag stands at the end, by states alone."""
+    folder = new_folder(spark, "dirty")
+    nodes = _nodes(spark, d)
+    reached = written(redgreen.affected(nodes, _edges(spark, d)), "affected")
+    own = spark.readStream.schema(table(spark, d, "events").schema).parquet(pattern(f"{d}/events.parquet"))
+    changes = own.select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("node_id"), F.col("event_type").alias("content"), F.col("event_id").alias("seq"), F.lit(False).alias("clean"))
+    redgreen.follow(changes, reached, f"{folder}/turns", f"{folder}/checkpoint")
+    return redgreen.dirty(spark, f"{folder}/turns").select("node_id")
+
+
 @query(
     f"""WITH RECURSIVE {_EDGES}, w AS (SELECT src AS seed, src AS node_id FROM e WHERE type = 'customer' UNION SELECT seed, dst FROM w JOIN e ON w.node_id = e.src)
 SELECT seed, node_id FROM w"""
@@ -535,12 +586,58 @@ def engine_answer(spark, d):
     return found["completeness"].select("query_id", "symbol_resolution", "dependency_coverage", F.array_join("unresolved", ",").alias("unresolved"))
 
 
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those that are searched for."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    return own, own.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+
+
 @query(ORACLES["dense_topk"])
 def ivf_topk(spark, d):
-    """Inverted-file search; with as many cells probed as there are, it is the exact one."""
-    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    index, centres = dense.ivf_build(own)
-    return dense.ivf_top_k(own.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), index, centres, 10, nprobe=max(64, len(centres)))
+    """The inverted file, saved and opened again, with every cell probed: vectors meet their queries by cell, and all are found."""
+    own, asked = _vectors(spark, d)
+    path = new_folder(spark, "ivf")
+    dense.ivf_save(*dense.ivf_build(own), path)
+    index, centres = dense.ivf_open(spark, path)
+    return dense.ivf_top_k(asked, index, centres, 10, nprobe=len(centres))
+
+
+_REACHED = "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0"
+
+
+def _reached(found: DataFrame, asked: DataFrame, own: DataFrame, least: float) -> DataFrame:
+    """How many queries, and whether the mean recall at 10 against exact search reaches that."""
+    return hnsw.recall(found, dense.inner_product_top_k(asked, own, 10), 10).agg(F.count("*").alias("queries"), (F.coalesce(F.avg("recall"), F.lit(1.0)) >= least).alias("reached"))
+
+
+@query(_REACHED)
+def ivf_recall(spark, d):
+    """Two thirds of the cells of a kept inverted file find nine tenths of the ten best; the vectors have few clusters to speak of."""
+    own, asked = _vectors(spark, d)
+    path = new_folder(spark, "ivf")
+    dense.ivf_save(*dense.ivf_build(own), path)
+    index, centres = dense.ivf_open(spark, path)
+    return _reached(dense.ivf_top_k(asked, index, centres, 10, nprobe=-(-2 * len(centres) // 3)), asked, own, 0.9)
+
+
+@query()
+def hnsw_topk(spark, d):
+    """The proximity graph, saved and opened again: what each query finds, and how many distances that took."""
+    own, asked = _vectors(spark, d)
+    path = new_folder(spark, "hnsw")
+    hnsw.build(own, path)
+    return hnsw.search(asked, path, 10, 32)
+
+
+@query(_REACHED)
+def hnsw_recall(spark, d):
+    """The same graph after half of the vectors were added to a kept index finds nine tenths of the ten best."""
+    own, asked = _vectors(spark, d)
+    path = new_folder(spark, "hnsw")
+    odd = F.xxhash64("doc_id") % 2 == 0
+    hnsw.build(own.where(odd), path)
+    hnsw.update(spark, path, own.where(~odd))
+    return _reached(hnsw.search(asked, path, 10, 32), asked, own, 0.9)
 
 
 # Results

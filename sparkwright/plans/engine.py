@@ -5,16 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkwright.functions.ordering import numbered, written
+from sparkwright.functions.ordering import written
 from sparkwright.operators import context, dense, fuse, graph, parse, requests, sparse
+from sparkwright.sources.buckets import Buckets
 from sparkwright.sources.store import Store, changed_files
 
+#: Tables in buckets by file: an update of a file rewrites its bucket of each.
+BY_FILE = {
+    "cache": "file_path string, fingerprint string, file_size_bytes bigint, last_updated string",
+    "chunks": parse.CHUNKS,
+    "postings": "doc_id string, term string, tf bigint, len bigint, file_path string",
+    "vectors": "file_path string, doc_id string, vec array<double>",
+}
+
+
+class Tables(Store):
+    """A store some of whose tables are in buckets by file_path."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 16):
+        super().__init__(spark, folder)
+        self.by_file = {name: Buckets(spark, f"{self.folder}/{name}", schema, ["file_path"], buckets) for name, schema in BY_FILE.items()}
+
+    def exists(self, name: str) -> bool:
+        if name not in self.by_file:
+            return super().exists(name)
+        fs, p = self._fs(f"{self.folder}/{name}")
+        return fs.exists(p)
+
+    def read(self, name: str) -> DataFrame | None:
+        if name not in self.by_file:
+            return super().read(name)
+        return self.by_file[name].read() if self.exists(name) else None
+
 
 class Engine:
     """Tables: cache(file_path, fingerprint, file_size_bytes, last_updated), chunks, postings, vectors, edges, nodes."""
 
     def __init__(self, spark: SparkSession, folder: str, embedder=None, scorer=context.overlap, min_chunk_lines: int = 5):
-        self.spark, self.store = spark, Store(spark, folder)
+        self.spark, self.store = spark, Tables(spark, folder)
         self.embed, self.scorer, self.min_lines = embedder or dense.hashed_embedder(), scorer, min_chunk_lines
 
     def index(self, files: DataFrame) -> dict:
@@ -27,16 +55,14 @@ class Engine:
         new = self.store.write("changed", new, keep=1)
         made = self.store.write("new-chunks", parse.chunks(new.select(F.col("file_path").alias("file"), "text"), min_lines=self.min_lines), keep=1)
         self._replace(new.select("file_path"), made)
-        self.store.upsert("cache", new.drop("text"), ["file_path"])
+        self.store.by_file["cache"].upsert(new.drop("text"))
         return {"files": new.count(), "chunks": made.count(), "total_chunks": self.store.read("chunks").count()}
 
     def _replace(self, files: DataFrame, made: DataFrame) -> None:
         """The files' chunks, postings and vectors give way to the new ones; edges and their dirt are worked out again."""
         before = self.store.read("nodes")
         for name, rows in (("chunks", made), ("postings", self._postings(made)), ("vectors", self._vectors(made))):
-            old = self.store.read(name)
-            kept = rows if old is None else old.join(files, "file_path", "left_anti").select(*rows.columns).unionByName(rows)
-            self.store.write(name, kept)
+            self.store.by_file[name].replace(files, rows)
         chunks = self.store.read("chunks")
         nodes = chunks.select(F.col("chunk_id").alias("node_id"), F.col("chunk_type").alias("node_type"), "file_path", "symbol_name", "fingerprint", F.lit(False).alias("is_dirty"), F.lit(None).cast("map<string,string>").alias("metadata"))
         if before is not None:
@@ -62,7 +88,7 @@ class Engine:
     def delete(self, files: DataFrame) -> None:
         """files(file_path): all of their rows go."""
         self._replace(files, self.store.read("chunks").limit(0))
-        self.store.delete("cache", files, ["file_path"])
+        self.store.by_file["cache"].delete(files)
 
     def search(self, queries: DataFrame, k: int = 20, alpha: float = 0.5, mode: str = "hybrid") -> DataFrame:
         """queries(query_id bigint, text) -> (query_id, rank, doc_id, score); nothing before the first index().
@@ -82,10 +108,8 @@ class Engine:
         return sparse.okapi(self.store.read("postings"), sparse.query_terms(queries, "query_id", F.col("text")), chunks.count(), k)
 
     def _semantic(self, queries: DataFrame, k: int = 50) -> DataFrame:
-        vectors = written(numbered(self.store.read("vectors").select("doc_id", "vec"), ["doc_id"]), "numbered-vectors")
         asked = queries.select("query_id", self.embed(F.col("text")).alias("vec"))
-        near = dense.inner_product_top_k(asked, vectors.select(F.col("place").alias("doc_id"), "vec"), k)
-        return near.withColumnRenamed("doc_id", "place").join(vectors.select("place", "doc_id"), "place").select("query_id", "rank", "doc_id", "score")
+        return dense.inner_product_top_k(asked, self.store.read("vectors").select("doc_id", "vec"), k)
 
     def query(self, queries: DataFrame, k: int = 10, candidates: int = 50, depth: int = 3) -> dict[str, DataFrame]:
         """Search, rerank, expand, score: results, dependencies and completeness of each query."""
