@@ -20,14 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkwright.functions.ordering import numbered, running_sums
 from sparkwright.llm.common import col, stored
 
 WEIGHTS = (1, 2, 3)
 LIMIT = 3
 BLOCK = 4096
 RESERVE = 12
-#: A larger table of sources is joined by shuffle.
-BROADCAST_SOURCES = 100_000
+#: Beyond so many sources their totals don't come to the driver, and are joined by shuffle.
+COLLECTED_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-9
 
@@ -106,7 +107,7 @@ def _fly(landing: bool):
 
 def decisions(units: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     """units(doc_id, h, source_no, size, floor, p) -> the same, p decided to 0 or 1. most: units of the largest source."""
-    schema = "doc_id bigint, h bigint, source_no int, size double, floor int, p double, draw double"
+    schema = "doc_id bigint, h bigint, source_no int, size double, floor bigint, p double, draw double"
     draw = F.pmod(F.xxhash64("doc_id", "h", F.lit("draw")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     left, done = units.withColumn("draw", draw), None
     whole = "p <= 0 or p >= 1"
@@ -123,41 +124,93 @@ def decisions(units: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
         most = 2 * blocks
 
 
+def _targets_by_shuffle(sums: DataFrame, weights: tuple, limit: float) -> DataFrame:
+    """sums(source, size, n) -> (source_no, source, source_size, target, rate) where there are too many sources for the driver: as targets(), a round of it a job."""
+    placed = numbered(sums.withColumn("last", F.col("source").isNull()), ["last", "source"]).withColumnRenamed("place", "source_no")
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("source_no") % len(weights) + 1).cast("int"))
+    left = stored(placed.select("source_no", "source", F.col("size").alias("source_size"), weight.alias("weight"), F.lit(None).cast("double").alias("target")), "sources")
+    total = float(left.agg(F.sum("source_size")).first()[0])
+    while True:
+        open_weight = left.where("target is null").agg(F.sum("weight")).first()[0]
+        if not open_weight:
+            break
+        share, cap = F.lit(total) * F.col("weight") / F.lit(open_weight), F.lit(float(limit)) * F.col("source_size")
+        after = stored(left.withColumn("capped", F.col("target").isNull() & (share > cap)).withColumn("target", F.when(F.col("capped"), cap).otherwise(F.col("target"))), "sources")
+        cut_off = after.where("capped").agg(F.sum("target")).first()[0]
+        left = after.drop("capped")
+        if cut_off is None:
+            left = left.withColumn("target", F.coalesce("target", share))
+            break
+        total -= cut_off
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    return stored(left.select(F.col("source_no").cast("int").alias("source_no"), "source", "source_size", "target", rate.alias("rate")), "sources")
+
+
+def _plan(units: DataFrame, weights: tuple, limit: float) -> tuple[DataFrame, int]:
+    """(source_no, source, source_size, target, rate) of each source, and the units of the largest one."""
+    spark = units.sparkSession
+    sums = stored(units.groupBy("source").agg(F.sum(F.col("one") * F.col("rows")).alias("size"), F.count("*").alias("n")), "sums")
+    sources, most = sums.agg(F.count("*"), F.max("n")).first()
+    if sources > COLLECTED_SOURCES:
+        return _targets_by_shuffle(sums, weights, limit), most
+    rows = sorted(sums.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
+    goal = targets([r["size"] for r in rows], [w for w, _ in zip(cycle(weights), rows)], limit)
+    plan = [(i, r["source"], r["size"], g, g / r["size"] if r["size"] else 0.0) for i, (r, g) in enumerate(zip(rows, goal))]
+    return F.broadcast(spark.createDataFrame(plan, "source_no int, source string, source_size bigint, target double, rate double")), most or 1
+
+
+def _units(docs: DataFrame, weights: tuple, limit: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' own columns, and the units: one for each distinct id, text and source, with its rows, and how many copies all of them take."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    own = own.select("doc_id", "source", F.xxhash64("text").alias("h"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
+    own = stored(own, "sizes")
+    units = stored(own.groupBy("doc_id", "h", "source").agg(F.first("size").alias("one"), F.count("*").alias("rows")), "units")
+    plan, most = _plan(units, weights, limit)
+    joined = units.join(plan, units.source.eqNullSafe(plan.source)).drop(units.source)
+    # n equal rows take n * rate copies: the whole part surely, what is left as one document
+    wanted = F.col("rate") * F.col("rows")
+    whole = F.floor(wanted + EDGE)
+    units = joined.select("doc_id", "h", "source_no", "source", "rows", "source_size", "target", F.col("one").cast("double").alias("size"), whole.alias("floor"), F.greatest(wanted - whole, F.lit(0.0)).alias("p"))
+    units = stored(units, "chances")
+    chosen = decisions(units.select("doc_id", "h", "source_no", "size", "floor", "p"), most, block)
+    chosen = chosen.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.col("source_no").alias("s"), (F.col("floor") + F.col("p")).cast("bigint").alias("all_copies"))
+    both = units.join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("source_no") == F.col("s")))
+    return own, stored(both.select("doc_id", "h", "source", "rows", "source_size", "target", "all_copies"), "chosen")
+
+
+def _dealt(rows: DataFrame, units: DataFrame, order: list[str]) -> DataFrame:
+    """rows(_d, _h, _s, ...) with their unit's columns and `copies`: a unit's copies fall evenly on its rows, what is over on the first ones in order."""
+    keys = ["_d", "_h", "_s"]
+    both = rows.join(units, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")) & F.col("_s").eqNullSafe(F.col("source"))).drop("h").drop(units.doc_id).drop(units.source)
+    alone = both.where("rows = 1").withColumn("copies", F.col("all_copies"))
+    if units.where("rows > 1").isEmpty():
+        return alone
+    placed = running_sums(both.where("rows > 1").withColumn("_one", F.lit(1)), keys, order, "_one", "_place").drop("_one")
+    more = F.col("_place") < F.col("all_copies") % F.col("rows")
+    return alone.unionByName(placed.withColumn("copies", F.floor(F.col("all_copies") / F.col("rows")) + more.cast("bigint")).drop("_place"))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
-    """docs(doc_id, text, source, ...) -> one row for each input row: doc_id, size, source_size, target, taken.
+    """docs(doc_id, text, source, ...) -> one row for each input row: doc_id, h, source, size, source_size, target, taken, copies.
 
     size counts the words between ASCII white space (null text: 0); sources by code point, null last, weigh
-    `weights` in turn; taken is size times the copies that the mix takes, `limit` at most. Rows of equal id,
-    text and source are chosen together. A source without words has target 0 and takes nothing; an empty
-    table gives no row; null ids are ids like any other; further columns are ignored.
-    The totals by source come to the driver, a row for each source and none for a document.
+    `weights` in turn; taken is size times the copies that the mix takes, `limit` at most. Of n rows of equal id,
+    text and source some may be taken once more than others: together they take what one document n times as
+    likely would. A source without words has target 0 and takes nothing; an empty table gives no row; null ids are
+    ids like any other; further columns are ignored. Up to COLLECTED_SOURCES sources their totals come to
+    the driver, a row for each; more are worked out by shuffles.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    own = own.select("doc_id", "source", F.xxhash64("text").alias("h"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"))
-    own = stored(own, "sizes")
-    units = own.groupBy("doc_id", "h", "source").agg(F.first("size").alias("one"), F.count("*").alias("rows"))
-    units = stored(units, "units")
-    sums = units.groupBy("source").agg(F.sum(F.col("one") * F.col("rows")).alias("size"), F.count("*").alias("n")).collect()
-    sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    goal = targets([r["size"] for r in sums], [w for w, _ in zip(cycle(weights), sums)], limit)
-    rows = [(i, r["source"], r["size"], g, g / r["size"] if r["size"] else 0.0) for i, (r, g) in enumerate(zip(sums, goal))]
-    plan = spark.createDataFrame(rows, "source_no int, source string, source_size bigint, target double, rate double")
-    sent = F.broadcast if len(rows) <= BROADCAST_SOURCES else (lambda df: df)
-    joined = units.join(sent(plan), units.source.eqNullSafe(plan.source))
-    floor = F.floor(F.col("rate") + EDGE).cast("int")
-    units = joined.select("doc_id", "h", "source_no", (F.col("one") * F.col("rows")).cast("double").alias("size"), floor.alias("floor"), F.greatest(F.col("rate") - floor, F.lit(0.0)).alias("p"))
-    chosen = decisions(units, max([r["n"] for r in sums], default=1), block)
-    chosen = chosen.select(F.col("doc_id").alias("d"), "h", "source_no", (F.col("floor") + F.col("p")).cast("bigint").alias("copies"))
-    out = own.join(sent(plan), own.source.eqNullSafe(plan.source)).join(chosen, F.col("doc_id").eqNullSafe(F.col("d")) & (own.h == chosen.h) & (plan.source_no == chosen.source_no))
-    return out.select("doc_id", own.h, plan.source, own["size"], "source_size", "target", (own["size"] * F.col("copies")).alias("taken"), "copies")
+    own, units = _units(docs, weights, limit, block)
+    rows = own.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("source").alias("_s"), "size")
+    out = _dealt(rows, units, ["size"])
+    return out.select(F.col("_d").alias("doc_id"), F.col("_h").alias("h"), F.col("_s").alias("source"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, limit: float = LIMIT, block: int = BLOCK) -> DataFrame:
-    """docs as the mix takes them: each row as often as chosen, all columns kept."""
-    plan = mix(docs, weights, limit, block).where("copies > 0").groupBy("doc_id", "h", "source").agg(F.first("copies").alias("copies"))
+    """docs as the mix takes them: each row as often as chosen, all columns kept. Of rows of equal id, text and source those of the smallest XXH64 of all columns come first."""
+    _, units = _units(docs, weights, limit, block)
     names = [f"k{i}" for i in range(len(docs.columns))]
     own = docs.select(*(col(c).alias(n) for c, n in zip(docs.columns, names)), F.col("doc_id").cast("bigint").alias("_d"), F.xxhash64(F.col("text").cast("string")).alias("_h"), F.col("source").cast("string").alias("_s"))
-    both = own.join(plan, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")) & F.col("_s").eqNullSafe(F.col("source")))
-    repeated = both.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    own = own.withColumn("_x", F.xxhash64(*names))
+    repeated = _dealt(own, units, ["_x"]).where("copies > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
     return repeated.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names)))

@@ -136,6 +136,33 @@ def test_mix_of_awkward_rows(spark):
     assert set(mixing.mixed(awkward(spark)).columns) == set(awkward(spark).columns)
 
 
+def test_equal_rows_share_a_target(spark):
+    """Rows of equal id, text and source take their share together, though some are taken once more than others."""
+    same = [(1, "four words are here", "A", "x")] * 1000
+    other = [(i, "four words are here", "B", "x") for i in range(2, 1002)]
+    few = [(1, "four words are here", "A", "x")] * 10 + [(i, "four words are here", "B", "x") for i in range(2, 5)]
+    for rows in (same + other, few):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, target string")
+        out = mixing.mix(docs).toPandas()
+        assert len(out) == len(rows)
+        totals = out.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+        assert (abs(totals.taken - totals.target) <= np.maximum(4, 0.01 * totals.target)).all(), totals
+        assert (out.taken <= 3 * out["size"]).all()
+        again = mixing.mix(docs.repartition(5)).toPandas()
+        assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(out.doc_id, out.taken))
+        assert mixing.mixed(docs).count() == out.copies.sum()
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, "w " * int(n), f"s{int(20 * rng.random() ** 2)}" if i % 7 else None, "x") for i, n in enumerate(rng.integers(0, 60, 400))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, target string")
+    want = mixing.mix(docs).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(mixing, "COLLECTED_SOURCES", 3)
+    got = mixing.mix(docs).toPandas().sort_values("doc_id")
+    assert np.allclose(got.target, want.target) and (got.taken.to_numpy() == want.taken.to_numpy()).all()
+
+
 # WARC
 
 PAGES = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, "same"), (4, "http://b", "Ünï\r\n\r\nx"), (5, "http://c", None), (6, "http://d", ""), (None, "http://e", "same"), (None, "http://f", "alone"), (7, "u\r\nX: y", "z" * 300_000), (7, "twice", "same7"), (7, "twice", "same7")]
@@ -319,6 +346,50 @@ def test_suffix_array_by_sorting():
             assert [x >= depth for x in lcp.tolist()[1:]] == [t[a : a + depth].tolist() == t[b : b + depth].tolist() and max(a, b) + depth <= n for a, b in zip(order[:-1], order[1:])]
 
 
+def plain_unmarked(rows, min_run=4):
+    """Pages without an article by comparing all windows of a host's distinct pages: (page_id, text)."""
+    blocks = lambda page: htmltext.parse(page)
+    by_host = collections.defaultdict(set)
+    for _, url, page in rows:
+        by_host[url.split("/")[2]].add(page)
+    out = []
+    for i, url, page in rows:
+        p = blocks(page)
+        words = [w for b in p.blocks for w in b.split()]
+        others = set()
+        for other in by_host[url.split("/")[2]] - {page}:
+            w = [x for b in blocks(other).blocks for x in b.split()]
+            others |= {tuple(w[k : k + min_run]) for k in range(len(w) - min_run + 1)}
+        covered = np.zeros(len(words), bool)
+        for k in range(len(words) - min_run + 1):
+            if tuple(words[k : k + min_run]) in others:
+                covered[k : k + min_run] = True
+        at, own, every = 0, [], []
+        for b, kind in zip(p.blocks, p.kinds):
+            n = len(b.split())
+            if kind != htmltext.JUNK_BLOCK:
+                every.append(b)
+                if covered[at : at + n].mean() < 0.5:
+                    own.append(b)
+            at += n
+        out.append((i, "\n".join(own or every)))
+    return sorted(out)
+
+
+def test_unmarked_pages_are_judged_over_the_whole_host(spark):
+    """Menus of all pages, boxes on two pages each, mirrored pages: one answer for every size of group, that of comparing all windows."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 4000, n))
+    boxes = [words(12) for _ in range(20)]
+    rows = [(i, f"http://h{i % 3 % 2}.org/{i}", f"<body><div>Home news sport weather and more of it</div><div>{words(25)}</div><div>{boxes[i // 2]}</div><p>{words(9)}</p></body>") for i in range(40)]
+    rows += [(100 + i, f"http://h{i % 3 % 2}.org/m{i}", rows[i][2]) for i in range(12)] + [(200, "http://alone.org/", rows[0][2]), (201, "http://alone.org/2", rows[0][2])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = plain_unmarked(rows)
+    assert sum("Home news" in t for _, t in want) == 2  # of a host with one page nothing is known to repeat
+    for size in (10_000, 256, 16, 1):
+        assert sorted((r.page_id, r.text) for r in htmltext.extract(pages, per_group=size).collect()) == want, size
+
+
 def test_repeats_by_brute_force():
     rng = np.random.default_rng(1)
     pages = [[f"w{x}" for x in rng.integers(0, 4, n)] for n in (0, 3, 20, 30, 25)]
@@ -337,11 +408,14 @@ def test_pages_without_an_article(spark):
     rows = [(i, "http://h.org/x", shell.format(f"Unique story number {i} about thing{i} and place{i}"), "x") for i in range(6)]
     rows += [(10, "http://h.org/y", "<article><p>Welcome to our lovely site of news today</article>", "x"), (11, None, None, "x"), (12, "bad url", "", "x"), (None, "http://z", "<main>m</main>", "x"), (0, "http://h.org/x", rows[0][2], "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
-    for size in (256, 2):
+    rows.append((100, "http://h.org/mirror", rows[0][2], "x"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    for size in (10_000, 256, 16, 2, 1):
         got = [(r.page_id, r.text) for r in htmltext.extract(pages, per_group=size).collect()]
         assert len(got) == len(rows) and (10, "Welcome to our lovely site of news today") in got and (None, "m") in got and (11, "") in got
-        if size == 256:
-            assert {t for i, t in got if i in range(1, 6)} == {f"Unique story number {i} about thing{i} and place{i}" for i in range(1, 6)}
+        # the repeated row and the copy under another id and address tell nothing, and get what the page itself gets
+        want = [(i, f"Unique story number {i % 100} about thing{i % 100} and place{i % 100}") for i in (0, 0, *range(1, 6), 100)]
+        assert sorted(x for x in got if x[0] in (*range(6), 100)) == sorted(want), size
     assert all(r.n_chars == len(r.text) for r in htmltext.extract(pages).collect())
     assert htmltext.extract(pages.limit(0)).count() == 0
 
