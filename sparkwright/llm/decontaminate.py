@@ -1,10 +1,13 @@
-"""Benchmark passages in training documents: n-gram counts that no alignment can miss, then Smith-Waterman alignment.
+"""Benchmark passages in training documents: rare n-gram seeds that no alignment can miss, then Smith-Waterman alignment.
 
-The items are the stated query set; the documents are scanned against them in place, once, and never
+The items are the stated query set; the documents are scanned against them in place and never
 shuffled. Items go to the executors in blocks of bounded size. An alignment that scores at least the
 threshold loses a bounded number of points, and each point can break a bounded number of an item's
-n-grams; so for each item the longest n is taken of which some n-grams are sure to stay whole, and
-wherever that many of them stand close enough together, the item is aligned with the words around.
+n-grams; so for each item the longest n is taken of which some n-grams are sure to stay whole. A first
+scan counts the items' n-grams over all documents. If `least` of an item's n-grams stay whole, one of
+its rarest (all - least + 1) does: those are its seeds. The second scan joins documents with items on
+seeds alone; only for the items so found the other n-grams are looked at, and wherever enough of them
+stand close together, the item is aligned with the words around.
 """
 
 from __future__ import annotations
@@ -185,18 +188,96 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = T
     return out
 
 
-def _block(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame:
+@dataclass
+class Seeds:
+    """Of a block's n-grams: sorted hashes and their lengths; of each item (in CSR form, by hash) its n-grams and positions;
+    of each hash (in CSR form) the items that it is a seed of; of each item `least`, the reach and the slack of a match."""
+
+    hashes: np.ndarray
+    sizes: list[int]
+    item_starts: np.ndarray
+    which: np.ndarray
+    position: np.ndarray
+    seed_starts: np.ndarray
+    seed_items: np.ndarray
+    least: np.ndarray
+    reach: np.ndarray
+    slack: np.ndarray
+
+
+def rarest(counts: np.ndarray, item: np.ndarray, which: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Of each item's places (item, which n-gram) all but `least` - 1, those whose n-grams are the rarest: whether a place is a seed."""
+    order = np.lexsort((which, counts[which], item))
+    rank = np.empty(len(item), np.int64)
+    rank[order] = np.arange(len(item)) - np.searchsorted(item[order], item[order])
+    return rank <= np.bincount(item, minlength=len(least))[item] - least[item]
+
+
+def _corpus_counts(docs: DataFrame, items: Items, hashes: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """How often each n-gram stands in all documents: a number for each n-gram of the block comes to the driver."""
+    sent = docs.sparkSession.sparkContext.broadcast((items.numbers, hashes, sizes))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, hashes, sizes = sent.value
+        known, finder = _Known(numbers), Finder(hashes, sizes)
+        out = np.zeros(len(hashes), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                out += np.bincount(finder.find(numbered(t.as_py(), known))[1], minlength=len(hashes))
+        (some,) = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(out[some], pa.int64())], ["gram", "n"])
+
+    found = docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(hashes), np.int64)
+    out[found["gram"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def seeds_of(items: Items, n: int, threshold: float, count) -> Seeds:
+    """count: from sorted hashes and their lengths to how often each stands in the documents."""
     own = [least_grams(len(w), threshold, n) for w in items.words]
     ns, least, slack = (np.array(x) for x in zip(*own))
-    reach = np.array([len(w) for w in items.words]) + slack - ns
     hashes, which, item, position = items.grams(ns.tolist())
-    order = np.argsort(which, kind="stable")
-    starts = np.append(np.searchsorted(which[order], np.arange(len(hashes))), len(order))
-    sent = docs.sparkSession.sparkContext.broadcast((items, hashes, np.unique(ns).tolist(), starts, item[order], position[order], least, reach, slack))
+    sizes = np.unique(ns).tolist()
+    order = np.lexsort((which, item))
+    which, item, position = which[order], item[order], position[order]
+    seed = rarest(count(hashes, sizes), item, which, least)
+    pairs = np.unique(which[seed] * len(least) + item[seed])
+    starts = lambda x, m: np.searchsorted(x, np.arange(m + 1))
+    reach = np.array([len(w) for w in items.words]) + slack - ns
+    return Seeds(hashes, sizes, starts(item, len(least)), which, position, starts(pairs // len(least), len(hashes)), pairs % len(least), least, reach, slack)
+
+
+def candidates(seeds: Seeds, gram: np.ndarray) -> np.ndarray:
+    """The items of which one of these n-grams is a seed."""
+    (own,) = np.nonzero(np.diff(seeds.seed_starts)[gram])
+    found = np.unique(gram[own])
+    return np.unique(np.concatenate([seeds.seed_items[seeds.seed_starts[g] : seeds.seed_starts[g + 1]] for g in found])) if len(found) else found
+
+
+def places(seeds: Seeds, i: int, at: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of item i: where its n-grams stand among these (in the document, in the item), where enough of them are close."""
+    if len(at) < seeds.least[i]:
+        return at[:0], at[:0]
+    a, b = seeds.item_starts[i : i + 2]
+    which, position = seeds.which[a:b], seeds.position[a:b]
+    low, high = np.searchsorted(which, gram), np.searchsorted(which, gram, "right")
+    many = high - low
+    own = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    at, where = np.repeat(at, many), position[own]
+    order = np.argsort(at, kind="stable")
+    at, where = at[order], where[order]
+    keep = dense(at, np.zeros(len(at), np.int64), seeds.least[i : i + 1], seeds.reach[i : i + 1])
+    return at[keep], where[keep]
+
+
+def _block(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame:
+    seeds = seeds_of(items, n, threshold, lambda hashes, sizes: _corpus_counts(docs, items, hashes, sizes))
+    sent = docs.sparkSession.sparkContext.broadcast((items, seeds))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashes, sizes, starts, item, position, least, reach, slack = sent.value
-        known, finder = _Known(items.numbers), Finder(hashes, sizes)
+        items, seeds = sent.value
+        known, finder = _Known(items.numbers), Finder(seeds.hashes, seeds.sizes)
         done: dict[tuple, tuple[int, int, int]] = {}
 
         def best(i: int, text: np.ndarray) -> tuple[int, int, int]:
@@ -216,18 +297,13 @@ def _block(docs: DataFrame, items: Items, n: int, threshold: float) -> DataFrame
             rows: list[tuple] = []
             for of_row, t in enumerate(b.column(4)):
                 words = numbered(t.as_py(), known)
-                at, seed = finder.find(words)
-                if not len(at):
-                    continue
-                many = starts[seed + 1] - starts[seed]
-                place = np.repeat(starts[seed] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-                at, of, where = np.repeat(at, many), item[place], position[place]
-                order = np.lexsort((at, of))
-                order = order[dense(at[order], of[order], least, reach)]
-                at, of, where = at[order], of[order], where[order]
-                for i in np.unique(of).tolist():
-                    mine, length = of == i, len(items.words[i])
-                    found = [(*best(i, words[a:e]), a) for a, e in regions(at[mine], where[mine], length, int(slack[i]), len(words))]
+                at, gram = finder.find(words)
+                for i in candidates(seeds, gram).tolist():
+                    near, where = places(seeds, i, at, gram)
+                    if not len(near):
+                        continue
+                    length = len(items.words[i])
+                    found = [(*best(i, words[a:e]), a) for a, e in regions(near, where, length, int(seeds.slack[i]), len(words))]
                     score, start, end, a = max(found, key=lambda x: (x[0], -x[3]))
                     if score >= threshold * MATCH * length:
                         rows.append((of_row, items.ids[i], score / (MATCH * length), a + start, a + end - 1))

@@ -314,6 +314,47 @@ def test_no_alignment_lacks_its_grams():
 # Language model
 
 
+def test_seeds_are_the_rarest_and_none_is_missed():
+    """Each item's seeds are its rarest n-grams, and every text that an item aligns with at the threshold has one of them."""
+    rng = np.random.default_rng(12)
+    words = [f"w{int(400 * x**2)}" for x in rng.random(4000)]
+    pick = lambda n: [words[int(k)] for k in rng.integers(0, len(words), n)]
+    texts = [" ".join(pick(int(n))) for n in (1, 2, 3, 8, 20, 45, 90)]
+    items = decontaminate.Items.of(list(range(len(texts))), texts)
+    known = decontaminate._Known(items.numbers)
+    docs = []
+    for _ in range(150):
+        own = texts[int(rng.integers(0, len(texts)))].split()
+        for _ in range(int(rng.integers(0, 1 + len(own) // 4))):
+            k = int(rng.integers(0, len(own)))
+            own[k : k + int(rng.integers(0, 2))] = pick(int(rng.integers(0, 2)))
+            own = own or ["w1"]
+        docs.append(" ".join(pick(30) + own + pick(30)))
+    numbers = [decontaminate.numbered(t, known) for t in docs]
+    counted = []
+
+    def count(hashes, sizes):
+        finder = decontaminate.Finder(hashes, sizes)
+        counted.append(sum(np.bincount(finder.find(w)[1], minlength=len(hashes)) for w in numbers))
+        return counted[0]
+
+    seeds = decontaminate.seeds_of(items, 4, 0.6, count)
+    for i in range(len(texts)):
+        own = seeds.which[seeds.item_starts[i] : seeds.item_starts[i + 1]]
+        chosen = {g for g in range(len(seeds.hashes)) if i in seeds.seed_items[seeds.seed_starts[g] : seeds.seed_starts[g + 1]]}
+        others = [counted[0][g] for g in own if g not in chosen]
+        assert len(others) < seeds.least[i] and max(counted[0][g] for g in chosen) <= min(others, default=1 << 60)
+    finder, found = decontaminate.Finder(seeds.hashes, seeds.sizes), 0
+    for w in numbers:
+        at, gram = finder.find(w)
+        near = {i for i in decontaminate.candidates(seeds, gram).tolist() if len(decontaminate.places(seeds, i, at, gram)[0])}
+        for i, item in enumerate(items.words):
+            if decontaminate.align(item, w)[0] >= 0.6 * 2 * len(item):
+                found += 1
+                assert i in near
+    assert found > 100
+
+
 @pytest.mark.parametrize("frequent", [100_000, 5])
 def test_base_scores_by_hand(spark, monkeypatch, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
