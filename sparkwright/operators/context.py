@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkwright.functions import text as T
+from sparkwright.functions.ordering import running_sums
 from sparkwright.operators.graph import reach
 from sparkwright.operators.sparse import top_k
 
@@ -65,12 +66,25 @@ def token_estimate(column: str) -> Column:
     return F.expr(f"coalesce(sum(length(`{column}`)), 0) div 4")
 
 
-def within_budget(ranked: DataFrame, max_tokens: int) -> DataFrame:
-    """ranked(query_id, rank, content): the best rows whose running token estimate fits."""
-    from pyspark.sql.window import Window
+def within_budget(ranked: DataFrame, max_tokens: int, order: str = "rank", content: str = "content") -> DataFrame:
+    """ranked(query_id, rank, content): the best rows whose running token estimate fits, with tokens_so_far.
 
-    so_far = F.sum(F.length("content")).over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("tokens_so_far", (so_far / 4).cast("bigint")).where(F.col("tokens_so_far") <= max_tokens)
+    Only ids and lengths are sorted, by range, so a query of very many rows is no one task; the rows that fit are then looked up.
+    A query's values of `order` differ.
+    """
+    own = ranked.select("query_id", order, F.coalesce(F.length(content), F.lit(0)).cast("bigint").alias("_n"))
+    placed = running_sums(own, ["query_id"], [order], "_n", "_before")
+    fits = placed.select(F.col("query_id").alias("_q"), F.col(order).alias("_o"), F.floor((F.col("_before") + F.col("_n")) / 4).alias("tokens_so_far")).where(F.col("tokens_so_far") <= max_tokens)
+    return ranked.join(fits, F.col("query_id").eqNullSafe(F.col("_q")) & F.col(order).eqNullSafe(F.col("_o"))).drop("_q", "_o")
+
+
+def unknown_names(texts: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
+    """texts(id, text), nodes(name) -> (id, name): names that a text, such as a summary, refers to and no node has: what a model made up.
+
+    References are those of T.references(); texts are read once and their names meet the nodes' in one anti join.
+    """
+    named = texts.select("id", F.explode(T.references(F.coalesce(text, F.lit("")))).alias("name"))
+    return named.join(nodes.select("name").distinct(), "name", "left_anti").select("id", "name")
 
 
 def snippets(results: DataFrame, width: int = 150) -> DataFrame:

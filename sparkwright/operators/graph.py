@@ -80,6 +80,26 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(front))
 
 
+def shortest_paths(edges: DataFrame, roots: DataFrame, reverse: bool = False) -> DataFrame:
+    """roots(root) -> (root, node_id, hops, path array): the nodes that each root reaches, itself included, breadth first.
+
+    Of several nodes by which one is reached in the same number of steps the smallest is its parent, so each node has
+    one path. Visited nodes are left out, so cycles end; a level is a join and a checkpoint.
+    """
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    step = edges.select(F.col(a).alias("node_id"), F.col(b).alias("to")).where("node_id is not null and to is not null").distinct()
+    start = roots.select("root").where("root is not null").distinct()
+    level = cut(start.select("root", F.col("root").alias("node_id"), F.lit(0).alias("hops"), F.array("root").alias("path")))
+    seen = level
+    while True:
+        near = level.join(step, "node_id").groupBy("root", F.col("to").alias("node_id")).agg(F.min(F.struct("node_id", "hops", "path")).alias("parent"))
+        new = near.select("root", "node_id", (F.col("parent.hops") + 1).alias("hops"), F.concat("parent.path", F.array("node_id")).alias("path"))
+        level = cut(new.join(seen.select("root", "node_id"), ["root", "node_id"], "left_anti"))
+        if level.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(level))
+
+
 def mark_dirty(nodes: DataFrame, edges: DataFrame, changed: DataFrame, depth: int = 3) -> DataFrame:
     """changed(node_id) -> the known nodes among them and their dependents within `depth` edges, distinct."""
     seeds = changed.select(F.col("node_id").alias("seed"))

@@ -94,3 +94,33 @@ def all_terms(postings: DataFrame, queries: DataFrame, n_docs: int, k: int = 20,
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     score = hit.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("have")).join(need, "query_id")
     return top_k(score.where("have = need"), k).select("query_id", "rank", "doc_id", "score")
+
+
+def feedback_terms(postings: DataFrame, first: DataFrame, n_docs: int, terms: int = 10, digits: int = 9) -> DataFrame:
+    """first(query_id, doc_id, score): the first results of each query -> (query_id, term, weight): the terms that mark them.
+
+    A term's weight is the sum over a query's results of the result's share of all their scores, times the term's share of the
+    document, times ln((n + 1) / (df + 1)). The heaviest terms stay, ties by term.
+    """
+    total = first.groupBy("query_id").agg(F.sum("score").alias("total"))
+    share = first.join(total, "query_id").where("total > 0").select("query_id", "doc_id", (F.col("score") / F.col("total")).alias("share"))
+    own = postings.join(share, "doc_id").select("query_id", "term", (F.col("share") * F.col("tf") / F.col("len")).alias("part"))
+    near = own.groupBy("query_id", "term").agg(F.sum("part").alias("part"))
+    df = postings.join(near.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.round(F.col("part") * F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)), digits)
+    weighed = near.join(df, "term").select("query_id", "term", weight.alias("weight"))
+    return top_k(weighed, terms, "weight", tie="term").select("query_id", "term", "weight")
+
+
+def expanded(queries: DataFrame, feedback: DataFrame, share: float = 0.5) -> DataFrame:
+    """query_terms() with feedback_terms(): (query_id, term, qtf), where the feedback has this share of a query's weight.
+
+    A query's own terms keep the rest in proportion; one without feedback stays as it is.
+    """
+    own = queries.join(queries.groupBy("query_id").agg(F.sum("qtf").alias("sum")), "query_id")
+    more = feedback.where("weight > 0")
+    more = more.join(more.groupBy("query_id").agg(F.sum("weight").alias("weights")), "query_id").join(own.select("query_id", "sum").distinct(), "query_id")
+    told = more.select("query_id", F.lit(True).alias("told")).distinct()
+    own = own.join(told, "query_id", "left").select("query_id", "term", F.when(F.col("told"), (1 - share) * F.col("qtf")).otherwise(F.col("qtf")).cast("double").alias("qtf"))
+    more = more.select("query_id", "term", (share * F.col("sum") * F.col("weight") / F.col("weights")).alias("qtf"))
+    return own.unionByName(more).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))

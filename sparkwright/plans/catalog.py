@@ -109,6 +109,41 @@ def bm25_blockmax_share(spark, d):
     return read.agg(F.count("*").alias("queries"), F.sum("postings").alias("postings"), (2 * F.sum("read") <= F.sum("postings")).alias("half"))
 
 
+_FEEDBACK = (
+    _OKAPI
+    + """,
+fb AS (SELECT query_id, doc_id, score / sum(score) OVER (PARTITION BY query_id) AS share FROM okapi WHERE rank <= 10),
+weights AS (SELECT query_id, term, round(sum(share * tf / l) * ln((any_value(n) + 1) / (any_value(df) + 1)), 9) AS weight FROM fb JOIN post USING (doc_id) JOIN df USING (term), stats GROUP BY query_id, term),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS r FROM weights)"""
+)
+
+
+@query(f"WITH {_FEEDBACK} SELECT query_id, term, round(weight, 7) AS weight FROM best WHERE r <= 10")
+def query_feedback(spark, d):
+    """The terms that mark each query's ten first results."""
+    post, asked, n = _lists(spark, d)
+    return sparse.feedback_terms(post, sparse.okapi(post, asked, n, 10), n).withColumn("weight", F.round("weight", 7))
+
+
+@query(
+    f"""WITH {_FEEDBACK},
+more AS (SELECT query_id, term, weight FROM best WHERE r <= 10 AND weight > 0),
+size AS (SELECT query_id, sum(qtf) AS size FROM q GROUP BY query_id),
+heavy AS (SELECT query_id, sum(weight) AS heavy FROM more GROUP BY query_id),
+x AS (SELECT query_id, term, sum(v) AS v FROM (SELECT query_id, term, CASE WHEN heavy IS NULL THEN 1 ELSE 0.5::DOUBLE END * qtf AS v FROM q LEFT JOIN heavy USING (query_id)
+ UNION ALL SELECT query_id, term, 0.5::DOUBLE * size * weight / heavy FROM more JOIN size USING (query_id) JOIN heavy USING (query_id)) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(v * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / avgdl))), 6) AS score
+ FROM x JOIN idf USING (term) JOIN post USING (term), stats GROUP BY query_id, doc_id HAVING score > 0),
+k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s)
+SELECT * FROM k WHERE rank <= 10"""
+)
+def expanded_topk(spark, d):
+    """The ranking of the queries with those terms added."""
+    post, asked, n = _lists(spark, d)
+    more = sparse.expanded(asked, written(sparse.feedback_terms(post, sparse.okapi(post, asked, n, 10), n), "feedback"))
+    return sparse.okapi(post, more, n, 10)
+
+
 @query(
     f"""WITH {_POSTINGS},
 idf AS (SELECT term, CASE WHEN n - df <= df THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf FROM df, stats),
@@ -262,6 +297,17 @@ def dirty_propagation(spark, d):
     return graph.mark_dirty(_nodes(spark, d), _edges(spark, d), changed)
 
 
+@query(
+    f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node_id, 0 AS hops, 'r' || r_regionkey AS path FROM region
+ UNION ALL SELECT root, src, hops + 1, path || '>' || src FROM w JOIN e ON w.node_id = e.dst)
+SELECT root, node_id, hops, path FROM w"""
+)
+def shortest_paths(spark, d):
+    """From each region down to its nations, customers and orders, with the path."""
+    roots = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root"))
+    return graph.shortest_paths(_edges(spark, d), roots, reverse=True).withColumn("path", F.array_join("path", ">"))
+
+
 @query(
     f"""WITH RECURSIVE {_EDGES}, red AS (SELECT DISTINCT 'c' || user_id AS node_id FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) WHERE was <> event_type),
 w AS (SELECT node_id, 0 AS depth FROM red WHERE node_id IN (SELECT src FROM e) UNION ALL SELECT src, depth + 1 FROM w JOIN e ON w.node_id = e.dst WHERE depth < 3)
@@ -655,8 +701,9 @@ SELECT query_id, rank, doc_id, (chars // 4)::BIGINT AS tokens_so_far FROM s WHER
 )
 def results_within_budget(spark, d):
     own = table(spark, d, "documents").select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("content"))
-    by = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).cast("bigint")
-    return context.within_budget(own.withColumn("rank", by), 4096).select("query_id", "rank", "doc_id", "tokens_so_far")
+    fits = context.within_budget(own, 4096, "doc_id").select("query_id", "doc_id", "tokens_so_far")
+    by = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")).cast("bigint")  # of what fits, not of the source
+    return fits.withColumn("rank", by)
 
 
 @query(
@@ -685,6 +732,19 @@ def document_references(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.references(code)).alias("n_calls"))
 
 
+@query(
+    """WITH n AS (SELECT doc_id, unnest(list_filter(list_distinct(regexp_extract_all(replace(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g'), ' ', '('), '\\b([a-zA-Z_]\\w*)\\s*\\(', 1)),
+ lambda x: x NOT IN ('if','for','while','with','def','class','return','print','str','int','list','dict','set','len','range'))) AS name FROM documents)
+SELECT doc_id AS id, name FROM n WHERE name NOT IN (SELECT name FROM n WHERE doc_id % 2 = 0)"""
+)
+def unknown_names(spark, d):
+    """Names in documents, their words made calls, that no document of an even id has: those are the nodes here."""
+    code = F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", ""), F.lit(" "), F.lit("("))
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("id"), code.alias("text"))
+    nodes = own.where("id % 2 = 0").select(F.explode(T.references(F.col("text"))).alias("name"))
+    return context.unknown_names(own, nodes)
+
+
 @query(
     """WITH refs AS (SELECT DISTINCT source AS query_id, 'f' || (doc_id % 40) AS name FROM documents), defs AS (SELECT DISTINCT source AS query_id, 'f' || (doc_id % 30) AS name FROM documents WHERE doc_id % 3 > 0),
 j AS (SELECT query_id, refs.name, defs.name AS known FROM refs LEFT JOIN defs USING (query_id, name))

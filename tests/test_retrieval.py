@@ -1,9 +1,10 @@
+import math
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwright.operators import dense, fuse, sparse
+from sparkwright.operators import context, dense, fuse, sparse
 
 ROWS = [
     (1, "b:bar:2", "bar", "b.py", "bar runs the parser run run"), (2, "a:foo:1", "foo", "a.py", "foo parses running files"), (3, "c:baz:3", "baz", "c.py", "baz does other things entirely"),
@@ -55,3 +56,31 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     asked = sparse.query_terms(spark.createDataFrame([(1, "a")], "query_id bigint, text string"), "query_id", F.col("text"))
     assert sparse.okapi(sparse.terms(none, "doc_id", F.col("text")), asked, 0).count() == 0
+
+
+def test_feedback_by_hand(spark):
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, "green tree here")], "doc_id bigint, text string")
+    post = sparse.postings(docs, "doc_id", F.col("text"))
+    first = spark.createDataFrame([(0, 1, 3.0), (0, 2, 1.0), (5, 3, 0.0)], "query_id bigint, doc_id bigint, score double")
+    got = {(r.query_id, r.term): r.weight for r in sparse.feedback_terms(post, first, 3, 2).collect()}
+    assert got == {(0, "red"): pytest.approx(0.75 * 2 / 3 * math.log(4 / 2)), (0, "fox"): pytest.approx((0.75 / 3 + 0.25 / 2) * math.log(4 / 3))}
+    asked = spark.createDataFrame([(0, "fox", 2), (9, "tree", 1)], "query_id bigint, term string, qtf bigint")
+    feedback = spark.createDataFrame([(0, "red", 3.0), (0, "fox", 1.0)], "query_id bigint, term string, weight double")
+    assert {(r.query_id, r.term): r.qtf for r in sparse.expanded(asked, feedback).collect()} == {(0, "fox"): 1.25, (0, "red"): 0.75, (9, "tree"): 1.0}
+
+
+def test_budget_is_the_running_sum(spark):
+    rows = [(q, i, "x" * (7 * i % 40)) for q in ("a", None) for i in range(60)] + [("b", 0, "y" * 900), ("c", 0, None)]
+    got = sorted(((r.query_id or "", r["rank"], r.tokens_so_far) for r in context.within_budget(spark.createDataFrame(rows, "query_id string, rank bigint, content string").repartition(5), 100).collect()))
+    want, so_far = [], {}
+    for q, i, text in rows:
+        so_far[q] = so_far.get(q, 0) + len(text or "")
+        if so_far[q] // 4 <= 100:
+            want.append((q or "", i, so_far[q] // 4))
+    assert got == sorted(want)
+
+
+def test_names_that_no_node_has(spark):
+    texts = spark.createDataFrame([(1, "calls load() and made_up(x)"), (2, None), (3, "save()"), (4, "made_up() made_up()")], "id bigint, text string")
+    nodes = spark.createDataFrame([("load",), ("save",), (None,)], "name string")
+    assert sorted(map(tuple, context.unknown_names(texts, nodes).collect())) == [(1, "made_up"), (4, "made_up")]
