@@ -21,5 +21,5 @@ def test_stages_keep_columns_and_clean_documents(spark, small):
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 13))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
