@@ -9,8 +9,9 @@ that holds at least a = ceil(t * |T|) of a notice's |T| distinct tokens must hol
 with at least a tokens stay (length filter), and of the tokens from the shared one onwards enough
 must be left on both sides (positional filter). What remains is counted in full.
 
-Blocks are lines, and windows of up to WINDOW neighbouring lines, as notices are wrapped; a window of
-more than one line counts where it holds no more than SPREAD times the notice's distinct tokens.
+Blocks are lines, of any length, and windows of words: SPREAD times as many consecutive words as the notice has
+distinct tokens, wherever they begin. So it doesn't matter how a notice is wrapped, or what blank lines and
+comment marks stand in it. A window that holds enough has one that begins with a notice's token and holds as much.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ NOTICES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 )
 
-#: Lines of a window at most, and how many times a notice's distinct tokens it holds at most.
-WINDOW, SPREAD = 4, 2
+#: How many times a notice's distinct tokens a window's words are.
+SPREAD = 2
 #: More texts than this to be read again and they meet their rows by shuffle instead of being sent to each executor.
 BROADCAST_DOCS = 500_000
 #: More tokens than this and their tables are joined by shuffle instead of being sent to each executor.
@@ -128,8 +129,8 @@ def _schema(text: str):
 
 
 def contained(docs: DataFrame, notices: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """docs(k0, k1, k2, low) x notices(notice, label, token) -> (k0, k1, k2, line, lines, notice, label, containment), each
-    pair of a block and a notice whose share of its distinct tokens in the block is at least the threshold.
+    """docs(k0, k1, k2, low) x notices(notice, label, token) -> (k0, k1, k2, notice, label, containment), a row for each
+    line or window and notice whose share of its distinct tokens in there is at least the threshold.
     counts(token, count): how frequent tokens are in the corpus; those that it lacks are the rarest.
     """
     vocabulary = notices.select("token").distinct()
@@ -143,25 +144,41 @@ def contained(docs: DataFrame, notices: DataFrame, counts: DataFrame, threshold:
     prefix = stored(prefix, "prefix")
     first = prefix.join(order, "rank").select("token").distinct()
 
-    key = ["k0", "k1", "k2", "line", "lines"]
-    by_line = docs.select("k0", "k1", "k2", F.transform(F.split("low", "\n"), lambda x: F.array_distinct(_words(x))).alias("by_line"))
-    begins = by_line.select("*", F.explode(F.sequence(F.lit(0), F.size("by_line") - 1)).alias("line"))
-    widths = F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.size("by_line") - F.col("line")))
-    blocks = begins.select("*", F.explode(widths).alias("lines"))
-    tokens = blocks.select(*key, F.array_distinct(F.flatten(F.slice("by_line", F.col("line") + 1, F.col("lines")))).alias("tokens"))
-    tokens = tokens.withColumn("n", F.size("tokens"))
-    some = tokens.select(*key, "n", "tokens", F.explode("tokens").alias("token")).join(sent(first), "token").select(*key, "n", "tokens").dropDuplicates(key)
-    sets = some.select(*key, "n", F.explode("tokens").alias("token")).join(sent(order), "token")
-    sets = sets.groupBy(*key).agg(F.array_sort(F.collect_set("rank")).alias("held"), F.first("n").alias("n"))
+    in_lines = _in_lines(docs, order, first, prefix, sent)
+    return in_lines.unionByName(_in_windows(docs, order, ranked, prefix, sent))
 
+
+def _in_lines(docs: DataFrame, order: DataFrame, first: DataFrame, prefix: DataFrame, sent) -> DataFrame:
+    """Lines against notices: first (tokens of prefixes) and prefix (of each notice) make the candidates."""
+    key = ["k0", "k1", "k2", "line"]
+    lines = docs.select("k0", "k1", "k2", F.posexplode(F.split("low", "\n")).alias("line", "text"))
+    tokens = lines.select(*key, F.array_distinct(_words(F.col("text"))).alias("tokens"))
+    some = tokens.select(*key, "tokens", F.explode("tokens").alias("token")).join(sent(first), "token").select(*key, "tokens").dropDuplicates(key)
+    sets = some.select(*key, F.explode("tokens").alias("token")).join(sent(order), "token").groupBy(*key).agg(F.array_sort(F.collect_set("rank")).alias("held"))
     at = sets.select("*", F.posexplode("held").alias("j", "rank"))
     pairs = at.join(sent(prefix), "rank").where(
         (F.size("held") >= F.col("a")) & (F.least(F.col("m") - F.col("i"), F.size("held") - F.col("j")) + F.least("i", "j") >= F.col("a"))
-        & ((F.col("lines") == 1) | (F.col("n") <= SPREAD * F.col("m")))
     )
     pairs = pairs.dropDuplicates([*key, "notice"])
     shared = F.size(F.array_intersect("held", "ranks"))
-    return pairs.where(shared >= F.col("a")).select(*key, "notice", "label", (shared / F.col("m")).alias("containment"))
+    return pairs.where(shared >= F.col("a")).select("k0", "k1", "k2", "notice", "label", (shared / F.col("m")).alias("containment"))
+
+
+def _in_windows(docs: DataFrame, order: DataFrame, ranked: DataFrame, prefix: DataFrame, sent) -> DataFrame:
+    """Windows of words against notices. Texts with a token of a notice's prefix are its candidates, those with too few of its tokens go; of
+    the others each place of a token begins a window."""
+    key = ["k0", "k1", "k2"]
+    widest = SPREAD * (ranked.agg(F.max("m")).first()[0] or 1)
+    places = docs.select(*key, F.posexplode(_words(F.col("low"))).alias("pos", "token")).join(sent(order), "token").select(*key, "pos", "rank")
+    tokens = ranked.select("notice", "label", "m", "a", F.explode("ranks").alias("rank"))
+    rare = prefix.select("notice", "rank", F.lit(True).alias("rare"))
+    own = places.join(sent(tokens.join(rare, ["notice", "rank"], "left")), "rank")
+    enough = own.groupBy(*key, "notice").agg(F.max("rare").alias("rare"), F.count_distinct("rank").alias("n"), F.first("a").alias("a")).where("rare and n >= a")
+    own = own.join(enough.select(*key, "notice"), [*key, "notice"])
+    near = F.collect_list(F.struct("pos", "rank")).over(Window.partitionBy(*key, "notice").orderBy("pos").rangeBetween(0, widest - 1))
+    inside = F.filter("near", lambda x: x["pos"] < F.col("pos") + SPREAD * F.col("m"))
+    held = own.withColumn("near", near).withColumn("shared", F.size(F.array_distinct(F.transform(inside, lambda x: x["rank"]))))
+    return held.where("shared >= a").select(*key, "notice", "label", (F.col("shared") / F.col("m")).alias("containment"))
 
 
 def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES, threshold: float = 0.8) -> DataFrame:
@@ -170,8 +187,8 @@ def scan(docs: DataFrame, phrases: tuple = PHRASES, notices: tuple = NOTICES, th
 
     A-Z are lower-cased; words are runs of ASCII letters and digits and of non-ASCII characters. n_base
     counts the places where a phrase's words stand consecutively, first_word and last_word are the
-    smallest and largest start (words from 0; null without one). Blocks are lines and windows of neighbouring
-    lines; labels are the phrases' and those of notices contained to `threshold`, distinct, sorted, comma-joined
+    smallest and largest start (words from 0; null without one). Blocks are lines and windows of
+    words; labels are the phrases' and those of notices contained to `threshold`, distinct, sorted, comma-joined
     ("" for none). score is 1 with a phrase, else the largest containment found that meets the threshold, else 0.
     Null texts count as empty, null ids keep their rows, repeated rows each get theirs, other columns are ignored.
     """
@@ -224,12 +241,13 @@ base AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_wo
 notices(notice, label, token) AS (VALUES {values}),
 sizes AS (SELECT notice, any_value(label) AS label, count(*) AS m FROM notices GROUP BY notice),
 lines AS (SELECT rid, line, list_distinct(regexp_extract_all(t, '{word}')) AS ws FROM (SELECT rid, unnest(string_split(low, chr(10))) AS t, generate_subscripts(string_split(low, chr(10)), 1) AS line FROM d)),
-tokens AS (SELECT DISTINCT rid, line - k AS start, w AS lines, token FROM (SELECT rid, line, unnest(ws) AS token FROM lines), range({WINDOW}) AS a(k), range(1, {WINDOW} + 1) AS b(w) WHERE k < w AND line - k >= 1),
-windows AS (SELECT rid, line AS start, w AS lines FROM lines, range(1, {WINDOW} + 1) AS b(w) JOIN (SELECT rid AS r, max(line) AS many FROM lines GROUP BY 1) ON rid = r WHERE line + w - 1 <= many),
-held AS (SELECT rid, start, lines, count(*) AS size FROM tokens SEMI JOIN windows USING (rid, start, lines) GROUP BY ALL),
-shared AS (SELECT rid, start, lines, notice, count(*) AS n FROM tokens JOIN notices USING (token) GROUP BY ALL),
-kept AS (SELECT rid, label, n::DOUBLE / m AS c FROM shared JOIN held USING (rid, start, lines) JOIN sizes USING (notice)
- WHERE n >= ceil(m * {threshold} - 1e-9) AND (lines = 1 OR size <= {SPREAD} * m)),
+tokens AS (SELECT rid, line, unnest(ws) AS token FROM lines),
+shared AS (SELECT rid, line, notice, count(*) AS n FROM tokens JOIN notices USING (token) GROUP BY ALL),
+words AS (SELECT rid, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM w),
+own AS (SELECT rid, pos, token, notice, m FROM words JOIN notices USING (token) JOIN sizes USING (notice)),
+windows AS (SELECT rid, notice, count(DISTINCT token) OVER (PARTITION BY rid, notice ORDER BY pos RANGE BETWEEN CURRENT ROW AND ({SPREAD} * m - 1) FOLLOWING) AS n FROM own),
+found AS (SELECT rid, notice, n FROM shared UNION ALL SELECT rid, notice, n FROM windows),
+kept AS (SELECT rid, label, n::DOUBLE / m AS c FROM found JOIN sizes USING (notice) WHERE n >= ceil(m * {threshold} - 1e-9)),
 extra AS (SELECT rid, max(c) AS best, list(DISTINCT label) AS extra FROM kept GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,

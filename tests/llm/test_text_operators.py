@@ -183,22 +183,23 @@ def test_containment_by_brute_force(spark):
     got = {r.doc_id: (set(filter(None, r.labels.split(","))), set(r.base_labels.split(",")), r.score, r.n_base) for r in licenses.scan(docs).collect()}
     for i in range(0, len(lines), 3):
         best, labels = 0.0, set()
-        own = lines[i : i + 3]
-        for a, b in [(a, b) for a in range(len(own)) for b in range(a + 1, len(own) + 1)]:
-            held = set(" ".join(own[a:b]).split())
-            for label, t in licenses.NOTICES:
-                want = set(licenses.notice_words(t))
-                c = len(want & held) / len(want)
-                if c >= 0.8 and (b == a + 1 or len(held) <= licenses.SPREAD * len(want)):
-                    best, labels = max(best, c), labels | {label}
+        words = " ".join(lines[i : i + 3]).split()
+        for label, t in licenses.NOTICES:
+            want = set(licenses.notice_words(t))
+            wide = licenses.SPREAD * len(want)
+            blocks = [set(line.split()) for line in lines[i : i + 3]] + [set(words[k : k + wide]) for k in range(len(words))]
+            c = max(len(want & held) / len(want) for held in blocks)
+            if c >= 0.8:
+                best, labels = max(best, c), labels | {label}
         assert labels <= got[i][0] and got[i][0] - got[i][1] <= labels
         assert got[i][3] > 0 or got[i][2] == pytest.approx(best)
 
 
-@pytest.mark.parametrize("columns", [30, 80])
-def test_wrapped_notices(spark, columns):
-    """A notice is found however its lines break; its words spread over long lines are none."""
-    texts = [f"{PLAIN}\n" + "\n".join(textwrap.wrap(t, max(columns, len(t) // 4 + 12))) + f"\n{PLAIN}" for _, t in licenses.NOTICES]
+@pytest.mark.parametrize("columns", [20, 28, 40, 80])
+@pytest.mark.parametrize("between", ["\n", "\n\n", "\n// ", "\n *\n * "])
+def test_wrapped_notices(spark, columns, between):
+    """A notice is found however its lines break, with blank lines and comment marks; its words spread over long lines are none."""
+    texts = [f"{PLAIN}\n" + between.join(textwrap.wrap(t, columns)) + f"\n{PLAIN}" for _, t in licenses.NOTICES]
     far = ["\n".join(f"{w} {PLAIN} {' '.join(f'x{i}y{k}' for k in range(40))}" for i, w in enumerate(licenses.notice_words(t))) for _, t in licenses.NOTICES]
     docs = spark.createDataFrame(list(enumerate([*texts, *far])), "doc_id bigint, text string")
     got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs).collect()}
