@@ -36,6 +36,12 @@ def files_of(folder):
     return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs if f.endswith(".parquet")}
 
 
+def uncommit(mark, batch):
+    for name in (f"{mark}/commits/{batch}", f"{mark}/commits/.{batch}.crc"):
+        if os.path.exists(name):
+            os.remove(name)
+
+
 def plain_index(texts):
     out = []
     for i, t in texts.items():
@@ -83,13 +89,11 @@ def test_a_batch_that_is_replayed_does_no_harm(spark, tmp_path):
     keyword_index.run(spark, docs, out, mark)
     want, n = indexed(spark, out), len(files_of(out))
     # as if the second run had ended after it wrote and before it was committed
-    os.remove(f"{mark}/commits/1")
-    if os.path.exists(f"{mark}/commits/.1.crc"):
-        os.remove(f"{mark}/commits/.1.crc")
+    uncommit(mark, 1)
     assert keyword_index.run(spark, docs, out, mark)["read"] == 20
     assert indexed(spark, out) == want and len(files_of(out)) == n
     # as if it had ended between the two tables
-    os.remove(f"{mark}/commits/1")
+    uncommit(mark, 1)
     shutil.rmtree(f"{out}/documents/batch=1")
     keyword_index.run(spark, docs, out, mark)
     assert indexed(spark, out) == want
@@ -172,7 +176,7 @@ def test_running_sums_over_many_partitions(spark):
 
 def test_no_batch_is_over_budget_and_most_are_half_full(spark):
     rng = random.Random(4)
-    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 0, 1, 30, 90, 100, 240, 260, 400, 399, 401, 1000])) for i in range(3000)]
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 0, 1, 30, 90, 100, 150, 101, 240, 260, 400, 399, 401, 1000])) for i in range(3000)]
     made = packing.pack(spark.createDataFrame(rows, "folder string, item_id bigint, tokens bigint"), 400).collect()
     assert len(made) == len(rows) and {r.kind for r in made} == set(packing.KINDS)
     sums, folders = collections.Counter(), collections.Counter()
