@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from string import Template
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ DEFAULT_PROMPTS = (
 )
 DEFAULT_FOR_TYPE = {"abstractive": "code_abstractive", "extractive": "code_extractive", "hierarchical": "code_hierarchical"}
 PHASES = ("batch_start", "llm_call_start", "llm_call_success", "llm_call_error", "node_validated", "node_invalid", "batch_done", "disabled")
+#: The error of a batch that was not called, as the run was disabled.
+DISABLED = "disabled"
 
 
 @dataclass
@@ -172,26 +176,31 @@ def with_attributes(summaries: DataFrame, nodes: DataFrame) -> DataFrame:
 def run(nodes: DataFrame, store, generator: Generator = echo_generator, batch_size: int = 10, cadence: int = 100, table: str = "summaries") -> DataFrame:
     """Summaries of all nodes into a table of the store, by waves of `cadence` batches; returns the event log of progress().
 
-    Each wave's results are added to the table before the next one starts, so a run that ends early is taken up there.
-    A connection error (the generator raises ConnectionError) disables the run: later waves make no call, and each of
-    their batches has an event `disabled`. Other errors cost their own batch only.
+    Waves go by steps, one wave at first, then as many as are done: so what adding to the table costs grows with the run's size
+    and not with its square. A step's results are added before the next one starts, so a run that ends early is taken up
+    there and has lost half of its work at most. A connection error (the generator raises
+    ConnectionError) disables the run: no later step starts, the task that met it makes no call for later waves, and each
+    batch that was not called has an event `disabled`. Other errors cost their own batch only.
     """
+    spark = nodes.sparkSession
     known = store.read(table)
     todo = nodes if known is None else pending(nodes, known)
-    n, events = todo.count(), None
-    placed = written(numbered(todo, ["node_id"]), "todo")
-    for first in range(0, -(-n // batch_size), cadence):
-        low, high = first * batch_size, (first + cadence) * batch_size
-        wave = placed.where((F.col("place") >= low) & (F.col("place") < high)).drop("place")
-        made = written(summarize(wave, generator, batch_size), "wave")
+    placed = written(numbered(_parts(todo), ["node_id"]).withColumn("batch", F.floor(F.col("place") / batch_size)).drop("place"), "todo")
+    total, done, results, skipped = -(-placed.count() // batch_size), 0, [], []
+    while done < total:
+        end = min(total, done + max(1, done // cadence) * cadence)
+        made = written(_called(placed.where((F.col("batch") >= done) & (F.col("batch") < end)), generator, cadence), "wave")
         store.upsert(table, made.where("node_id is not null").select("node_id", "summary", "valid", "confidence"), ["node_id"])
-        disabled = not made.where("error like 'Connection%'").isEmpty()
-        own = progress(made, batch_size).withColumn("batch", F.col("batch") + F.lit(first))
-        events = own if events is None else events.unionByName(own)
-        if disabled and first + cadence < -(-n // batch_size):
-            rest = nodes.sparkSession.range(first + cadence, -(-n // batch_size)).select(F.col("id").alias("batch"), F.lit("disabled").alias("phase"), F.lit(None).cast("string").alias("node_id"), F.lit("connection error").alias("message"))
-            return events.unionByName(rest)
-    return events if events is not None else nodes.sparkSession.createDataFrame([], "batch bigint, phase string, node_id string, message string")
+        results.append(made.where(F.col("error").isNull() | (F.col("error") != DISABLED)))
+        skipped.append(made.where(F.col("error") == DISABLED).select("batch"))
+        done = end
+        if not made.where("error like 'Connection%'").isEmpty():
+            break
+    if not results:
+        return spark.createDataFrame([], "batch bigint, phase string, node_id string, message string")
+    left = reduce(DataFrame.unionByName, skipped).unionByName(spark.range(done, total).select(F.col("id").alias("batch")))
+    left = left.select("batch", F.lit("disabled").alias("phase"), F.lit(None).cast("string").alias("node_id"), F.lit("connection error").alias("message"))
+    return progress(reduce(DataFrame.unionByName, results), batch_size).unionByName(left)
 
 
 def batch_totals(results: DataFrame) -> DataFrame:
@@ -208,20 +217,42 @@ def summarize(nodes: DataFrame, generator: Generator = echo_generator, batch_siz
     """
     if done is not None:
         nodes = pending(nodes, done)
+    return _called(batches(_parts(nodes), ["node_id"], batch_size), generator)
+
+
+def _parts(nodes: DataFrame) -> DataFrame:
+    """(node_id, name, part): each node's part of its batch's prompt."""
     text = component(*(F.col(c) for c in ("node_id", "type", "name", "file", "source_code", "docstring", "parents", "children")))
-    rows = batches(nodes.select("node_id", "name", text.alias("part")), ["node_id"], batch_size)
-
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node_id")
-        batch = int(pdf["batch"].iloc[0])
-        try:
-            found = parse_response(generator(PROMPT_HEAD + "\n".join(pdf["part"])), pdf["node_id"].tolist())
-            out = [(i, batch, n, found[i], None) for i, n in zip(pdf["node_id"], pdf["name"]) if i in found]
-        except Exception as e:  # whatever a client raises
-            out = [(None, batch, None, None, f"{type(e).__name__}: {e}")]
-        return pd.DataFrame(out, columns=["node_id", "batch", "name", "summary", "error"])
-
-    made = rows.groupBy("batch").applyInPandas(call, "node_id string, batch bigint, name string, summary string, error string")
+    return nodes.select("node_id", "name", text.alias("part"))
+
+
+def _called(rows: DataFrame, generator: Generator, cadence: int | None = None, tasks: int | None = None) -> DataFrame:
+    """(node_id, name, part, batch) -> summarize()'s rows. With `cadence` a task that met a connection error makes no call for
+    batches of later waves: each gives a row of the error DISABLED. A batch is one row of the nodes that it holds.
+    """
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lost: float = np.inf  # the first wave of which this task met a connection error
+        for pdf in parts:
+            out = []
+            for batch, nodes in zip(pdf["batch"].tolist(), pdf["nodes"]):
+                wave = batch // cadence if cadence else 0
+                if wave > lost:
+                    out.append((None, batch, None, None, DISABLED))
+                    continue
+                ids = [x["node_id"] for x in nodes]
+                try:
+                    found = parse_response(generator(PROMPT_HEAD + "\n".join(x["part"] for x in nodes)), ids)
+                    out += [(x["node_id"], batch, x["name"], found[x["node_id"]], None) for x in nodes if x["node_id"] in found]
+                except Exception as e:  # whatever a client raises
+                    out.append((None, batch, None, None, f"{type(e).__name__}: {e}"))
+                    if out[-1][4].startswith("Connection"):
+                        lost = min(lost, wave)
+            yield pd.DataFrame(out, columns=["node_id", "batch", "name", "summary", "error"])
+
+    dealt = rows.repartition(tasks or rows.sparkSession.sparkContext.defaultParallelism, "batch")
+    each = dealt.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("node_id", "name", "part"))).alias("nodes")).sortWithinPartitions("batch")
+    made = each.mapInPandas(work, "node_id string, batch bigint, name string, summary string, error string")
     v = validity(F.col("summary"), F.coalesce("name", F.lit("")))
     return made.withColumn("v", F.when(F.col("summary").isNotNull(), v)).select("node_id", "batch", "summary", "v.valid", "v.confidence", "error")
 

@@ -56,6 +56,22 @@ def test_a_disabled_run_is_taken_up(spark, tmp_path):
     assert tables.read("summaries").count() == 25 and summarize.run(nodes, tables).count() == 0
 
 
+def test_a_long_run_takes_few_steps(spark, tmp_path):
+    none = [(f"n{i:03}", "function", f"name{i}", "f", "source", None, [], []) for i in range(80)]
+    nodes = spark.createDataFrame(none, "node_id string, type string, name string, file string, source_code string, docstring string, parents array<string>, children array<string>")
+    tables = Store(spark, f"file://{tmp_path}/s")
+    assert summarize.run(nodes, tables, batch_size=2, cadence=1).where("phase = 'batch_done'").select("batch").distinct().count() == 40
+    assert tables.read("summaries").count() == 80 and tables.versions("summaries")[-1] == 7  # waves 1, 1, 2, 4, 8, 16, 8
+
+    def gone(prompt):
+        raise ConnectionError("gone")
+
+    # one task: after the error of the first batch of a step no later wave of it is called
+    rows = spark.createDataFrame([(f"n{i}", "x", "p", i // 2) for i in range(12)], "node_id string, name string, part string, batch bigint").coalesce(1)
+    errors = sorted((r.batch, r.error) for r in summarize._called(rows, gone, 2, 1).collect())
+    assert errors == [(0, "ConnectionError: gone"), (1, "ConnectionError: gone"), *((i, summarize.DISABLED) for i in range(2, 6))]
+
+
 def test_inverted_file_search(spark):
     assert (dense.cells_of(0), dense.cells_of(30), dense.cells_of(3900), dense.cells_of(10**6)) == (1, 1, 100, 4000)
     rng = np.random.default_rng(0)
