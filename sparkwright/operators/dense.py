@@ -37,33 +37,60 @@ def inner_product_top_k(queries: DataFrame, vectors: DataFrame, k: int = 50, dig
     The queries are a stated set and travel in blocks of bounded size; each task keeps the k best of its
     part of the vectors for each query, and the parts' rows are merged. doc_id is a whole number or a string.
     """
-    spark = vectors.sparkSession
-    n = queries.count()
-    named = isinstance(vectors.schema["doc_id"].dataType, StringType)
-    kind, arrow = ("string", pa.string()) if named else ("bigint", pa.int64())
-    out = spark.createDataFrame([], f"query_id bigint, rank bigint, doc_id {kind}, score double")
-    blocks = -(-n // block)
+    kind = "string" if isinstance(vectors.schema["doc_id"].dataType, StringType) else "bigint"
+    out = vectors.sparkSession.createDataFrame([], f"query_id bigint, rank bigint, doc_id {kind}, score double")
+    for own in _blocks(queries, block):
+        out = out.unionByName(_best(own, vectors, k, digits))
+    return out
+
+
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the queries, in blocks of about `block`."""
+    blocks = -(-queries.count() // block)
     for i in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas().sort_values("query_id")
-        sent = spark.sparkContext.broadcast((own["query_id"].to_numpy(np.int64), np.array(own["vec"].tolist(), float)))
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            score, name = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), str if named else np.int64)
-            for b in batches:
-                doc = b.column(0).to_numpy(zero_copy_only=False)
-                doc = doc.astype(str) if named else doc
-                vec = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(doc), -1)
-                for at in range(0, len(doc), 2048):
-                    near = np.round(matrix @ vec[at : at + 2048].T, digits)
-                    score, name = np.concatenate([score, near], 1), np.concatenate([name, np.broadcast_to(doc[at : at + 2048], near.shape)], 1)
-                    best = np.lexsort((name, -score), axis=1)[:, :k]
-                    score, name = np.take_along_axis(score, best, 1), np.take_along_axis(name, best, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, score.shape[1])), pa.array(name.ravel(), arrow), pa.array(score.ravel())], ["query_id", "doc_id", "score"])
-
-        found = vectors.select(F.col("doc_id").cast(kind), F.col("vec").cast("array<double>")).mapInArrow(work, f"query_id bigint, doc_id {kind}, score double")
-        out = out.unionByName(top_k(found, k).select("query_id", "rank", "doc_id", "score"))
-    return out
+        yield own["query_id"].to_numpy(np.int64), np.array(own["vec"].tolist(), float)
+
+
+def _best(queries: tuple[np.ndarray, np.ndarray], vectors: DataFrame, k: int, digits: int, probes: np.ndarray | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score) of one block of queries over vectors(doc_id, vec), by their products as matrices: a task
+    gives k rows for each query. With `probes`, (queries, cells) of booleans, vectors have a cell and meet its queries only.
+    """
+    named = isinstance(vectors.schema["doc_id"].dataType, StringType)
+    kind, arrow = ("string", pa.string()) if named else ("bigint", pa.int64())
+    sent = vectors.sparkSession.sparkContext.broadcast((*queries, probes))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix, probes = sent.value
+        score, name = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), str if named else np.int64)
+        for b in batches:
+            doc = b.column(0).to_numpy(zero_copy_only=False)
+            doc = doc.astype(str) if named else doc
+            vec = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(doc), -1)
+            for at in range(0, len(doc), 2048):
+                near = np.round(matrix @ vec[at : at + 2048].T, digits)
+                if probes is not None:
+                    near[~probes[:, b.column(2).to_numpy()[at : at + 2048]]] = -np.inf
+                score, name = np.concatenate([score, near], 1), np.concatenate([name, np.broadcast_to(doc[at : at + 2048], near.shape)], 1)
+                best = np.lexsort((name, -score), axis=1)[:, :k] if score.shape[1] <= 4 * k else _first(score, name, k)
+                score, name = np.take_along_axis(score, best, 1), np.take_along_axis(name, best, 1)
+        row, column = np.nonzero(score != -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(name[row, column], arrow), pa.array(score[row, column])], ["query_id", "doc_id", "score"])
+
+    cells = [] if probes is None else ["cell"]
+    own = vectors.select(F.col("doc_id").cast(kind), F.col("vec").cast("array<double>"), *cells)
+    return top_k(own.mapInArrow(work, f"query_id bigint, doc_id {kind}, score double"), k).select("query_id", "rank", "doc_id", "score")
+
+
+def _first(score: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the places of the k best by score, ties by name; only what reaches a row's k-th score is sorted."""
+    least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    places = np.zeros((len(score), k), np.int64)
+    clear = (score >= least).sum(1) == k
+    places[clear] = np.nonzero(score[clear] >= least[clear])[1].reshape(-1, k)
+    if not clear.all():
+        places[~clear] = np.lexsort((name[~clear], -score[~clear]), axis=1)[:, :k]
+    return places
 
 
 def cells_of(n: int) -> int:
@@ -124,26 +151,23 @@ def ivf_add(vectors: DataFrame, path: str) -> None:
     _assigned(own, centres).repartition("cell").write.mode("append").partitionBy("cell").parquet(f"{path}/cells")
 
 
-def ivf_top_k(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 50, nprobe: int = 64, digits: int = 6) -> DataFrame:
+def ivf_top_k(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int = 50, nprobe: int = 64, digits: int = 6, block: int = BLOCK) -> DataFrame:
     """queries(query_id, vec) and ivf_build()'s results -> (query_id, rank, doc_id, score): the k best of the nprobe cells
     whose centres have the largest inner products, of all cells if there are no more.
+
+    The queries travel in blocks, with the cells that each one probes; a vector meets the queries that probe its cell.
     """
     nprobe = min(nprobe, len(centres))
     if not nprobe:
         return inner_product_top_k(queries, index, k, digits)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            matrix = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            cells = np.argsort(-(matrix @ sent.value.T), axis=1, kind="stable")[:, :nprobe]
-            offsets = np.arange(0, cells.size + 1, nprobe, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, pa.array(cells.ravel().astype(np.int32)))], ["query_id", "q", "cells"])
-
-    sent = index.sparkSession.sparkContext.broadcast(centres)
-    own = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec").cast("array<double>").alias("q"))
-    asked = own.mapInArrow(probe, "query_id bigint, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell"))
-    scored = asked.join(index, "cell").select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("vec")), digits).alias("score"))
-    return top_k(scored, k).select("query_id", "rank", "doc_id", "score")
+    out = index.sparkSession.createDataFrame([], "query_id bigint, rank bigint, doc_id bigint, score double")
+    for ids, matrix in _blocks(queries, block):
+        probes = np.zeros((len(ids), len(centres)), bool)
+        for at in range(0, len(ids), 512):
+            cells = np.argsort(-(matrix[at : at + 512] @ centres.T), axis=1, kind="stable")[:, :nprobe]
+            np.put_along_axis(probes[at : at + 512], cells, True, axis=1)
+        out = out.unionByName(_best((ids, matrix), index.select("doc_id", "vec", "cell"), k, digits, probes))
+    return out
 
 
 def hashed_embedder(dim: int = 768):

@@ -53,6 +53,33 @@ def test_graph_finds_what_exact_search_finds(spark, tmp_path, shard_size):
     assert {7, *range(100, 129)} == {r.doc_id for r in copies} or copies[0].score > 30 * 0
 
 
+def test_a_shard_widens_a_beam_that_finds_too_little(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    points, others = (rng.normal(size=(n, 48)) for n in (3000, 60))  # the queries are no points of the graph
+    df, queries = vectors(spark, enumerate(points)), asked(vectors(spark, enumerate(others)))
+    hnsw.build(df, str(tmp_path))
+    found = hnsw.search(queries, str(tmp_path), 10, 10)
+    assert hnsw.recall(found, dense.inner_product_top_k(queries, df, 10), 10).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_cells_are_searched_as_their_probes_say(spark):
+    rng = np.random.default_rng(4)
+    df = vectors(spark, enumerate(rng.normal(size=(500, 12))))
+    queries = asked(df.where("doc_id % 9 = 0"))
+    index, centres = dense.ivf_build(df)
+    rows = {r.doc_id: (r.cell, np.array(r.vec)) for r in index.collect()}
+    for nprobe in (1, 3, len(centres)):
+        want = set()
+        for q in (r.query_id for r in queries.collect()):
+            cells = np.argsort(-(centres @ rows[q][1]), kind="stable")[:nprobe]
+            best = sorted((-round(float(v @ rows[q][1]), 6), i) for i, (c, v) in rows.items() if c in cells)[:7]
+            want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+        found = dense.ivf_top_k(queries, index, centres, 7, nprobe, block=20)
+        assert {tuple(r) for r in found.collect()} == want
+        plans = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plans  # no row for each pair of a query and a vector
+
+
 def test_every_node_is_reached(spark):
     rng = np.random.default_rng(1)
     # far clusters of near copies: most have no node above level 0
