@@ -30,6 +30,9 @@ SHARD = 20_000
 LINKS = 16
 #: Queries that are sent to the shards at once.
 BLOCK = 4096
+#: Of that many queries a shard measures its recall, and widens the beam until it is this.
+SAMPLE = 64
+RECALL = 0.95
 NODES = "node bigint, members array<bigint>, vec array<double>, links array<array<bigint>>, shard int"
 ABOUT = "shards int, shard_size int, links int, longest double"
 
@@ -295,16 +298,33 @@ def update(spark: SparkSession, path: str, vectors: DataFrame | None = None, gon
         made.limit(0).drop("shard").coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes/shard={shard_no}")
 
 
+def fitted_width(graph: Graph, queries: np.ndarray, k: int, width: int) -> int:
+    """The beam, `width` or that doubled, with which a sample of the queries finds RECALL of what brute force over the shard finds.
+
+    Where vectors lie in tight groups, a narrow beam fills up with one wrong group and ends there.
+    """
+    sample, k = queries[:: -(-len(queries) // SAMPLE)], min(k, len(graph.points))
+    least = -np.partition(-(sample @ graph.points[:, :-1].T), k - 1, axis=1)[:, k - 1]
+    while width < len(graph.points):
+        found, _ = graph.search(sample, width)
+        score = np.where(found >= 0, (graph.points[found, :-1] * sample[:, None, :]).sum(2), -np.inf)
+        if np.minimum((score >= least[:, None] - 1e-9).sum(1), k).mean() >= RECALL * k:
+            break
+        width *= 2
+    return width
+
+
 def _finder(sent: Broadcast, longest: float, k: int, width: int, digits: int):
     """A shard's rows -> its k best for each query that was sent."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, vectors = sent.value
         graph = Graph.of(pdf, longest)
+        beam = fitted_width(graph, vectors, k, width)
         rows = []
         for at in range(0, len(ids), 256):
             part = vectors[at : at + 256]
-            found, compared = graph.search(part, width)
+            found, compared = graph.search(part, beam)
             score = np.round((graph.points[found, :-1] * part[:, None, :]).sum(2), digits)
             for q in range(len(part)):
                 best = sorted((-s, m) for p, s in zip(found[q].tolist(), score[q].tolist()) if p >= 0 for m in sorted(graph.members[p])[:k])[:k]
@@ -318,7 +338,7 @@ def search(queries: DataFrame, path: str, k: int = 10, width: int = 64, digits:
     """queries(query_id, vec), a stated set, sent to the shards in blocks -> (query_id, rank, doc_id, score, compared).
 
     score is the inner product, ties by id; compared is how many distances a query took in all shards. A wider beam finds
-    more. Ids of equal vectors are all found. An empty index gives no row.
+    more; `width` is the least: a shard widens it until a sample of the queries finds RECALL of its best (fitted_width). Ids of equal vectors are all found. An empty index gives no row.
     """
     spark = queries.sparkSession
     nodes, about = opened(spark, path)
