@@ -84,3 +84,10 @@ def test_names_that_no_node_has(spark):
     texts = spark.createDataFrame([(1, "calls load() and made_up(x)"), (2, None), (3, "save()"), (4, "made_up() made_up()")], "id bigint, text string")
     nodes = spark.createDataFrame([("load",), ("save",), (None,)], "name string")
     assert sorted(map(tuple, context.unknown_names(texts, nodes).collect())) == [(1, "made_up"), (4, "made_up")]
+
+
+def test_more_text_is_counted_by_more_tasks(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 10_000).alias("text"))
+    found = sparse.terms(docs, "doc_id", F.col("text"))
+    assert found.rdd.getNumPartitions() == 9  # of 33,000,000 characters
+    assert found.count() == 600 and {(r.tf, r.len) for r in found.select("tf", "len").distinct().collect()} == {(10_000, 20_000)}
