@@ -40,7 +40,8 @@ class Embedder:
 
 def _weighed(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """postings(doc_id, term, tf) and vocabulary(term, column, idf) -> rows of length 1: (doc_id, columns, weights). A document without a known term has none."""
-    own = postings.join(vocabulary.select("term", "column", "idf"), "term").select("doc_id", F.struct("column", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("x"))
+    known = F.broadcast(vocabulary.select("term", "column", "idf"))  # bounded; by shuffle the most frequent terms would meet in few tasks
+    own = postings.join(known, "term").select("doc_id", F.struct("column", ((1 + F.log("tf")) * F.col("idf")).alias("w")).alias("x"))
     rows = own.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
     return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("x.column").alias("columns"), F.transform("x", lambda x: x["w"] / norm).alias("weights"))
