@@ -157,8 +157,9 @@ class WordEncoder:
 _KEPT: dict[tuple, WordEncoder] = {}
 
 
-def encoder(path: str, end_id: int | None = None) -> WordEncoder:
+def encoder(path: str, end_id: int | None = None, max_pieces: int = 600_000) -> WordEncoder:
     """This process's encoder of that file; further tasks find its pieces there."""
-    if (path, end_id) not in _KEPT:
-        _KEPT[path, end_id] = WordEncoder(path, end_id)
-    return _KEPT[path, end_id]
+    key = (path, end_id, max_pieces)
+    if key not in _KEPT:
+        _KEPT[key] = WordEncoder(path, end_id, max_pieces)
+    return _KEPT[key]

@@ -29,7 +29,8 @@ TRAIN_IDS = 1_500_000
 RATES = (0.003, 0.002, 0.001, 0.0003)
 BATCH = 64
 SCALE = 1 << 24  # weights are summed as whole numbers, so that their order doesn't matter
-CHARS = 4 << 20  # of texts that are encoded together
+CHARS = 1 << 20  # of texts that are encoded together
+PIECES = 250_000  # that a process keeps the ids of; beyond them it starts anew
 END = "\n"  # no word holds white space, so this stands for the end token
 
 
@@ -84,7 +85,7 @@ def _first_pass(docs: DataFrame, frequent: dict[str, int], whole: int, distinct:
         return pa.RecordBatch.from_arrays([*part.columns[:3], *cols], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "rare", "ids"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoding.encoder(tokenizer)
+        own = encoding.encoder(tokenizer, max_pieces=PIECES)
         for b in batches:
             at, lengths = 0, pc.fill_null(pc.utf8_length(b.column(3)), 0).to_pylist()
             while at < b.num_rows:
@@ -94,6 +95,7 @@ def _first_pass(docs: DataFrame, frequent: dict[str, int], whole: int, distinct:
                     upto += 1
                 yield rows_of(b.slice(at, upto - at), own, sent.value)
                 at = upto
+            pa.default_memory_pool().release_unused()
 
     own = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text"))
     return stored(own.mapInArrow(work, schema), "first-pass")

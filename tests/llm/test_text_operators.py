@@ -443,3 +443,14 @@ def test_scores_of_no_rows(spark):
     assert lm.score_texts(empty(spark), steps=2).count() == 0
     only = awkward(spark).where(lm.held_out(F.col("doc_id")))
     assert {r.train_tokens for r in lm.score_texts(only, steps=2).collect()} == {0}
+
+
+def test_the_first_pass_keeps_a_bounded_number_of_pieces():
+    from sparkwright.llm import encoding
+
+    some = encoding.encoder(encoding.default_path(), max_pieces=lm.PIECES)
+    assert some.max_pieces == lm.PIECES < encoding.encoder(encoding.default_path()).max_pieces
+    few, texts = encoding.WordEncoder(encoding.default_path(), max_pieces=20), [f"word{i}, and other{i}" for i in range(200)]
+    for t in texts:
+        few.encode([t])
+        assert few.encode([t])[0].tolist() == some.encode([t])[0].tolist() and len(few.pieces) < 40
