@@ -150,6 +150,14 @@ def test_an_inverted_file_is_kept_and_probed(spark, tmp_path):
 # Block-max postings
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    own, jvm, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm, spark.sparkContext._gateway
+    own.listenerBus().waitUntilEmpty()
+    stages = own.statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
 def texts(seed, n):
     rng = random.Random(seed)
     words = [f"w{int(300 * rng.random() ** 3)}" for _ in range(5000)]
@@ -180,6 +188,19 @@ def test_common_terms_have_small_weights_and_no_documents_give_none(spark, tmp_p
     assert blockmax.search(none, asked, 5)[0].count() == 0
 
 
+def test_search_shuffles_no_row_for_each_query_and_range(spark, tmp_path):
+    docs = spark.createDataFrame(texts(5, 2000), "doc_id bigint, text string, lang string")
+    post = sparse.postings(docs, "doc_id", F.col("text"))
+    asked = sparse.query_terms(spark.createDataFrame([(i, f"w0 w1 w2 w3 w{i + 4}") for i in range(100)], "query_id bigint, text string"), "query_id", F.col("text"))
+    index = blockmax.build(post, docs, str(tmp_path), ["lang"], 2)
+    before = shuffled_rows(spark)
+    found, read = blockmax.search(index, asked, 5)
+    assert found.count() == 500 and read.count() == 100
+    assert shuffled_rows(spark) - before < 100 * 1000 / 2  # queries, and ranges of which nearly all hold one of their terms
+    in_blocks = blockmax.search(index, asked, 5, block=30)[0]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, in_blocks.collect()))
+
+
 # Embedder
 
 
