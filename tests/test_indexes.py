@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from measure import shuffled_rows
 from pyspark.sql import functions as F
 
 from sparkwright.operators import blockmax, dense, hnsw, lsa, sparse
@@ -150,14 +151,6 @@ def test_an_inverted_file_is_kept_and_probed(spark, tmp_path):
 # Block-max postings
 
 
-def shuffled_rows(spark):
-    """Rows that all stages so far have written to shuffles."""
-    own, jvm, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm, spark.sparkContext._gateway
-    own.listenerBus().waitUntilEmpty()
-    stages = own.statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
-
 def texts(seed, n):
     rng = random.Random(seed)
     words = [f"w{int(300 * rng.random() ** 3)}" for _ in range(5000)]

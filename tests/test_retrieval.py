@@ -2,6 +2,7 @@ import math
 import sqlite3
 
 import pytest
+from measure import shuffled_rows
 from pyspark.sql import functions as F
 
 from sparkwright.operators import context, dense, fuse, sparse
@@ -36,6 +37,18 @@ def test_punctuation_is_no_syntax(spark):
     assert keyword(spark, "how does the parser work?") == []
 
 
+def test_only_documents_with_the_rarest_term_meet_a_querys_terms(spark):
+    docs = spark.createDataFrame([(i, "all of these are common" + (f" rare{i % 7}" if i % 100 == 0 else "")) for i in range(3000)], "doc_id bigint, text string")
+    asked = [(q, f"all of these are common rare{q}") for q in range(7)] + [(q, "all of these nowhere") for q in range(7, 40)]
+    asked = sparse.query_terms(spark.createDataFrame(asked, "query_id bigint, text string"), "query_id", F.col("text"))
+    post = sparse.postings(docs, "doc_id", F.col("text"))
+    before = shuffled_rows(spark)
+    got = sparse.all_terms(post, asked, 3000, 20).collect()
+    assert shuffled_rows(spark) - before < 3000 * 40 / 4  # the documents that share a term with each query
+    assert {r.query_id: set() for r in got}.keys() == set(range(7))
+    assert {(r.query_id, r.doc_id) for r in got} == {(i % 7, i) for i in range(0, 3000, 100)}
+
+
 def test_fusion_by_hand(spark):
     ranked = lambda ids: spark.createDataFrame([(1, r, i) for r, i in enumerate(ids, 1)], "query_id bigint, rank bigint, doc_id bigint")
     out = fuse.weighted_rrf(ranked([1, 2, 3]), ranked([2, 4, 1]), 10).orderBy("rank").collect()
