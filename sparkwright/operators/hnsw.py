@@ -30,6 +30,8 @@ SHARD = 20_000
 LINKS = 16
 #: Queries that are sent to the shards at once.
 BLOCK = 4096
+#: Distances that are worked out at once.
+CELLS = 2_000_000
 #: Of that many queries a shard measures its recall, and widens the beam until it is this.
 SAMPLE = 64
 RECALL = 0.95
@@ -51,7 +53,10 @@ def _hashed(ids: np.ndarray) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0)
+    d = (-2 * a) @ b.T
+    d += (a**2).sum(1)[:, None]
+    d += (b**2).sum(1)[None, :]
+    return np.maximum(d, 0, out=d)
 
 
 def _level_links(points: np.ndarray, own: np.ndarray, links: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -60,8 +65,9 @@ def _level_links(points: np.ndarray, own: np.ndarray, links: int) -> list[tuple[
         return []
     at, n_near = points[own], min(len(own) - 1, 3 * links)
     source, target, far = [], [], []
-    for start in range(0, len(own), 512):
-        part = at[start : start + 512]
+    step = max(1, min(512, CELLS // len(own)))
+    for start in range(0, len(own), step):
+        part = at[start : start + step]
         d = _distances(part, at)
         rows = np.arange(len(part))
         d[rows, rows + start] = np.inf
@@ -114,8 +120,9 @@ def _connected(points: np.ndarray, own: np.ndarray, lists: list[np.ndarray], ent
         if not len(lost):
             return
         known, best = own[seen[own]], (np.inf, -1, -1)
-        for start in range(0, len(lost), 512):
-            d = _distances(points[lost[start : start + 512]], points[known])
+        step = max(1, min(512, CELLS // len(known)))
+        for start in range(0, len(lost), step):
+            d = _distances(points[lost[start : start + step]], points[known])
             i, k = divmod(int(d.argmin()), len(known))
             if d[i, k] < best[0]:
                 best = (d[i, k], int(lost[start + i]), int(known[k]))

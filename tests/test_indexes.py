@@ -227,3 +227,14 @@ def test_embedding_is_the_truncated_decomposition(spark, tmp_path):
     assert unit[0] @ unit[6] > 0.9 > unit[0] @ unit[1]
     empty = lsa.fit(docs.limit(0))
     assert [len(r.vec) for r in lsa.embed(empty, docs.limit(2)).collect()] == [0, 0]
+
+
+def test_building_a_shard_holds_few_distances_at_once():
+    import tracemalloc
+
+    points = np.random.default_rng(3).standard_normal((12_000, 4))
+    tracemalloc.start()
+    hnsw._level_links(points, np.arange(len(points)), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
