@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkwright.functions import text as T
+from sparkwright.functions.batches import bounded_batches
 from sparkwright.functions.ordering import numbered, written
 
 Generator = Callable[[str], str]
@@ -280,6 +281,7 @@ def memoised(items: DataFrame, generator: Generator = echo_generator, registry:
 
     The key is the digest of content, type and prompt; each key is generated once, however often it stands.
     """
+    bounded_batches(items.sparkSession)
     registry = registry or PromptRegistry()
     templates = {p.id: p.template for p in registry.list()}
     keyed = items.withColumn("cache_key", T.cache_key(F.col("content"), F.col("summary_type"), F.col("prompt_id"))).withColumn("prompt", F.coalesce("prompt_id", default_prompt(F.col("summary_type"))))

@@ -185,3 +185,15 @@ def test_config(tmp_path):
     assert files.load_config().max_memory_gb == 26.0
     (tmp_path / "c.yaml").write_text("languages: [python]\nother: 1\n")
     assert files.load_config(str(tmp_path / "c.yaml")) == files.Config(languages=("python",), extra={"other": 1})
+
+
+def test_contents_travel_in_batches_of_bounded_bytes(spark):
+    from sparkwright.functions.batches import BATCH_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    items = spark.createDataFrame([(1, "x", "abstractive", None)], "item_id bigint, content string, summary_type string, prompt_id string")
+    assert summarize.memoised(items)[0].count() == 1 and spark.conf.get(name) == str(BATCH_BYTES)
+    if before is not None:
+        spark.conf.set(name, before)
