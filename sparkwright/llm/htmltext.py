@@ -13,8 +13,8 @@ a page marks no article, each block is judged by its own words: those that runs
 those with runs of their own are the text.
 
 A large host's pages are dealt into groups with a suffix array each; a region's words are summed over
-the groups. Of pages without an article window hashes are counted over the whole host by a shuffle,
-and each group is told which of its own stand on two of the host's pages.
+the groups. Hashes of the windows of MIN_RUN words are compared over the whole host by a shuffle, and each
+group is told which of its own stand in other groups too, so what repeats doesn't depend on the groups.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import hashlib
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +37,8 @@ from sparkwright.llm.decontaminate import gram_hashes
 MIN_RUN = 4
 #: A group holds about so many pages, and so many characters of html.
 PAGES, GROUP_CHARS = 256, 4 << 20
+#: Windows of a host's groups meet in ranges of their hashes; a range holds about as many as so many groups.
+RANGE_GROUPS = 16
 #: A region repeats if so large a share of its words lies in runs.
 REPEATS = 0.9
 #: It is judged by this many pages or more, each with this share of its article's words in no run: copies of an article tell nothing.
@@ -287,11 +289,48 @@ def covered_words(pages: list[np.ndarray], min_run: int = MIN_RUN) -> list[np.nd
     return [covered[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
-def region_words(pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], min_run: int = MIN_RUN) -> dict[int, tuple[int, int, int]]:
+def numbered_pages(rows: Iterable[tuple], numbers: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of a group as (key, compressed blocks, marks) -> distinct pages as region_words() takes them; `numbers` gets the words."""
+    held: dict[int, tuple] = {}
+    for page, data, marks in rows:
+        if page not in held:
+            words = [x.split() for x in zlib.decompress(data).decode().split("\n")] if marks else []
+            stream = np.array([numbers.setdefault(w, len(numbers)) for x in words for w in x], np.int64)
+            marks = np.array(marks, np.int64)
+            held[page] = (stream, np.array([len(x) for x in words], np.int64), marks & 3, marks >> 2)
+    return list(held.values())
+
+
+def short_hashes(words: np.ndarray, min_run: int) -> np.ndarray:
+    """Of words' hashes those of their windows, of 48 bits each."""
+    return (gram_hashes(words, min_run) >> np.uint64(16)).astype(np.int64)
+
+
+def pack(ascending: np.ndarray) -> bytes:
+    """Numbers in ascending order by their differences, all lowest bytes first: the high ones are mostly zeros."""
+    return zlib.compress(np.diff(ascending, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
+def region_words(
+    pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], min_run: int = MIN_RUN, windows: list[np.ndarray] | None = None, shared: np.ndarray | None = None
+) -> dict[int, tuple[int, int, int]]:
     """Pages of a group as (words as numbers; of each block the words, the kind and the region) -> by region with an
-    article's blocks their words, those in repeated runs and the pages, of pages whose articles have their own share."""
+    article's blocks their words, those in repeated runs and the pages, of pages whose articles have their own share.
+
+    `shared` has the hashes among the pages' `windows` that stand in other groups of the host.
+    """
     out: dict[int, tuple[int, int, int]] = {}
-    for (_, lengths, kinds, regions), covered in zip(pages, covered_words([p[0] for p in pages], min_run)):
+    runs_of = covered_words([p[0] for p in pages], min_run)
+    if shared is not None:
+        hits = np.isin(np.concatenate(windows), shared)
+        for (at,), covered in zip(map(np.nonzero, np.split(hits, np.cumsum([len(x) for x in windows])[:-1])), runs_of):
+            for k in range(min_run):
+                covered[at + k] = True
+    for (_, lengths, kinds, regions), covered in zip(pages, runs_of):
         mine = np.repeat(kinds == ARTICLE_BLOCK, lengths)
         if not mine.any() or 1 - covered[mine].mean() < OWN_SHARE:
             continue
@@ -342,7 +381,7 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, per_group: int = PAGES) ->
     few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     own = own.join(F.broadcast(large) if few else large, "host", "left")
     key = F.xxhash64(F.coalesce("html", F.lit("")))
-    group = F.pmod(F.xxhash64("page_id", key), F.coalesce("groups", F.lit(1)))
+    group = F.pmod(F.xxhash64(key), F.coalesce("groups", F.lit(1)))  # equal pages meet, as they are one
     own = own.select("host", group.alias("grp"), "page_id", "url", "groups", key.alias("key"), "html")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,47 +411,75 @@ def _repeating_regions(parsed: DataFrame, min_run: int) -> DataFrame:
         seen: set[tuple] = set()
         for b in batches:
             rows: list[tuple] = []
-            for host, grp, page, blocks, kinds, regions in zip(*(c.to_pylist() for c in b.columns)):
+            for host, grp, page, blocks, kinds, regions, groups in zip(*(c.to_pylist() for c in b.columns)):
                 if (host, grp, page) in seen:  # equal pages are one; a task sends each once, or seldom
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add((host, grp, page))
                 data = zlib.compress("\n".join(blocks).encode("utf-8", "replace"), 1)
-                rows.append((host, grp, page, data, [4 * r + k for r, k in zip(regions, kinds)]))
-            cols = list(zip(*rows)) or [[]] * 5
-            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["host", "grp", "key", "data", "marks"])
+                rows.append((host, grp, page, data, [4 * r + k for r, k in zip(regions, kinds)], groups))
+            cols = list(zip(*rows)) or [[]] * 6
+            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["host", "grp", "key", "data", "marks", "groups"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple] = {}
-        numbers: dict[str, int] = {}
-        at: tuple | None = None
-
-        def flush() -> pa.RecordBatch:
-            found = region_words(list(held.values()), min_run)
-            cols = [pa.array([at[0]] * len(found), pa.string()), pa.array(list(found), pa.int64())]
-            cols += [pa.array([x[i] for x in found.values()], pa.int64()) for i in range(3)]
-            return pa.RecordBatch.from_arrays(cols, ["host", "region", "words", "runs", "pages"])
+    def summed(host: str, found: dict[int, tuple[int, int, int]]) -> pa.RecordBatch:
+        cols = [pa.array([host] * len(found), pa.string()), pa.array(list(found), pa.int64())]
+        cols += [pa.array([x[i] for x in found.values()], pa.int64()) for i in range(3)]
+        return pa.RecordBatch.from_arrays(cols, ["host", "region", "words", "runs", "pages"])
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        at: str | None = None
         for b in batches:
-            for host, grp, page, data, marks in zip(*(c.to_pylist() for c in b.columns)):
-                if (host, grp) != at:
+            for host, *row in zip(*(b.column(n).to_pylist() for n in ("host", "key", "data", "marks"))):
+                if host != at:
                     if held:
-                        yield flush()
-                    held, numbers, at = {}, {}, (host, grp)
-                if page not in held:
-                    words = [x.split() for x in zlib.decompress(data).decode().split("\n")] if marks else []
-                    stream = np.array([numbers.setdefault(w, len(numbers)) for x in words for w in x], np.int64)
-                    marks = np.array(marks, np.int64)
-                    held[page] = (stream, np.array([len(x) for x in words], np.int64), marks & 3, marks >> 2)
+                        yield summed(at, region_words(numbered_pages(held, {}), min_run))
+                    held, at = [], host
+                held.append(row)
         if held:
-            yield flush()
+            yield summed(at, region_words(numbered_pages(held, {}), min_run))
 
-    rows = parsed.select("host", "grp", "key", "blocks", "kinds", "regions")
-    rows = rows.mapInArrow(stream, "host string, grp bigint, key bigint, data binary, marks array<bigint>")
-    rows = rows.repartition("host", "grp").sortWithinPartitions("host", "grp", "key")
-    sums = rows.mapInArrow(judge, "host string, region bigint, words bigint, runs bigint, pages bigint")
+    def windows(group: pa.Table) -> pa.Table:
+        host, grp, groups = (group.column(n)[0].as_py() for n in ("host", "grp", "groups"))
+        known = WordHashes()
+        pages = dict(zip(group.column("key").to_pylist(), group.column("data")))
+        words = (zlib.decompress(x.as_py()).decode().split() for x in pages.values())
+        found = np.unique(np.concatenate([short_hashes(np.fromiter(map(known.__getitem__, w), np.int64, len(w)), min_run) for w in words]))
+        parts = -(-groups // RANGE_GROUPS)
+        cuts = np.searchsorted(found, np.arange(1, parts) * -(-(1 << 48) // parts))
+        rows = [(host, k, grp, pack(x)) for k, x in enumerate(np.split(found, cuts)) if len(x)]
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["host", "part", "grp", "hashes"])
+
+    def meet(part: pa.Table) -> pa.Table:
+        """Of a range of a host's hashes, for each group those that another group has too."""
+        each = [unpack(x.as_py()) for x in part.column("hashes")]
+        every = np.sort(np.concatenate(each))
+        common = np.unique(every[1:][every[1:] == every[:-1]])
+        rows = [(g, pack(x[np.isin(x, common, assume_unique=True)])) for g, x in zip(part.column("grp").to_pylist(), each)]
+        return pa.table([part.column("host"), pa.array([g for g, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["host", "grp", "hashes"])
+
+    def judge_large(group: pa.Table, told: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            return pa.Table.from_batches([summed("", {})])
+        numbers: dict[str, int] = {}
+        pages = numbered_pages(zip(*(group.column(n).to_pylist() for n in ("key", "data", "marks"))), numbers)
+        known = WordHashes()
+        table = np.array([known[w] for w in numbers], np.int64)
+        found = [short_hashes(table[p[0]], min_run) for p in pages]
+        shared = np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py()) for x in told.column("hashes"))])
+        return pa.Table.from_batches([summed(group.column("host")[0].as_py(), region_words(pages, min_run, found, shared))])
+
+    out = "host string, region bigint, words bigint, runs bigint, pages bigint"
+    rows = parsed.select("host", "grp", "key", "blocks", "kinds", "regions", "groups")
+    rows = rows.mapInArrow(stream, "host string, grp bigint, key bigint, data binary, marks array<bigint>, groups bigint")
+    small = rows.where("groups is null").repartition("host").sortWithinPartitions("host", "key").mapInArrow(judge, out)
+    # both readings of the groups come from one shuffle of them
+    large = rows.where("groups is not null")
+    told = large.groupBy("host", "grp").applyInArrow(windows, "host string, part bigint, grp bigint, hashes binary")
+    told = told.groupBy("host", "part").applyInArrow(meet, "host string, grp bigint, hashes binary")
+    sums = small.unionByName(large.groupBy("host", "grp").cogroup(told.groupBy("host", "grp")).applyInArrow(judge_large, out))
     sums = sums.groupBy("host", "region").agg(*(F.sum(c).alias(c) for c in ("words", "runs", "pages")))
     repeat = sums.where((F.col("pages") >= JUDGES) & (F.col("runs") >= REPEATS * F.col("words")))
     drops = stored(repeat.groupBy("host").agg(F.collect_set("region").alias("drops")), "regions")

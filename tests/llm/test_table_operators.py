@@ -484,3 +484,20 @@ def test_names_of_boilerplate():
 def test_passages_that_repeat_in_articles_stay(spark):
     rows = [(i, "http://h/", f"<article><h1>Title</h1><p>{PLAIN}</p><p>own{i}</p></article>") for i in range(5)]
     assert {r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()} == {f"Title\n{PLAIN}\nown{i}" for i in range(5)}
+
+
+def test_boxes_on_pages_of_different_groups_go(spark):
+    """Each box stands in the articles of two pages only, which lie in different groups of their host; groups decide nothing."""
+    rng = np.random.default_rng(5)
+    story = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    boxes = [f'<div class="more">See the offer {story(6)} of this week</div>' for _ in range(20)]
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{story(40)}</p>{boxes[i % 20]}<p>{story(40)}</p></article>") for i in range(40)]
+    rows += [(50 + i, "http://h.org/c", rows[0][2]) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = plain_extract(rows)
+    assert not any("offer" in t for _, t in want)
+    for size in (256, 4, 1):
+        got = htmltext.extract(pages, per_group=size).collect()
+        assert sorted((r.page_id, r.text) for r in got) == want and {r.left_out for r in got} == {1}
+    for ascending in ([], [0], [3, 3, 1 << 47]):
+        assert htmltext.unpack(htmltext.pack(np.array(ascending, np.int64))).tolist() == ascending
