@@ -1,5 +1,6 @@
 """The stateful stream of dirty flags, stopped and started again, against the batch form."""
 
+import hashlib
 import random
 import time
 
@@ -73,3 +74,48 @@ def test_a_stream_in_parts_is_the_batch(spark, network, tmp_path):
         last[n] = c
     want = graph.mark_dirty(nodes, edges, spark.createDataFrame([(n,) for n in changed], "node_id string"), 3)
     assert {r.node_id for r in redgreen.dirty(spark, out).collect()} == {r.node_id for r in want.collect()}
+
+
+def plain_turns(batches, reached):
+    """The same row by row: batch after batch first the digests, then the flags."""
+    known, flags, out = {}, {}, []
+    digest = lambda c: hashlib.sha256((c if c is not None else "\0").encode()).hexdigest()
+    for rows in batches:
+        named = []
+        for n, seq, d, clean in sorted((n, seq, digest(c), bool(clean)) for n, c, seq, clean in rows):
+            if clean:
+                named += [(n, seq, True)] if n in reached.get(n, ()) else []
+                continue
+            if known.get(n, d) != d:
+                named += [(m, seq, False) for m in reached.get(n, ())]
+            known[n] = d
+        for n, seq, clean in sorted(named, key=lambda r: (r[0], r[1], not r[2])):
+            dirty, last = flags.get(n, (False, None))
+            if dirty == clean and (last is None or seq >= last):
+                flags[n] = (not clean, seq)
+                out.append((n, not clean, seq))
+    return sorted(out)
+
+
+def test_states_are_by_bucket_and_turns_those_of_single_rows(spark, tmp_path):
+    """Thousands of nodes take a row of the store for each bucket; late rows, equal seqs and clean marks turn flags as they do one by one."""
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(2000)]
+    pairs = [(n, n) for n in names] + [(f"n{i}", f"n{i // 2}") for i in range(1, 2000)]
+    reached = spark.createDataFrame(pairs, "origin string, node_id string")
+    batches = [[(rng.choice(names[:400] if k else names), rng.choice(["p", "q", None]), rng.randrange(900), rng.random() < 0.2) for _ in range(3000)] for k in range(2)]
+    folder, out, mark = (f"{tmp_path}/{x}" for x in ("in", "out", "mark"))
+    for rows in batches:
+        put(spark, rows, folder)
+        redgreen.follow(stream(spark, folder), reached, out, mark, 8)
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == plain_turns(batches, near)
+    for operator in (0, 1):
+        store = spark.read.format("statestore").option("operatorId", operator).option("stateVarName", "bucket")
+        with redgreen.state_store(spark):
+            assert store.load(mark).count() == 8
+    put(spark, batches[0], folder)
+    with pytest.raises(Exception, match="states have 8 buckets, not 4"):
+        redgreen.follow(stream(spark, folder), reached, out, mark, 4)
