@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -301,6 +302,11 @@ def numbered_pages(rows: Iterable[tuple], numbers: dict[str, int]) -> list[tuple
     return list(held.values())
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """As WordHashes, of many words at once, by another hash."""
+    return pd.util.hash_array(np.array(words, object)) if words else np.zeros(0, np.uint64)
+
+
 def short_hashes(words: np.ndarray, min_run: int) -> np.ndarray:
     """Of words' hashes those of their windows, of 48 bits each."""
     return (gram_hashes(words, min_run) >> np.uint64(16)).astype(np.int64)
@@ -443,10 +449,11 @@ def _repeating_regions(parsed: DataFrame, min_run: int) -> DataFrame:
 
     def windows(group: pa.Table) -> pa.Table:
         host, grp, groups = (group.column(n)[0].as_py() for n in ("host", "grp", "groups"))
-        known = WordHashes()
         pages = dict(zip(group.column("key").to_pylist(), group.column("data")))
-        words = (zlib.decompress(x.as_py()).decode().split() for x in pages.values())
-        found = np.unique(np.concatenate([short_hashes(np.fromiter(map(known.__getitem__, w), np.int64, len(w)), min_run) for w in words]))
+        words = [zlib.decompress(x.as_py()).decode().split() for x in pages.values()]
+        hashes = word_hashes([x for w in words for x in w])
+        found = np.sort(np.concatenate([short_hashes(x, min_run) for x in np.split(hashes, np.cumsum([len(w) for w in words])[:-1])]))
+        found = found[np.diff(found, prepend=-1) > 0]  # numpy's unique() is slower
         parts = -(-groups // RANGE_GROUPS)
         cuts = np.searchsorted(found, np.arange(1, parts) * -(-(1 << 48) // parts))
         rows = [(host, k, grp, pack(x)) for k, x in enumerate(np.split(found, cuts)) if len(x)]
@@ -465,8 +472,7 @@ def _repeating_regions(parsed: DataFrame, min_run: int) -> DataFrame:
             return pa.Table.from_batches([summed("", {})])
         numbers: dict[str, int] = {}
         pages = numbered_pages(zip(*(group.column(n).to_pylist() for n in ("key", "data", "marks"))), numbers)
-        known = WordHashes()
-        table = np.array([known[w] for w in numbers], np.int64)
+        table = word_hashes(list(numbers))
         found = [short_hashes(table[p[0]], min_run) for p in pages]
         shared = np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py()) for x in told.column("hashes"))])
         return pa.Table.from_batches([summed(group.column("host")[0].as_py(), region_words(pages, min_run, found, shared))])
