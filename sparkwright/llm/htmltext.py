@@ -13,8 +13,11 @@ a page marks no article, each block is judged by its own words: those that runs
 those with runs of their own are the text.
 
 A large host's pages are dealt into groups with a suffix array each; a region's words are summed over
-the groups. Hashes of the windows of MIN_RUN words are compared over the whole host by a shuffle, and each
-group is told which of its own stand in other groups too, so what repeats doesn't depend on the groups.
+the groups. What repeats doesn't depend on the groups: they compare their windows of MIN_RUN words over the
+whole host, by shuffles in two steps. First a window is a cell, a number of few bits that equal windows share,
+and each group is told which of its cells others have too. That bounds each region's repeats from above, and
+few hosts have a region that may repeat then. Only their groups go on: they compare the hashes of windows in
+such cells, which tells exactly what repeats.
 """
 
 from __future__ import annotations
@@ -36,10 +39,15 @@ from sparkwright.llm.common import bounded_batches, stored
 from sparkwright.llm.decontaminate import gram_hashes
 
 MIN_RUN = 4
+PACKED = ("keys", "counts", "size", "data")
 #: A group holds about so many pages, and so many characters of html.
 PAGES, GROUP_CHARS = 256, 4 << 20
-#: Windows of a host's groups meet in ranges of their hashes; a range holds about as many as so many groups.
+#: Windows of a host's groups meet in ranges of their hashes or cells; a range holds about as many as so many groups.
 RANGE_GROUPS = 16
+#: Characters of a host's html for each of its cells: a cell holds few of its windows. More cells tell more and take more room.
+CELL_CHARS = 2
+#: Characters of text that a task gathers before it sends them: a group's pages are compressed together.
+GATHER_CHARS = 1 << 25
 #: A region repeats if so large a share of its words lies in runs.
 REPEATS = 0.9
 #: It is judged by this many pages or more, each with this share of its article's words in no run: copies of an article tell nothing.
@@ -290,15 +298,30 @@ def covered_words(pages: list[np.ndarray], min_run: int = MIN_RUN) -> list[np.nd
     return [covered[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
+def packed_pages(pages: list[tuple[int, list[str], list[int]]]) -> tuple[list[int], list[int], int, bytes]:
+    """Pages as (key, blocks, mark of each block) -> keys, numbers of blocks, and the marks and blocks compressed together, with their size."""
+    marks = np.array([m for _, _, each in pages for m in each], "<i8").tobytes()
+    raw = marks + "\n".join(x for _, blocks, _ in pages for x in blocks).encode("utf-8", "replace")
+    return [k for k, _, _ in pages], [len(x) for _, x, _ in pages], len(raw), pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
+def unpacked_pages(keys: list[int], counts: list[int], size: int, data: bytes) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    raw, total, at = pa.Codec("zstd").decompress(data, size, asbytes=True), sum(counts), 0
+    marks, blocks = np.frombuffer(raw, "<i8", total), raw[8 * total :].decode().split("\n")
+    for key, n in zip(keys, counts):
+        yield key, blocks[at : at + n], marks[at : at + n]
+        at += n
+
+
 def numbered_pages(rows: Iterable[tuple], numbers: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of a group as (key, compressed blocks, marks) -> distinct pages as region_words() takes them; `numbers` gets the words."""
+    """Rows of a group as packed_pages() gives them -> distinct pages as region_words() takes them; `numbers` gets the words."""
     held: dict[int, tuple] = {}
-    for page, data, marks in rows:
-        if page not in held:
-            words = [x.split() for x in zlib.decompress(data).decode().split("\n")] if marks else []
-            stream = np.array([numbers.setdefault(w, len(numbers)) for x in words for w in x], np.int64)
-            marks = np.array(marks, np.int64)
-            held[page] = (stream, np.array([len(x) for x in words], np.int64), marks & 3, marks >> 2)
+    for row in rows:
+        for page, blocks, marks in unpacked_pages(*row):
+            if page not in held:
+                words = [x.split() for x in blocks]
+                stream = np.array([numbers.setdefault(w, len(numbers)) for x in words for w in x], np.int64)
+                held[page] = (stream, np.array([len(x) for x in words], np.int64), marks & 3, marks >> 2)
     return list(held.values())
 
 
@@ -312,30 +335,87 @@ def short_hashes(words: np.ndarray, min_run: int) -> np.ndarray:
     return (gram_hashes(words, min_run) >> np.uint64(16)).astype(np.int64)
 
 
+def window_cells(words: np.ndarray, min_run: int, cells: int) -> np.ndarray:
+    """Of words' hashes the cell of each window, a number below `cells`. Equal windows have equal cells.
+
+    A window's cell is that of the lesser one of its two windows of a word less, so neighbours often share it
+    and a page has about two for three windows.
+    """
+    if min_run > 2:
+        less = short_hashes(words, min_run - 1)
+        found = np.minimum(less[:-1], less[1:])
+    else:
+        found = short_hashes(words, min_run)
+    return np.minimum(found * (cells / (1 << 48)), cells - 1).astype(np.int64)
+
+
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """Those from 0, in order; numpy's unique() is slower."""
+    numbers = np.sort(numbers)
+    return numbers[np.diff(numbers, prepend=-1) > 0]
+
+
+def among(numbers: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Whether each number is among those in ascending order."""
+    if not len(ascending):
+        return np.zeros(len(numbers), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, numbers), len(ascending) - 1)] == numbers
+
+
 def pack(ascending: np.ndarray) -> bytes:
-    """Numbers in ascending order by their differences, all lowest bytes first: the high ones are mostly zeros."""
-    return zlib.compress(np.diff(ascending, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Numbers in ascending order by their differences, all lowest bytes first: the high ones are mostly zeros, the others told by their frequency."""
+    coder = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_RLE)
+    return coder.compress(np.diff(ascending, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()) + coder.flush()
 
 
 def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel())
 
 
+def cover(runs_of: list[np.ndarray], windows: list[np.ndarray], shared: np.ndarray, min_run: int) -> None:
+    """Marks the words of pages' windows whose number is among `shared`, which are in ascending order."""
+    hits = among(np.concatenate(windows), shared)
+    for (at,), covered in zip(map(np.nonzero, np.split(hits, np.cumsum([len(x) for x in windows])[:-1])), runs_of):
+        for k in range(min_run):
+            covered[at + k] = True
+
+
+def region_bounds(
+    pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], min_run: int, windows: list[np.ndarray], shared: np.ndarray
+) -> dict[int, tuple[int, float]]:
+    """As region_words(), where `shared` may have windows that no other group has: by region the pages that may judge
+    it, and at most by how many its words in runs exceed those that a region that repeats has."""
+    out: dict[int, tuple[int, float]] = {}
+    least = covered_words([p[0] for p in pages], min_run)
+    most = [x.copy() for x in least]
+    cover(most, windows, shared, min_run)
+    for (_, lengths, kinds, regions), low, high in zip(pages, least, most):
+        mine = np.repeat(kinds == ARTICLE_BLOCK, lengths)
+        if not mine.any() or 1 - low[mine].mean() < OWN_SHARE:
+            continue
+        sure = 1 - high[mine].mean() >= OWN_SHARE
+        names, which = np.unique(regions, return_inverse=True)
+        of = np.repeat(which, lengths)
+        words, runs = np.bincount(of[mine], minlength=len(names)), np.bincount(of[mine & high], minlength=len(names))
+        for r, n, c in zip(names.tolist(), words.tolist(), runs.tolist()):
+            if n:
+                was, over = out.get(r, (0, 0.0)), c - REPEATS * n
+                out[r] = (was[0] + 1, was[1] + (over if sure else max(0.0, over)))
+    return out
+
+
 def region_words(
     pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], min_run: int = MIN_RUN, windows: list[np.ndarray] | None = None, shared: np.ndarray | None = None
 ) -> dict[int, tuple[int, int, int]]:
     """Pages of a group as (words as numbers; of each block the words, the kind and the region) -> by region with an
     article's blocks their words, those in repeated runs and the pages, of pages whose articles have their own share.
 
-    `shared` has the hashes among the pages' `windows` that stand in other groups of the host.
+    `shared` has the hashes among the pages' `windows` that stand in other groups of the host, in ascending order.
     """
     out: dict[int, tuple[int, int, int]] = {}
     runs_of = covered_words([p[0] for p in pages], min_run)
     if shared is not None:
-        hits = np.isin(np.concatenate(windows), shared)
-        for (at,), covered in zip(map(np.nonzero, np.split(hits, np.cumsum([len(x) for x in windows])[:-1])), runs_of):
-            for k in range(min_run):
-                covered[at + k] = True
+        cover(runs_of, windows, shared, min_run)
     for (_, lengths, kinds, regions), covered in zip(pages, runs_of):
         mine = np.repeat(kinds == ARTICLE_BLOCK, lengths)
         if not mine.any() or 1 - covered[mine].mean() < OWN_SHARE:
@@ -383,21 +463,22 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, per_group: int = PAGES) ->
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     own = own.withColumn("host", host)
     groups = F.greatest(F.ceil(F.count("*") / per_group), F.ceil(F.coalesce(F.sum(F.length("html")), F.lit(0)) / GROUP_CHARS))
-    large = stored(own.groupBy("host").agg(groups.alias("groups")).where("groups > 1"), "large-hosts")
+    cells = F.greatest(F.lit(1), F.sum(F.length("html")) / CELL_CHARS).cast("bigint")
+    large = stored(own.groupBy("host").agg(groups.alias("groups"), cells.alias("cells")).where("groups > 1"), "large-hosts")
     few = large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     own = own.join(F.broadcast(large) if few else large, "host", "left")
     key = F.xxhash64(F.coalesce("html", F.lit("")))
     group = F.pmod(F.xxhash64(key), F.coalesce("groups", F.lit(1)))  # equal pages meet, as they are one
-    own = own.select("host", group.alias("grp"), "page_id", "url", "groups", key.alias("key"), "html")
+    own = own.select("host", group.alias("grp"), "page_id", "url", "groups", "cells", key.alias("key"), "html")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [parse(t.as_py()) for t in b.column(6)]
+            found = [parse(t.as_py()) for t in b.column(7)]
             cols = [pa.array([p.has_article for p in found], pa.bool_()), pa.array([p.blocks for p in found], pa.list_(pa.string()))]
             cols += [pa.array([p.kinds for p in found], pa.list_(pa.int32())), pa.array([p.regions for p in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], *cols], ["host", "grp", "page_id", "url", "groups", "key", "has_article", "blocks", "kinds", "regions"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:7], *cols], ["host", "grp", "page_id", "url", "groups", "cells", "key", "has_article", "blocks", "kinds", "regions"])
 
-    schema = "host string, grp bigint, page_id bigint, url string, groups bigint, key bigint, has_article boolean, blocks array<string>, kinds array<int>, regions array<bigint>"
+    schema = "host string, grp bigint, page_id bigint, url string, groups bigint, cells bigint, key bigint, has_article boolean, blocks array<string>, kinds array<int>, regions array<bigint>"
     parsed = stored(own.mapInArrow(cut, schema), "pages", compression="zstd")
     drops = _repeating_regions(parsed.where("has_article"), min_run)
     marked = parsed.where("has_article").join(drops, "host", "left")
@@ -415,19 +496,28 @@ def _repeating_regions(parsed: DataFrame, min_run: int) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
+        held: dict[tuple, list[tuple]] = {}
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            cols = list(zip(*((*at, *packed_pages(pages)) for at, pages in held.items()))) or [[]] * 8
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["host", "grp", "groups", "cells", "keys", "counts", "size", "data"])
+
         for b in batches:
-            rows: list[tuple] = []
-            for host, grp, page, blocks, kinds, regions, groups in zip(*(c.to_pylist() for c in b.columns)):
+            for host, grp, groups, cells, page, blocks, kinds, regions in zip(*(c.to_pylist() for c in b.columns)):
                 if (host, grp, page) in seen:  # equal pages are one; a task sends each once, or seldom
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add((host, grp, page))
-                data = zlib.compress("\n".join(blocks).encode("utf-8", "replace"), 1)
-                rows.append((host, grp, page, data, [4 * r + k for r, k in zip(regions, kinds)], groups))
-            cols = list(zip(*rows)) or [[]] * 6
-            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types)], ["host", "grp", "key", "data", "marks", "groups"])
+                held.setdefault((host, grp, groups, cells), []).append((page, blocks, [4 * r + k for r, k in zip(regions, kinds)]))
+                size += sum(map(len, blocks)) + 8 * len(blocks)
+                if size > GATHER_CHARS:
+                    yield sent()
+                    held, size = {}, 0
+        if held:
+            yield sent()
 
     def summed(host: str, found: dict[int, tuple[int, int, int]]) -> pa.RecordBatch:
         cols = [pa.array([host] * len(found), pa.string()), pa.array(list(found), pa.int64())]
@@ -438,7 +528,7 @@ def _repeating_regions(parsed: DataFrame, min_run: int) -> DataFrame:
         held: list[tuple] = []
         at: str | None = None
         for b in batches:
-            for host, *row in zip(*(b.column(n).to_pylist() for n in ("host", "key", "data", "marks"))):
+            for host, *row in zip(*(b.column(n).to_pylist() for n in ("host", *PACKED))):
                 if host != at:
                     if held:
                         yield summed(at, region_words(numbered_pages(held, {}), min_run))
@@ -447,18 +537,29 @@ def _repeating_regions(parsed: DataFrame, min_run: int) -> DataFrame:
         if held:
             yield summed(at, region_words(numbered_pages(held, {}), min_run))
 
-    def windows(group: pa.Table) -> pa.Table:
+    def opened(group: pa.Table) -> tuple[list[tuple], np.ndarray]:
+        """A group's distinct pages, and the hashes of its words by number."""
+        numbers: dict[str, int] = {}
+        pages = numbered_pages(zip(*(group.column(n).to_pylist() for n in PACKED)), numbers)
+        return pages, word_hashes(list(numbers))
+
+    def ranges(group: pa.Table, ascending: np.ndarray, upto: int) -> pa.Table:
+        """A row for each range of a group's numbers, all below `upto`."""
         host, grp, groups = (group.column(n)[0].as_py() for n in ("host", "grp", "groups"))
-        pages = dict(zip(group.column("key").to_pylist(), group.column("data")))
-        words = [zlib.decompress(x.as_py()).decode().split() for x in pages.values()]
-        hashes = word_hashes([x for w in words for x in w])
-        found = np.sort(np.concatenate([short_hashes(x, min_run) for x in np.split(hashes, np.cumsum([len(w) for w in words])[:-1])]))
-        found = found[np.diff(found, prepend=-1) > 0]  # numpy's unique() is slower
         parts = -(-groups // RANGE_GROUPS)
-        cuts = np.searchsorted(found, np.arange(1, parts) * -(-(1 << 48) // parts))
-        rows = [(host, k, grp, pack(x)) for k, x in enumerate(np.split(found, cuts)) if len(x)]
+        cuts = np.searchsorted(ascending, np.arange(1, parts) * -(-upto // parts))
+        rows = [(host, k, grp, pack(x)) for k, x in enumerate(np.split(ascending, cuts)) if len(x)]
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["host", "part", "grp", "hashes"])
 
+    def told_of(told: pa.Table) -> np.ndarray:
+        """What a group is told, in ascending order: ranges come in any order."""
+        return np.sort(np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py()) for x in told.column("hashes"))]))
+
+    def sketch(group: pa.Table) -> pa.Table:
+        pages, table = opened(group)
+        cells = group.column("cells")[0].as_py()
+        return ranges(group, distinct(np.concatenate([window_cells(table[p[0]], min_run, cells) for p in pages])), cells)
+
     def meet(part: pa.Table) -> pa.Table:
         """Of a range of a host's hashes, for each group those that another group has too."""
         each = [unpack(x.as_py()) for x in part.column("hashes")]
@@ -467,24 +568,48 @@ def _repeating_regions(parsed: DataFrame, min_run: int) -> DataFrame:
         rows = [(g, pack(x[np.isin(x, common, assume_unique=True)])) for g, x in zip(part.column("grp").to_pylist(), each)]
         return pa.table([part.column("host"), pa.array([g for g, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["host", "grp", "hashes"])
 
+    def bound(group: pa.Table, told: pa.Table) -> pa.Table:
+        """(host, region, pages, over): what cells tell of a group's regions."""
+        found: dict[int, tuple[int, float]] = {}
+        if group.num_rows:
+            pages, table = opened(group)
+            cells = group.column("cells")[0].as_py()
+            found = region_bounds(pages, min_run, [window_cells(table[p[0]], min_run, cells) for p in pages], told_of(told))
+        host = group.column("host")[0].as_py() if group.num_rows else ""
+        cols = [pa.array([host] * len(found), pa.string()), pa.array(list(found), pa.int64())]
+        cols += [pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.float64())]
+        return pa.table(cols, ["host", "region", "pages", "over"])
+
+    def windows(group: pa.Table, told: pa.Table) -> pa.Table:
+        """The hashes of a group's windows that lie in cells that others have."""
+        if not group.num_rows:
+            return pa.table([pa.array([], k) for k in (pa.string(), pa.int64(), pa.int64(), pa.binary())], ["host", "part", "grp", "hashes"])
+        pages, table = opened(group)
+        cells, shared = group.column("cells")[0].as_py(), told_of(told)
+        found = [short_hashes(x, min_run)[among(window_cells(x, min_run, cells), shared)] for x in (table[p[0]] for p in pages)]
+        return ranges(group, distinct(np.concatenate(found)), 1 << 48)
+
     def judge_large(group: pa.Table, told: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.Table.from_batches([summed("", {})])
-        numbers: dict[str, int] = {}
-        pages = numbered_pages(zip(*(group.column(n).to_pylist() for n in ("key", "data", "marks"))), numbers)
-        table = word_hashes(list(numbers))
+        pages, table = opened(group)
         found = [short_hashes(table[p[0]], min_run) for p in pages]
-        shared = np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py()) for x in told.column("hashes"))])
-        return pa.Table.from_batches([summed(group.column("host")[0].as_py(), region_words(pages, min_run, found, shared))])
+        return pa.Table.from_batches([summed(group.column("host")[0].as_py(), region_words(pages, min_run, found, told_of(told)))])
 
     out = "host string, region bigint, words bigint, runs bigint, pages bigint"
-    rows = parsed.select("host", "grp", "key", "blocks", "kinds", "regions", "groups")
-    rows = rows.mapInArrow(stream, "host string, grp bigint, key bigint, data binary, marks array<bigint>, groups bigint")
-    small = rows.where("groups is null").repartition("host").sortWithinPartitions("host", "key").mapInArrow(judge, out)
-    # both readings of the groups come from one shuffle of them
-    large = rows.where("groups is not null")
-    told = large.groupBy("host", "grp").applyInArrow(windows, "host string, part bigint, grp bigint, hashes binary")
-    told = told.groupBy("host", "part").applyInArrow(meet, "host string, grp bigint, hashes binary")
+    of_range, to_group = "host string, part bigint, grp bigint, hashes binary", "host string, grp bigint, hashes binary"
+    rows = parsed.select("host", "grp", "groups", "cells", "key", "blocks", "kinds", "regions")
+    rows = rows.mapInArrow(stream, "host string, grp bigint, groups bigint, cells bigint, keys array<bigint>, counts array<int>, size bigint, data binary")
+    small = rows.where("groups is null").repartition("host").sortWithinPartitions("host").mapInArrow(judge, out)
+    # all readings of the groups come from one shuffle of them: no host is null, but the join below would filter that before a shuffle of its own
+    large = rows.where("groups is not null and host is not null").repartition("host", "grp")
+    cells = large.groupBy("host", "grp").applyInArrow(sketch, of_range).groupBy("host", "part").applyInArrow(meet, to_group)
+    bounds = large.groupBy("host", "grp").cogroup(cells.groupBy("host", "grp")).applyInArrow(bound, "host string, region bigint, pages bigint, over double")
+    bounds = bounds.groupBy("host", "region").agg(F.sum("pages").alias("pages"), F.sum("over").alias("over"))
+    # an inner join stays above the shuffle of the groups, a semi-join would be pushed below it
+    open_hosts = bounds.where((F.col("pages") >= JUDGES) & (F.col("over") >= -0.001)).select("host").distinct()
+    large = large.join(F.broadcast(open_hosts), "host")
+    told = large.groupBy("host", "grp").cogroup(cells.groupBy("host", "grp")).applyInArrow(windows, of_range).groupBy("host", "part").applyInArrow(meet, to_group)
     sums = small.unionByName(large.groupBy("host", "grp").cogroup(told.groupBy("host", "grp")).applyInArrow(judge_large, out))
     sums = sums.groupBy("host", "region").agg(*(F.sum(c).alias(c) for c in ("words", "runs", "pages")))
     repeat = sums.where((F.col("pages") >= JUDGES) & (F.col("runs") >= REPEATS * F.col("words")))

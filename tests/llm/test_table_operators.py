@@ -501,3 +501,41 @@ def test_boxes_on_pages_of_different_groups_go(spark):
         assert sorted((r.page_id, r.text) for r in got) == want and {r.left_out for r in got} == {1}
     for ascending in ([], [0], [3, 3, 1 << 47]):
         assert htmltext.unpack(htmltext.pack(np.array(ascending, np.int64))).tolist() == ascending
+
+
+def test_groups_of_a_large_host_compare_windows_in_little_room(spark):
+    """A host whose articles share nothing, beside one with boxes on two pages each: the same rows as by brute force, and of most windows a few bits are shuffled."""
+    from measure import shuffled_bytes
+
+    rng = np.random.default_rng(6)
+    story = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    boxes = [f'<div class="more">See the offer {story(6)} of this week</div>' for _ in range(20)]
+    rows = [(i, f"http://plain.org/{i}", f"<article><h1>{story(5)}</h1><p>{story(300)}</p></article>") for i in range(200)]
+    rows += [(1000 + i, f"http://h.org/{i}", f"<article><p>{story(40)}</p>{boxes[i % 20]}<p>{story(40)}</p></article>") for i in range(40)]
+    rows += [(2000 + i, "http://plain.org/c", rows[i][2]) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    boxed = plain_extract([r for r in rows if "h.org" in r[1]])
+    want = sorted(boxed + [(i, "\n".join(htmltext.parse(x).article)) for i, url, x in rows if "plain" in url])
+    before = shuffled_bytes(spark)
+    assert sorted((r.page_id, r.text) for r in htmltext.extract(pages, per_group=20).collect()) == want
+    assert shuffled_bytes(spark) - before < 400_000  # the texts, and about 65,000 windows
+    assert not any("offer" in t for _, t in boxed)
+
+
+def test_bounds_of_regions_hold():
+    """Cells that windows share by chance may only raise what a region is thought to repeat."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        pages = []
+        for n in rng.integers(1, 60, 6):
+            lengths = rng.multinomial(n, [0.4, 0.3, 0.3])
+            pages.append((rng.integers(0, 40, n), lengths, rng.integers(1, 3, 3), rng.integers(0, 2, 3)))
+        table = htmltext.word_hashes([f"w{x}" for x in range(40)])
+        windows = [htmltext.short_hashes(table[p[0]], 4) for p in pages]
+        cells = [htmltext.window_cells(table[p[0]], 4, 500) for p in pages]
+        every, n = np.unique(np.concatenate(windows)), rng.integers(0, 200)
+        shared = np.sort(rng.permutation(every)[:n])
+        told = np.unique(np.concatenate([c[np.isin(w, shared)] for w, c in zip(windows, cells)]))
+        exact, bounds = htmltext.region_words(pages, 4, windows, shared), htmltext.region_bounds(pages, 4, cells, told)
+        for region, (words, runs, count) in exact.items():
+            assert bounds[region][0] >= count and bounds[region][1] >= runs - htmltext.REPEATS * words - 1e-9
