@@ -479,7 +479,7 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, per_group: int = PAGES) ->
             yield pa.RecordBatch.from_arrays([*b.columns[:7], *cols], ["host", "grp", "page_id", "url", "groups", "cells", "key", "has_article", "blocks", "kinds", "regions"])
 
     schema = "host string, grp bigint, page_id bigint, url string, groups bigint, cells bigint, key bigint, has_article boolean, blocks array<string>, kinds array<int>, regions array<bigint>"
-    parsed = stored(own.mapInArrow(cut, schema), "pages", compression="zstd")
+    parsed = stored(own.mapInArrow(cut, schema), "pages", compression="zstd", **{"parquet.compression.codec.zstd.level": "6"})
     drops = _repeating_regions(parsed.where("has_article"), min_run)
     marked = parsed.where("has_article").join(drops, "host", "left")
     mine = F.filter(F.arrays_zip("blocks", "kinds", "regions"), lambda x: x["kinds"] == ARTICLE_BLOCK)
