@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from measure import shuffled_rows
+from measure import shuffled_bytes, shuffled_rows
 from pyspark.sql import functions as F
 
 from sparkwright.operators import blockmax, dense, hnsw, lsa, sparse
@@ -229,6 +229,42 @@ def test_embedding_is_the_truncated_decomposition(spark, tmp_path):
     assert [len(r.vec) for r in lsa.embed(empty, docs.limit(2)).collect()] == [0, 0]
 
 
+def test_texts_and_postings_are_not_shuffled_for_the_embedder(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(30_000)}" for _ in range(1500))) for i in range(400)]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    before = shuffled_bytes(spark)
+    model = lsa.fit(docs, dim=4, vocabulary=300, rounds=1)
+    assert lsa.embed(model, docs).where(F.size("vec") == 4).count() == 400
+    # of 3.9 MB of text and 600,000 postings: terms' counts and parts of the matrix
+    assert shuffled_bytes(spark) - before < sum(len(t) for _, t in rows) / 2
+
+
+def test_rows_of_one_id_are_embedded_together(spark):
+    rows = [(1, "red red blue"), (2, "red green"), (2, "blue blue"), (2, None), (3, "unknown"), (3, "green"), (None, "red"), (None, "blue"), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = lsa.fit(docs.where("text IS NULL OR text <> 'unknown'"), dim=2)
+    found = collections.defaultdict(list)
+    for r in lsa.embed(model, docs).collect():
+        found[r.doc_id].append(r.vec)
+    assert {i: len(v) for i, v in found.items()} == {1: 1, 2: 3, 3: 2, None: 2, 4: 1}
+    together = spark.createDataFrame([(2, "red green blue blue"), (3, "green unknown")], "doc_id bigint, text string")
+    for r in lsa.embed(model, together).collect():
+        assert np.allclose(found[r.doc_id], r.vec)
+    assert not np.any(found[None]) and not np.any(found[4]) and np.all(np.linalg.norm(found[3], axis=1) > 0.99)
+
+
+def test_a_large_part_is_dealt_out_once(spark, monkeypatch):
+    monkeypatch.setattr(lsa, "BATCH_BYTES", 1000)
+    one = spark.createDataFrame([(7, "a few words " * 10)] * 100 + [(None, None)], "doc_id bigint, text string").coalesce(1)
+    dealt = lsa.spread(one)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in sizes) == 101 and len(sizes) == 4 and max(r["count"] for r in sizes) < 60
+    assert lsa.spread(dealt).inputFiles() == dealt.inputFiles() != []
+
+
 def test_building_a_shard_holds_few_distances_at_once():
     import tracemalloc
 
